@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Distinct words a Python worker remembers before it starts afresh.
-REMEMBERED_WORDS = 200_000
+#: Distinct words in each of the two generations that a Python worker remembers.
+REMEMBERED_WORDS = 250_000
 _loaded: dict[str, Vocabulary] = {}
 
 
@@ -43,7 +43,7 @@ class Vocabulary:
 
     def __init__(self, text: str):
         import regex
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         spec = json.loads(text)
         model = spec["model"]
@@ -59,6 +59,7 @@ class Vocabulary:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.last = Tokenizer(models.BPE(vocab=self.vocab, merges=merges, end_of_word_suffix=self.suffix))
         self.inner = Tokenizer(models.BPE(vocab=self.vocab, merges=merges))
+        self.last.pre_tokenizer = self.inner.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.cut = np.ones((256, 256), bool)
         for t in self.vocab:
             b = bytes(back[c] for c in t.removesuffix(self.suffix) if c in back)
@@ -67,82 +68,100 @@ class Vocabulary:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(split["pattern"]["Regex"].replace(r"^\s", r"^\p{White_Space}"))
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.known: dict[bytes, tuple[bytes, int]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def pieces(self, word: str) -> list[str]:
-        if word.isascii() and word.isalpha():
+    def pieces(self, word: bytes) -> list[bytes]:
+        """The pre-tokens of a word as bytes, in lower case."""
+        if word.isalpha():  # ASCII letters only
             return [word.lower()]
         # Lower case is taken letter by letter, so a final capital sigma gives the ordinary small one.
-        return self.piece.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())
+        text = unicodedata.normalize("NFC", word.decode("utf-8", "replace")).replace("Σ", "σ").lower()
+        return [p.encode() for p in self.piece.findall(text)]
 
     def fragments(self, pieces: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """All pieces cut at forced boundaries: the fragments, the piece of each, and whether it ends its piece."""
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
-        here = np.zeros(len(data) + 1, bool)
-        here[1:-1] = self.cut[data[:-1], data[1:]]
-        here[ends], here[0] = True, False
+        last = np.zeros(len(data) + 1, bool)
+        last[ends] = True
+        here = last.copy()
+        here[1:-1] |= self.cut[data[:-1], data[1:]]
         stops = np.flatnonzero(here)
-        raw, text = data.tobytes().decode("latin-1"), []
-        lo = 0
+        raw, text, lo = data.tobytes().decode("latin-1"), [], 0
         for hi in stops.tolist():
-            text.append(raw[lo:hi].translate(self.letters))
+            text.append(raw[lo:hi])
             lo = hi
-        return text, np.searchsorted(ends, stops, side="left"), np.isin(stops, ends)
+        text = [t if t.isascii() and t.isprintable() else t.translate(self.letters) for t in text]
+        return text, np.searchsorted(ends, stops, side="left"), last[stops]
+
+    def merge(self, fragments: list[str], final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all fragments in order, and the fragment of each. Byte letters hold no white space, so one call
+        encodes many fragments, each on its own."""
+        ids, owner = [], []
+        for coder, chosen in ((self.last, final), (self.inner, ~final)):
+            at = np.flatnonzero(chosen)
+            if len(at):
+                e = coder.encode(" ".join([fragments[i] for i in at.tolist()]), add_special_tokens=False)
+                ids.append(np.array(e.ids, np.int32))
+                owner.append(at[np.array(e.word_ids, np.int64)])
+        all_ids, all_owners = np.concatenate(ids), np.concatenate(owner)
+        order = np.argsort(all_owners, kind="stable")
+        return all_ids[order], all_owners[order]
 
     def learn(self, words: list[bytes]) -> None:
         """Encodes words that are not remembered yet."""
         if len(self.known) + len(words) > REMEMBERED_WORDS:
-            self.known.clear()
-        units: list[list[int | None]] = []  # of each word, its pieces by number, or the id of a special token as -1 - id
-        pieces: list[bytes] = []
-        for w in words:
-            text, unit = w.decode("utf-8", "replace"), []
-            parts = [text] if self.marks is None or "<|" not in text else []
-            if not parts:
-                lo = 0
-                for m in self.marks.finditer(text):
-                    parts += [text[lo : m.start()], m[0]]
-                    lo = m.end()
-                parts.append(text[lo:])
-            for p in parts:
-                if p in self.special:
-                    unit.append(-1 - self.special[p])
-                else:
-                    for x in self.pieces(p):
-                        unit.append(len(pieces))
-                        pieces.append(x.encode())
-            units.append(unit)
-        ids: list[list[int]] = [[] for _ in pieces]
-        if pieces:
-            text, owner, final = self.fragments(pieces)
-            found: list[list[int]] = [[]] * len(text)
-            for coder, chosen in ((self.last, final), (self.inner, ~final)):
-                at = np.flatnonzero(chosen).tolist()
-                for i, e in zip(at, coder.encode_batch([text[i] for i in at], add_special_tokens=False) if at else [], strict=True):
-                    found[i] = e.ids
-            for i, p in zip(found, owner.tolist(), strict=True):
-                ids[p] += i
-        for w, unit in zip(words, units, strict=True):
-            all_ids = [j for u in unit for j in (ids[u] if u >= 0 else [-1 - u])]
-            self.known[w] = (np.array(all_ids, np.int32).tobytes(), len(all_ids))
+            self.older, self.known = self.known, {}
+        marked = [w for w in words if self.marks is not None and b"<|" in w]
+        for w in marked:
+            self.known[w] = b"".join(self._with_specials(w.decode("utf-8", "replace")))
+        plain = words if not marked else [w for w in words if w not in self.known]
+        cut = [self.pieces(w) for w in plain]
+        pieces = [p for c in cut for p in c]
+        if not pieces:
+            self.known.update((w, b"") for w in plain)
+            return
+        text, piece, final = self.fragments(pieces)
+        ids, fragment = self.merge(text, final)
+        word = np.repeat(np.arange(len(plain)), [len(c) for c in cut])[piece][fragment]
+        at = (4 * np.searchsorted(word, np.arange(len(plain) + 1))).tolist()
+        raw = ids.tobytes()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(plain, at, at[1:], strict=False))
+
+    def _with_specials(self, text: str) -> Iterator[bytes]:
+        """A word that may hold strings of special tokens, which stand for those tokens."""
+        lo = 0
+        for m in [*self.marks.finditer(text), None]:
+            pieces = self.pieces(text[lo : m.start() if m else len(text)].encode())
+            if pieces:
+                f, _, final = self.fragments(pieces)
+                yield self.merge(f, final)[0].tobytes()
+            if m:
+                yield np.int32(self.special[m[0]]).tobytes()
+                lo = m.end()
+
+    def prepare(self, words: set[bytes]) -> None:
+        """Makes sure that all these words are remembered, if they aren't too many."""
+        new = words - self.known.keys()
+        for w in new & self.older.keys():
+            self.known[w] = self.older[w]
+        if new := list(new - self.known.keys()):
+            self.learn(new)
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as 32-bit integers. bytes.split cuts exactly at ASCII white space, which no piece spans."""
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join([known[w][0] for w in words])
-        except KeyError:
-            out = []
-            for lo in range(0, len(words), REMEMBERED_WORDS // 2):
-                part = words[lo : lo + REMEMBERED_WORDS // 2]
-                if new := list(dict.fromkeys(w for w in part if w not in known)):
-                    self.learn(new)
-                    if any(w not in known for w in part):  # the memory was cleared
-                        self.learn(list(dict.fromkeys(w for w in part if w not in known)))
-                out.append(b"".join([known[w][0] for w in part]))
-            return b"".join(out)
+        words, out = text.split(), []
+        for lo in range(0, len(words), REMEMBERED_WORDS // 4):
+            part = words[lo : lo + REMEMBERED_WORDS // 4]
+            try:
+                out.append(b"".join([self.known[w] for w in part]))
+            except KeyError:
+                self.prepare(set(part))
+                if not all(w in self.known for w in part):  # the memory was renewed meanwhile
+                    self.prepare(set(part))
+                out.append(b"".join([self.known[w] for w in part]))
+        return b"".join(out)
 
 
 def vocabulary(text: str) -> Vocabulary:
@@ -159,10 +178,7 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     def work(chunk: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(spec.value)
         texts = chunk.column(1).cast(pa.binary()).to_pylist()
-        # one call for the chunk's new words, so that the merges run in batches
-        new = {w for t in texts for w in t.split()} - v.known.keys()
-        if new:
-            v.learn(list(new))
+        v.prepare({w for t in texts for w in t.split()})  # in one call, so that the merges run in batches
         blobs = [v.encode(t) for t in texts]
         ends = np.cumsum([0, *(len(b) // 4 for b in blobs)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
