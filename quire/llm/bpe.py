@@ -143,10 +143,14 @@ class Vocabulary:
 
     def prepare(self, words: set[bytes]) -> None:
         """Makes sure that all these words are remembered, if they aren't too many."""
-        new = words - self.known.keys()
-        for w in new & self.older.keys():
-            self.known[w] = self.older[w]
-        if new := list(new - self.known.keys()):
+        known, older, new = self.known, self.older, []
+        for w in words:
+            if w not in known:
+                if (ids := older.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
+        if new:
             self.learn(new)
 
     def encode(self, text: bytes) -> bytes:
@@ -171,8 +175,15 @@ def vocabulary(text: str) -> Vocabulary:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """doc_id, ids (array of int) of every whole text. The file's text goes to the workers: one tokenizer, a few MB."""
+def texts_of(v: Vocabulary, at: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """The tokens of each run of ids joined by one space, as the file has no decoder of its own."""
+    tokens = v.tokens
+    return pa.array([" ".join(tokens[ids[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+
+
+def encode(docs: DataFrame, tokenizer_file: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (array of int) of every whole text; with `decoded`, also the text that these ids decode to, made in the
+    same pass. The file's text goes to the workers: one tokenizer, a few MB."""
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
 
     def work(chunk: pa.RecordBatch) -> pa.RecordBatch:
@@ -180,30 +191,30 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         texts = chunk.column(1).cast(pa.binary()).to_pylist()
         v.prepare({w for t in texts for w in t.split()})  # in one call, so that the merges run in batches
         blobs = [v.encode(t) for t in texts]
-        ends = np.cumsum([0, *(len(b) // 4 for b in blobs)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
-        return pa.RecordBatch.from_arrays([chunk.column(0), ids], ["doc_id", "ids"])
+        at = np.cumsum([0, *(len(b) // 4 for b in blobs)]).astype(np.int32)
+        ids = np.frombuffer(b"".join(blobs), np.int32)
+        columns = [chunk.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(ids))]
+        return pa.RecordBatch.from_arrays(columns + [texts_of(v, at, ids)] * decoded, ["doc_id", "ids"] + ["decoded"] * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return common.chunk_rows(batches, work)
 
     rows = common.text_rows(docs)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
-    """Adds decoded: the tokens of ids joined by one space, as the file has no decoder of its own."""
+    """Adds decoded, the text of ids, to stored rows (doc_id, ids)."""
     spec = encoded.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(spec.value).tokens
+        v = vocabulary(spec.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
                 col = batch.column(1)
-                at, values = np.asarray(col.offsets), tokens[np.asarray(col.values)] if len(col.values) else tokens[:0]
-                out = [" ".join(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+                out = texts_of(v, np.asarray(col.offsets), np.asarray(col.values))
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
     rows = encoded.select("doc_id", "ids")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
@@ -211,7 +222,7 @@ def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
 
 def digest(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text."""
-    both = decode(encode(docs, tokenizer_file), tokenizer_file)
+    both = encode(docs, tokenizer_file, decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

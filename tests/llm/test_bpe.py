@@ -45,6 +45,13 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert list(memoryview(v.encode(text.encode())).cast("i")) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_stored_ids_decode_alike(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 30")
+    both = bpe.encode(docs, tokenizer_path(), decoded=True)
+    again = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
+    assert sorted(both.collect()) == sorted(again.collect())
+
+
 def test_empty_table(spark):
     assert bpe.digest(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).collect() == []
 
