@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, pii
+from . import bpe, chat, pii, quality
 from .common import table
 
 
@@ -28,8 +28,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op4_chat": op4_chat, "op8_bpe": op8_bpe}
+    return {"op2_pii": op2_pii, "op4_chat": op4_chat, "op8_bpe": op8_bpe, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
