@@ -44,57 +44,60 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: render_turn(t["role"], t["text"])), "")
 
 
-def parse(formatted: Column) -> Column:
-    """Array of (role, text, start, end): the recovered turns, and where the text stands in `formatted` (code points).
+def parse(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds `out`, an array of (role, text, start, end): the turns recovered from the formatted text in `column`, and where
+    each text stands in it (code points).
 
-    A text that isn't of the grammar gives turns that no source has: their role is null.
+    A text that isn't of the grammar gives turns that no source has: their role is null. Marks and parts are columns
+    of their own, so that each text is searched once and not again for every turn.
     """
-    marks, parts = F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0)), F.split(formatted, CONTROL, -1)
+    marked = df.withColumns({"_marks": F.regexp_extract_all(column, F.lit(CONTROL), F.lit(0)), "_parts": F.split(column, CONTROL, -1)})
     # Marks 2k and 2k+1 enclose the text of turn k, which is part 2k+1; the even parts between turns must be empty.
     cut = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(marks)), lambda i: (i % 2 == 0) & (i < F.size(marks))),
+        F.filter(F.sequence(F.lit(0), F.size("_marks")), lambda i: (i % 2 == 0) & (i < F.size("_marks"))),
         lambda i: F.struct(
-            F.get(marks, i).alias("open"),
-            F.coalesce(F.get(marks, i + 1), F.lit("")).alias("close"),
-            F.coalesce(F.get(parts, i), F.lit("")).alias("between"),
-            F.coalesce(F.get(parts, i + 1), F.lit("")).alias("body"),
+            F.get("_marks", i).alias("open"),
+            F.coalesce(F.get("_marks", i + 1), F.lit("")).alias("close"),
+            F.coalesce(F.get("_parts", i), F.lit("")).alias("between"),
+            F.coalesce(F.get("_parts", i + 1), F.lit("")).alias("whole"),
         ),
     )
+    pieces = marked.withColumn("_pieces", cut)
     read = F.transform(
-        cut,
+        "_pieces",
         lambda x: F.struct(
-            x["between"].alias("between"),
             F.when(x["between"] != "", F.lit(None).cast("string"))
             .when((x["open"] == "[INST]") & (x["close"] == "[/INST]"), "user")
             .when((x["open"] == "<s>") & (x["close"] == "</s>"), "assistant")
-            .when((x["open"] == "<<SYS>>") & (x["close"] == "<</SYS>>"), F.try_url_decode(F.substring_index(x["body"], "\n", 1)))
+            .when((x["open"] == "<<SYS>>") & (x["close"] == "<</SYS>>"), F.try_url_decode(F.substring_index(x["whole"], "\n", 1)))
             .alias("role"),
-            F.when(x["open"] == "<<SYS>>", F.regexp_replace(x["body"], r"(?s)\A[^\n]*\n", "")).otherwise(x["body"]).alias("body"),
-            F.length(x["open"]).alias("n_open"),
-            F.length(x["body"]).alias("n_body"),
+            F.when(x["open"] == "<<SYS>>", F.regexp_replace(x["whole"], r"(?s)\A[^\n]*\n", "")).otherwise(x["whole"]).alias("body"),
+            (F.length(x["between"]) + F.length(x["open"]) + F.length(x["whole"])).alias("to_end"),
             F.length(x["close"]).alias("n_close"),
         ),
     )
+    bodies = pieces.withColumn("_read", read)
     none = F.expr("cast(array() as array<struct<role:string,text:string,start:int,end:int>>)")
     walked = F.aggregate(
-        read,
+        "_read",
         F.struct(F.lit(0).alias("at"), none.alias("turns")),
         lambda a, x: F.struct(
-            (a["at"] + F.length(x["between"]) + x["n_open"] + x["n_body"] + x["n_close"]).alias("at"),
+            (a["at"] + x["to_end"] + x["n_close"]).alias("at"),
             F.concat(
                 a["turns"],
                 F.array(
                     F.struct(
                         x["role"].alias("role"),
                         unescape(x["body"]).alias("text"),
-                        (a["at"] + F.length(x["between"]) + x["n_open"] + x["n_body"] - F.length(x["body"])).alias("start"),
-                        (a["at"] + F.length(x["between"]) + x["n_open"] + x["n_body"]).alias("end"),
+                        (a["at"] + x["to_end"] - F.length(x["body"])).alias("start"),
+                        (a["at"] + x["to_end"]).alias("end"),
                     )
                 ),
             ).alias("turns"),
         ),
+        lambda a: a["turns"],
     )
-    return walked["turns"]
+    return bodies.withColumn(out, walked).drop("_marks", "_parts", "_pieces", "_read")
 
 
 def same_turns(parsed: Column, source: Column) -> Column:
@@ -112,11 +115,11 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     )
     grouped = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ordered"))
     source = grouped.select("conv_id", F.transform("ordered", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
-    plain = source.withColumn("plain", render(F.col("source")))
-    tried = plain.withColumn("fits", same_turns(parse(F.col("plain")), F.col("source")))
+    plain = parse(source.withColumn("plain", render(F.col("source"))), "plain", "tried")
+    tried = plain.withColumn("fits", same_turns(F.col("tried"), F.col("source")))
     guarded = F.transform("source", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text")))
     out = tried.select("conv_id", "source", (~F.col("fits")).alias("escaped"), F.when(F.col("fits"), F.col("plain")).otherwise(render(guarded)).alias("formatted"))
-    read = out.withColumn("turns", parse(F.col("formatted")))
+    read = parse(out, "formatted", "turns")
     return read.select("conv_id", "formatted", "turns", "escaped", same_turns(F.col("turns"), F.col("source")).alias("identical"))
 
 
