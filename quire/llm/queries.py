@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, pii, quality
+from . import bpe, chat, pii, quality, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -33,7 +37,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op4_chat": op4_chat, "op8_bpe": op8_bpe, "op9_quality": op9_quality}
+    return {"op2_pii": op2_pii, "op4_chat": op4_chat, "op7_toxicity": op7_toxicity, "op8_bpe": op8_bpe, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:

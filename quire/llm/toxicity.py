@@ -136,13 +136,13 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> tu
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w, ridge = np.zeros(x1.shape[1]), np.eye(x1.shape[1])
     ridge[-1, -1] = 1e-3
-    for _ in range(30):
+    for step in range(60):
         own = y * (x1 @ w) < 1
         cx = x1[own] * (c * weight[own])[:, None]
         new = np.linalg.solve(ridge + cx.T @ x1[own], cx.T @ y[own])
         if np.allclose(new, w, atol=1e-6):
             break
-        w = 0.5 * w + 0.5 * new
+        w = new if step < 20 else 0.5 * (w + new)
     return w[:-1], float(w[-1])
 
 
@@ -171,8 +171,7 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 160, hard: int = 4
     white = vectors[:, kept] / np.sqrt(values[kept])
 
     members = [np.fromiter((number[w] for w in s), np.int64, len(s)) for s in sets]
-    # Words seen in several toxic sentences and, for their numbers, hardly in clean ones are toxic whatever stands beside them.
-    strong = np.flatnonzero((a >= max(5, 0.01 * n_bad)) & (a / n_bad > 10 * b / n_good))
+    strong = np.array([number[w] for w in explaining([s for s, t in zip(sets, toxic, strict=True) if t], [vocabulary[i] for i in ranked.tolist() if a[i] >= 3 and a[i] / n_bad > 20 * b[i] / n_good])], np.int64)
     score = stands_out.copy()
     chosen_good = rng.choice(clean_words, min(hard, len(clean_words)), replace=False)
     table = None
@@ -196,6 +195,21 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 160, hard: int = 4
     return table, slope, offset
 
 
+def explaining(sets: list[set[str]], words: list[str], least: int = 3) -> list[str]:
+    """Of words in falling order of suspicion, those that a twentieth of the toxic sentences hold, or
+    `least` which no word before explains."""
+    holders: dict[str, list[int]] = {w: [] for w in words}
+    for i, s in enumerate(sets):
+        for w in s & holders.keys():
+            holders[w].append(i)
+    explained, out = np.zeros(len(sets), bool), []
+    for w in words:
+        if (~explained[holders[w]]).sum() >= least or len(holders[w]) >= 0.05 * len(sets):
+            out.append(w)
+            explained[holders[w]] = True
+    return out
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Probability of a margin, by Newton steps with a slight ridge."""
     mean, std = x.mean(), x.std() or 1.0
@@ -245,13 +259,13 @@ def scores_of(sent, key: str, texts: list[str | None]) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> DataFrame:
-    """text, toxic: of each class the labelled documents of lowest hash, outside the held-out fold. Whole texts only, of
+    """text, toxic: the labelled documents of lowest hash, `rows` toxic and twice as many clean ones, outside the held-out fold. Whole texts only, of
     at most `chars` characters."""
     marks = labels.select("doc_id", F.col("toxic").alias("_t")).filter("_t is not null").groupBy("doc_id").agg(F.max("_t").alias("_t"))
     fold = docs.select("doc_id", "text").filter(~held_out()).filter(F.length("text").between(1, chars))
-    joined = fold.join(marks, "doc_id").select("text", "_t", F.xxhash64("doc_id", "text").alias("_h"))
-    first = lambda t: joined.filter(F.col("_t") == t).orderBy("_h", "text").limit(rows)
-    return first(1).unionByName(first(0)).select("text", (F.col("_t") == 1).alias("toxic"))
+    joined = fold.join(marks, "doc_id").select("text", "_t", F.xxhash64("text").alias("_h"))
+    first = lambda t, n: joined.filter(F.col("_t") == t).dropDuplicates(["text"]).orderBy("_h", "text").limit(n)
+    return first(1, rows).unionByName(first(0, 2 * rows)).select("text", (F.col("_t") == 1).alias("toxic"))
 
 
 def held_out():
@@ -259,7 +273,7 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_chars: int) -> tuple:
-    """The broadcast model and its key. It is fitted on the driver on at most 2 * sample_rows labelled texts of at most
+    """The broadcast model and its key. It is fitted on the driver on at most 3 * sample_rows labelled texts of at most
     sample_chars characters each."""
     sample = training_rows(docs, labels, sample_rows, sample_chars).toPandas()
     model = fit(sample["text"].tolist(), np.asarray(sample["toxic"], dtype=bool)) if len(sample) else None
