@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, pii, quality, toxicity
+from . import ann, bpe, chat, pii, quality, toxicity
 from .common import table
 
 
@@ -16,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, F.col("vec_id") % 100 == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +43,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op4_chat": op4_chat, "op7_toxicity": op7_toxicity, "op8_bpe": op8_bpe, "op9_quality": op9_quality}
+    return {"op2_pii": op2_pii, "op4_chat": op4_chat, "op6_ann": op6_ann, "op7_toxicity": op7_toxicity, "op8_bpe": op8_bpe, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
