@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, pii, quality, toxicity
+from . import ann, bpe, chat, pii, quality, substring, toxicity
 from .common import table
 
 
@@ -42,8 +42,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op4_chat": op4_chat, "op6_ann": op6_ann, "op7_toxicity": op7_toxicity, "op8_bpe": op8_bpe, "op9_quality": op9_quality}
+    return {"op2_pii": op2_pii, "op4_chat": op4_chat, "op6_ann": op6_ann, "op7_toxicity": op7_toxicity, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
