@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, pii, quality, substring, toxicity
+from . import ann, bpe, chat, jaccard, pii, quality, substring, toxicity
 from .common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(jaccard.classes(table(spark, sf_dir, "documents")))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, F.col("vec_id") % 100 == 0)
@@ -47,7 +51,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op4_chat": op4_chat, "op6_ann": op6_ann, "op7_toxicity": op7_toxicity, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_substring": op10_substring}
+    return {"op2_pii": op2_pii, "op4_chat": op4_chat, "op5_jaccard": op5_jaccard, "op6_ann": op6_ann, "op7_toxicity": op7_toxicity, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
