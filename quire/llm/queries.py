@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, lm, pii, quality, substring, toxicity
+from . import ann, bpe, chat, jaccard, lm, mixing, pii, quality, substring, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix_sources(table(spark, sf_dir, "documents")))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
 
@@ -55,7 +59,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op3_lm": op3_lm, "op4_chat": op4_chat, "op5_jaccard": op5_jaccard, "op6_ann": op6_ann, "op7_toxicity": op7_toxicity, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_substring": op10_substring}
+    return {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_chat": op4_chat, "op5_jaccard": op5_jaccard, "op6_ann": op6_ann, "op7_toxicity": op7_toxicity, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
