@@ -81,15 +81,16 @@ def collapse(landmarks: list[str], weights: np.ndarray) -> np.ndarray:
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel values, a column for each landmark."""
-    row, col, val = features(words)
-    used, pos = np.unique(features(landmarks)[1], return_inverse=True)
-    lr, _, lv = features(landmarks)
+    lr, lc, lv = features(landmarks)
+    used, pos = np.unique(lc, return_inverse=True)
     table = np.zeros((len(used) + 1, len(landmarks)))
     np.add.at(table, (pos, lr), lv)
-    at = np.searchsorted(used, col)
-    at[(at >= len(used)) | (used[np.minimum(at, len(used) - 1)] != col)] = len(used)
-    out, hit = np.zeros((len(words), len(landmarks))), at < len(used)
-    np.add.at(out, row[hit], val[hit, None] * table[at[hit]])
+    out = np.zeros((len(words), len(landmarks)))
+    for lo in range(0, len(words), 256):  # in blocks, as each triple spreads over all landmarks
+        row, col, val = features(words[lo : lo + 256])
+        at = np.minimum(np.searchsorted(used, col), len(used) - 1) if len(used) else col
+        hit = used[at] == col if len(used) else np.zeros(len(col), bool)
+        np.add.at(out, lo + row[hit], val[hit, None] * table[at[hit]])
     return out
 
 
