@@ -1,19 +1,47 @@
-"""The registered queries of the core library."""
+"""The registered queries of the core library: each with a DataFrame function and, where SQL can express it, DuckDB's statement."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+MODULES = ("catalog_queries", "toc_queries", "page_queries", "text_queries", "body_queries", "book_queries", "resume_queries", "fetch_queries", "stream_queries")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name."""
+
+    def add(f: Query) -> Query:
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"query {f.__name__} is registered twice")
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"quire.plans.{m}")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    _load()
+    return _QUERIES["pages_to_books"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
