@@ -31,6 +31,7 @@ from .graph import components
 from .hashing import U, group_starts, inside, join, mix, pack, unpack, windows, word_hashes, words_of
 
 GROUPS, CELL, LEAF = 32, 256, 16
+MARKS = 1 << 24  # bits of the bitmap of documents in cells
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,12 +225,21 @@ def links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
 
 
 def join_cell(table: pa.Table, percent: int) -> pa.Table:
-    cid = table.column("cid").to_numpy()
-    sets = [np.frombuffer(s, U) for s in table.column("shingles").to_pylist()]
+    cid, first = np.unique(table.column("cid").to_numpy(), return_index=True)  # rows alike in doc_id and text come more than once
+    sets = [np.frombuffer(s, U) for s in table.column("shingles").take(pa.array(first)).to_pylist()]
     pairs = np.array(list(links(sets, percent)), dtype=np.int64).reshape(-1, 2)
     return pa.table({"a": cid[pairs[:, 0]], "b": cid[pairs[:, 1]]})
 
 
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap of MARKS bits (2 MB) of keys, made of 64-bit words in Spark."""
+    at = F.col("key").bitwiseAND(F.lit(MARKS - 1))
+    words = keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(key & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(MARKS >> 6, np.int64)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    return out
+
+
 def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """One row for each row of docs: doc_id, key (hash of doc_id and text), cid (its number), n_shingles, component_id
     (least doc_id reachable), root (equal in a component)."""
@@ -250,14 +260,19 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     parts_of = members.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     wanted = members.join(parts_of, "cell").join(sets.select("rep", "key"), "rep")
 
+    marks = bitmap_of(wanted.select("key"))
+    sent = spark.sparkContext.broadcast(marks)
+
     def hashed(chunk: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.asarray(chunk.column(2), dtype=np.int64) & (MARKS - 1)
+        chunk = chunk.filter(pa.array((sent.value[at >> 6].view(U) >> (at & 63).astype(U)) & U(1) > 0))
         row, key = shingles(chunk.column(1), words)
         cut = np.searchsorted(row, np.arange(chunk.num_rows + 1))
         blobs = [key[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([*(chunk.column(i) for i in (2, 3, 4)), pa.array(blobs, pa.binary())], ["cid", "cell", "parts", "shingles"])
+        return pa.RecordBatch.from_arrays([chunk.column(2), pa.array(blobs, pa.binary())], ["key", "shingles"])
 
-    texts = rows.join(wanted, "key").dropDuplicates(["rep"]).select("doc_id", "text", "rep", "cell", "parts")
-    points = texts.mapInArrow(lambda batches: common.chunk_rows(batches, hashed), "cid bigint, cell bigint, parts int, shingles binary")
+    # Only sets of documents in cells move (and a few that the bitmap takes for such); texts stay where they are.
+    points = rows.mapInArrow(lambda batches: common.chunk_rows(batches, hashed), "key bigint, shingles binary").join(wanted.withColumnRenamed("rep", "cid"), "key")
     part = F.pmod(F.xxhash64("cid"), "parts").cast("int")
     # Part p of a cell meets every other part: cells (i, j) with i < j, or the only (0, 0).
     met = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
