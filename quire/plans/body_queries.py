@@ -1 +1,162 @@
-"""To come."""
+"""Body extraction, noise and duplicates."""
+
+from pyspark.sql import functions as F
+
+from quire.functions import urls
+from quire.functions.text import chapter_raw_text, strip_tags
+from quire.operators import body as ops
+from quire.operators import books, nodes
+from quire.operators.quality import AMBIENT, STRONG, has_any, has_populated_body, is_garbled
+from quire.operators.toc import next_data
+
+from .page_queries import ANY, BODY_OK, GARBLED, assigned, classified
+from .registry import query
+from .text_queries import HEAD, d_tags, d_ws
+from .views import CHAPTERS, HTML, chapters, html_pages, table, with_views
+
+
+def d_drop(x: str) -> str:
+    for tag in ("subtxt", "script", "style", "nav"):
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b.*?</{tag}>', '', 'g')"
+    return x
+
+
+def d_paragraphs(x: str) -> str:
+    return rf"list_filter(list_transform(regexp_split_to_array({d_drop(x)}, '(?i)</?p\b[^>]*>')[2:], lambda t: {d_tags('t')}), lambda t: t <> '')"
+
+
+def d_reason(t: str, heading: str) -> str:
+    chrome = " OR ".join(f"contains(lower({t}), '{s}')" for s in ops.NOISE)
+    label = "^" + HEAD.replace(r"(?i)\b", "(?i)")
+    return rf"""CASE WHEN {t} = '' THEN 'empty' WHEN lower({t}) = trim(lower({heading})) THEN 'heading' WHEN regexp_matches({t}, '{label}') THEN 'chapter label' WHEN regexp_matches({t}, '{ops.CREDIT}') THEN 'credit'
+WHEN regexp_matches({t}, '^[^\p{{L}}\p{{N}}]+$') THEN 'no letters' WHEN length({t}) < 4 THEN 'very short' WHEN length({t}) < 12 AND NOT regexp_matches({t}, '^["'']') THEN 'short' WHEN {chrome} THEN 'chrome' END"""
+
+
+PARA = "para AS (SELECT novel_slug, idx, doc_id, rep, title, raw_heading, generate_subscripts(paragraphs, 1) - 1 AS pos, unnest(paragraphs) AS text FROM chapters_v)"
+JUNKY = "(" + " OR ".join(f"contains(lower(text), '{s}')" for s in ops.JUNK) + ")"
+REASON = d_reason(d_ws("text"), "raw_heading")
+ARTICLE = r"regexp_extract(coalesce(html, ''), '<(?:article|main)\b[^>]*>([\s\S]*?)</(?:article|main)>', 1)"
+EXTRACTED = rf"""ex0 AS (SELECT page_id, url, html, coalesce(nullif({d_tags("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")}, ''), {d_tags("regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)")}) AS title, {d_paragraphs(ARTICLE)} AS a, {d_paragraphs("html")} AS w FROM pages_v),
+ex1 AS (SELECT *, list_filter(CASE WHEN len(a) > 0 THEN a ELSE w END, lambda t: ({d_reason('t', 'title')}) IS NULL) AS kept FROM ex0),
+extracted AS (SELECT page_id, url, title, list_filter(kept, lambda t, i: i = 1 OR t <> kept[i-1]) AS paragraphs FROM ex1)"""
+PAGES = "pages_v AS (SELECT page_id, url, html FROM pages)"
+HTML_PAGES = "pages_v AS (SELECT page_id, url, html FROM html_v)"
+
+
+@query(with_views(HTML) + f"SELECT page_id, {d_drop('html')} AS html FROM html_v")
+def drop_embedded_markers(spark, sf_dir):
+    return html_pages(spark, sf_dir).select("page_id", ops.drop_markers(F.col("html")).alias("html"))
+
+
+@query(f"SELECT page_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS text FROM (SELECT page_id, {d_paragraphs(ARTICLE)} AS p FROM pages)")
+def paragraph_explode(spark, sf_dir):
+    article = F.regexp_extract("html", r"<(?:article|main)\b[^>]*>([\s\S]*?)</(?:article|main)>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(ops.paragraphs(article)).alias("pos", "text"))
+
+
+@query()
+def best_container(spark, sf_dir):
+    tree = nodes.nodes(html_pages(spark, sf_dir).select("page_id", ops.drop_markers(F.col("html")).alias("html")))
+    return ops.best_container(ops.container_paragraphs(tree, ops.chosen(tree, ops.CONTAINERS)))
+
+
+@query()
+def whole_page_fallback(spark, sf_dir):
+    p = html_pages(spark, sf_dir).select("page_id", ops.drop_markers(F.col("html")).alias("html"))
+    tree = nodes.nodes(p)
+    won = ops.best_container(ops.container_paragraphs(tree, ops.chosen(tree, ops.CONTAINERS)))
+    rest = p.join(won, "page_id", "left_anti")
+    return rest.select("page_id", F.posexplode(ops.paragraphs(F.col("html"))).alias("pos", "text"))
+
+
+@query(with_views(CHAPTERS, PARA) + f"SELECT novel_slug, idx, doc_id, rep, pos, {REASON} AS reason FROM para")
+def noise_paragraph_filter(spark, sf_dir):
+    p = ops.each_paragraph(chapters(spark, sf_dir), "raw_heading")
+    return p.select("novel_slug", "idx", "doc_id", "rep", "pos", ops.noise_reason(F.col("text"), F.col("raw_heading")).alias("reason"))
+
+
+@query(with_views(CHAPTERS, PARA) + f"SELECT novel_slug, idx, doc_id, rep, pos, text FROM para WHERE {JUNKY}")
+def junk_keyword_filter(spark, sf_dir):
+    return ops.each_paragraph(chapters(spark, sf_dir)).filter(ops.is_junk(F.col("text")))
+
+
+@query(with_views(CHAPTERS, PARA, f"r AS (SELECT novel_slug, {REASON} AS reason FROM para)") + "SELECT novel_slug, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY CUBE (novel_slug, reason)")
+def noise_rule_report(spark, sf_dir):
+    p = ops.each_paragraph(chapters(spark, sf_dir), "raw_heading").withColumn("reason", ops.noise_reason(F.col("text"), F.col("raw_heading")))
+    return p.filter("reason is not null").cube("novel_slug", "reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, list_filter(a, lambda x, i: i = 1 OR x <> a[i-1]) AS paragraphs FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)")
+def consecutive_paragraph_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("a"))
+    return d.select("doc_id", ops.without_repeats(F.col("a")).alias("paragraphs"))
+
+
+@query(with_views(CHAPTERS) + "SELECT novel_slug, idx, doc_id, rep FROM chapters_v WINDOW w AS (PARTITION BY novel_slug ORDER BY idx, doc_id, rep) QUALIFY lag(paragraphs) OVER w IS NULL OR lag(paragraphs) OVER w <> paragraphs")
+def consecutive_chapter_dedup(spark, sf_dir):
+    return ops.distinct_chapters(chapters(spark, sf_dir)).select("novel_slug", "idx", "doc_id", "rep")
+
+
+CONTENTS = r"""cn AS (SELECT page_id, generate_subscripts(c, 1) AS i, json_extract_string(unnest(c), '$.content') AS raw FROM (SELECT page_id, CAST(json_extract(TRY_CAST(nullif(regexp_extract(html, '<script id="__NEXT_DATA__"[^>]*>([\s\S]*?)</script>', 1), '') AS JSON), '$.props.pageProps.data.chapterInfo.contents') AS JSON[]) AS c FROM html_v) WHERE c IS NOT NULL),
+ct AS (SELECT page_id, i, {0} AS text FROM cn WHERE raw IS NOT NULL)""".replace("{0}", f"CASE WHEN contains(raw, '<') AND contains(raw, '>') THEN {d_tags('raw')} ELSE {d_ws('raw')} END")
+
+
+@query(with_views(HTML, CONTENTS) + f"SELECT page_id, list(text ORDER BY i) AS paragraphs FROM ct WHERE text <> '' AND NOT {JUNKY} GROUP BY 1")
+def json_contents_paragraphs(spark, sf_dir):
+    p = html_pages(spark, sf_dir).withColumn("info", next_data(F.col("html"))["props"]["pageProps"]["data"]["chapterInfo"])
+    return p.select("page_id", ops.json_paragraphs(F.col("info")).alias("paragraphs")).filter(F.size("paragraphs") > 0)
+
+
+@query()
+def assignment_contents_paragraphs(spark, sf_dir):
+    return assigned(spark, sf_dir).select("page_id", ops.json_paragraphs(F.col("info")).alias("paragraphs"))
+
+
+@query(with_views(HTML, f"""d AS (SELECT page_id, generate_subscripts(p, 1) AS i, unnest(p) AS text FROM (SELECT page_id, {d_paragraphs("regexp_extract(html, '<div[^>]*class=" + '"cha-words"' + "[^>]*>([\\s\\S]*?)</div>', 1)")} AS p FROM html_v))""") + f"SELECT page_id, list(text ORDER BY i) AS paragraphs FROM d WHERE NOT {JUNKY} GROUP BY 1")
+def dom_fallback_paragraphs(spark, sf_dir):
+    tree = nodes.nodes(html_pages(spark, sf_dir).filter(F.contains("html", F.lit("cha-words"))))
+    rows = ops.container_paragraphs(tree, ops.chosen(tree, ops.FALLBACK))
+    # The first selector that matches, with what it holds.
+    matched = ops.chosen(tree, ops.FALLBACK).groupBy("page_id").agg(F.min(F.struct("rank", F.col("node_id").alias("root_id"))).alias("f"))
+    own = rows.join(matched, "page_id").filter("rank = f.rank and root_id = f.root_id").filter(~ops.is_junk(F.col("text")))
+    return own.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]).alias("paragraphs"))
+
+
+@query(with_views(HTML) + "SELECT page_id, CASE page_id % 8 WHEN 2 THEN 'next_data' WHEN 3 THEN 'assignment' WHEN 4 THEN 'dom' ELSE 'none' END AS source FROM html_v")
+def extraction_source_precedence(spark, sf_dir):
+    return ops.by_precedence(html_pages(spark, sf_dir), assigned(spark, sf_dir)).select("page_id", "source")
+
+
+@query(with_views(HTML, HTML_PAGES, EXTRACTED) + f"SELECT e.page_id FROM extracted e JOIN html_v h USING (page_id) WHERE len(paragraphs) = 0 AND NOT (NOT {BODY_OK} AND ({ANY(STRONG)} OR {ANY(AMBIENT)})) AND e.page_id % 8 NOT IN (2, 3)")
+def empty_extraction_report(spark, sf_dir):
+    p = classified(spark, sf_dir).filter("not blocked and not has_json and not has_assignment").select("page_id", "url", "html")
+    return ops.extract(p).filter("failed").select("page_id")
+
+
+@query(with_views(CHAPTERS) + "SELECT novel_slug, idx, 'chapter ' || idx || ' has no title' AS warning FROM chapters_v WHERE trim(title) = ''")
+def degraded_chapter_report(spark, sf_dir):
+    from quire.functions.text import is_degraded
+
+    return chapters(spark, sf_dir).filter(is_degraded(F.col("title"))).select("novel_slug", "idx", F.concat(F.lit("chapter "), "idx", F.lit(" has no title")).alias("warning"))
+
+
+@query(with_views(PAGES, EXTRACTED) + "SELECT page_id, title, paragraphs FROM extracted")
+def site_profile_extraction(spark, sf_dir):
+    return ops.extract(table(spark, sf_dir, "pages")).select("page_id", "title", "paragraphs")
+
+
+BOOKS = r"""pb0 AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]+)', 1)) AS work FROM extracted WHERE len(paragraphs) > 0),
+pb1 AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY page_id) AS idx FROM pb0),
+pb2 AS (SELECT work, (idx-1)//10 AS part, idx, array_to_string(list_prepend(CASE WHEN trim(title) = '' THEN 'Chapter ' || idx || '.' ELSE 'Chapter ' || idx || ': ' || rtrim(trim(title), '.') || '.' END, paragraphs), chr(10) || chr(10)) AS raw FROM pb1)"""
+
+
+@query(
+    with_views(f"pages_v AS (SELECT page_id, url, html FROM pages WHERE NOT {GARBLED} AND NOT (NOT {BODY_OK} AND ({ANY(STRONG)} OR {ANY(AMBIENT)})))", EXTRACTED, BOOKS)
+    + "SELECT work, work || '_Chapters_' || min(idx) || '-' || max(idx) || '.txt' AS book_file, count(*) AS n_chapters, sum(length(raw)) AS n_chars, string_agg(raw, chr(12) || chr(10) || chr(10) ORDER BY idx) AS text FROM pb2 GROUP BY work, part"
+)
+def pages_to_books(spark, sf_dir):
+    """The flagship: stored pages to assembled books of ten chapters a host."""
+    h = F.col("html")
+    p = table(spark, sf_dir, "pages").filter(~is_garbled(h) & (has_populated_body(h) | ~(has_any(h, STRONG) | has_any(h, AMBIENT))))
+    c = ops.extract(p).filter("not failed").withColumn("novel_slug", urls.host_key(F.col("url")))
+    return books.assemble(books.numbered(c, "page_id"), size=10).select(F.col("novel_slug").alias("work"), "book_file", "n_chapters", "n_chars", "text")

@@ -1 +1,144 @@
-"""To come."""
+"""Title and string functions."""
+
+from pyspark.sql import functions as F
+
+from quire.functions import text as fn
+from quire.operators import titles
+from quire.operators.toc import next_data
+
+from .registry import query
+from .views import CHAPTERS, HTML, chapters, html_pages, table, with_views
+
+WS = fn.WS
+
+
+def d_ws(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{WS}+', ' ', 'g'))"
+
+
+def d_decode(x: str) -> str:
+    for name, char in fn.ENTITIES:
+        quoted = char.replace("'", "''")
+        x = f"replace({x}, '{name}', '{quoted}')"
+    return x
+
+
+def d_tags(x: str) -> str:
+    return d_ws(d_decode(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"))
+
+
+def d_trim_suffix(x: str) -> str:
+    for p in fn.TITLE_SUFFIXES:
+        x = f"regexp_replace({x}, '{p}', '')"
+    return f"trim({x}, ' -|:;.')"
+
+
+HEAD = rf"(?i)\bChapter{WS}+([0-9]+)(?:{WS}*[:\-]{WS}*|{WS}+)?(.*)$"
+NUMBER = lambda x: f"TRY_CAST(nullif(regexp_extract({x}, '{HEAD}', 1), '') AS BIGINT)"
+REST = lambda x: d_ws(f"regexp_extract({x}, '{HEAD}', 2)")
+HEADING_OF = "CASE WHEN trim(title) = '' THEN 'Chapter ' || idx || '.' ELSE 'Chapter ' || idx || ': ' || rtrim(trim(title), '.') || '.' END"
+SAFE = lambda x: f"coalesce(nullif(trim(substr({d_ws(f'''regexp_replace({x}, '[:*?\"<>|/\\\\]+', '_', 'g')''')}, 1, 120)), ''), 'untitled')"
+DIRTY = "substr(text, 1, 60) || chr(8204) || chr(160) || substr(text, 61, 60) || chr(173) || '  ' || chr(65279)"
+
+
+def dirty():
+    return F.concat(F.substring("text", 1, 60), F.lit("‌ "), F.substring("text", 61, 60), F.lit("­  ﻿"))
+
+
+@query(f"SELECT doc_id, {d_ws('text')} AS text FROM documents")
+def ws_collapse(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.ws_collapse(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {d_ws(f'''regexp_replace({DIRTY}, '{fn.INVISIBLE}+', ' ', 'g')''')} AS text FROM documents")
+def strip_invisible(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.strip_invisible(dirty()).alias("text"))
+
+
+@query(f"SELECT page_id, {d_tags('html')} AS text, {d_ws('url')} AS plain FROM pages")
+def markup_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fn.markup_to_text(F.col("html")).alias("text"), fn.markup_to_text(F.col("url")).alias("plain"))
+
+
+SQL_SOURCES = " UNION ALL ".join(
+    f"SELECT page_id, {rank} AS rank, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS raw FROM (SELECT page_id, regexp_extract_all(html, '{pattern}', 1)[1:30] AS m FROM html_v)" for rank, (_, pattern) in enumerate(titles.SOURCES)
+)
+CANDIDATES = f"tc0 AS ({SQL_SOURCES}), tc1 AS (SELECT page_id, rank, pos, {d_tags('raw')} AS text FROM tc0), tc AS (SELECT * FROM tc1 WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY page_id, text ORDER BY rank, pos) = 1)"
+
+
+@query(with_views(HTML, CANDIDATES) + "SELECT page_id, rank, pos, text FROM tc")
+def title_candidates(spark, sf_dir):
+    return titles.candidates(html_pages(spark, sf_dir))
+
+
+@query(with_views(HTML, CANDIDATES, f"tb AS (SELECT page_id, rank, pos, {NUMBER('text')} AS number, {d_trim_suffix(REST('text'))} AS title FROM tc)") + "SELECT page_id, number, title FROM tb WHERE number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY title = '', rank, pos) = 1")
+def best_title_pick(spark, sf_dir):
+    return titles.best(titles.candidates(html_pages(spark, sf_dir)))
+
+
+@query()
+def split_heading_merge(spark, sf_dir):
+    from quire.operators.nodes import nodes
+
+    # Stored pages with their heading split: a bare label, and the title in the element after it.
+    p = table(spark, sf_dir, "pages")
+    split = F.regexp_replace("html", r"<h1>([^<]*)</h1>", F.lit("<div><strong>Chapter 7</strong><em>$1</em></div>"))
+    return titles.split_headings(nodes(p.select("page_id", split.alias("html"))))
+
+
+@query(with_views(CHAPTERS) + f"SELECT novel_slug, idx, doc_id, rep, {NUMBER(d_ws('raw_heading'))} AS number, {REST(d_ws('raw_heading'))} AS rest FROM chapters_v")
+def heading_parse(spark, sf_dir):
+    h = F.col("raw_heading")
+    return chapters(spark, sf_dir).select("novel_slug", "idx", "doc_id", "rep", fn.heading_number(h).alias("number"), fn.heading_rest(h).alias("rest"))
+
+
+@query(with_views(CHAPTERS) + f"SELECT novel_slug, idx, {d_trim_suffix(REST(d_ws('raw_heading')))} AS title FROM chapters_v")
+def title_suffix_trim(spark, sf_dir):
+    return chapters(spark, sf_dir).select("novel_slug", "idx", fn.title_suffix_trim(fn.heading_rest(F.col("raw_heading"))).alias("title"))
+
+
+@query(with_views(CHAPTERS) + rf"SELECT novel_slug, idx, trim(rtrim(trim(regexp_replace(regexp_replace(regexp_replace({d_ws('raw_heading')}, '(?i)^Chapter +[0-9]+ *[-–—:] *', ''), '(?i)^Chapter +[0-9]+ *$', ''), '(?i)^Chapter +[0-9]+ +', '')), '.')) AS title FROM chapters_v")
+def title_only(spark, sf_dir):
+    return chapters(spark, sf_dir).select("novel_slug", "idx", fn.title_only(F.col("raw_heading")).alias("title"))
+
+
+@query(with_views(HTML) + r"""SELECT page_id, coalesce(nullif(CASE WHEN page_id % 16 = 2 THEN 'Index title ' || page_id END, ''), nullif(trim(json_extract_string(TRY_CAST(nullif(regexp_extract(html, '<script id="__NEXT_DATA__"[^>]*>([\s\S]*?)</script>', 1), '') AS JSON), '$.props.pageProps.data.chapterInfo.chapterName')), ''), '') AS title FROM html_v""")
+def canonical_title(spark, sf_dir):
+    p = html_pages(spark, sf_dir).withColumn("own", next_data(F.col("html"))["props"]["pageProps"]["data"]["chapterInfo"]["chapterName"])
+    index = F.when(F.col("page_id") % 16 == 2, F.concat(F.lit("Index title "), "page_id"))
+    return p.select("page_id", F.coalesce(F.nullif(index, F.lit("")), F.nullif(F.trim("own"), F.lit("")), F.lit("")).alias("title"))
+
+
+@query(f"SELECT page_id, {d_decode('html')} AS text FROM pages")
+def entity_decode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fn.entity_decode(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text FROM pages")
+def entity_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fn.entity_escape(F.col("html")).alias("text"))
+
+
+@query(with_views(CHAPTERS) + "SELECT novel_slug, idx, trim(title) = '' AS degraded FROM chapters_v")
+def degraded_flag(spark, sf_dir):
+    return chapters(spark, sf_dir).select("novel_slug", "idx", fn.is_degraded(F.col("title")).alias("degraded"))
+
+
+@query(with_views(CHAPTERS) + f"SELECT novel_slug, idx, {HEADING_OF} AS heading FROM chapters_v")
+def chapter_heading(spark, sf_dir):
+    return chapters(spark, sf_dir).select("novel_slug", "idx", fn.chapter_heading(F.col("idx"), F.col("title")).alias("heading"))
+
+
+@query(with_views(CHAPTERS) + f"SELECT novel_slug, idx, array_to_string(list_prepend({HEADING_OF}, paragraphs), chr(10) || chr(10)) AS raw_text FROM chapters_v")
+def chapter_raw_text(spark, sf_dir):
+    return chapters(spark, sf_dir).select("novel_slug", "idx", fn.chapter_raw_text(F.col("idx"), F.col("title"), F.col("paragraphs")).alias("raw_text"))
+
+
+@query(with_views(CHAPTERS) + f"SELECT novel_slug, idx, {SAFE('raw_heading')} AS name FROM chapters_v")
+def safe_filename(spark, sf_dir):
+    return chapters(spark, sf_dir).select("novel_slug", "idx", fn.safe_filename(F.col("raw_heading")).alias("name"))
+
+
+@query(with_views(CHAPTERS) + f"SELECT novel_slug, idx, coalesce(nullif(trim(replace(CASE WHEN title = '' THEN '' ELSE {SAFE('title')} END, ' ', '_'), '_'), ''), novel_slug) AS stem FROM chapters_v")
+def file_stem(spark, sf_dir):
+    return chapters(spark, sf_dir).select("novel_slug", "idx", fn.file_stem(F.col("title"), F.col("novel_slug")).alias("stem"))
