@@ -84,7 +84,7 @@ def split_merged(text: Column) -> Column:
 
 
 def is_heading_only(page: Column) -> Column:
-    lines = F.filter(F.transform(F.split(page, "\n", -1), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(page, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     return (F.size(lines) == 1) & F.coalesce(F.get(lines, F.lit(0)).rlike(HEADING_ONLY), F.lit(False))
 
 

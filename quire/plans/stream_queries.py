@@ -1 +1,30 @@
-"""To come."""
+"""Streaming forms; their results equal those of the batch forms."""
+
+from pyspark.sql import functions as F
+
+from quire.streaming import streams
+
+from .body_queries import EXTRACTED, PAGES
+from .fetch_queries import LOG
+from .registry import query
+from .views import FETCH_LOG, fetch_log_of, with_views
+
+
+@query(with_views(PAGES, EXTRACTED) + "SELECT page_id, title, paragraphs FROM extracted")
+def stream_page_ingest(spark, sf_dir):
+    return streams.ingest_pages(streams.source(spark, sf_dir, "pages"), streams.folder(spark)).select("page_id", "title", "paragraphs")
+
+
+@query(with_views(FETCH_LOG) + "SELECT DISTINCT work, idx FROM fetch_log_v")
+def stream_submission_dedup(spark, sf_dir):
+    return streams.submissions(fetch_log_of(streams.source(spark, sf_dir, "events")), streams.folder(spark)).select("work", "idx")
+
+
+@query(with_views(FETCH_LOG) + "SELECT run_id, work, idx, arg_min(event_id, struct_pack(b := classification NOT IN ('success','cache'), e := event_id)) AS event_id FROM fetch_log_v GROUP BY 1, 2, 3")
+def stream_result_fold(spark, sf_dir):
+    return streams.fold_results(fetch_log_of(streams.source(spark, sf_dir, "events")), streams.folder(spark)).select("run_id", "work", "idx", "event_id")
+
+
+@query(LOG + "SELECT run_id, event_id, streak, rolling FROM streaks WHERE armed AND (streak >= 5 OR rolling >= 9) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) = 1")
+def stream_breaker(spark, sf_dir):
+    return streams.breaker(fetch_log_of(streams.source(spark, sf_dir, "events")), streams.folder(spark)).select("run_id", "event_id", F.col("streak").cast("long").alias("streak"), F.col("rolling").cast("long").alias("rolling"))
