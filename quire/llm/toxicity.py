@@ -263,10 +263,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int, chars: int) ->
     """text, toxic: the labelled documents of lowest hash, `rows` toxic and twice as many clean ones, outside the held-out fold. Whole texts only, of
     at most `chars` characters."""
     marks = labels.select("doc_id", F.col("toxic").alias("_t")).filter("_t is not null").groupBy("doc_id").agg(F.max("_t").alias("_t"))
-    fold = docs.select("doc_id", "text").filter(~held_out()).filter(F.length("text").between(1, chars))
-    joined = fold.join(marks, "doc_id").select("text", "_t", F.xxhash64("text").alias("_h"))
-    first = lambda t, n: joined.filter(F.col("_t") == t).dropDuplicates(["text"]).orderBy("_h", "text").limit(n)
-    return first(1, rows).unionByName(first(0, 2 * rows)).select("text", (F.col("_t") == 1).alias("toxic"))
+    fold = docs.select("doc_id", "text").filter(~held_out()).filter(F.length("text").between(1, chars)).withColumn("_h", F.xxhash64("text"))
+    # The rows are chosen by id and hash alone; only the chosen ones' texts are then fetched.
+    light = fold.select("doc_id", "_h").join(marks, "doc_id").groupBy("_h").agg(F.min("doc_id").alias("doc_id"), F.max("_t").alias("_t"))
+    first = lambda t, n: light.filter(F.col("_t") == t).orderBy("_h").limit(n)
+    wanted = first(1, rows).unionByName(first(0, 2 * rows))
+    return fold.join(F.broadcast(wanted), ["doc_id", "_h"]).dropDuplicates(["_h"]).select("text", (F.col("_t") == 1).alias("toxic"))
 
 
 def held_out():
