@@ -76,7 +76,7 @@ def is_degraded(title: Column) -> Column:
 
 def chapter_heading(idx: Column, title: Column) -> Column:
     label = F.concat(F.lit("Chapter "), idx.cast("string"))
-    return F.when(is_degraded(title), F.concat(label, F.lit("."))).otherwise(F.concat(label, F.lit(": "), F.rtrim(F.trim(title), F.lit(".")), F.lit(".")))
+    return F.when(is_degraded(title), F.concat(label, F.lit("."))).otherwise(F.concat(label, F.lit(": "), F.trim(title), F.lit(".")))
 
 
 def chapter_raw_text(idx: Column, title: Column, paragraphs: Column) -> Column:

@@ -76,7 +76,7 @@ def is_heading(text: Column) -> Column:
 def split_merged(text: Column) -> Column:
     """(kind, text) parts of a paragraph: a heading with its final dot and the body merged into it, or the text as it is."""
     pair = lambda p: F.array(
-        F.struct(F.lit("heading").alias("kind"), F.concat(F.rtrim(F.trim(F.regexp_extract(text, p, 1)), F.lit(".")), F.lit(".")).alias("text")), F.struct(F.lit("body").alias("kind"), F.regexp_extract(text, p, 2).alias("text"))
+        F.struct(F.lit("heading").alias("kind"), F.regexp_replace(F.rtrim(F.regexp_extract(text, p, 1)), r"([^.])$", "$1.").alias("text")), F.struct(F.lit("body").alias("kind"), F.regexp_extract(text, p, 2).alias("text"))
     )
     whole = F.array(F.struct(F.when(is_heading(text), "heading").otherwise("body").alias("kind"), text.alias("text")))
     short = lambda p: F.length(F.regexp_extract(text, p, 1)).between(1, MOST_HEADING)

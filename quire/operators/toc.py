@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.functions.text import strip_tags
 from quire.functions.urls import path_of
 
 ANCHOR = r'<a\b[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>'
 MIN_CHAPTERS = 10
-NEXT_DATA = T.StructType.fromDDL(
+#: Schemas of payloads, as DDL.
+CHAPTER_INFO = "chapterId string, chapterIndex bigint, chapterName string, contents array<struct<content:string>>"
+NEXT_DATA = (
     "props struct<pageProps:struct<data:struct<bookInfo:struct<bookId:string,bookName:string,chapterCnt:bigint,chapterNum:bigint>,volumeItems:array<struct<volumeName:string,chapterItems:array<struct<chapterIndex:string,chapterId:string,chapterName:string>>>>,"
     "chapterInfo:struct<chapterId:string,chapterIndex:bigint,chapterName:string,contents:array<struct<content:string>>>>>>"
 )

@@ -147,7 +147,7 @@ def site_profile_extraction(spark, sf_dir):
 
 BOOKS = r"""pb0 AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]+)', 1)) AS work FROM extracted WHERE len(paragraphs) > 0),
 pb1 AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY page_id) AS idx FROM pb0),
-pb2 AS (SELECT work, (idx-1)//10 AS part, idx, array_to_string(list_prepend(CASE WHEN trim(title) = '' THEN 'Chapter ' || idx || '.' ELSE 'Chapter ' || idx || ': ' || rtrim(trim(title), '.') || '.' END, paragraphs), chr(10) || chr(10)) AS raw FROM pb1)"""
+pb2 AS (SELECT work, (idx-1)//10 AS part, idx, array_to_string(list_prepend(CASE WHEN trim(title) = '' THEN 'Chapter ' || idx || '.' ELSE 'Chapter ' || idx || ': ' || trim(title) || '.' END, paragraphs), chr(10) || chr(10)) AS raw FROM pb1)"""
 
 
 @query(

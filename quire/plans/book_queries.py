@@ -116,7 +116,7 @@ SPLIT = rf"""split AS (SELECT doc_id, rep, text, length(text) <= 500 AND regexp_
 
 @query(
     with_views(CHAPTERS, MERGED, SPLIT)
-    + r"""SELECT doc_id, rep, unnest(CASE WHEN whole THEN ['heading'] WHEN q1 <> '' OR s1 <> '' THEN ['heading', 'body'] ELSE ['body'] END) AS kind, unnest(CASE WHEN whole THEN [text] WHEN q1 <> '' THEN [rtrim(trim(q1), '.') || '.', q2] WHEN s1 <> '' THEN [rtrim(trim(s1), '.') || '.', s2] ELSE [text] END) AS text FROM split"""
+    + r"""SELECT doc_id, rep, unnest(CASE WHEN whole THEN ['heading'] WHEN q1 <> '' OR s1 <> '' THEN ['heading', 'body'] ELSE ['body'] END) AS kind, unnest(CASE WHEN whole THEN [text] WHEN q1 <> '' THEN [regexp_replace(rtrim(q1), '([^.])$', '\1.'), q2] WHEN s1 <> '' THEN [regexp_replace(rtrim(s1), '([^.])$', '\1.'), s2] ELSE [text] END) AS text FROM split"""
 )
 def merged_heading_split(spark, sf_dir):
     return merged(spark, sf_dir).select("doc_id", "rep", F.explode(ops.split_merged(F.col("text"))).alias("p")).select("doc_id", "rep", "p.kind", "p.text")

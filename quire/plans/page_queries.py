@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quire.functions.scripts import repair_escapes
 from quire.operators import nodes as trees
 from quire.operators import quality as ops
-from quire.operators.toc import NEXT_DATA
+from quire.operators.toc import CHAPTER_INFO
 
 from .registry import query
 from .views import FETCH_LOG, HTML, fetch_log, html_pages, table, with_views
@@ -22,8 +22,7 @@ GARBLED = "(length(html) >= 200 AND length(html) - length(replace(html, chr(6553
 def assigned(spark, sf_dir):
     """page_id, contents of the assigned chapter payload."""
     p = trees.assignment(html_pages(spark, sf_dir).filter(F.contains("html", F.lit("g_data.chapInfo"))), "g_data.chapInfo")
-    info = NEXT_DATA["props"].dataType["pageProps"].dataType["data"].dataType["chapterInfo"].dataType
-    return p.select("page_id", "payload", F.from_json(repair_escapes(F.col("payload")), info).alias("info"))
+    return p.select("page_id", "payload", F.from_json(repair_escapes(F.col("payload")), CHAPTER_INFO).alias("info"))
 
 
 def classified(spark, sf_dir):

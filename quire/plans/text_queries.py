@@ -36,7 +36,7 @@ def d_trim_suffix(x: str) -> str:
 HEAD = rf"(?i)\bChapter{WS}+([0-9]+)(?:{WS}*[:\-]{WS}*|{WS}+)?(.*)$"
 NUMBER = lambda x: f"TRY_CAST(nullif(regexp_extract({x}, '{HEAD}', 1), '') AS BIGINT)"
 REST = lambda x: d_ws(f"regexp_extract({x}, '{HEAD}', 2)")
-HEADING_OF = "CASE WHEN trim(title) = '' THEN 'Chapter ' || idx || '.' ELSE 'Chapter ' || idx || ': ' || rtrim(trim(title), '.') || '.' END"
+HEADING_OF = "CASE WHEN trim(title) = '' THEN 'Chapter ' || idx || '.' ELSE 'Chapter ' || idx || ': ' || trim(title) || '.' END"
 SAFE = lambda x: f"coalesce(nullif(trim(substr({d_ws(f'''regexp_replace({x}, '[:*?\"<>|/\\\\]+', '_', 'g')''')}, 1, 120)), ''), 'untitled')"
 DIRTY = "substr(text, 1, 60) || chr(8204) || chr(160) || substr(text, 61, 60) || chr(173) || '  ' || chr(65279)"
 
