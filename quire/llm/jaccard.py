@@ -29,9 +29,13 @@ from pyspark.sql import functions as F
 from . import common
 from .graph import components
 from .hashing import U, group_starts, inside, join, mix, pack, unpack, windows, word_hashes, words_of
+from .substring import DEALT, count_bitmap, dealt, in_bitmap
 
 GROUPS, CELL, LEAF = 32, 256, 16
 MARKS = 1 << 24  # bits of the bitmap of documents in cells
+#: A shingle of more documents than this is left out of the first blocks; a bitmap of fixed size tells which. Any set of
+#: shingles could be left out without losing a link; it steers work only.
+COMMON = 8
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,46 +68,70 @@ def level_of(n: np.ndarray, percent: int) -> np.ndarray:
     return np.ceil(np.log2(1.3 * (differing(n, percent) + 1))).astype(np.int64)
 
 
-def signatures(row: np.ndarray, key: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and signature of the blocks. A pair takes the level of its smaller set, so a set has the level of each size that a
-    smaller linked one may have. Sets with too few filled blocks to be sure of a common one also give single shingles,
-    the least of their hashes, of which any two linked sets share one."""
-    out_row, out_sig = [], []
+def blocks(row: np.ndarray, key: np.ndarray, count: np.ndarray, percent: int, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and signature of the filled blocks of each set, and which sets have too few to be sure of a common one. A pair takes
+    the level of its smaller set, so a set has the level of each size that a smaller linked one may have. row and key may
+    lack shingles, as long as all sets lack the same ones; count has them all."""
+    out_row, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, U)]
     most = level_of(count, percent)
     least = level_of(-(-count * percent // 100), percent)
     bound = differing(count, percent)
     spread = mix(key)
     hard = np.zeros(len(count), bool)
-    top = int(most.max(initial=0))
-    for level in range(1, top + 1):
+    for level in range(1, int(most.max(initial=0)) + 1):
         has = (least <= level) & (level <= most) & (bound > 0)
         own = has[row]
-        if not own.any():
-            continue
         r, k, s = row[own], key[own], spread[own]
-        block = k >> U(64 - level)
-        at = group_starts(r, block)
-        out_row.append(r[at])
-        out_sig.append(mix(np.add.reduceat(s, at) + mix(block[at] + (U(level) << U(58)))))
-        filled = np.bincount(r[at], minlength=len(count))
+        filled = np.zeros(len(count), np.int64)
+        if len(r):
+            block = k >> U(64 - level)
+            at = group_starts(r, block)
+            out_row.append(r[at].astype(np.int64))
+            out_sig.append(mix(np.add.reduceat(s, at) + mix(block[at] + (U(level + 64 * tag) << U(54)))))
+            filled = np.bincount(r[at], minlength=len(count))
         hard |= has & (filled <= bound)
-    if hard.any():
-        first = np.searchsorted(row, np.arange(len(count)))
-        place = np.arange(len(row)) - first[row]
-        prefix = count - -(-count * percent // 100) + 1
-        own = hard[row] & (place < prefix[row])
-        out_row.append(row[own])
-        out_sig.append(join(key[own], np.full(own.sum(), 77, U)))
-    if not out_row:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    return np.concatenate(out_row).astype(np.int64), np.concatenate(out_sig)
+    return np.concatenate(out_row), np.concatenate(out_sig), hard
+
+
+def signatures(row: np.ndarray, key: np.ndarray, count: np.ndarray, percent: int, common_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and signature of what two linked sets are sure to share at least once. First the blocks without common shingles
+    (passages of many documents would chain them all); for sets that these leave too few blocks, also the blocks of whole
+    sets; and for those where these are too few, single shingles: the least of a set's hashes, of which any two
+    linked sets share one."""
+    rare = np.ones(len(key), bool) if common_ is None else ~common_
+    first = blocks(row[rare], key[rare], count, percent, 0)
+    own = first[2][row]
+    second = blocks(row[own], key[own], np.where(first[2], count, 0), percent, 1)
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(count)))[row]
+    prefix = count - -(-count * percent // 100) + 1
+    own = second[2][row] & (place < prefix[row])
+    third = row[own].astype(np.int64), join(key[own], np.full(own.sum(), 77, U))
+    return np.concatenate([first[0], second[0], third[0]]), np.concatenate([first[1], second[1], third[1]])
 
 
 INDEX = "cid bigint, doc_id {kind}, key bigint, n bigint, c1 bigint, c2 bigint, bucket int, size int, rows binary, sigs binary"
 _NAMES = ["cid", "doc_id", "key", "n", "c1", "c2", "bucket", "size", "rows", "sigs"]
 
 
-def index(batches: Iterator[pa.RecordBatch], words: int, percent: int, bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def counted(batches: Iterator[pa.RecordBatch], words: int, bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Map side of the document counts of shingles."""
+    held: list[np.ndarray] = []
+
+    def emit() -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        held.clear()
+        first = group_starts(keys)
+        return dealt(keys[first], np.diff(np.append(first, len(keys))).astype(np.int32), bits)
+
+    for chunk in common.chunks(batches):
+        held.append(shingles(chunk.column(1), words)[1])
+        if sum(map(len, held)) >= flush:
+            yield emit()
+    if sum(map(len, held)):
+        yield emit()
+
+
+def index(batches: Iterator[pa.RecordBatch], words: int, percent: int, bits: int, often: np.ndarray, map_bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """For each document its number, size and class (hash of the whole set); for each hash range the packed signatures of the
     task's documents, one for each class."""
     base = TaskContext.get().partitionId() << 33
@@ -144,7 +172,7 @@ def index(batches: Iterator[pa.RecordBatch], words: int, percent: int, bits: int
                 seen.add(c)
                 fresh[i] = True
         own = fresh[row]
-        r, sig = signatures(row[own], key[own], np.where(fresh, count, 0), percent)
+        r, sig = signatures(row[own], key[own], np.where(fresh, count, 0), percent, in_bitmap(often, key[own], map_bits))
         held.append((r + number, sig))
         number += rows
         if sum(len(r) for r, _ in held) >= flush:
@@ -240,7 +268,7 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+def classes(docs: DataFrame, words: int = 4, percent: int = 85, map_bits: int = 27) -> DataFrame:
     """One row for each row of docs: doc_id, key (hash of doc_id and text), cid (its number), n_shingles, component_id
     (least doc_id reachable), root (equal in a component)."""
     spark = docs.sparkSession
@@ -248,7 +276,9 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     parts = common.shuffle_partitions(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("key"))
-    found = common.stage(rows.mapInArrow(lambda batches: index(batches, words, percent, bits), INDEX.format(kind=kind)), "index")
+    counts = rows.mapInArrow(lambda batches: counted(batches, words, bits), DEALT)
+    often = spark.sparkContext.broadcast(count_bitmap(counts, bits, map_bits, COMMON, 1 << 62)[0])
+    found = common.stage(rows.mapInArrow(lambda batches: index(batches, words, percent, bits, often.value, map_bits), INDEX.format(kind=kind)), "index")
     one = found.filter(F.col("n").isNotNull()).select("cid", "doc_id", "key", "n", "c1", "c2")
     # Documents with equal sets are one class, which its first document stands for.
     sets = one.filter("n > 0").groupBy("c1", "c2").agg(F.min("cid").alias("rep"), F.min("doc_id").alias("least_id"), F.min_by("key", "cid").alias("key"))
@@ -281,8 +311,8 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
             lambda q: F.struct(F.least(q, F.col("part")).alias("i"), F.greatest(q, F.col("part")).alias("j")),
         )
     )
-    dealt = points.withColumn("part", part).withColumn("m", F.explode(met)).select("cell", "m.i", "m.j", "cid", "shingles")
-    true = dealt.groupBy("cell", "i", "j").applyInArrow(lambda t: join_cell(t, percent), "a bigint, b bigint")
+    placed = points.withColumn("part", part).withColumn("m", F.explode(met)).select("cell", "m.i", "m.j", "cid", "shingles")
+    true = placed.groupBy("cell", "i", "j").applyInArrow(lambda t: join_cell(t, percent), "a bigint, b bigint")
     roots = components(true)
     labelled = known.join(roots, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("root", "rep").alias("root"))
     least = labelled.select("cid", "root").join(one.select("cid", "doc_id"), "cid").groupBy("root").agg(F.min("doc_id").alias("component_id"))

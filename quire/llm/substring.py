@@ -109,18 +109,15 @@ def merged(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(time, first) if len(first) else time
 
 
-def repeated_anchors(rows: DataFrame, size: int, bits: int, map_bits: int, group_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bitmap (2**map_bits bits, the size limit of what reaches the driver) of the anchors that the corpus holds twice or more,
-    and the anchors with more than group_rows occurrences (fewer than words / group_rows)."""
-    spark = rows.sparkSession
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return once_or_more(batches, size, bits)
+def count_bitmap(dealt_rows: DataFrame, bits: int, map_bits: int, more_than: int, heavy_from: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap (2**map_bits bits, the size limit of what reaches the driver) of the keys counted more than `more_than` times, and
+    the keys counted more than heavy_from times (fewer than all occurrences / heavy_from)."""
+    spark = dealt_rows.sparkSession
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, time = merged(batches)
-        heavy = key[time > group_rows]
-        key = key[time > 1]
+        heavy = key[time > heavy_from]
+        key = key[time > more_than]
         part = key >> U(64 - bits)
         for i in np.unique(part):
             at = (key[part == i] >> U(64 - map_bits)) & U((1 << (map_bits - bits)) - 1)
@@ -130,7 +127,7 @@ def repeated_anchors(rows: DataFrame, size: int, bits: int, map_bits: int, group
             packed = pa.Codec("zstd").compress(pa.py_buffer(np.packbits(bitmap)), asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([packed], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["part", "bitmap", "heavy"])
 
-    parts = rows.mapInArrow(count, DEALT).repartition(common.shuffle_partitions(spark), "bucket").mapInArrow(reduce, "part int, bitmap binary, heavy binary")
+    parts = dealt_rows.repartition(common.shuffle_partitions(spark), "bucket").mapInArrow(reduce, "part int, bitmap binary, heavy binary")
     whole, heavy, step = np.zeros(1 << (map_bits - 3), np.uint8), [], 1 << (map_bits - bits - 3)
     for r in parts.toLocalIterator():
         whole[r.part * step : (r.part + 1) * step] = np.frombuffer(pa.Codec("zstd").decompress(bytes(r.bitmap), decompressed_size=step, asbytes=True), np.uint8)
@@ -138,6 +135,11 @@ def repeated_anchors(rows: DataFrame, size: int, bits: int, map_bits: int, group
     return whole, np.sort(np.concatenate(heavy)) if heavy else np.zeros(0, U)
 
 
+def in_bitmap(bitmap: np.ndarray, key: np.ndarray, map_bits: int) -> np.ndarray:
+    at = (key >> U(64 - map_bits)).astype(np.int64)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
 def suffixes(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits: int, bitmap: np.ndarray, heavy: np.ndarray, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Map side of the trees: for each group range, the first suffix under every node that the task holds; and for each document the
     starts of those known to repeat. Rows: bucket, documents (id, key), and packed document number, position, two hashes."""
@@ -180,8 +182,7 @@ def suffixes(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits:
         w = words_of(chunk.column(1))
         h = word_hashes(w)
         start, anchor, _ = anchors(h, w.row, size)
-        at = (anchor >> U(64 - map_bits)).astype(np.int64)
-        live = (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        live = in_bitmap(bitmap, anchor, map_bits)
         if live.any():
             s, a = start[live], anchor[live]
             deep, check = windows(h, size)[s], windows(mix(h + U(0x632BE59BD9B4E019)), size)[s] & U(0xFFFFFFFF)
@@ -261,7 +262,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, map_bits: int = 27, gr
     last = F.lit(2**63 - 1)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), text.alias("text"), F.xxhash64(text).alias("_key"))
-    bitmap, heavy = repeated_anchors(rows, window, bits, map_bits, group_rows)
+    counts = rows.mapInArrow(lambda batches: once_or_more(batches, window, bits), DEALT)
+    bitmap, heavy = count_bitmap(counts, bits, map_bits, 1, group_rows)
     sent = spark.sparkContext.broadcast((bitmap, heavy))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
