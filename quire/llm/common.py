@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; longer single texts are handled alone.
@@ -47,6 +47,17 @@ def buckets_for(spark: SparkSession) -> int:
     return 1 << max(6, (4 * shuffle_partitions(spark) - 1).bit_length())
 
 
+def lowest(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """At most `rows` rows: those of the lowest hash ranges of key that hold no more together. A bounded sample that sends only
+    its own rows to the driver, however many tasks there are (a sort with limit sends that many from each task)."""
+    part = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 14))
+    counts = df.groupBy(part.alias("p")).count().toPandas().sort_values("p")
+    held = int((counts["count"].cumsum() <= rows).sum())
+    if not held:  # one range alone holds more
+        return df.filter(part == int(counts["p"].iloc[0])).limit(rows) if len(counts) else df.limit(0)
+    return df.filter(part <= int(counts["p"].iloc[held - 1]))
+
+
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that an operator reads; a null text counts as empty."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
