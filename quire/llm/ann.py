@@ -105,7 +105,7 @@ def nearest(
     sizes = flagged.groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()
     dim, total = (sizes[0]["n"], sizes[0]["count"]) if sizes else (1, 0)
     base = flagged.filter(F.col("n") == dim).select("id", "v")
-    sample = base.orderBy(F.xxhash64("id"), "id", "v").limit(sample_rows).select("v").toPandas()["v"].tolist()
+    sample = common.lowest(base, F.col("id"), sample_rows).toPandas().sort_values("id")["v"].tolist()
     leaves = 1
     while leaves < most_leaves and leaves * 200 < total:
         leaves *= 2
