@@ -197,7 +197,11 @@ def train(docs: DataFrame, most_bits: int, frequent_words: int) -> tuple[Model,
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for r in built.filter(F.col("part").isNotNull()).select("part", "bitmap").toLocalIterator():
         bitmap[r.part * step : (r.part + 1) * step] |= np.frombuffer(pa.Codec("zstd").decompress(bytes(r.bitmap), decompressed_size=step, asbytes=True), np.uint8)
-    top = words.orderBy(F.desc("c"), "h").limit(frequent_words).toPandas()
+    # The most frequent words: the highest classes of counts that hold no more than frequent_words together.
+    kind = F.floor(F.log2("c") * 32).cast("int")
+    classes = words.groupBy(kind.alias("k")).count().toPandas().sort_values("k", ascending=False)
+    held = int((classes["count"].cumsum() <= frequent_words).sum())
+    top = words.filter(kind >= int(classes["k"].iloc[held - 1]) if held else F.lit(False)).toPandas()
     h, c = top["h"].to_numpy(dtype=np.int64).view(U), top["c"].to_numpy(dtype=np.int64)
     order = np.argsort(h)
     return Model(bitmap, bits, part_bits, size["n"], size["v"], h[order], c[order]), words
