@@ -113,7 +113,7 @@ INDEX = "cid bigint, doc_id {kind}, key bigint, n bigint, c1 bigint, c2 bigint,
 _NAMES = ["cid", "doc_id", "key", "n", "c1", "c2", "bucket", "size", "rows", "sigs"]
 
 
-def counted(batches: Iterator[pa.RecordBatch], words: int, bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def counted(batches: Iterator[pa.RecordBatch], words: int, bits: int, flush: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Map side of the document counts of shingles."""
     held: list[np.ndarray] = []
 
@@ -131,7 +131,7 @@ def counted(batches: Iterator[pa.RecordBatch], words: int, bits: int, flush: int
         yield emit()
 
 
-def index(batches: Iterator[pa.RecordBatch], words: int, percent: int, bits: int, often: np.ndarray, map_bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def index(batches: Iterator[pa.RecordBatch], words: int, percent: int, bits: int, often: np.ndarray, map_bits: int, flush: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """For each document its number, size and class (hash of the whole set); for each hash range the packed signatures of the
     task's documents, one for each class."""
     base = TaskContext.get().partitionId() << 33
