@@ -283,7 +283,8 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, map_bits: int =
     # Documents with equal sets are one class, which its first document stands for.
     sets = one.filter("n > 0").groupBy("c1", "c2").agg(F.min("cid").alias("rep"), F.min("doc_id").alias("least_id"), F.min_by("key", "cid").alias("key"))
     known = common.stage(one.filter("n > 0").join(sets.select("c1", "c2", "rep"), ["c1", "c2"]).select("cid", "rep"), "classes")
-    raw = found.filter(F.col("sigs").isNotNull()).select("cid", "bucket", "size", "rows", "sigs").repartition(parts, "bucket").mapInArrow(chained, "a bigint, b bigint").distinct()
+    # Linked documents share many blocks: in fewer, larger tasks (a few million signatures each) more of these meet, and give one pair.
+    raw = found.filter(F.col("sigs").isNotNull()).select("cid", "bucket", "size", "rows", "sigs").repartition(max(1, parts // 4), "bucket").mapInArrow(chained, "a bigint, b bigint").distinct()
     side = lambda c: known.select(F.col("cid").alias(c), F.col("rep").alias(f"rep_{c}"))
     chains = raw.join(side("a"), "a").join(side("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     members = common.stage(components(chains).select(F.col("node").alias("rep"), F.col("root").alias("cell")), "members")
