@@ -150,14 +150,21 @@ def suffixes(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits:
     def emit() -> Iterator[pa.RecordBatch]:
         prefix, deep, check, doc, pos = (np.concatenate(c) for c in zip(*held, strict=True))
         all_ids, all_keys = np.concatenate(ids), np.concatenate(keys)
-        rank = np.empty(len(all_ids), np.int64)
-        rank[np.lexsort((all_keys, all_ids))] = np.arange(len(all_ids))
-        order = np.lexsort(((rank[doc].astype(U) << U(32)) | pos.astype(U), check, deep))
-        prefix, deep, check, doc, pos = (a[order] for a in (prefix, deep, check, doc, pos))
+        by = np.lexsort((all_keys, all_ids))
+        fresh = np.zeros(len(by), bool)
+        fresh[group_starts(all_ids[by], all_keys[by])] = True
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(fresh) - 1  # rows alike in doc_id and text share one
+        place = (rank[doc].astype(U) << U(32)) | pos.astype(U)
+        order = np.lexsort((place, check, deep))
+        prefix, deep, check, doc, pos, place = (a[order] for a in (prefix, deep, check, doc, pos, place))
+        head = group_starts(deep, check)
         first = np.zeros(len(deep), bool)
-        first[group_starts(deep, check)] = True
+        first[head] = True
+        # The first one's place again, from a row alike, is no repeat: it shares what becomes of the first.
+        repeat = place != np.repeat(place[head], np.diff(np.append(head, len(deep))))
         bucket = (prefix >> U(64 - bits)).astype(np.int32)
-        for known, chosen in ((False, first), (True, ~first)):
+        for known, chosen in ((False, first), (True, repeat)):
             b, d, p, h, c = (a[chosen] for a in (bucket, doc, pos, deep, check))
             # Repeats known here go by document, so that their starts stay together.
             b = (d % (1 << bits)).astype(np.int32) if known else b

@@ -54,5 +54,12 @@ def test_rows_alike(spark):
     assert substring.remove_repeats(docs.filter("doc_id > 5")).collect() == []
 
 
+def test_rows_alike_in_one_task(spark):
+    t, u = " ".join(map(str, range(40))), " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, t), (1, t), (2, t), (3, u), (3, u), (3, u)], "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.n_removed) for r in substring.remove_repeats(docs).collect())
+    assert got == [(1, 0), (1, 0), (2, 40), (3, 0), (3, 0), (3, 0)]
+
+
 def test_cover():
     assert substring.covered(6, np.array([1, 2]), 3).tolist() == [False, True, True, True, True, False]
