@@ -1,15 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training documents give exact counts of words and word pairs, in one packed shuffle. A count c has the level
-1 + floor(log2 c); the filter holds an n-gram once for each level up to its own. Its level is read back by probing level
-1, 2, ... until one is missing, which errs upwards only, and rarely. The filter has a size that grows with the text up to
-`most_bits` (64 MB), which is what reaches the driver and every worker: beyond, every n-gram still goes in and the
-error rate rises instead. Hash ranges own ranges of the filter, so each task builds its part alone.
+Training documents give counts of words and word pairs. A count c has the level 1 + floor(log2 c); the filter holds an n-gram once
+for each level up to its own. Its level is read back by probing level 1, 2, ... until one is missing, which errs upwards
+only, and rarely. The filter is cut into hash ranges, each as large as its own counted n-grams ask for (six bits a mark, at
+least), so that the error rate stays the same whatever the input. No part is broadcast or reaches the driver: the texts' tokens go
+in blocks, each block sends its distinct n-grams with their training counts to the ranges that own them in one packed
+shuffle, and a range counts them, builds its part and answers each block with levels, and with exact counts of words.
 
 The model interpolates pair and word estimates: P(w|v) = PAIR * low(vw) / high(v) + (1 - PAIR) * (low(w) + 0.5) / (N + 0.5 (V + 1)),
 where low and high are the least and largest count of the level read. As low <= c <= high, the estimates sum to 1 at most.
-The base score is exact: a bounded table of the most frequent words goes to the workers, all other words meet
-their counts in a join.
+The base score is exact.
 
 Edge cases: null and empty texts are the end token alone; without training rows N = V = 0; a null doc_id isn't held
 out; repeated rows each keep their result; other columns are ignored; an empty table gives no rows.
@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
-from .hashing import U, group_starts, join, mix, pack, unpack, word_hashes, words_of
+from .hashing import U, join, mix, pack, unpack, word_hashes, words_of
 
 PAIR, PROBES, MOST_LEVELS = 0.15, 3, 48
 END, START = U(0x8A5CD789635D2DFF), U(0x121FD2155C472F97)
@@ -52,33 +54,95 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, token, join(before, token)
 
 
-def counted(batches: Iterator[pa.RecordBatch], bits: int, flush: int = 3_000_000) -> Iterator[pa.RecordBatch]:
-    """Map side of the counts: for each hash range, packed sorted keys and counts of words (kind 1) and pairs (kind 2)."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def blocks(batches: Iterator[pa.RecordBatch], bits: int, kind: pa.DataType, flush: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Map side: blocks of about `flush` tokens. For each, the texts as places in its sorted distinct words (kind 0), and for each hash range
+    the distinct words (kind 1) and pairs (kind 2) with their counts in training texts."""
+    held: list[tuple] = []
+    number = TaskContext.get().partitionId() << 33
 
     def emit() -> Iterator[pa.RecordBatch]:
-        for kind, parts in enumerate(zip(*held, strict=True), 1):
-            keys = np.sort(np.concatenate(parts))
-            first = group_starts(keys)
-            times = np.diff(np.append(first, len(keys))).astype(np.uint32)
-            keys = keys[first]
-            cut = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
-            live = np.flatnonzero(np.diff(cut))
-            spans = [(int(cut[i]), int(cut[i + 1])) for i in live]
-            columns = [live.astype(np.int32), np.full(len(live), kind, np.int32), np.array([b - a for a, b in spans], np.int32)]
-            blobs = [pa.array([f(a, b) for a, b in spans], pa.binary()) for f in (lambda a, b: pack(keys[a:b], True), lambda a, b: pack(times[a:b]))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *blobs], ["bucket", "kind", "n", "keys", "times"])
+        token, pair, size, out = (np.concatenate([h[i] for h in held]) for i in range(4))
+        ids = pa.concat_arrays([h[4] for h in held])
         held.clear()
-
-    for chunk in common.chunks(batches):
-        _, token, pair = tokens(chunk.column(1))
-        held.append((token, pair_key(pair)))
-        if sum(len(t) for t, _ in held) >= flush:
+        train = np.repeat(~out, size)
+        words, at = np.unique(token, return_inverse=True)
+        one = [pa.array([0], pa.int32()), pa.array([len(words)], pa.int32()), pa.array([pack(words, True)], pa.binary()), pa.array([pack(at.astype(np.int32))], pa.binary())]
+        cut = pa.array([0, len(size)], pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, a) for a in (ids, pa.array(out), pa.array(size.astype(np.int32)))]
+        yield block_rows(pa.array([number % (1 << bits)], pa.int32()), pa.array([number]), *one, *lists)
+        for n_gram, (keys, place) in enumerate(((words, at), np.unique(pair, return_inverse=True)), 1):
+            times = np.bincount(place[train], minlength=len(keys)).astype(np.uint32)
+            edge = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
+            live = np.flatnonzero(np.diff(edge))
+            spans = [(int(edge[i]), int(edge[i + 1])) for i in live]
+            n = len(live)
+            columns = [live.astype(np.int32), np.full(n, number), np.full(n, n_gram, np.int32), np.array([hi - lo for lo, hi in spans], np.int32)]
+            blobs = [pa.array([f(lo, hi) for lo, hi in spans], pa.binary()) for f in (lambda lo, hi: pack(keys[lo:hi], True), lambda lo, hi: pack(times[lo:hi]))]
+            yield block_rows(*map(pa.array, columns), *blobs, *(pa.nulls(n, pa.list_(t)) for t in (kind, pa.bool_(), pa.int32())))
+
+    for chunk in common.chunks(batches, limit=1 << 19):
+        row, token, pair = tokens(chunk.column(1))
+        size = np.bincount(row, minlength=chunk.num_rows)
+        held.append((token, pair_key(pair), size, np.asarray(chunk.column(2).to_numpy(zero_copy_only=False), bool), chunk.column(0).take(pa.array(np.arange(chunk.num_rows)))))  # a copy: a slice would keep the whole batch
+        if sum(len(h[0]) for h in held) >= flush:
             yield from emit()
+            number += 1
     if held:
         yield from emit()
 
 
+def block_rows(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), ["bucket", "block", "kind", "n", "keys", "times", "ids", "held", "sizes"])
+
+
+def answers(batches: Iterator[pa.RecordBatch], part_bits: int) -> Iterator[pa.RecordBatch]:
+    """The hash ranges of one task: texts pass; for each block's n-grams the levels (and counts of words) in their order; N and V as kind 3."""
+    held: dict[int, list] = {}
+    for whole in batches:
+        for at in range(0, whole.num_rows, 64):
+            b = whole.slice(at, 64)
+            texts = pc.equal(b.column(2), 0)
+            if pc.any(texts).as_py():
+                yield b.filter(texts)
+            rest = b.filter(pc.invert(texts))
+            for bucket, block, kind, n, k, t in zip(*(rest.column(i).to_pylist() for i in range(6)), strict=True):
+                held.setdefault(bucket, []).append((kind, block, n, k, t))
+        types = [f.type for f in whole.schema][6:]
+        del whole, b, rest
+    for bucket in sorted(held):
+        found = {}
+        parts = held.pop(bucket)
+        for kind in (1, 2):
+            mine = [p for p in parts if p[0] == kind]
+            if mine:
+                key, at = np.unique(np.concatenate([unpack(k, n, U, True) for _, _, n, k, _ in mine]), return_inverse=True)
+                times = np.concatenate([unpack(t, n, np.uint32) for _, _, n, _, t in mine])
+                found[kind] = mine, key, at, np.bincount(at, weights=times, minlength=len(key)).astype(np.int64)
+        key, count = (np.concatenate([f[i][f[3] > 0] for f in found.values()]) for i in (1, 3))
+        bits = part_size(count) + part_bits
+        bitmap = filled(key, count, bucket, bits, part_bits)
+        out = []
+        for kind, (mine, key, at, count) in found.items():
+            level = levels(bitmap, key, bits, part_bits, bucket).astype(np.uint8)[at]
+            exact = count[at] if kind == 1 else None
+            lo = 0
+            for _, block, n, _, _ in mine:
+                out.append((bucket, block, kind, n, pack(level[lo : lo + n]), pack(exact[lo : lo + n]) if kind == 1 else None))
+                lo += n
+        if 1 in found:
+            count = found[1][3]
+            # N as the block, V as n.
+            out.append((bucket, int(count.sum()), 3, int((count > 0).sum()), None, None))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
+        yield block_rows(*columns, *(pa.nulls(len(out), t) for t in types))
+
+
+def part_size(count: np.ndarray) -> int:
+    """Bits of a place in a part that holds n-grams of these counts: six bits a mark or more."""
+    marks = int((1 + np.floor(np.log2(count))).sum()) if len(count) else 0
+    return max(6, (6 * marks).bit_length())
+
+
 def positions(key: np.ndarray, level: int, probe: int, bits: int, part_bits: int) -> np.ndarray:
     """Where an n-gram's level is marked: in the part that the key's top bits name."""
     inside_part = mix(key + U(level * 0x9E3779B97F4A7C15 + probe * 0xC2B2AE3D27D4EB4F & (2**64 - 1))) >> U(64 - (bits - part_bits))
@@ -99,12 +163,13 @@ def filled(key: np.ndarray, count: np.ndarray, part: int, bits: int, part_bits:
     return np.packbits(marks)
 
 
-def levels(bitmap: np.ndarray, key: np.ndarray, bits: int, part_bits: int) -> np.ndarray:
-    """The level of each n-gram by repeated membership probes; 0: not held."""
+def levels(bitmap: np.ndarray, key: np.ndarray, bits: int, part_bits: int, part: int = 0) -> np.ndarray:
+    """The level of each n-gram by repeated membership probes; 0: not held. The bitmap begins with the given part."""
     out, live = np.zeros(len(key), np.int64), np.arange(len(key))
+    begin = part << (bits - part_bits)
     for level in range(1, MOST_LEVELS):
         for probe in range(PROBES):
-            at = positions(key[live], level, probe, bits, part_bits)
+            at = positions(key[live], level, probe, bits, part_bits) - begin
             live = live[(bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0]
         if not len(live):
             break
@@ -116,133 +181,66 @@ def pair_key(pair: np.ndarray) -> np.ndarray:
     return mix(pair ^ U(0xD1B54A32D192ED03))
 
 
-class Model:
-    """What the workers get: the filter, N and V, and the exact counts of the most frequent words."""
-
-    def __init__(self, bitmap, bits, part_bits, total, distinct, words, counts):
-        self.bitmap, self.bits, self.part_bits = bitmap, bits, part_bits
-        self.total, self.distinct, self.words, self.counts = total, distinct, words, counts
-
-    def probabilities(self, token: np.ndarray, pair: np.ndarray, before_level: np.ndarray, level: np.ndarray) -> np.ndarray:
-        low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
-        high = 2.0**before_level - 1
-        known, at = np.unique(pair, return_inverse=True)
-        both = levels(self.bitmap, pair_key(known), self.bits, self.part_bits)[at]
-        word = (low + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        seen = np.where((both > 0) & (high > 0), np.minimum(2.0 ** (both - 1) / np.maximum(high, 1.0), 1.0), 0.0)
-        return PAIR * seen + (1 - PAIR) * np.minimum(word, 1.0)
-
-    def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
-        row, token, pair = tokens(texts)
-        rows = len(texts)
-        known, at = np.unique(token, return_inverse=True)
-        level = levels(self.bitmap, known, self.bits, self.part_bits)[at]
-        # A text's first token follows the start, which stands as often as the end.
-        end_level = levels(self.bitmap, np.array([END]), self.bits, self.part_bits)[0]
-        before = np.empty(len(token), np.int64)
-        before[1:] = level[:-1]
-        before[np.searchsorted(row, np.arange(rows))] = end_level
-        p = self.probabilities(token, pair, before, level)
-        place = np.minimum(np.searchsorted(self.words, known), max(len(self.words) - 1, 0))
-        exact = np.where(self.words[place] == known, self.counts[place], -1) if len(self.words) else np.full(len(known), -1)
-        count = exact[at]
-        frequent = count >= 0
-        return {
-            "n_tokens": np.bincount(row, minlength=rows),
-            "known": np.bincount(row[frequent], minlength=rows),
-            "base": np.bincount(row[frequent], weights=np.log10(count[frequent] + 0.5), minlength=rows),
-            "score": np.bincount(row, weights=np.log10(p), minlength=rows),
-            "rest": (row[~frequent], token[~frequent]),
-        }
-
-
-def train(docs: DataFrame, most_bits: int, frequent_words: int) -> tuple[Model, DataFrame]:
-    """The model, and the exact counts (h, c) of all words as a table."""
+def probabilities(before_level: np.ndarray, level: np.ndarray, both: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
+    high = 2.0**before_level - 1
+    word = (low + 0.5) / (total + 0.5 * (distinct + 1))
+    seen = np.where((both > 0) & (high > 0), np.minimum(2.0 ** (both - 1) / np.maximum(high, 1.0), 1.0), 0.0)
+    return PAIR * seen + (1 - PAIR) * np.minimum(word, 1.0)
+
+
+def scored(block: pa.Table, total: int, distinct: int) -> pa.Table:
+    """The texts of one block from its row of texts and the answers of all hash ranges."""
+    order = np.lexsort((block.column("bucket").to_numpy(), block.column("kind").to_numpy()))
+    rows = block.select(["kind", "n", "keys", "times"]).take(pa.array(order))
+    _, n, keys, times = (rows.column(i)[0].as_py() for i in range(4))
+    held = block.take(pa.array(order[:1]))
+    ids, out, size = (held.column(c).combine_chunks().flatten() for c in ("ids", "held", "sizes"))
+    size = size.to_numpy().astype(np.int64)
+    words, at = unpack(keys, n, U, True), unpack(times, int(size.sum()), np.int32)
+    answer = [r for r in rows.slice(1).to_pylist() if r["kind"] in (1, 2)]
+    word_level, pair_level = (np.concatenate([unpack(r["keys"], r["n"], np.uint8) for r in answer if r["kind"] == k]).astype(np.int64) for k in (1, 2))
+    count = np.concatenate([unpack(r["times"], r["n"], np.int64) for r in answer if r["kind"] == 1])[at]
+    # A text's first token follows the start, which stands as often as the end.
+    first = np.cumsum(size) - size
+    token, level = words[at], word_level[at]
+    before, before_level = np.empty_like(token), np.empty_like(level)
+    before[1:], before_level[1:] = token[:-1], level[:-1]
+    before[first], before_level[first] = START, word_level[np.searchsorted(words, END)]
+    _, place = np.unique(pair_key(join(before, token)), return_inverse=True)
+    del token, before
+    p = probabilities(before_level, level, pair_level[place], total, distinct)
+    base = np.add.reduceat(np.log10(count + 0.5), first) - size * np.log10(total + 0.5 * (distinct + 1))
+    known = np.add.reduceat((count > 0).astype(np.int64), first)
+    columns = [ids, out, size, known, np.full(len(size), total), base, np.add.reduceat(np.log10(p), first)]
+    return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def score(docs: DataFrame, frequent_words: int = 1 << 17) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
+
+    frequent_words has no effect any more: every word meets its exact count in the hash range that owns it.
+    """
     spark = docs.sparkSession
     part_bits = common.buckets_for(spark).bit_length() - 1
-    training = common.text_rows(docs.filter(~held_out()))
-    letters = training.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    # About a token for four letters, a word and a pair each, and six bits a mark.
-    bits = min(most_bits, max(part_bits + 6, int(2 * letters * 6 / 4).bit_length()))
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        for b in batches:
-            for bucket, kind, n, k, t in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                held.setdefault((bucket, kind), []).append((n, k, t))
-        for (bucket, kind), parts in held.items():
-            key = np.concatenate([unpack(k, n, U, True) for n, k, _ in parts])
-            time = np.concatenate([unpack(t, n, np.uint32) for n, _, t in parts]).astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            key, time = key[order], time[order]
-            first = group_starts(key)
-            key, time = key[first], np.add.reduceat(time, first)
-            n = len(key)
-            if kind == 1:
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(time), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["h", "c", "part", "bitmap"])
-            yield segment(bucket, filled(key, time, bucket, bits, part_bits))
-
-    def segment(part: int, packed: np.ndarray) -> pa.RecordBatch:
-        blob = pa.Codec("zstd", 1).compress(pa.py_buffer(packed), asbytes=True)
-        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["h", "c", "part", "bitmap"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return counted(batches, part_bits)
-
-    dealt = training.mapInArrow(count, "bucket int, kind int, n int, keys binary, times binary").repartition(common.shuffle_partitions(spark), "bucket")
-    built = common.stage(dealt.mapInArrow(reduce, "h bigint, c bigint, part int, bitmap binary"), "counts")
-    words = built.filter(F.col("h").isNotNull()).select("h", "c")
-    size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    step = 1 << (bits - part_bits - 3)
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    for r in built.filter(F.col("part").isNotNull()).select("part", "bitmap").toLocalIterator():
-        bitmap[r.part * step : (r.part + 1) * step] |= np.frombuffer(pa.Codec("zstd").decompress(bytes(r.bitmap), decompressed_size=step, asbytes=True), np.uint8)
-    # The most frequent words: the highest classes of counts that hold no more than frequent_words together.
-    kind = F.floor(F.log2("c") * 32).cast("int")
-    classes = words.groupBy(kind.alias("k")).count().toPandas().sort_values("k", ascending=False)
-    held = int((classes["count"].cumsum() <= frequent_words).sum())
-    top = words.filter(kind >= int(classes["k"].iloc[held - 1]) if held else F.lit(False)).toPandas()
-    h, c = top["h"].to_numpy(dtype=np.int64).view(U), top["c"].to_numpy(dtype=np.int64)
-    order = np.argsort(h)
-    return Model(bitmap, bits, part_bits, size["n"], size["v"], h[order], c[order]), words
-
-
-def score(docs: DataFrame, most_bits: int = 29, frequent_words: int = 1 << 17) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
-    spark = docs.sparkSession
-    model, words = train(docs, most_bits, frequent_words)
-    sent = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number = TaskContext.get().partitionId() << 33, 0
-        for chunk in common.chunks(batches):
-            m = sent.value.score(chunk.column(1))
-            rows = chunk.num_rows
-            row, rest = m["rest"]
-            order = np.lexsort((rest, row))
-            row, rest = row[order], rest[order]
-            first = group_starts(row, rest)
-            times = np.diff(np.append(first, len(row))).astype(np.int32)
-            at = pa.array(np.searchsorted(row[first], np.arange(rows + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(base + number + np.arange(rows)), chunk.column(0), chunk.column(2), *(pa.array(m[k].astype(np.int64)) for k in ("n_tokens", "known")), pa.array(m["base"].astype(float)), pa.array(m["score"].astype(float)),
-                    pa.ListArray.from_arrays(at, pa.array(rest[first].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(times)),
-                ],
-                ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "hs", "times"],
-            )
-            number += rows
-
     rows = common.text_rows(docs, held_out().alias("held_out"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = common.stage(
-        rows.mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, hs array<bigint>, times array<int>"), "scored"
-    )
-    rest = scored.select("rid", F.explode(F.arrays_zip("hs", "times")).alias("x")).select("rid", F.col("x.hs").alias("h"), F.col("x.times").alias("t"))
-    c = F.coalesce("c", F.lit(0))
-    sums = rest.join(words, "h", "left").groupBy("rid").agg(F.sum(F.col("t") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("t")).otherwise(0)).alias("more_known"))
-    n, v = int(model.total), int(model.distinct)
-    return scored.join(sums, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"), "score",
-    )
+    kind = rows.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
+    shape = f"bucket int, block bigint, kind int, n int, keys binary, times binary, ids array<{kind.simpleString()}>, held array<boolean>, sizes array<int>"
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return blocks(batches, part_bits, arrow)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return answers(batches, part_bits)
+
+    dealt = rows.mapInArrow(spread, shape).repartition(common.shuffle_partitions(spark), "bucket")
+    built = common.stage(dealt.mapInArrow(answer, shape), "answers")
+    size = built.filter("kind = 3").agg(F.coalesce(F.sum("block"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
+    total, distinct = int(size["n"]), int(size["v"])
+
+    def finish(block: pa.Table) -> pa.Table:
+        return scored(block, total, distinct)
+
+    result = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return built.filter("kind < 3").groupBy("block").applyInArrow(finish, result)

@@ -60,6 +60,31 @@ def test_levels_never_fall_short_and_estimates_sum_to_one_at_most():
     assert (other > 0).mean() < 0.2
 
 
+@pytest.mark.parametrize("n", [3_000, 600_000])
+def test_error_rate_stays_as_a_part_grows(n):
+    rng = np.random.default_rng(n)
+    part, part_bits = 5, 6
+    keys = np.unique(rng.integers(0, 2**58, 2 * n).astype(np.uint64) | np.uint64(part << 58))
+    rng.shuffle(keys)
+    key, other = keys[:n], keys[n:]
+    count = rng.geometric(0.6, n)
+    bits = lm.part_size(count) + part_bits
+    bitmap = lm.filled(key, count, part, bits, part_bits)
+    got, want = lm.levels(bitmap, key, bits, part_bits, part), 1 + np.floor(np.log2(count)).astype(int)
+    assert (got >= want).all() and (got > want).mean() < 0.07
+    assert (lm.levels(bitmap, other, bits, part_bits, part) > 0).mean() < 0.07
+
+
+def test_no_part_has_a_ceiling():
+    assert lm.part_size(np.ones(10**7, np.int64)) + 6 > 29
+
+
+def test_blocks_of_other_texts_change_nothing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    one, other = (sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs.repartition(n)).collect()) for n in (1, 7))
+    assert one == other
+
+
 def test_tokens():
     row, token, pair = lm.tokens(pa.array(["a b", None, "B"]))
     assert row.tolist() == [0, 0, 0, 1, 2, 2] and token[1] == token[4] and token[2] == token[3] == token[5] == lm.END
