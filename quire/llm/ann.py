@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .hashing import group_starts
 
 
 def usable(df: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -138,8 +139,13 @@ def nearest(
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             qs, ids, v = left.column("id").to_numpy(), right.column("id").to_numpy(), matrix(right.column("blob"))
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], v[order]
+            head = group_starts(ids)
+            ids = ids[head]
             for qid, q in zip(qs, matrix(left.column("blob")), strict=True):
-                d = np.sqrt(((v - q) ** 2).sum(axis=1))
+                # The nearest row of each id, before the cut to k: repeated rows take one place.
+                d = np.minimum.reduceat(np.sqrt(((v - q) ** 2).sum(axis=1)), head)
                 d[ids == qid] = np.inf
                 near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
                 near = near[np.lexsort((ids[near], d[near]))][:k]

@@ -44,3 +44,24 @@ def test_blocks_of_a_large_leaf(spark):
     rows = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") < 2).cast("double")).alias("embedding"))
     got = [r.vec_id for r in ann.nearest(rows, F.col("vec_id") == 5, k=3, block_rows=50).orderBy("rank").collect()]
     assert got == [2, 3, 4]
+
+
+def test_repeated_ids_take_one_place(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * i]) for i in range(1, 13)] * 2 + [(i, [1.0, 0.1 * i]) for i in range(2, 8)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann.nearest(docs, F.col("vec_id") == 0, k=5).orderBy("rank").collect()]
+    assert got == [1, 2, 3, 4, 5]
+
+
+def test_recall_beyond_the_last_doubling_of_leaves(spark):
+    size = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("size(embedding) as n").first().n
+    rng = np.random.default_rng(8)
+    x, ids = rng.normal(size=(6000, size)), np.arange(6000)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    want = brute(ids, x, np.flatnonzero(ids % 60 == 0), 10)
+    got = {}
+    for r in ann.nearest(rows, F.col("vec_id") % 60 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {i for i, _ in want[q]}) for q in want)
+    print("recall", hits / (10 * len(want)))
+    assert hits / (10 * len(want)) >= 0.9
