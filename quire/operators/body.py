@@ -32,7 +32,7 @@ def drop_markers(html: Column) -> Column:
 def paragraphs(html: Column) -> Column:
     """Texts of the <p> elements in order; an open <p> ends where the next begins."""
     parts = F.split(drop_markers(html), r"(?i)</?p\b[^>]*>", -1)
-    return F.filter(F.transform(F.slice(parts, 2, 100_000), strip_tags), lambda t: t != "")
+    return F.filter(F.transform(F.slice(parts, F.lit(2), F.size(parts)), strip_tags), lambda t: t != "")
 
 
 def noise_reason(text: Column, heading: Column, collapsed: bool = False) -> Column:
