@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; longer single texts are handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +80,22 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             lo = hi
 
 
+def tidy(batches: Iterator) -> Iterator:
+    """The same batches; what the task freed goes back to the system at its end, as Spark keeps the worker for further tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunk_rows(iterator: Iterator, work):
     """mapInArrow body: `work` turns one chunk into a record batch (or None)."""
-    for chunk in chunks(iterator):
-        out = work(chunk)
-        if out is not None and out.num_rows:
-            yield out
+
+    def each():
+        for chunk in chunks(iterator):
+            out = work(chunk)
+            if out is not None and out.num_rows:
+                yield out
+
+    return tidy(each())

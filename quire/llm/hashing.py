@@ -18,7 +18,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 _TABLE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-_BASE, _PIECE = 0x9E3779B97F4A7C15, 1 << 21
+_BASE, _PIECE = 0x9E3779B97F4A7C15, 1 << 19
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
@@ -136,6 +136,28 @@ def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def chained_to(group: np.ndarray, member: np.ndarray, members: int) -> np.ndarray:
+    """For each member (numbered from 0) the least one that it is connected with through equal groups."""
+    order = np.argsort(group, kind="stable")
+    member = member[order]
+    at = group_starts(group[order])
+    size = np.diff(np.append(at, len(member)))
+    own = np.repeat(size > 1, size)  # groups of one connect nothing
+    member, size = member[own], size[size > 1]
+    label = np.arange(members)
+    if not len(member):
+        return label
+    at = np.cumsum(size) - size
+    while True:
+        now = label[member]
+        low = np.repeat(np.minimum.reduceat(now, at), size)
+        if (low == now).all():
+            return label
+        np.minimum.at(label, now, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def pack(x: np.ndarray, sorted_values: bool = False) -> bytes:
     """Integers as differences (if sorted), byte planes apart, compressed."""
     x = np.ascontiguousarray(x)
