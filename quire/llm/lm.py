@@ -80,7 +80,7 @@ def blocks(batches: Iterator[pa.RecordBatch], bits: int, kind: pa.DataType, flus
             blobs = [pa.array([f(lo, hi) for lo, hi in spans], pa.binary()) for f in (lambda lo, hi: pack(keys[lo:hi], True), lambda lo, hi: pack(times[lo:hi]))]
             yield block_rows(*map(pa.array, columns), *blobs, *(pa.nulls(n, pa.list_(t)) for t in (kind, pa.bool_(), pa.int32())))
 
-    for chunk in common.chunks(batches, limit=1 << 19):
+    for chunk in common.chunks(batches):
         row, token, pair = tokens(chunk.column(1))
         size = np.bincount(row, minlength=chunk.num_rows)
         held.append((token, pair_key(pair), size, np.asarray(chunk.column(2).to_numpy(zero_copy_only=False), bool), chunk.column(0).take(pa.array(np.arange(chunk.num_rows)))))  # a copy: a slice would keep the whole batch
@@ -96,9 +96,11 @@ def block_rows(*columns: pa.Array) -> pa.RecordBatch:
 
 
 def answers(batches: Iterator[pa.RecordBatch], part_bits: int) -> Iterator[pa.RecordBatch]:
-    """The hash ranges of one task: texts pass; for each block's n-grams the levels (and counts of words) in their order; N and V as kind 3."""
-    held: dict[int, list] = {}
+    """The hash ranges of one task, which come sorted, one after the other: texts pass; for each block's n-grams the levels (and
+    counts of words) in their order; N and V as kind 3."""
+    last, parts = None, []
     for whole in batches:
+        types = [f.type for f in whole.schema][6:]
         for at in range(0, whole.num_rows, 64):
             b = whole.slice(at, 64)
             texts = pc.equal(b.column(2), 0)
@@ -106,35 +108,42 @@ def answers(batches: Iterator[pa.RecordBatch], part_bits: int) -> Iterator[pa.Re
                 yield b.filter(texts)
             rest = b.filter(pc.invert(texts))
             for bucket, block, kind, n, k, t in zip(*(rest.column(i).to_pylist() for i in range(6)), strict=True):
-                held.setdefault(bucket, []).append((kind, block, n, k, t))
-        types = [f.type for f in whole.schema][6:]
+                if bucket != last and parts:
+                    yield answered(last, parts, part_bits, types)
+                    parts = []
+                last = bucket
+                parts.append((kind, block, n, k, t))
         del whole, b, rest
-    for bucket in sorted(held):
-        found = {}
-        parts = held.pop(bucket)
-        for kind in (1, 2):
-            mine = [p for p in parts if p[0] == kind]
-            if mine:
-                key, at = np.unique(np.concatenate([unpack(k, n, U, True) for _, _, n, k, _ in mine]), return_inverse=True)
-                times = np.concatenate([unpack(t, n, np.uint32) for _, _, n, _, t in mine])
-                found[kind] = mine, key, at, np.bincount(at, weights=times, minlength=len(key)).astype(np.int64)
-        key, count = (np.concatenate([f[i][f[3] > 0] for f in found.values()]) for i in (1, 3))
-        bits = part_size(count) + part_bits
-        bitmap = filled(key, count, bucket, bits, part_bits)
-        out = []
-        for kind, (mine, key, at, count) in found.items():
-            level = levels(bitmap, key, bits, part_bits, bucket).astype(np.uint8)[at]
-            exact = count[at] if kind == 1 else None
-            lo = 0
-            for _, block, n, _, _ in mine:
-                out.append((bucket, block, kind, n, pack(level[lo : lo + n]), pack(exact[lo : lo + n]) if kind == 1 else None))
-                lo += n
-        if 1 in found:
-            count = found[1][3]
-            # N as the block, V as n.
-            out.append((bucket, int(count.sum()), 3, int((count > 0).sum()), None, None))
-        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
-        yield block_rows(*columns, *(pa.nulls(len(out), t) for t in types))
+    if parts:
+        yield answered(last, parts, part_bits, types)
+
+
+def answered(bucket: int, parts: list[tuple], part_bits: int, types: list[pa.DataType]) -> pa.RecordBatch:
+    found = {}
+    for kind in (1, 2):
+        mine = [p for p in parts if p[0] == kind]
+        if mine:
+            key, at = np.unique(np.concatenate([unpack(k, n, U, True) for _, _, n, k, _ in mine]), return_inverse=True)
+            times = np.concatenate([unpack(t, n, np.uint32) for _, _, n, _, t in mine])
+            found[kind] = [p[1:3] for p in mine], key, at.astype(np.int32), np.bincount(at, weights=times, minlength=len(key)).astype(np.int64)
+    parts.clear()
+    key, count = (np.concatenate([f[i][f[3] > 0] for f in found.values()]) for i in (1, 3))
+    bits = part_size(count) + part_bits
+    bitmap = filled(key, count, bucket, bits, part_bits)
+    out = []
+    for kind, (mine, key, at, count) in found.items():
+        level = levels(bitmap, key, bits, part_bits, bucket).astype(np.uint8)[at]
+        exact = count[at] if kind == 1 else None
+        lo = 0
+        for block, n in mine:
+            out.append((bucket, block, kind, n, pack(level[lo : lo + n]), pack(exact[lo : lo + n]) if kind == 1 else None))
+            lo += n
+    if 1 in found:
+        count = found[1][3]
+        # N as the block, V as n.
+        out.append((bucket, int(count.sum()), 3, int((count > 0).sum()), None, None))
+    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
+    return block_rows(*columns, *(pa.nulls(len(out), t) for t in types))
 
 
 def part_size(count: np.ndarray) -> int:
@@ -229,12 +238,12 @@ def score(docs: DataFrame, frequent_words: int = 1 << 17) -> DataFrame:
     shape = f"bucket int, block bigint, kind int, n int, keys binary, times binary, ids array<{kind.simpleString()}>, held array<boolean>, sizes array<int>"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return blocks(batches, part_bits, arrow)
+        return common.tidy(blocks(batches, part_bits, arrow))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return answers(batches, part_bits)
+        return common.tidy(answers(batches, part_bits))
 
-    dealt = rows.mapInArrow(spread, shape).repartition(common.shuffle_partitions(spark), "bucket")
+    dealt = rows.mapInArrow(spread, shape).repartition(common.shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
     built = common.stage(dealt.mapInArrow(answer, shape), "answers")
     size = built.filter("kind = 3").agg(F.coalesce(F.sum("block"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
     total, distinct = int(size["n"]), int(size["v"])
