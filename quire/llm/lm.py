@@ -12,7 +12,8 @@ where low and high are the least and largest count of the level read. As low <=
 The base score is exact.
 
 Edge cases: null and empty texts are the end token alone; without training rows N = V = 0; a null doc_id isn't held
-out; repeated rows each keep their result; other columns are ignored; an empty table gives no rows.
+out; repeated rows each keep their result and count each; a text longer than a chunk is a chunk of its own and is scored whole; other
+columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def blocks(batches: Iterator[pa.RecordBatch], bits: int, kind: pa.DataType, flus
         one = [pa.array([0], pa.int32()), pa.array([len(words)], pa.int32()), pa.array([pack(words, True)], pa.binary()), pa.array([pack(at.astype(np.int32))], pa.binary())]
         cut = pa.array([0, len(size)], pa.int32())
         lists = [pa.ListArray.from_arrays(cut, a) for a in (ids, pa.array(out), pa.array(size.astype(np.int32)))]
-        yield block_rows(pa.array([number % (1 << bits)], pa.int32()), pa.array([number]), *one, *lists)
+        yield block_rows(pa.array([hash((number >> 33, number)) % (1 << bits)], pa.int32()), pa.array([number]), *one, *lists)
         for n_gram, (keys, place) in enumerate(((words, at), np.unique(pair, return_inverse=True)), 1):
             times = np.bincount(place[train], minlength=len(keys)).astype(np.uint32)
             edge = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))

@@ -12,7 +12,8 @@ Cells are few (values of the three columns); up to `most_cells` they are raked o
 
 Edge cases: null source or lang is a value of its own; a null or empty text has no words and topic 0; a cell without
 words has factor 1; values without a target keep their part of what the targets leave; a target for an absent value is left
-out and the rest scaled; a null doc_id is hashed like any value; repeated rows are drawn alike; other columns pass.
+out and the rest scaled; a null doc_id is hashed like any value; repeated rows are drawn alike; a text longer than a chunk is counted
+alone and whole; other columns pass, but those named like ADDED are replaced by the results (not by sample()); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from .common import stage
 from .hashing import U, word_hashes, words_of
 
 TOPICS = 8
+HALVINGS = 60
 MARGINALS = ("source", "lang", "topic")
+ADDED = ("_topic", "_words", "_weight", "_probability", "_sampled")
 
 
 def topics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +129,7 @@ def rake_in_spark(cells: DataFrame, targets: dict, rounds: int, tolerance: float
 def level(words: np.ndarray, factor: np.ndarray, keep: float) -> float:
     """s with sum(words * min(1, s * factor)) = keep * sum(words), or as near as possible."""
     low, high = 0.0, 1.0 / max(factor[factor > 0].min(initial=1.0), 1e-12)
-    for _ in range(200):
+    for _ in range(HALVINGS):
         mid = (low + high) / 2
         if (words * np.minimum(1.0, mid * factor)).sum() < keep * words.sum():
             low = mid
@@ -151,7 +154,7 @@ def probabilities(rows: DataFrame, targets: dict, keep: float, rounds: int = 200
     total = cells.agg(F.sum("words")).first()[0] or 1
     scaled = stage(raked.withColumn("factor", F.when(F.col("words") > 0, F.col("raked") * total / F.col("words")).otherwise(1.0)), "factors")
     low, high = 0.0, 1.0 / max(scaled.filter("factor > 0").agg(F.min("factor")).first()[0] or 1.0, 1e-12)
-    for _ in range(60):
+    for _ in range(HALVINGS):
         mid = (low + high) / 2
         got = scaled.agg(F.sum(F.col("words") * F.least(F.lit(1.0), F.col("factor") * mid))).first()[0] or 0.0
         low, high = (mid, high) if got < keep * total else (low, mid)
@@ -169,19 +172,25 @@ TARGETS = {"source": 0.5, "lang": {"en": 0.5, "fr": 0.2, "de": 0.15, "es": 0.15}
 
 def mix_sources(docs: DataFrame, targets: dict | None = None, keep: float = 0.8, seed: int = 1, most_cells: int = 100_000) -> DataFrame:
     """docs with all columns, and _topic, _words, _weight (double), _probability (double), _sampled (boolean)."""
-    rows = tagged(docs)
-    cells = probabilities(
-        tagged(docs.select("source", "lang", "text")).select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("_topic").alias("topic"), F.col("_words").alias("words")),
-        targets or TARGETS, keep, most_cells=most_cells,
-    ).select(*(F.col(c).alias(f"_c_{c}") for c in ("source", "lang", "topic", "factor")), F.col("probability").alias("_probability"))
-    same = F.col("source").cast("string").eqNullSafe(F.col("_c_source")) & F.col("lang").cast("string").eqNullSafe(F.col("_c_lang")) & (F.col("_topic") == F.col("_c_topic"))
+    out = drawn(docs, targets, keep, seed, most_cells)
+    return out.select(*(F.col("_row").getField(c).alias(c) if c != "text" else F.col("text") for c in docs.columns if c not in ADDED), *ADDED)
+
+
+def drawn(docs: DataFrame, targets: dict | None = None, keep: float = 0.8, seed: int = 1, most_cells: int = 100_000) -> DataFrame:
+    """text, _row (struct of the other columns) and ADDED. The user's columns travel in one, so that their names can't clash."""
+    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row"))
+    rows = tagged(packed)
+    names = [F.col("_row").getField(c).cast("string").alias(c) for c in ("source", "lang")]
+    cells = probabilities(tagged(packed.select("text", "_row")).select(*names, F.col("_topic").alias("topic"), F.col("_words").alias("words")), targets or TARGETS, keep, most_cells=most_cells)
+    cells = cells.select(*(F.col(c).alias(f"_c_{c}") for c in ("source", "lang", "topic", "factor")), F.col("probability").alias("_probability"))
+    same = F.col("_row.source").cast("string").eqNullSafe(F.col("_c_source")) & F.col("_row.lang").cast("string").eqNullSafe(F.col("_c_lang")) & (F.col("_topic") == F.col("_c_topic"))
     joined = rows.join(cells, same, "left").withColumn("_weight", F.when(F.col("_probability") > 0, F.col("_c_factor") / F.col("_probability")).otherwise(0.0))
-    return joined.withColumn("_sampled", draw(F.col("doc_id"), seed) < F.col("_probability")).drop("_c_source", "_c_lang", "_c_topic", "_c_factor")
+    return joined.withColumn("_sampled", draw(F.col("_row.doc_id"), seed) < F.col("_probability")).select("text", "_row", *ADDED)
 
 
 def sample(docs: DataFrame, **more) -> DataFrame:
     """The sampled documents with their columns."""
-    return mix_sources(docs, **more).filter("_sampled").select(*docs.columns)
+    return drawn(docs, **more).filter("_sampled").select(*(F.col("_row").getField(c).alias(c) if c != "text" else F.col("text") for c in docs.columns))
 
 
 def digest(mixed: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ sentence's worst word and the clean sentences' hardest words. As the kernel is a
 machine collapses into one table of triple weights, by which all words are scored.
 
 Edge cases: null and empty texts have the lowest margin; words over SPLIT letters are scored in overlapping pieces; labels
-that are null don't count; without both classes of labels every score is 0; repeated rows each keep their result;
+that are null don't count, of several for a document toxic counts; without both classes of labels every score is 0; texts alike are one row
+of the sample, toxic if one of them is; equal scores share a verdict; repeated rows each keep their result; a text longer than a chunk is
+scored alone and whole; an empty table gives no rows;
 other columns are ignored, and so are labels, lang, source and doc_id in a score.
 """
 
@@ -266,7 +268,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int, chars: int) ->
     fold = docs.select("doc_id", "text").filter(~held_out()).filter(F.length("text").between(1, chars)).withColumn("_h", F.xxhash64("text"))
     # The rows are chosen by id and hash alone; only the chosen ones' texts are then fetched.
     light = fold.select("doc_id", "_h").join(marks, "doc_id").groupBy("_h").agg(F.min("doc_id").alias("doc_id"), F.max("_t").alias("_t"))
-    first = lambda t, n: light.filter(F.col("_t") == t).orderBy("_h").limit(n)
+    first = lambda t, n: common.lowest(light.filter(F.col("_t") == t), F.col("_h"), n)
     wanted = first(1, rows).unionByName(first(0, 2 * rows))
     return fold.join(F.broadcast(wanted), ["doc_id", "_h"]).dropDuplicates(["_h"]).select("text", (F.col("_t") == 1).alias("toxic"))
 

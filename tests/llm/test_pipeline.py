@@ -3,6 +3,7 @@
 import hashlib
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from quire.llm import mixing, pii, toxicity
 
 from .test_bpe import expected
@@ -57,3 +58,22 @@ def test_stages(spark, tmp_path):
 
 def test_kinds_of_spans():
     assert pii.KINDS == ("email", "ip", "card", "phone")
+
+
+def test_stages_with_odd_rows_and_clashing_names(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, words, None, "s"), (1, words, None, "s"), (2, None, "en", None), (None, "", "en", "s"), (3, words.replace("w", "v ") * 200, "fr", "t"), (4, "a@b.co and " + words[:50], "en", "t")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    odd = plain
+    for name in ("_key", "_row", "_topic", "_words", "pii_spans", "key", "full", "row", "toxic"):
+        odd = odd.withColumn(name, F.lit(name))
+    labels = spark.createDataFrame([(1, None, 0), (4, 1, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, odd.filter("doc_id > 99")):
+        for name, step in corpus_pipeline.STAGES[:-1]:
+            before = docs.count()
+            docs = corpus_pipeline.stage(step(spark, docs, str(tmp_path)), name)
+            assert docs.columns == odd.columns
+            assert all(r[c] == c for r in docs.collect() for c in ("_key", "_row", "_topic", "_words", "pii_spans", "key", "full", "row", "toxic"))
+            assert docs.count() == before - (name == "near_duplicates" and before > 0) or name == "mixing"
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
