@@ -1,20 +1,20 @@
-"""Substring removal by suffix trees over prefix partitions.
+"""Substring removal by prefix-partitioned suffix trees.
 
-The suffixes of the corpus are its word positions with at least `window` words after them in their document. A suffix
-belongs to a group by a prefix of variable length: the words up to and including its anchor, which is the 6-word run
-of least hash (the leftmost of equals) in its first `window` words. Equal windows have equal anchors, so a suffix can repeat
-only within its group. Groups are made memory-sized in two ways: anchors that occur once in the corpus give no group
-(a bitmap of fixed size tells them; a false hit only costs work), and an anchor that occurs more often than a task should
-hold has its prefix lengthened to the whole window. Inside a group the suffixes are sorted; the internal nodes of the
-group's tree that lie `window` words deep or more are the runs of equal windows, and every suffix below such a node but
-the first (least doc_id, then least position) starts a repeat. Chained starts give maximal repeats, whose words go.
+The suffixes of the corpus are its word positions with at least `window` words after them in their document. They are read in letters of
+LETTER words. Suffixes are split by prefixes of variable length: one letter, and as long as a prefix holds more suffixes than
+`group_rows`, another one. Groups of one prefix are packed by hash into ranges, and ranges into tasks of about `task_rows` suffixes, as counted, so the
+memory of a task doesn't depend on the input. In a range the suffixes are sorted by their letters; the common prefixes of neighbours in
+that order are the tree, whose internal nodes that lie `window` words deep or more hold what repeats. Every suffix below such a node but
+the first (least doc_id, then least position) starts a repeat. The tree is cut at that depth, as all below repeats, however it goes on;
+chained starts give the maximal repeats, whose words go.
 
-A task sends on only the first of the suffixes that it holds under one node; it knows the others to be repeats. So a
-passage that a third of all documents hold costs one row a task.
+Suffixes that can't repeat give no leaf: equal windows have the same anchor, the 6-word run of least hash, and a bitmap of
+fixed size tells the anchors that occur once (a false hit only costs work). A task sends on only the first of the suffixes that it
+holds under one deep node; it knows the others to be repeats. So a passage that a third of all documents hold costs one row a task.
 
 Edge cases: null and empty texts have no words; rows alike in doc_id and text count as one document and share its result;
-rows that share only doc_id are told apart by a hash of the text; a null doc_id comes last; other columns are ignored; an empty table
-gives no rows.
+rows that share only doc_id are told apart by a hash of the text; a null doc_id comes last; a text longer than a chunk is read alone and
+whole; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import U, group_starts, inside, mix, pack, unpack, windows, word_hashes, words_of
 
-ANCHOR, WINDOW = 6, 20
+ANCHOR, WINDOW, LETTER = 6, 20, 4
 _POSITION = (1 << 26) - 1  # low bits of a sort key that hold a word's position in its chunk
 
 
@@ -51,7 +51,7 @@ def anchors(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return start, mix(grams[at]), at
 
 
-def once_or_more(batches: Iterator[pa.RecordBatch], size: int, bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def once_or_more(batches: Iterator[pa.RecordBatch], size: int, bits: int, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Map side of the anchor counts: for each hash range, the distinct anchors and how often each was seen."""
     held: list[np.ndarray] = []
 
@@ -140,64 +140,130 @@ def in_bitmap(bitmap: np.ndarray, key: np.ndarray, map_bits: int) -> np.ndarray:
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-def suffixes(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits: int, bitmap: np.ndarray, heavy: np.ndarray, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Map side of the trees: for each group range, the first suffix under every node that the task holds; and for each document the
-    starts of those known to repeat. Rows: bucket, documents (id, key), and packed document number, position, two hashes."""
+def letters(h: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """The first `size` words after each start as letters of 32 bits, two to a column (columns, starts)."""
+    one = windows(h, LETTER) >> U(32)
+    last = windows(h, size % LETTER) >> U(32) if size % LETTER else None
+    out = [one[start + k] for k in range(0, size - LETTER + 1, LETTER)] + ([last[start + size - size % LETTER]] if last is not None else [])
+    out += [np.zeros(len(start), U)] * (len(out) % 2)
+    return np.stack([(a << U(32)) | b for a, b in zip(out[::2], out[1::2], strict=True)])
+
+
+def by_letters(columns: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.lexsort((place, *columns[::-1]))
+
+
+def depths(columns: np.ndarray, size: int) -> np.ndarray:
+    """Of sorted suffixes: how many words each has in common with the one before it (0 for the first), counted in letters, `size` at most."""
+    depth = np.zeros(columns.shape[1], np.int64)
+    live = np.ones(max(0, len(depth) - 1), bool)
+    for c in columns:
+        for shift in (U(32), U(0)):
+            half = (c >> shift) & U(0xFFFFFFFF)
+            live &= half[1:] == half[:-1]
+            depth[1:] += LETTER * live
+    return np.minimum(depth, size)
+
+
+def prefix_keys(h: np.ndarray, start: np.ndarray, size: int, long: list[np.ndarray]) -> np.ndarray:
+    """The hash of each suffix's prefix: a letter, and one more as long as the prefix is one of the sorted long ones of its length."""
+    key = windows(h, min(LETTER, size))[start]
+    live = np.arange(len(start))
+    for k, over in enumerate(long, 2):
+        at = np.minimum(np.searchsorted(over, key[live]), len(over) - 1) if len(over) else live
+        live = live[over[at] == key[live]] if len(over) else live[:0]
+        if not len(live):
+            break
+        key[live] = mix(windows(h, min(k * LETTER, size))[start[live]] + U(k))
+    return key
+
+
+def live_suffixes(batches: Iterator[pa.RecordBatch], size: int, map_bits: int, bitmap: np.ndarray):
+    """Chunks with their words, word hashes and the starts of suffixes that may repeat."""
+    for chunk in common.chunks(batches):
+        w = words_of(chunk.column(1))
+        h = word_hashes(w)
+        start, anchor, _ = anchors(h, w.row, size)
+        yield chunk, w, h, start[in_bitmap(bitmap, anchor, map_bits)]
+
+
+def prefix_counts(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits: int, bitmap: np.ndarray, long: list[np.ndarray], flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Map side of the prefix counts: for each hash range, the distinct prefixes and how many suffixes each holds."""
+    held: list[np.ndarray] = []
+
+    def emit() -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        held.clear()
+        first = group_starts(keys)
+        return dealt(keys[first], np.diff(np.append(first, len(keys))).astype(np.int32), bits)
+
+    for _, _, h, start in live_suffixes(batches, size, map_bits, bitmap):
+        if len(start):
+            held.append(prefix_keys(h, start, size, long))
+        if sum(map(len, held)) >= flush:
+            yield emit()
+    if held:
+        yield emit()
+
+
+def long_prefixes(counts: DataFrame, more_than: int) -> tuple[np.ndarray, int]:
+    """The prefixes of more suffixes than that (fewer than all suffixes / more_than), and the number of all suffixes."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, time = merged(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([key[time > more_than].tobytes()], pa.binary()), pa.array([int(time.sum())])], ["long", "n"])
+
+    got = counts.repartition(common.shuffle_partitions(counts.sparkSession), "bucket").mapInArrow(lambda b: common.tidy(reduce(b)), "long binary, n bigint").collect()
+    return np.sort(np.concatenate([np.zeros(0, U), *(np.frombuffer(bytes(r.long), U) for r in got)])), sum(r.n for r in got)
+
+
+def suffixes(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits: int, bitmap: np.ndarray, long: list[np.ndarray], flush: int = 1_200_000) -> Iterator[pa.RecordBatch]:
+    """Map side of the trees: for each range of prefixes, the first suffix under every deep node that the task holds; and for each document the
+    starts of those known to repeat. Rows: bucket, documents (id, key), and packed document number, position, letters."""
     held: list[tuple[np.ndarray, ...]] = []
     ids: list[np.ndarray] = []
     keys: list[np.ndarray] = []
 
     def emit() -> Iterator[pa.RecordBatch]:
-        prefix, deep, check, doc, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        prefix, columns, doc, pos = (np.concatenate(c, axis=-1) for c in zip(*held, strict=True))
         all_ids, all_keys = np.concatenate(ids), np.concatenate(keys)
+        for a in (held, ids, keys):
+            a.clear()
         by = np.lexsort((all_keys, all_ids))
         fresh = np.zeros(len(by), bool)
         fresh[group_starts(all_ids[by], all_keys[by])] = True
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(fresh) - 1  # rows alike in doc_id and text share one
         place = (rank[doc].astype(U) << U(32)) | pos.astype(U)
-        order = np.lexsort((place, check, deep))
-        prefix, deep, check, doc, pos, place = (a[order] for a in (prefix, deep, check, doc, pos, place))
-        head = group_starts(deep, check)
-        first = np.zeros(len(deep), bool)
-        first[head] = True
+        order = by_letters(columns, place)
+        prefix, columns, doc, pos, place = (a[..., order] for a in (prefix, columns, doc, pos, place))
+        first = depths(columns, size) < size
+        head = np.flatnonzero(first)
         # The first one's place again, from a row alike, is no repeat: it shares what becomes of the first.
-        repeat = place != np.repeat(place[head], np.diff(np.append(head, len(deep))))
+        repeat = place != np.repeat(place[head], np.diff(np.append(head, len(place))))
         bucket = (prefix >> U(64 - bits)).astype(np.int32)
         for known, chosen in ((False, first), (True, repeat)):
-            b, d, p, h, c = (a[chosen] for a in (bucket, doc, pos, deep, check))
+            b, d, p, c = (a[..., chosen] for a in (bucket, doc, pos, columns))
             # Repeats known here go by document, so that their starts stay together.
             b = (d % (1 << bits)).astype(np.int32) if known else b
             order = np.lexsort((p, d, b))
-            b, d, p, h, c = (a[order] for a in (b, d, p, h, c))
+            b, d, p, c = (a[..., order] for a in (b, d, p, c))
             cut = np.append(group_starts(b), len(b))
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 local, number = np.unique(d[lo:hi], return_inverse=True)
-                none = np.zeros(0, U)
+                blobs = (pack(all_ids[local]), pack(all_keys[local]), pack(number.astype(np.int32), True), pack(p[lo:hi].astype(np.int32)), b"" if known else pack(c[:, lo:hi].reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(b[lo])], pa.int32()), pa.array([known]), pa.array([hi - lo], pa.int32()), pa.array([len(local)], pa.int32()),
-                        *(pa.array([x], pa.binary()) for x in (pack(all_ids[local]), pack(all_keys[local]), pack(number.astype(np.int32), True), pack(p[lo:hi].astype(np.int32)), pack(none if known else h[lo:hi]), pack(none if known else c[lo:hi].astype(np.uint32)))),
-                    ],
-                    ["bucket", "known", "n", "docs", "ids", "keys", "doc", "pos", "deep", "check"],
-                )
-        for a in (held, ids, keys):
-            a.clear()
+                    [pa.array([int(b[lo])], pa.int32()), pa.array([known]), pa.array([hi - lo], pa.int32()), pa.array([len(local)], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)],
+                    ["bucket", "known", "n", "docs", "ids", "keys", "doc", "pos", "letters"],
+                )
 
     docs = 0
-    for chunk in common.chunks(batches):
-        w = words_of(chunk.column(1))
-        h = word_hashes(w)
-        start, anchor, _ = anchors(h, w.row, size)
-        live = in_bitmap(bitmap, anchor, map_bits)
-        if live.any():
-            s, a = start[live], anchor[live]
-            deep, check = windows(h, size)[s], windows(mix(h + U(0x632BE59BD9B4E019)), size)[s] & U(0xFFFFFFFF)
-            long = np.isin(a, heavy) if len(heavy) else np.zeros(len(a), bool)
-            row = w.row[s]
-            held.append((np.where(long, mix(deep), a), deep, check, row.astype(np.int64) + docs, s - w.first[row]))
-        ids.append(np.asarray(chunk.column(0), dtype=np.int64))
-        keys.append(np.asarray(chunk.column(2), dtype=np.int64))
+    for chunk, w, h, start in live_suffixes(batches, size, map_bits, bitmap):
+        if len(start):
+            row = w.row[start]
+            held.append((prefix_keys(h, start, size, long), letters(h, start, size), row.astype(np.int64) + docs, start - w.first[row]))
+        ids.append(np.asarray(chunk.column(0), dtype=np.int64).copy())
+        keys.append(np.asarray(chunk.column(2), dtype=np.int64).copy())
         docs += chunk.num_rows
         if sum(len(x[0]) for x in held) >= flush:
             yield from emit()
@@ -206,38 +272,50 @@ def suffixes(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits:
         yield from emit()
 
 
-SUFFIXES = "bucket int, known boolean, n int, docs int, ids binary, keys binary, doc binary, pos binary, deep binary, check binary"
-
-
-def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The groups of one task: all suffixes below a deep node but the first start a repeat. Rows: document, packed starts."""
-    ids, keys, docs, poss, deeps, checks, certain, total = [], [], [], [], [], [], [], 0
-    for b in batches:
-        for known, n, d, i, k, doc, pos, deep, check in zip(*(b.column(c).to_pylist() for c in range(1, 10)), strict=True):
-            ids.append(unpack(i, d, np.int64))
-            keys.append(unpack(k, d, np.int64))
-            docs.append(unpack(doc, n, np.int32, True).astype(np.int64) + total)
-            poss.append(unpack(pos, n, np.int32).astype(np.int64))
-            deeps.append(np.zeros(n, U) if known else unpack(deep, n, U))
-            checks.append(np.zeros(n, np.uint32) if known else unpack(check, n, np.uint32))
-            certain.append(np.full(n, known))
-            total += d
-    if not docs:
-        return
-    all_ids, all_keys, doc, pos, deep, check, sure = (np.concatenate(x) for x in (ids, keys, docs, poss, deeps, checks, certain))
+SUFFIXES = "bucket int, known boolean, n int, docs int, ids binary, keys binary, doc binary, pos binary, letters binary"
+
+
+def trees(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The ranges of one task, which come sorted, one tree after the other. Rows: document, packed starts of repeats."""
+    last, parts = None, []
+    for whole in batches:
+        for at in range(0, whole.num_rows, 64):
+            for bucket, *part in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True):
+                if bucket != last and parts:
+                    yield from tree(parts, size)
+                    parts = []
+                last = bucket
+                parts.append(part)
+    if parts:
+        yield from tree(parts, size)
+
+
+def tree(parts: list[list], size: int) -> Iterator[pa.RecordBatch]:
+    wide = -(-(-(-size // LETTER)) // 2)
+    ids, keys, docs, poss, certain, columns, total = [], [], [], [], [], [np.zeros((wide, 0), U)], 0
+    for known, n, d, i, k, doc, pos, blob in parts:
+        ids.append(unpack(i, d, np.int64))
+        keys.append(unpack(k, d, np.int64))
+        docs.append(unpack(doc, n, np.int32, True).astype(np.int64) + total)
+        poss.append(unpack(pos, n, np.int32).astype(np.int64))
+        certain.append(np.full(n, known))
+        if not known:
+            columns.append(unpack(blob, n * wide, U).reshape(wide, n))
+        total += d
+    all_ids, all_keys, doc, pos, sure = (np.concatenate(x) for x in (ids, keys, docs, poss, certain))
     order = np.lexsort((all_keys, all_ids))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (all_ids[order][1:] != all_ids[order][:-1]) | (all_keys[order][1:] != all_keys[order][:-1])
+    fresh = np.zeros(len(order), bool)
+    fresh[group_starts(all_ids[order], all_keys[order])] = True
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh) - 1
     all_ids, all_keys, doc = all_ids[order][fresh], all_keys[order][fresh], rank[doc]
     place = (doc.astype(U) << U(32)) | pos.astype(U)
-    open_ = np.flatnonzero(~sure)
-    by = open_[np.lexsort((place[open_], check[open_], deep[open_]))]
-    head = group_starts(deep[by], check[by])
-    size = np.diff(np.append(head, len(by)))
-    lead = np.repeat(place[by][head], size)  # rows alike in doc_id and text meet here as one place
-    hit = np.unique(np.concatenate([place[sure], place[by][place[by] != lead]]))
+    leaf, column = place[~sure], np.concatenate(columns, axis=1)
+    by = by_letters(column, leaf)
+    leaf = leaf[by]
+    head = np.flatnonzero(depths(column[:, by], size) < size)
+    lead = np.repeat(leaf[head], np.diff(np.append(head, len(leaf))))  # rows alike in doc_id and text meet here as one place
+    hit = np.unique(np.concatenate([place[sure], leaf[leaf != lead]]))
     if not len(hit):
         return
     owner, start = (hit >> U(32)).astype(np.int64), (hit & U(0xFFFFFFFF)).astype(np.int32)
@@ -258,9 +336,9 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, map_bits: int = 27, group_rows: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, map_bits: int = 27, group_rows: int = 1 << 18, task_rows: int = 1 << 19) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text: the kept words joined by one space), repeats (array of first, end: maximal
-    runs of removed words).
+    runs of removed words). window: at least ANCHOR words.
 
     map_bits sets the bitmap of repeated anchors, 16 MB by default whatever the input.
     """
@@ -269,14 +347,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, map_bits: int = 27, gr
     last = F.lit(2**63 - 1)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), text.alias("text"), F.xxhash64(text).alias("_key"))
-    counts = rows.mapInArrow(lambda batches: once_or_more(batches, window, bits), DEALT)
-    bitmap, heavy = count_bitmap(counts, bits, map_bits, 1, group_rows)
-    sent = spark.sparkContext.broadcast((bitmap, heavy))
+    counts = rows.mapInArrow(lambda batches: common.tidy(once_or_more(batches, window, bits)), DEALT)
+    sent = spark.sparkContext.broadcast(count_bitmap(counts, bits, map_bits, 1, 1 << 62)[0])
+    long: list[np.ndarray] = []
+    total = 0
+    # Prefixes are lengthened until each holds group_rows suffixes at most, or is a whole window.
+    for _ in range(-(-window // LETTER)):
+        now = list(long)
+        over, total = long_prefixes(rows.mapInArrow(lambda batches, now=now: common.tidy(prefix_counts(batches, window, bits, map_bits, sent.value, now)), DEALT), group_rows)
+        if not len(over):
+            break
+        long.append(over)
+    known = spark.sparkContext.broadcast(long)
+    tasks = max(1, -(-total // task_rows))
+    range_bits = max(6, min(30, (8 * total // group_rows).bit_length()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return suffixes(batches, window, bits, map_bits, *sent.value)
+        return common.tidy(suffixes(batches, window, range_bits, map_bits, sent.value, known.value))
 
-    starts = rows.mapInArrow(spread, SUFFIXES).repartition(common.shuffle_partitions(spark), "bucket").mapInArrow(trees, "_id bigint, _key bigint, starts binary")
+    dealt_out = rows.mapInArrow(spread, SUFFIXES).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    starts = dealt_out.mapInArrow(lambda batches: common.tidy(trees(batches, window)), "_id bigint, _key bigint, starts binary")
     marked = starts.groupBy("_id", "_key").agg(F.collect_list("starts").alias("_starts"))
     joined = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), text.alias("text"), F.xxhash64(text).alias("_key")).join(marked, ["_id", "_key"], "left")
 

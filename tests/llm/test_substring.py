@@ -44,6 +44,26 @@ def test_random_small_alphabet_and_odd_texts(spark):
     for size in (8, 20):
         assert run(docs, window=size) == brute(rows, size)
     assert run(docs, window=8, group_rows=1, map_bits=18) == brute(rows, 8)
+    assert run(docs, window=10, group_rows=5, task_rows=50) == brute(rows, 10)
+
+
+def test_prefixes_are_lengthened_until_their_groups_fit():
+    h = np.repeat(np.arange(1, 41, dtype=np.uint64), 1)
+    start = np.arange(20)
+    short = substring.prefix_keys(h, start, 20, [])
+    longer = substring.prefix_keys(h, start, 20, [np.sort(short[:3])])
+    assert (longer[3:] == short[3:]).all() and not np.isin(longer[:3], short).any()
+    longest = substring.prefix_keys(h, start, 20, [np.sort(short[:3]), np.sort(longer[:1])])
+    assert longest[0] not in (longer[0], short[0]) and (longest[1:] == longer[1:]).all()
+
+
+def test_depths_are_common_prefixes():
+    h = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 5, 6, 7, 8, 0], np.uint64)
+    h = substring.mix(h)
+    columns = substring.letters(h, np.array([0, 9, 1]), 8)
+    order = substring.by_letters(columns, np.array([0, 9, 1], np.uint64))
+    assert sorted(substring.depths(columns[:, order], 8).tolist()) == [0, 0, 8]
+    assert sorted(substring.depths(substring.letters(h, np.array([0, 9]), 9), 9).tolist()) == [0, 8]
 
 
 def test_rows_alike(spark):
