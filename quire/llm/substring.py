@@ -275,22 +275,39 @@ def suffixes(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits:
 SUFFIXES = "bucket int, known boolean, n int, docs int, ids binary, keys binary, doc binary, pos binary, letters binary"
 
 
-def trees(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def trees(batches: Iterator[pa.RecordBatch], size: int, flush: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The ranges of one task, which come sorted, one tree after the other. Rows: document, packed starts of repeats."""
-    last, parts = None, []
+    last, parts, held = None, [], []
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        ids, keys, starts = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((starts, keys, ids))
+        ids, keys, starts = ids[order], keys[order], starts[order]
+        cut = np.append(group_starts(ids, keys), len(ids))
+        for lo in range(0, len(cut) - 1, 4096):
+            spans = list(zip(cut[lo : lo + 4096].tolist(), cut[lo + 1 : lo + 4097].tolist(), strict=False))
+            who = cut[lo : lo + len(spans)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(keys[who]), pa.array([starts[a:b].tobytes() for a, b in spans], pa.binary())], ["_id", "_key", "starts"])
+
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             for bucket, *part in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True):
                 if bucket != last and parts:
-                    yield from tree(parts, size)
+                    held.append(tree(parts, size))
                     parts = []
+                    if sum(len(x[2]) for x in held) >= flush:
+                        yield from emit()
                 last = bucket
                 parts.append(part)
     if parts:
-        yield from tree(parts, size)
+        held.append(tree(parts, size))
+    if held:
+        yield from emit()
 
 
-def tree(parts: list[list], size: int) -> Iterator[pa.RecordBatch]:
+def tree(parts: list[list], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one range: doc_id, key and start of every repeat."""
     wide = -(-(-(-size // LETTER)) // 2)
     ids, keys, docs, poss, certain, columns, total = [], [], [], [], [], [np.zeros((wide, 0), U)], 0
     for known, n, d, i, k, doc, pos, blob in parts:
@@ -316,16 +333,8 @@ def tree(parts: list[list], size: int) -> Iterator[pa.RecordBatch]:
     head = np.flatnonzero(depths(column[:, by], size) < size)
     lead = np.repeat(leaf[head], np.diff(np.append(head, len(leaf))))  # rows alike in doc_id and text meet here as one place
     hit = np.unique(np.concatenate([place[sure], leaf[leaf != lead]]))
-    if not len(hit):
-        return
-    owner, start = (hit >> U(32)).astype(np.int64), (hit & U(0xFFFFFFFF)).astype(np.int32)
-    cut = np.append(group_starts(owner), len(owner))
-    for lo in range(0, len(cut) - 1, 4096):
-        spans = list(zip(cut[lo : lo + 4096].tolist(), cut[lo + 1 : lo + 4097].tolist(), strict=False))
-        who = owner[[a for a, _ in spans]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(all_ids[who]), pa.array(all_keys[who]), pa.array([start[a:b].tobytes() for a, b in spans], pa.binary())], ["_id", "_key", "starts"]
-        )
+    owner = (hit >> U(32)).astype(np.int64)
+    return all_ids[owner], all_keys[owner], (hit & U(0xFFFFFFFF)).astype(np.int32)
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -336,14 +345,14 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, map_bits: int = 27, group_rows: int = 1 << 18, task_rows: int = 1 << 19) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, map_bits: int = 27, group_rows: int = 1 << 18, task_rows: int = 1 << 21) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text: the kept words joined by one space), repeats (array of first, end: maximal
     runs of removed words). window: at least ANCHOR words.
 
     map_bits sets the bitmap of repeated anchors, 16 MB by default whatever the input.
     """
     spark = docs.sparkSession
-    bits = (common.buckets_for(spark) * 2).bit_length() - 1
+    bits = max(6, (common.shuffle_partitions(spark) - 1).bit_length())
     last = F.lit(2**63 - 1)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), text.alias("text"), F.xxhash64(text).alias("_key"))
