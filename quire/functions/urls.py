@@ -31,7 +31,7 @@ def collapse_dots(path: Column) -> Column:
     """`.` and `..` segments of an absolute path resolved."""
     parts = F.split(path, "/", -1)
     kept = F.aggregate(
-        F.slice(parts, 2, 10_000),
+        F.slice(parts, F.lit(2), F.size(parts)),
         F.expr("cast(array() as array<string>)"),
         lambda a, p: F.when(p == "..", F.when(F.size(a) > 0, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)).when(p == ".", a).otherwise(F.array_append(a, p)),
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NAME = r"^Chapter\s+([0-9]+)(?:[^0-9].*)?\.pdf$"
+#: Fixed value: the name of a separate file, in any case.
+NAME = r"(?i)^Chapter\s+([0-9]+)(?:[^0-9].*)?\.pdf$"
 
 
 def existing_chapters(manifest: DataFrame) -> DataFrame:

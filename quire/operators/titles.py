@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import heading_number, heading_rest, strip_tags, title_suffix_trim
+from quire.functions.text import heading_number, heading_rest, strip_invisible, strip_tags, title_suffix_trim
 
-#: Where titles are looked for, in order: a name and the pattern of all its texts.
+#: Where titles are looked for, in order: a name and the pattern of all its texts.
 SOURCES = (
     ("span", r'(?i)<span[^>]*class="chapter"[^>]*>([\s\S]*?)</span>'),
     ("meta_name", r'(?i)<meta[^>]*property="og:novel:chapter_name"[^>]*content="([^"]*)"'),
@@ -20,14 +20,15 @@ MOST_HEADINGS = 30
 
 def candidates(pages: DataFrame) -> DataFrame:
     """page_id, rank, pos, text: every candidate title, the first of equal texts."""
-    each = [_ranked(pattern, rank) for rank, (_, pattern) in enumerate(SOURCES)]
-    rows = pages.select("page_id", F.explode(F.concat(*each)).alias("c")).select("page_id", "c.rank", "c.pos", strip_tags(F.col("c.text")).alias("text")).filter("text <> ''")
+    each = [_ranked(name, pattern, rank) for rank, (name, pattern) in enumerate(SOURCES)]
+    rows = pages.select("page_id", F.explode(F.concat(*each)).alias("c")).select("page_id", "c.rank", "c.pos", strip_invisible(strip_tags(F.col("c.text"))).alias("text")).filter("text <> ''")
     first = F.row_number().over(Window.partitionBy("page_id", "text").orderBy("rank", "pos"))
     return rows.withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
-def _ranked(pattern: str, rank: int) -> Column:
-    found = F.slice(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), 1, MOST_HEADINGS)
+def _ranked(name: str, pattern: str, rank: int) -> Column:
+    found = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+    found = F.slice(found, 1, MOST_HEADINGS) if name == "heading" else found
     return F.transform(found, lambda t, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), t.alias("text")))
 
 

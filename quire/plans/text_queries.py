@@ -38,11 +38,11 @@ NUMBER = lambda x: f"TRY_CAST(nullif(regexp_extract({x}, '{HEAD}', 1), '') AS BI
 REST = lambda x: d_ws(f"regexp_extract({x}, '{HEAD}', 2)")
 HEADING_OF = "CASE WHEN trim(title) = '' THEN 'Chapter ' || idx || '.' ELSE 'Chapter ' || idx || ': ' || trim(title) || '.' END"
 SAFE = lambda x: f"coalesce(nullif(trim(substr({d_ws(f'''regexp_replace({x}, '[:*?\"<>|/\\\\]+', '_', 'g')''')}, 1, 120)), ''), 'untitled')"
-DIRTY = "substr(text, 1, 60) || chr(8204) || chr(160) || substr(text, 61, 60) || chr(173) || '  ' || chr(65279)"
+DIRTY = "substr(text, 1, 60) || chr(8204) || chr(160) || substr(text, 61) || chr(173) || '  ' || chr(65279)"
 
 
 def dirty():
-    return F.concat(F.substring("text", 1, 60), F.lit("‌ "), F.substring("text", 61, 60), F.lit("­  ﻿"))
+    return F.concat(F.substring("text", 1, 60), F.lit("‌ "), F.expr("substring(text, 61)"), F.lit("­  ﻿"))
 
 
 @query(f"SELECT doc_id, {d_ws('text')} AS text FROM documents")
@@ -61,9 +61,10 @@ def markup_to_text(spark, sf_dir):
 
 
 SQL_SOURCES = " UNION ALL ".join(
-    f"SELECT page_id, {rank} AS rank, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS raw FROM (SELECT page_id, regexp_extract_all(html, '{pattern}', 1)[1:30] AS m FROM html_v)" for rank, (_, pattern) in enumerate(titles.SOURCES)
+    f"SELECT page_id, {rank} AS rank, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS raw FROM (SELECT page_id, regexp_extract_all(html, '{pattern}', 1){'[1:30]' * (name == 'heading')} AS m FROM html_v)" for rank, (name, pattern) in enumerate(titles.SOURCES)
 )
-CANDIDATES = f"tc0 AS ({SQL_SOURCES}), tc1 AS (SELECT page_id, rank, pos, {d_tags('raw')} AS text FROM tc0), tc AS (SELECT * FROM tc1 WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY page_id, text ORDER BY rank, pos) = 1)"
+CLEANED = d_ws(f"regexp_replace({d_tags('raw')}, '{fn.INVISIBLE}+', ' ', 'g')")
+CANDIDATES = f"tc0 AS ({SQL_SOURCES}), tc1 AS (SELECT page_id, rank, pos, {CLEANED} AS text FROM tc0), tc AS (SELECT * FROM tc1 WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY page_id, text ORDER BY rank, pos) = 1)"
 
 
 @query(with_views(HTML, CANDIDATES) + "SELECT page_id, rank, pos, text FROM tc")

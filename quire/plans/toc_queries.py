@@ -172,11 +172,11 @@ def toc_summary(spark, sf_dir):
 
 
 # Escapes that scripts allow and JSON does not: a backslash before each of the texts' spaces.
-@query(r"""SELECT doc_id, regexp_replace(replace(substr(text, 1, 200), ' ', '\ '), '\\([^"\\/bfnrtu]|$)', '\1', 'g') AS repaired FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(replace(text, ' ', '\ '), '\\([^"\\/bfnrtu]|$)', '\1', 'g') AS repaired FROM documents""")
 def js_escape_repair(spark, sf_dir):
     from quire.functions.scripts import repair_escapes
 
-    return table(spark, sf_dir, "documents").select("doc_id", repair_escapes(F.replace(F.substring("text", 1, 200), F.lit(" "), F.lit("\\ "))).alias("repaired"))
+    return table(spark, sf_dir, "documents").select("doc_id", repair_escapes(F.replace(F.col("text"), F.lit(" "), F.lit("\\ "))).alias("repaired"))
 
 
 @query(

@@ -69,11 +69,17 @@ def fold_results(log: DataFrame, at: str) -> DataFrame:
             rows = rows.unionByName(spark.read.parquet(f"{at}/fold-{number - 1}"))
         best = rows.groupBy("run_id", "work", "idx").agg(F.min_by(F.struct("event_id", "classification"), rank).alias("b"))
         best.select("run_id", "work", "idx", "b.event_id", "b.classification").write.mode("overwrite").parquet(f"{at}/fold-{number}")
-        last.append(number)
 
-    last: list[int] = []
     log.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/fold-{last[-1]}")
+    done = folds(spark, at)
+    return spark.read.parquet(f"{at}/fold-{max(done)}") if done else spark.createDataFrame([], log.select(*keep).schema)
+
+
+def folds(spark: SparkSession, at: str) -> list[int]:
+    """The numbers of the batches folded so far; a rerun without new files adds none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/fold-*")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return [int(s.getPath().getName().removeprefix("fold-")) for s in found or ()]
 
 
 def breaker(log: DataFrame, at: str) -> DataFrame:

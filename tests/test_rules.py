@@ -129,3 +129,22 @@ def test_profiles():
         profile("nope")
     with pytest.raises(ValueError, match="profile_a"):
         register("profile_a")(lambda pages: pages)
+
+
+def test_titles_with_invisible_characters_and_more_than_thirty_spans(spark):
+    from quire.operators import titles
+
+    html = "".join(f'<span class="chapter">Part {i}</span>' for i in range(40)) + "<h1>Chapter‌ 12‍: The End</h1>"
+    found = titles.candidates(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert found.count() == 41
+    assert [tuple(r) for r in titles.best(found).collect()] == [(1, 12, "The End")]
+
+
+def test_names_in_any_case_and_paths_of_any_length(spark):
+    from quire.functions import urls
+    from quire.operators import resume
+
+    files = spark.createDataFrame([("w", "CHAPTER 7 - x.PDF"), ("w", "chapter 8.pdf"), ("w", "other.pdf")], "novel_slug string, book_file string")
+    assert sorted(r.idx for r in resume.existing_chapters(files).collect()) == [7, 8]
+    path = "/a" * 10_050 + "/../b"
+    assert spark.createDataFrame([(path,)], "p string").select(urls.collapse_dots(F.col("p"))).first()[0] == "/a" * 10_049 + "/b"

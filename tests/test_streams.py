@@ -17,3 +17,16 @@ def test_submissions_over_more_files_and_days_than_one_batch(spark, tmp_path):
     rows = registry.queries()["stream_submission_dedup"](spark, str(tmp_path)).collect()
     want = {((f"w{e % 6 % 20}"), 1 + e % 40) for e in range(120)}
     assert len(rows) == len(want) and {(r.work, r.idx) for r in rows} == want
+
+
+def test_folding_again_without_new_files_and_from_nothing(spark, tmp_path):
+    kind = "run_id string, work string, idx long, event_id long, classification string"
+    rows = [("r", "w", i % 7, i, "success" if i % 3 else "challenge") for i in range(40)]
+    for part in range(2):
+        spark.createDataFrame(rows[part::2], kind).repartition(9).write.mode("append").parquet(f"{tmp_path}/log.parquet")
+        log = streams.source(spark, str(tmp_path), "log")
+        first = sorted(map(tuple, streams.fold_results(log, f"{tmp_path}/at").collect()))
+        assert first == sorted(map(tuple, streams.fold_results(log, f"{tmp_path}/at").collect()))
+    assert [(r[2], r[3], r[4]) for r in first] == [(i, min(e for e in range(40) if e % 7 == i and e % 3), "success") for i in range(7)]
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none.parquet")
+    assert streams.fold_results(streams.source(spark, str(tmp_path), "none"), f"{tmp_path}/other").collect() == []
