@@ -275,7 +275,7 @@ def suffixes(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits:
 SUFFIXES = "bucket int, known boolean, n int, docs int, ids binary, keys binary, doc binary, pos binary, letters binary"
 
 
-def trees(batches: Iterator[pa.RecordBatch], size: int, flush: int = 500_000) -> Iterator[pa.RecordBatch]:
+def trees(batches: Iterator[pa.RecordBatch], size: int, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The ranges of one task, which come sorted, one tree after the other. Rows: document, packed starts of repeats."""
     last, parts, held = None, [], []
 
