@@ -32,7 +32,10 @@ def profile(key: str) -> Extract:
 
 @register("profile_a")
 def articles(pages: DataFrame) -> DataFrame:
-    return body.extract(pages)
+    """Pages whose text lies in the page itself; a column `number`, if there is one, says which chapter a page is."""
+    number = F.col("number") if "number" in pages.columns else F.lit(None).cast("long")
+    chapters = body.chapters_of(pages, pages.select("page_id", number.alias("number")))
+    return chapters.join(pages.select("page_id", "url"), "page_id").select("page_id", "url", "title", "paragraphs", "degraded", "failed")
 
 
 @register("profile_b")

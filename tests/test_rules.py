@@ -135,7 +135,8 @@ def test_titles_with_invisible_characters_and_more_than_thirty_spans(spark):
     from quire.operators import titles
 
     html = "".join(f'<span class="chapter">Part {i}</span>' for i in range(40)) + "<h1>Chapter‌ 12‍: The End</h1>"
-    found = titles.candidates(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    p = spark.createDataFrame([(1, html)], "page_id long, html string")
+    found = titles.candidates(p, nodes.nodes(p))
     assert found.count() == 41
     assert [tuple(r) for r in titles.best(found).collect()] == [(1, 12, "The End")]
 
@@ -148,3 +149,67 @@ def test_names_in_any_case_and_paths_of_any_length(spark):
     assert sorted(r.idx for r in resume.existing_chapters(files).collect()) == [7, 8]
     path = "/a" * 10_050 + "/../b"
     assert spark.createDataFrame([(path,)], "p string").select(urls.collapse_dots(F.col("p"))).first()[0] == "/a" * 10_049 + "/b"
+
+
+def best_of(spark, html, number=None):
+    p = spark.createDataFrame([(1, html)], "page_id long, html string")
+    fallback = p.select("page_id", F.lit(number).cast("long").alias("number")) if number else None
+    return [(r.number, r.title) for r in titles.best(titles.candidates(p, nodes.nodes(p)), fallback).collect()]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<div id="article"><p>Chapter‌ 9: The Gate</p><p>Text that follows.</p></div>', [(9, "The Gate")]),
+        ('<div id="article">' + "<p>x</p>" * 10 + "<p>Chapter 9: Too late</p></div>", []),
+        ('<div class="chapter"><p>Chapter 9: ' + "x" * 300 + "</p></div>", []),
+        ("<div><strong>Chapter 4</strong> The Fall</div>", [(4, "The Fall")]),
+        ("<div><span>Read Chapter 4</span><i></i>The <b>Fall</b></div>", [(4, "The")]),
+        ("<h2>Chapter 4</h2><p>" + "x" * 201 + "</p>", [(4, "")]),
+        ("<h2>Chapter 4</h2><div>" + "x" * 301 + "</div>", [(4, "")]),
+        ("<h1>Chapter <b>5</b>: A <i>b</i></h1>", [(5, "A b")]),
+        ("<p>nothing</p>", []),
+    ],
+)
+def test_titles(spark, html, want):
+    assert best_of(spark, html) == want
+
+
+def test_fallback_number(spark):
+    assert best_of(spark, "<p>nothing</p>", 7) == [(7, "")] and best_of(spark, "<h1>Chapter 3: X</h1>", 7) == [(3, "X")]
+
+
+def test_only_paragraphs_count(spark):
+    html = "<p>one <b>bold</b> word</p> advert <div>more</div><P class='x'>two<p>three</p><pre>no</pre><p/>"
+    assert one(spark, body.paragraphs(F.col("h")), h=html) == ["one bold word", "two", "three"]
+
+
+def test_chapters_of(spark):
+    text = "A sentence that stays <b>in</b> order here."
+    rows = [
+        (1, f"<h1>Chapter 1: Go</h1><article><p>Short</p></article><div class='chapter-body x'><p>{text}</p><p>{text}</p><p>Chapter 1: Go</p></div>"),
+        (2, f"<div><p>{text}</p>loose words</div>"), (3, "<article><p>Short</p></article>"), (4, None),
+        (5, f"<main><article><p>{text}</p></article></main>"),
+    ]
+    p = spark.createDataFrame(rows, "page_id long, html string")
+    got = body.chapters_of(p, p.select("page_id", F.col("page_id").alias("number"))).orderBy("page_id").collect()
+    plain = "A sentence that stays in order here."
+    assert [(r.title, r.paragraphs, r.degraded, r.failed) for r in got] == [("Go", [plain], False, False), ("", [plain], True, False), ("", [], True, True), ("", [], True, True), ("", [plain], True, False)]
+
+
+def test_payload_page_without_payload(spark):
+    html = "<h1></h1><h3 class='cha-tit'>The <i>Name</i></h3><div class='cha-words'><p>Kept.</p><p>Login first</p></div><article><p>Later.</p></article>"
+    p = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [(r.title, r.paragraphs) for r in body.dom_chapters(nodes.nodes(p)).collect()] == [("The Name", ["Kept."])]
+
+
+@pytest.mark.parametrize(
+    ("script", "want"),
+    [
+        ("g = {'a': '}', b: {c: \"\\\"}\"}}; x", "{'a': '}', b: {c: \"\\\"}\"}}"), ("g = {", None), ('g = {"a', None), ("h = {}", None), ("g", None), (None, None),
+        ("g = {'" + "\\'x" * 50_000 + "'}", "{'" + "\\'x" * 50_000 + "'}"),
+    ],
+)
+def test_assignment(spark, script, want):
+    p = spark.createDataFrame([(1, script)], "page_id long, html string")
+    assert [r.payload for r in nodes.assignment(p, "g").collect()] == [want]
