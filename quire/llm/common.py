@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -83,6 +84,12 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def tidy(batches: Iterator) -> Iterator:
     """The same batches; what the task freed goes back to the system at its end, as Spark keeps the worker for further tasks."""
     yield from batches
+    give_back()
+
+
+def give_back() -> None:
+    """Hands freed memory of this process back to the system."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

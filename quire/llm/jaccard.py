@@ -406,6 +406,7 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, map_bits: int =
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     counts = rows.mapInArrow(lambda batches: common.tidy(counted(batches, words, bits)), DEALT)
     often = spark.sparkContext.broadcast(count_bitmap(counts, bits, map_bits, COMMON, 1 << 62)[0])
+    common.give_back()
     found = common.stage(rows.mapInArrow(lambda batches: common.tidy(index(batches, words, percent, bits, often.value, map_bits)), INDEX.format(kind=kind)), "index")
     one = found.filter(F.col("n").isNotNull()).select("cid", "doc_id", "key", "n", "c1", "c2", "local")
     # Documents with equal sets are one class, which its first document stands for.
@@ -420,8 +421,8 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, map_bits: int =
     parts_of = members.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     wanted = members.join(parts_of, "cell").join(sets.select("rep", "key"), "rep")
 
-    marks = bitmap_of(wanted.select("key"))
-    sent = spark.sparkContext.broadcast(marks)
+    sent = spark.sparkContext.broadcast(bitmap_of(wanted.select("key")))
+    common.give_back()
 
     def hashed(chunk: pa.RecordBatch) -> pa.RecordBatch:
         at = np.asarray(chunk.column(2), dtype=np.int64) & (MARKS - 1)

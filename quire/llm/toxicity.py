@@ -282,6 +282,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_chars: in
     sample_chars characters each."""
     sample = training_rows(docs, labels, sample_rows, sample_chars).toPandas()
     model = fit(sample["text"].tolist(), np.asarray(sample["toxic"], dtype=bool)) if len(sample) else None
+    del sample
+    common.give_back()
     return docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
 
