@@ -277,13 +277,24 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inside the one task that holds the whole sample: the fitted model as a row, or no row."""
+    texts: list[str] = []
+    toxic: list[bool] = []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        toxic += batch.column(1).to_pylist()
+    model = fit(texts, np.asarray(toxic, dtype=bool)) if texts else None
+    if model is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([model[0].tobytes()], pa.binary()), pa.array([model[1]]), pa.array([model[2]])], ["weights", "slope", "shift"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_chars: int) -> tuple:
-    """The broadcast model and its key. It is fitted on the driver on at most 3 * sample_rows labelled texts of at most
-    sample_chars characters each."""
-    sample = training_rows(docs, labels, sample_rows, sample_chars).toPandas()
-    model = fit(sample["text"].tolist(), np.asarray(sample["toxic"], dtype=bool)) if len(sample) else None
-    del sample
-    common.give_back()
+    """The broadcast model and its key. It is fitted in one task on at most 3 * sample_rows labelled texts of at most
+    sample_chars characters each; only the model (1 MB) reaches the driver."""
+    sample = training_rows(docs, labels, sample_rows, sample_chars).repartition(1)
+    found = sample.mapInArrow(lambda batches: common.tidy(fitted(batches)), "weights binary, slope double, shift double").collect()
+    model = (np.frombuffer(found[0].weights, np.float32), found[0].slope, found[0].shift) if found else None
     return docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
 
