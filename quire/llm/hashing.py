@@ -172,3 +172,17 @@ def unpack(blob: bytes, n: int, kind: type, sorted_values: bool = False) -> np.n
     raw = pa.Codec("zstd").decompress(blob, decompressed_size=n * size, asbytes=True) if n else b""
     x = np.frombuffer(raw, np.uint8).reshape(size, n).T.copy().view(kind).reshape(n)
     return np.cumsum(x, dtype=kind) if sorted_values else x
+
+
+def spans(data: np.ndarray, at: np.ndarray, solid: np.ndarray) -> Words:
+    """Like words_of, but words are the runs of bytes that `solid` marks; a word never crosses a row."""
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    before, after = np.ones(n, bool), np.ones(n, bool)
+    before[1:] = ~solid[:-1]
+    after[:-1] = ~solid[1:]
+    start = np.flatnonzero(solid & (before | edge[:-1]))
+    end = np.flatnonzero(solid & (after | edge[1:])) + 1
+    first = np.searchsorted(start, at)
+    return Words(data, start, end, np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(first)), first)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, lm, mixing, pii, quality, substring, toxicity
+from . import ann, bpe, chat, jaccard, lm, mixing, pii, quality, ranking, substring, toxicity
 from .common import table
 
 
@@ -58,8 +58,24 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_chat": op4_chat, "op5_jaccard": op5_jaccard, "op6_ann": op6_ann, "op7_toxicity": op7_toxicity, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_substring": op10_substring}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_pii": op2_pii,
+        "op3_lm": op3_lm,
+        "op4_chat": op4_chat,
+        "op5_jaccard": op5_jaccard,
+        "op6_ann": op6_ann,
+        "op7_toxicity": op7_toxicity,
+        "op8_bpe": op8_bpe,
+        "op9_quality": op9_quality,
+        "op10_substring": op10_substring,
+        "op13_ranking": op13_ranking,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
