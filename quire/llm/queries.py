@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, lm, mixing, pii, quality, ranking, substring, toxicity
+from . import ann, bpe, chat, jaccard, lm, mixing, pii, quality, ranking, spelling, substring, toxicity
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
         "op10_substring": op10_substring,
+        "op11_spelling": op11_spelling,
         "op13_ranking": op13_ranking,
     }
 
