@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions import entities
+
 #: Unicode white space, spelt out because regex dialects differ in what \s holds.
 WS = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Characters that sites hide between words.
@@ -12,7 +14,6 @@ INVISIBLE = r"[\x{200B}\x{200C}\x{200D}\x{202C}\x{A0}\x{AD}\x{FEFF}]"
 HEADING = r"(?i)\bChapter" + WS + r"+([0-9]+)(?:" + WS + r"*[:\-]" + WS + r"*|" + WS + r"+)?(.*)$"
 #: Our own rules for what sites append to titles: pattern by rule, in order.
 TITLE_SUFFIXES = (r"(?i) *\| *Example *Reader.*$", r"(?i) *[|\-] *Sample *Novels.*$", r"(?i) *- *Read *Online.*$")
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def ws_collapse(text: Column) -> Column:
@@ -25,10 +26,8 @@ def strip_invisible(text: Column) -> Column:
 
 
 def entity_decode(text: Column) -> Column:
-    """Entities to characters, the ampersand last."""
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references to characters, by name and by number."""
+    return entities.decode(text)
 
 
 def entity_escape(text: Column) -> Column:
@@ -62,10 +61,14 @@ def title_suffix_trim(title: Column) -> Column:
     return F.btrim(title, F.lit(" -|:;."))
 
 
+#: The labels that a chapter's name may begin with, in the order in which they are taken away.
+LABELS = (r"(?i)^Chapter +[0-9]+ *[-–—:] *", r"(?i)^Chapter +[0-9]+ *$", r"(?i)^Chapter +[0-9]+ +")
+
+
 def title_only(raw: Column) -> Column:
     """A chapter name without its leading label and final dots."""
     raw = ws_collapse(raw)
-    for pattern in (r"(?i)^Chapter +[0-9]+ *[-–—:] *", r"(?i)^Chapter +[0-9]+ *$", r"(?i)^Chapter +[0-9]+ +"):
+    for pattern in LABELS:
         raw = F.regexp_replace(raw, pattern, "")
     return F.trim(F.rtrim(F.trim(raw), F.lit(".")))
 

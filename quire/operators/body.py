@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.scripts import assigned_object, repair_escapes
 from quire.functions.text import HEADING, is_degraded, markup_to_text, strip_tags, ws_collapse
-from quire.operators import nodes as trees
-from quire.operators.titles import CONTAINERS, best, candidates
-from quire.operators.toc import next_data
+from quire.operators import trees
+from quire.operators.quality import ASSIGNED
+from quire.operators.titles import CONTAINERS, NO_TEXTS, with_candidates, with_title
+from quire.operators.toc import CHAPTER_INFO, next_data
 
 #: Snippets of page chrome, by profile.
 NOISE = (
@@ -79,81 +81,90 @@ def distinct_chapters(chapters: DataFrame) -> DataFrame:
     return c.withColumn("_b", F.lag("_h").over(order)).filter(F.col("_b").isNull() | (F.col("_b") != F.col("_h"))).drop("_h", "_b")
 
 
-def container_paragraphs(tree: DataFrame, roots: DataFrame) -> DataFrame:
-    """page_id, rank, root_id, node_id, text of each non-empty <p> below the roots."""
-    p = tree.filter("tag = 'p' and text <> ''").select("page_id", "node_id", "text")
-    r = roots.select(F.col("page_id").alias("_p"), F.col("node_id").alias("root_id"), F.col("end_id").alias("_e"), "rank")
-    return p.join(r, (F.col("page_id") == F.col("_p")) & (F.col("node_id") > F.col("root_id")) & (F.col("node_id") <= F.col("_e"))).select("page_id", "rank", "root_id", "node_id", "text")
+def heading_line(number: Column, title: Column) -> Column:
+    """The line that a paragraph must not repeat."""
+    label = F.concat(F.lit("Chapter "), number.cast("string"))
+    return F.when(is_degraded(title), F.concat(label, F.lit("."))).otherwise(F.concat(label, F.lit(": "), title, F.lit(".")))
 
 
-def without_noise(rows: DataFrame, headings: DataFrame) -> DataFrame:
-    """Rows of paragraphs that stay, given each page's heading (page_id, heading)."""
-    r = rows.join(headings.select("page_id", "heading"), "page_id", "left")
-    return r.filter(noise_reason(F.col("text"), F.coalesce("heading", F.lit(""))).isNull()).drop("heading")
+def with_kept(rows: DataFrame) -> DataFrame:
+    """Parsed pages with `number` and `title`, and `kept`: the shown paragraphs that are no noise, as (id, text), in order."""
+    p = rows.withColumn("_heading", F.coalesce(heading_line(F.col("number"), F.col("title")), F.lit("")))
+    shown = F.transform(F.filter(trees.tagged("p"), lambda e: e["shown"]), lambda e: F.struct(e["id"].alias("id"), trees.shown_text_of(e).alias("text")))
+    return p.withColumn("kept", F.filter(shown, lambda x: noise_reason(x["text"], F.col("_heading"), collapsed=True).isNull())).drop("_heading")
 
 
-def best_container(kept: DataFrame) -> DataFrame:
-    """page_id, rank, root_id, score: the container with the most kept text, the earliest selector and element of equals."""
-    score = kept.groupBy("page_id", "rank", "root_id").agg(F.sum(F.length("text")).alias("score"))
-    order = F.struct((-F.col("score")).alias("s"), "rank", "root_id")
-    b = score.groupBy("page_id").agg(F.min(order).alias("b"))
-    return b.select("page_id", "b.rank", "b.root_id", (-F.col("b.s")).alias("score"))
+def with_container(rows: DataFrame) -> DataFrame:
+    """Rows of with_kept() and `container`: (score, rank, id, last) of the one with the most kept text, the earliest selector and element of
+    equals; null if none has any."""
 
+    def ranked(rank: int, selector: tuple[str, str]) -> Column:
+        return F.transform(trees.chosen(selector), lambda e: F.struct(F.lit(rank).alias("rank"), e["id"].alias("id"), e["last"].alias("last")))
 
-def headings_of(titles: DataFrame) -> DataFrame:
-    """page_id, number, title to page_id, heading: the line that a paragraph must not repeat."""
-    label = F.concat(F.lit("Chapter "), F.col("number").cast("string"))
-    return titles.select("page_id", F.when(is_degraded(F.col("title")), F.concat(label, F.lit("."))).otherwise(F.concat(label, F.lit(": "), "title", F.lit("."))).alias("heading"))
+    each = [ranked(rank, s) for rank, s in enumerate(CONTAINERS)]
+    size = lambda c: F.aggregate(trees.inside(F.col("kept"), c), F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    scored = F.transform(F.concat(*each), lambda c: F.struct((-size(c)).alias("less"), c["rank"].alias("rank"), c["id"].alias("id"), c["last"].alias("last")))
+    best = F.array_min(F.filter(scored, lambda c: c["less"] < 0))
+    p = rows.withColumn("_c", best)
+    return p.withColumn("container", F.when(F.col("_c").isNotNull(), F.struct((-F.col("_c.less")).alias("score"), "_c.rank", "_c.id", "_c.last"))).drop("_c")
 
 
-def chapters_of(pages: DataFrame, index: DataFrame) -> DataFrame:
-    """Pages of any nesting, and the chapter each is (page_id, number), to page_id, title, paragraphs, degraded, failed.
+def with_paragraphs(rows: DataFrame) -> DataFrame:
+    """Rows of with_container() and `paragraphs`: the kept ones of the container, of the whole page if none has any, without repeats."""
+    own = F.when(F.col("container").isNotNull(), trees.inside(F.col("kept"), F.col("container"))).otherwise(F.col("kept"))
+    return rows.withColumn("paragraphs", without_repeats(F.transform(own, lambda x: x["text"])))
 
-    The title is the best candidate's; paragraphs are those of the best container, of the whole page if none has any that stay; noise and
-    consecutive repeats are gone. Every page of the index has one row; a page without paragraphs has failed.
+
+def chapters_of(pages: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Pages of any nesting (page_id, html, others) to their other columns, title, paragraphs, degraded, failed.
+
+    The chapter that a page is stands in its column `number`, or in the index (page_id, number), of which every page then has one row. Titles
+    and paragraphs come from one parse: the best candidate's title; the paragraphs of the best container, of the whole page if
+    none has any that stay; noise and consecutive repeats are gone. A page without paragraphs has failed.
     """
-    whole = trees.nodes(pages)
-    title = best(candidates(pages, whole), index)
-    headings = headings_of(index.select("page_id", "number").join(title.select("page_id", "title"), "page_id"))
-    tree = trees.nodes(pages.select("page_id", drop_markers(F.col("html")).alias("html")))
-    page = F.lit(len(CONTAINERS))
-    roots = trees.chosen(tree, CONTAINERS).select("page_id", "node_id", "end_id", "rank")
-    # The whole page stands as the last container of all, and is asked only where no other has a paragraph that stays.
-    all_of = tree.filter("tag = 'p' and text <> ''").select("page_id", page.alias("rank"), F.lit(-1).alias("root_id"), "node_id", "text")
-    kept = without_noise(container_paragraphs(tree, roots).unionByName(all_of), headings)
-    score = F.sum(F.length("text")).alias("score")
-    each = kept.groupBy("page_id", "rank", "root_id").agg(score, F.array_sort(F.collect_list(F.struct("node_id", "text"))).alias("found"))
-    order = F.struct((F.col("rank") == page).alias("last"), (-F.col("score")).alias("s"), "rank", "root_id")
-    won = each.groupBy("page_id").agg(F.min_by("found", order).alias("found")).select("page_id", without_repeats(F.transform("found", lambda x: x["text"])).alias("paragraphs"))
-    out = title.select("page_id", "title").join(won, "page_id", "left").withColumn("paragraphs", F.coalesce("paragraphs", F.expr("cast(array() as array<string>)")))
-    return out.select("page_id", "title", "paragraphs", is_degraded(F.col("title")).alias("degraded"), (F.size("paragraphs") == 0).alias("failed"))
-
-
-def dom_chapters(tree: DataFrame) -> DataFrame:
-    """page_id, title, paragraphs of payload pages without payload: the first container that matches, the first title that isn't empty."""
-    roots = trees.chosen(tree, FALLBACK)
-    first = roots.groupBy("page_id").agg(F.min(F.struct("rank", "node_id", "end_id")).alias("f")).select("page_id", "f.rank", "f.node_id", "f.end_id")
-    rows = container_paragraphs(tree, first).filter(~is_junk(F.col("text")))
-    own = rows.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]).alias("paragraphs"))
-    # Of each selector only its first element counts; a title over 300 characters is no title.
-    heads = trees.chosen(tree, TITLES).groupBy("page_id", "rank").agg(F.min_by("text", "node_id").alias("t")).filter("t <> ''")
-    title = heads.groupBy("page_id").agg(F.min_by("t", "rank").alias("title"))
-    return own.join(title, "page_id", "left").select("page_id", "title", "paragraphs")
-
-
-def article_paragraphs(pages: DataFrame) -> DataFrame:
-    """Flat pages: paragraphs of the article, of the whole page if it has none that stay. No shuffle."""
+    if index is not None:
+        pages = index.select("page_id", "number").join(pages.drop("number"), "page_id", "left")
+    found = with_title(with_candidates(trees.parsed(pages)), F.col("number"))
+    out = with_paragraphs(with_container(with_kept(found)))
+    others = [c for c in pages.columns if c not in ("html", "number", "title", "paragraphs", "degraded", "failed")]
+    return out.select(*others, "title", "paragraphs", is_degraded(F.col("title")).alias("degraded"), (F.size("paragraphs") == 0).alias("failed"))
+
+
+def with_dom(rows: DataFrame) -> DataFrame:
+    """Parsed pages and `dom`: title and paragraphs of a payload page without payload. Of each selector only the first element counts;
+    the first container that a page has, the first title that isn't empty."""
+    first = lambda s: F.get(trees.chosen(s), F.lit(0))
+    root = F.coalesce(*map(first, FALLBACK))
+    p = rows.withColumn("_root", root)
+    texts = F.transform(trees.inside(trees.tagged("p"), F.col("_root")), trees.text_of)
+    title = F.coalesce(*(F.nullif(trees.text_of(first(s)), F.lit("")) for s in TITLES))
+    kept = F.filter(texts, lambda t: (t != "") & ~is_junk(t))
+    return p.withColumn("dom", F.when(F.col("_root").isNotNull(), F.struct(title.alias("title"), kept.alias("paragraphs")))).drop("_root")
+
+
+def dom_chapters(pages: DataFrame) -> DataFrame:
+    """page_id, title, paragraphs of payload pages without payload that have a container with paragraphs that stay."""
+    found = with_dom(trees.parsed(pages.select("page_id", "html")))
+    return found.filter(F.size("dom.paragraphs") > 0).select("page_id", "dom.title", "dom.paragraphs")
+
+
+def article_paragraphs(pages: DataFrame, title: Column) -> DataFrame:
+    """Flat pages: the paragraphs of the article that stay, those of the whole page if it has none. No shuffle; the whole page is read
+    only where the article gives nothing."""
     article = F.regexp_extract(F.coalesce("html", F.lit("")), r"<(?:article|main)\b[^>]*>([\s\S]*?)</(?:article|main)>", 1)
-    p = pages.withColumns({"_a": paragraphs(article), "_w": paragraphs(F.coalesce("html", F.lit("")))})
-    return p.withColumn("raw", F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.col("_w"))).drop("_a", "_w")
+    stays = lambda found: F.filter(found, lambda t: noise_reason(t, title, collapsed=True).isNull())
+    own = pages.withColumn("_own", stays(paragraphs(article)))
+    return own.withColumn("kept", F.when(F.size("_own") > 0, F.col("_own")).otherwise(stays(paragraphs(F.coalesce("html", F.lit("")))))).drop("_own")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Flat pages to chapters: page_id, url, title, paragraphs (noise and repeats gone), degraded, failed."""
+    """Flat pages to chapters: page_id, url, title, paragraphs (noise and repeats gone), degraded, failed. A page whose text lies in a payload
+    gives the payload's."""
     title = F.coalesce(F.nullif(strip_tags(F.regexp_extract("html", r"<h1\b[^>]*>([\s\S]*?)</h1>", 1)), F.lit("")), strip_tags(F.regexp_extract("html", r"<title\b[^>]*>([\s\S]*?)</title>", 1)))
-    p = article_paragraphs(pages).withColumn("title", title)
-    kept = p.withColumn("_kept", F.filter("raw", lambda t: noise_reason(t, F.col("title"), collapsed=True).isNull()))
-    out = kept.withColumn("paragraphs", without_repeats(F.col("_kept")))
+    p = pages.withColumns({"title": title, "_payload": F.when(F.contains("html", F.lit("__NEXT_DATA__")) | F.contains("html", F.lit(ASSIGNED)), payload(F.col("html")))})
+    p = article_paragraphs(p, F.col("title"))
+    out = p.withColumn("paragraphs", F.when(F.size("_payload.paragraphs") > 0, F.col("_payload.paragraphs")).otherwise(without_repeats(F.col("kept"))))
+    out = out.withColumn("title", F.when(F.size("_payload.paragraphs") > 0, F.coalesce("_payload.title", F.lit(""))).otherwise(F.col("title")))
     return out.select("page_id", "url", "title", "paragraphs", is_degraded(F.col("title")).alias("degraded"), (F.size("paragraphs") == 0).alias("failed"))
 
 
@@ -162,13 +173,27 @@ def json_paragraphs(info: Column) -> Column:
     return F.filter(texts, lambda t: (t != "") & ~is_junk(t))
 
 
-def by_precedence(pages: DataFrame, assigned: DataFrame) -> DataFrame:
-    """page_id, source, paragraphs: of the JSON payload, the assignment, the page itself, the first with paragraphs that stay."""
-    none = F.expr("cast(array() as array<string>)")
-    j = pages.withColumn("info", next_data(F.col("html"))["props"]["pageProps"]["data"]["chapterInfo"]).withColumn("from_json", F.coalesce(json_paragraphs(F.col("info")), none))
-    a = assigned.select("page_id", F.coalesce(json_paragraphs(F.col("info")), none).alias("from_assignment"))
-    dom = F.filter(paragraphs(F.regexp_extract("html", r"<div\b[^>]*class=\"cha-words\"[^>]*>([\s\S]*?)</div>", 1)), lambda t: ~is_junk(t))
-    rows = j.withColumn("from_dom", dom).join(a, "page_id", "left").withColumn("from_assignment", F.coalesce("from_assignment", none))
-    source = F.when(F.size("from_json") > 0, "next_data").when(F.size("from_assignment") > 0, "assignment").when(F.size("from_dom") > 0, "dom").otherwise("none")
-    rows = rows.withColumn("source", source)
-    return rows.select("page_id", "source", F.when(F.col("source") == "next_data", F.col("from_json")).when(F.col("source") == "assignment", F.col("from_assignment")).otherwise(F.col("from_dom")).alias("paragraphs"))
+def chapter_payloads(html: Column) -> tuple[Column, Column]:
+    """(title, paragraphs) of the JSON payload and of the assigned one, as arrays that are empty where there is none."""
+    infos = next_data(html)["props"]["pageProps"]["data"]["chapterInfo"], F.from_json(repair_escapes(assigned_object(html, ASSIGNED)), CHAPTER_INFO)
+    told = lambda info: F.struct(info["chapterName"].alias("title"), json_paragraphs(info).alias("paragraphs"))
+    return tuple(F.transform(F.array_compact(F.array(info)), told) for info in infos)
+
+
+def payload(html: Column) -> Column:
+    """(title, paragraphs) of the first payload that has paragraphs that stay; null if none has."""
+    return F.get(F.filter(F.concat(*chapter_payloads(html)), lambda x: F.size(x["paragraphs"]) > 0), F.lit(0))
+
+
+def by_precedence(pages: DataFrame) -> DataFrame:
+    """Payload pages (page_id, html, others) to their other columns, source, title, paragraphs: of the JSON payload, the assignment and the page
+    itself, the first with paragraphs that stay. Each page is parsed once, and only if no payload has any."""
+    json_, assigned = chapter_payloads(F.col("html"))
+    stays = lambda found: F.get(F.filter(found, lambda x: F.size(x["paragraphs"]) > 0), F.lit(0))
+    p = pages.withColumns({"_json": stays(json_), "_assigned": stays(assigned)})
+    p = p.withColumn("html", F.when(F.col("_json").isNull() & F.col("_assigned").isNull(), F.col("html")))
+    p = with_dom(trees.parsed(p))
+    source = F.when(F.col("_json").isNotNull(), "next_data").when(F.col("_assigned").isNotNull(), "assignment").when(F.size("dom.paragraphs") > 0, "dom").otherwise("none")
+    found = F.coalesce("_json", "_assigned", "dom")
+    others = [c for c in pages.columns if c not in ("html", "source", "title", "paragraphs")]
+    return p.withColumns({"source": source, "_found": found}).select(*others, "source", "_found.title", F.coalesce("_found.paragraphs", F.expr(NO_TEXTS)).alias("paragraphs"))

@@ -1,131 +1,34 @@
-"""Pages to element rows, in one distributed pass with the standard library's parser.
+"""Element rows of pages, for queries that join or count them, and objects that scripts assign.
 
-Element x lies below element n if n.node_id < x.node_id <= n.end_id, so selectors become range joins inside a page. A <p> closes
-an open <p>; closing an element closes what is open inside it; script and style hold no text.
-
-own_text is what stands directly in an element; tail is what follows it up to its next sibling; text is all it holds, in the page's
-order, pieces joined by one space, white space collapsed. text is null for elements other than <p> that hold over SHORT characters:
-no rule looks at those, and a page of nested elements would otherwise be repeated at every level.
+Rules about titles and paragraphs read whole trees (operators.trees), which need no rows.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-COLUMNS = ["page_id", "node_id", "parent_id", "end_id", "tag", "attrs", "own_text", "text", "tail"]
-SCHEMA = "page_id bigint, node_id int, parent_id int, end_id int, tag string, attrs map<string,string>, own_text string, text string, tail string"
-SHORT = 300
-#: Script text in steps: strings with their escapes, braces, all else. Possessive, so that long strings need no stack.
-STEPS = r""""(?:[^"\\]++|\\[\s\S])*+"?|'(?:[^'\\]++|\\[\s\S])*+'?|[{}]|[^"'{}]++"""
-
-
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
-        self.open: list[int] = []
-        self.last: dict[int, int] = {}  # the latest child of each element
-        self.pieces: list[str] = []  # texts in the page's order
-        self.sizes = [0]  # their lengths, summed up
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "p" and any(self.nodes[i]["tag"] == "p" for i in self.open):
-            self.handle_endtag("p")
-        me, parent = len(self.nodes), self.open[-1] if self.open else -1
-        self.nodes.append({"parent": parent, "end": me, "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "own": [], "tail": [], "from": len(self.pieces), "to": None})
-        self.last[parent] = me
-        if tag not in VOID:
-            self.open.append(me)
-        else:
-            self.nodes[me]["to"] = len(self.pieces)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.nodes[self.open[k]]["tag"] == tag), None)
-        if at is not None:
-            self._shut(at)
-
-    def _shut(self, at: int) -> None:
-        for i in self.open[at:]:
-            self.nodes[i].update(end=len(self.nodes) - 1, to=len(self.pieces))
-        del self.open[at:]
-
-    def handle_data(self, data: str) -> None:
-        parent = self.open[-1] if self.open else -1
-        if parent in self.last:
-            self.nodes[self.last[parent]]["tail"].append(data)
-        if parent < 0 or self.nodes[parent]["tag"] in ("script", "style"):
-            return
-        self.nodes[parent]["own"].append(data)
-        clean = " ".join(data.split())
-        if clean:
-            self.pieces.append(clean)
-            self.sizes.append(self.sizes[-1] + len(clean) + 1)
-
-    def rows(self, page_id: int) -> Iterator[tuple]:
-        self._shut(0)
-        for i, n in enumerate(self.nodes):
-            lo, hi = n["from"], n["to"]
-            whole = n["tag"] == "p" or self.sizes[hi] - self.sizes[lo] - 1 <= SHORT
-            yield page_id, i, n["parent"], n["end"], n["tag"], n["attrs"], "".join(n["own"]), " ".join(self.pieces[lo:hi]) if whole else None, "".join(n["tail"])
+from quire.functions.scripts import assigned_object
+from quire.operators import trees
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """page_id, html to element rows; a null page has none."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 200):
-                out = []
-                for page_id, html in batch.iloc[lo : lo + 200].itertuples(index=False):
-                    tree = _Tree()
-                    tree.feed(html or "")
-                    tree.close()
-                    out.extend(tree.rows(page_id))
-                yield pd.DataFrame(out, columns=COLUMNS)
-
-    return pages.select("page_id", "html").mapInPandas(parse, SCHEMA)
-
-
-def below(tree: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Elements below (or equal to) the chosen ones: columns of tree, and root_id."""
-    roots = chosen.select(F.col("page_id").alias("_p"), F.col("node_id").alias("root_id"), F.col("end_id").alias("_e"))
-    inside = (F.col("page_id") == F.col("_p")) & F.col("node_id").between(F.col("root_id"), F.col("_e"))
-    return tree.join(roots, inside).drop("_p", "_e")
-
-
-def has_class(name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), " +"), name)
-
-
-def chosen(tree: DataFrame, selectors: tuple[tuple[str, str], ...]) -> DataFrame:
-    """page_id, node_id, end_id, rank, text: elements that a selector matches, once for each, with its rank."""
-    css = F.coalesce(F.col("attrs")["class"], F.lit(""))
-    tests = {
-        "id": lambda name: F.col("attrs")["id"] == name, "tag": lambda name: F.col("tag") == name, "class": has_class,
-        "div": lambda name: (F.col("tag") == "div") & has_class(name), "part": lambda name: F.contains(css, F.lit(name)),
-    }
-    ranks = F.filter(F.array(*(F.when(tests[kind](name), F.lit(rank)) for rank, (kind, name) in enumerate(selectors))), lambda r: r.isNotNull())
-    return tree.select("page_id", "node_id", "end_id", "text", F.explode(ranks).alias("rank"))
+    """page_id, node_id, parent_id, end_id, tag, attrs, own_text, text of each element; a null page has none.
+
+    Element x lies below element n if n.node_id < x.node_id <= n.end_id. own_text is what stands directly in an element; text is all it
+    holds, pieces joined by one space, white space collapsed.
+    """
+    own = lambda e: F.array_join(F.transform(F.filter("pieces", lambda p: p["owner"] == e["id"]), lambda p: p["text"]), " ")
+    rows = F.transform(
+        "elements",
+        lambda e: F.struct(
+            e["id"].alias("node_id"), e["parent"].alias("parent_id"), e["last"].alias("end_id"), e["tag"].alias("tag"), e["attrs"].alias("attrs"),
+            own(e).alias("own_text"), trees.text_of(e).alias("text"),
+        ),
+    )
+    return trees.parsed(pages.select("page_id", "html")).select("page_id", F.inline(rows))
 
 
 def assignment(pages: DataFrame, name: str) -> DataFrame:
-    """page_id, payload: the object assigned to `name` in a page's scripts, up to the brace that closes it outside strings; null if none."""
-    rest = F.nullif(F.regexp_extract("html", rf"(?s){re.escape(name)}[^=]*+=[^{{]*+(\{{.*)", 1), F.lit(""))
-    steps = F.regexp_extract_all("_rest", F.lit(STEPS), F.lit(0))
-    depth = lambda t: F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
-    walk = lambda s, t: F.when(s["done"], s).otherwise(F.struct((s["depth"] + depth(t)).alias("depth"), (s["size"] + F.length(t)).alias("size"), (s["depth"] + depth(t) == 0).alias("done")))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
-    p = pages.select("page_id", rest.alias("_rest")).withColumn("_w", F.aggregate(steps, start, walk))
-    return p.select("page_id", F.when(F.col("_w.done"), F.expr("substring(_rest, 1, _w.size)")).alias("payload"))
+    """page_id, payload: the object assigned to `name` in a page's scripts; null if none."""
+    return pages.select("page_id", assigned_object(F.col("html"), name).alias("payload"))

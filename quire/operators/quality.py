@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.scripts import assigned_object, repair_escapes
 from quire.functions.text import strip_tags
-from quire.operators.toc import next_data
+from quire.operators.toc import CHAPTER_INFO, next_data
+
+#: Fixed value: what a payload page assigns its chapter to.
+ASSIGNED = "g_data.chapInfo"
 
 #: Marks of interstitial pages; ambient ones count only where no content is.
 STRONG = ("just a moment", "cf-browser-verification", "cf_chl_opt", "_cf_chl_")
@@ -30,6 +34,20 @@ def has_json_payload(html: Column) -> Column:
     return F.contains(html, F.lit("__NEXT_DATA__")) & F.coalesce(next_data(html).isNotNull(), F.lit(False)) & ~raw.rlike(r"^(?:|\{\s*\}|\[\s*\]|null|false|0)$")
 
 
+def has_assigned_payload(html: Column) -> Column:
+    """A script assigns a chapter that has contents."""
+    info = F.from_json(repair_escapes(assigned_object(html, ASSIGNED)), CHAPTER_INFO)
+    return F.when(F.contains(html, F.lit(ASSIGNED)), F.coalesce(F.size(info["contents"]) > 0, F.lit(False))).otherwise(False)
+
+
+def classified(pages: DataFrame) -> DataFrame:
+    """Pages with what they hold (has_json, has_assignment, has_body; real: any), their marks (strong, ambient), and blocked. No shuffle."""
+    h = F.col("html")
+    p = pages.withColumns({"strong": has_any(h, STRONG), "ambient": has_any(h, AMBIENT), "has_json": has_json_payload(h), "has_assignment": has_assigned_payload(h), "has_body": has_populated_body(h)})
+    p = p.withColumn("real", F.col("has_json") | F.col("has_assignment") | F.col("has_body"))
+    return p.withColumn("blocked", ~F.col("real") & (F.col("strong") | F.col("ambient")))
+
+
 def has_populated_body(html: Column) -> Column:
     """A known container with enough text; an empty shell doesn't count."""
     return F.length(strip_tags(F.regexp_extract(html, BODY, 1))) >= MIN_BODY

@@ -1,92 +1,105 @@
-"""Title candidates and the best title of a page."""
+"""Title candidates and the best title of a page, from its element tree."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import HEADING, heading_number, heading_rest, strip_invisible, strip_tags, title_suffix_trim
-from quire.operators import nodes as trees
-
-#: Where titles are looked for, in order: a name, the pattern of its texts, how many of them count (None: all).
-SOURCES = (
-    ("span", r'(?i)<span[^>]*class="(?:[^"]* )?chapter(?: [^"]*)?"[^>]*>([\s\S]*?)</span>', None),
-    ("meta_name", r'(?i)<meta[^>]*property="og:novel:chapter_name"[^>]*content="([^"]*)"', 1),
-    ("heading", r"(?i)<h[1-6]\b[^>]*>([\s\S]*?)</h[1-6]>", 30),
-    ("container", None, 10),
-    ("title", r"(?i)<title\b[^>]*>([\s\S]*?)</title>", 1),
-    ("og_title", r'(?i)<meta[^>]*(?:property|name)="og:title"[^>]*content="([^"]*)"', 1),
-    ("twitter_title", r'(?i)<meta[^>]*(?:property|name)="twitter:title"[^>]*content="([^"]*)"', 1),
-    ("merged", None, None),
-)
-RANK = {name: rank for rank, (name, _, _) in enumerate(SOURCES)}
+from quire.functions.text import HEADING, heading_number, heading_rest, strip_invisible, title_suffix_trim
+from quire.operators import trees
+
+#: Where titles are looked for, in order.
+SOURCES = ("span", "meta_name", "heading", "container", "title", "og_title", "twitter_title", "merged")
+RANK = {name: rank for rank, name in enumerate(SOURCES)}
+#: How many headings of a page and lines of a container count, and the longest line.
+MOST_HEADINGS, MOST_LINES, LONGEST_LINE = 30, 10, 300
 #: Body containers in order of preference, as (kind, name).
-CONTAINERS = (("id", "article"), ("tag", "article"), ("id", "chapter-content"), ("class", "chapter-content"), ("class", "entry-content"), ("class", "read-content"), ("class", "novel-content"), ("class", "chapter-body"), ("class", "chapter"), ("tag", "main"))
+CONTAINERS = (
+    ("id", "article"), ("tag", "article"), ("id", "chapter-content"), ("class", "chapter-content"), ("class", "entry-content"),
+    ("class", "read-content"), ("class", "novel-content"), ("class", "chapter-body"), ("class", "chapter"), ("tag", "main"),
+)
 #: Elements whose bare label is merged with what follows, and the longest text that may follow.
 LABELS = ("strong", "span", "b", "p", "h1", "h2", "h3", "h4", "h5", "h6")
 LONGEST_FOLLOWER = 200
+NO_TEXTS = "cast(array() as array<string>)"
+
+
+def meta(*keys: str, name: str) -> Column:
+    """The content of the first <meta> that has `name` in the first of these attributes that any has."""
+
+    def first(key: str) -> Column:
+        return F.get(F.filter("elements", lambda e: (e["tag"] == "meta") & F.coalesce(trees.attribute(e, key) == name, F.lit(False))), F.lit(0))
+
+    tags = map(first, keys)
+    return F.array_compact(F.array(trees.attribute(F.coalesce(*tags), "content")))
+
+
+def container_lines() -> Column:
+    """Of the first <p> and <div> of each body container, the short ones that speak of a chapter."""
+    lines = F.transform(trees.tagged("p", "div"), lambda e: F.struct(e["id"].alias("id"), e["lo"].alias("lo"), e["hi"].alias("hi")))
+    each = [F.transform(trees.chosen(s), lambda c: F.transform(F.slice(trees.inside(lines, c), 1, MOST_LINES), trees.text_of)) for s in CONTAINERS]
+    return F.filter(F.flatten(F.concat(*each)), lambda t: F.contains(F.lower(t), F.lit("chapter")) & (F.length(t) <= LONGEST_LINE))
+
+
+def merged_headings() -> Column:
+    """Labels that end in a bare "Chapter N", merged with the text that follows them. It is left out if it is empty, too long or a heading itself."""
+    labels = F.transform(trees.tagged(*LABELS), lambda e: F.struct(e.alias("e"), strip_invisible(trees.text_of(e)).alias("text")))
+    bare = F.filter(labels, lambda x: heading_number(x["text"]).isNotNull() & (heading_rest(x["text"]) == ""))
+    both = F.transform(bare, lambda x: F.struct(heading_number(x["text"]).alias("n"), strip_invisible(trees.follower(x["e"])).alias("next")))
+    fits = F.filter(both, lambda x: (x["next"] != "") & (F.length(x["next"]) <= LONGEST_FOLLOWER) & ~x["next"].rlike(HEADING))
+    return F.transform(fits, lambda x: F.concat(F.lit("Chapter "), x["n"].cast("string"), F.lit(": "), x["next"]))
+
+
+def with_candidates(parsed: DataFrame) -> DataFrame:
+    """Parsed pages with `candidates`: array of (rank, pos, text), the first of equal texts, without empty ones."""
+    spans = F.filter("elements", lambda e: (e["tag"] == "span") & trees.has_class(e, "chapter"))
+    sources = {
+        "span": F.transform(spans, trees.text_of),
+        "meta_name": meta("property", name="og:novel:chapter_name"),
+        "heading": F.transform(F.slice(trees.tagged("h1", "h2", "h3", "h4", "h5", "h6"), 1, MOST_HEADINGS), trees.text_of),
+        "container": container_lines(),
+        "title": F.transform(F.slice(trees.tagged("title"), 1, 1), trees.text_of),
+        "og_title": meta("property", "name", name="og:title"),
+        "twitter_title": meta("property", "name", name="twitter:title"),
+        "merged": merged_headings(),
+    }
+
+    def ranked(name: str, texts: Column) -> Column:
+        return F.transform(texts, lambda t, i: F.struct(F.lit(RANK[name]).alias("rank"), i.alias("pos"), strip_invisible(t).alias("text")))
+
+    found = F.concat(*(ranked(name, texts) for name, texts in sources.items()))
+    p = parsed.withColumn("_all", F.filter(found, lambda c: c["text"] != "")).withColumn("_texts", F.transform("_all", lambda c: c["text"]))
+    first = F.filter("_all", lambda c, i: F.array_position("_texts", c["text"]) == i + 1)
+    return p.withColumn("candidates", first).drop("_all", "_texts")
+
+
+def with_title(rows: DataFrame, fallback: Column | None = None) -> DataFrame:
+    """Rows of with_candidates() with number and title: of the first candidate with both, else of the first with a number, else the
+    fallback number (or null) and an empty title."""
+    read = F.transform(
+        "candidates",
+        lambda c: F.struct(c["rank"].alias("rank"), c["pos"].alias("pos"), heading_number(c["text"]).alias("number"), title_suffix_trim(heading_rest(c["text"])).alias("title")),
+    )
+    known = F.filter(read, lambda c: c["number"].isNotNull())
+    ordered = F.transform(known, lambda c: F.struct((c["title"] == "").alias("e"), c["rank"].alias("rank"), c["pos"].alias("pos"), c["number"].alias("number"), c["title"].alias("title")))
+    p = rows.withColumn("_best", F.array_min(ordered))
+    number = F.coalesce("_best.number", fallback) if fallback is not None else F.col("_best.number")
+    return p.withColumns({"number": number, "title": F.coalesce("_best.title", F.lit(""))}).drop("_best")
+
+
+def candidates(pages: DataFrame) -> DataFrame:
+    """page_id, rank, pos, text of every candidate title of the pages."""
+    return with_candidates(trees.parsed(pages.select("page_id", "html"))).select("page_id", F.inline("candidates"))
+
+
+def best(pages: DataFrame, fallback: bool = False) -> DataFrame:
+    """page_id, number, title of each page that has a numbered candidate; with `fallback` of all pages, the others with their own
+    column `number` and an empty title."""
+    own = pages.select("page_id", "html", *([F.col("number").alias("_own")] if fallback else []))
+    found = with_title(with_candidates(trees.parsed(own)), F.col("_own") if fallback else None)
+    return found.select("page_id", "number", "title").filter(F.lit(fallback) | F.col("number").isNotNull())
 
 
-def candidates(pages: DataFrame, tree: DataFrame) -> DataFrame:
-    """page_id, rank, pos, text: every candidate title of the pages and of their element rows, the first of equal texts.
-
-    An element that holds over 300 characters is no candidate from a container and no label (a <p> may be a label at any length).
-    """
-    each = [_ranked(name, pattern, most) for name, pattern, most in SOURCES if pattern]
-    flat = pages.select("page_id", F.explode(F.concat(*each)).alias("c")).select("page_id", "c.rank", "c.pos", strip_tags(F.col("c.text")).alias("text"))
-    merged = split_headings(tree).select("page_id", F.lit(RANK["merged"]).alias("rank"), F.col("node_id").alias("pos"), F.col("heading").alias("text"))
-    rows = flat.unionByName(container_lines(tree)).unionByName(merged)
-    rows = rows.withColumn("text", strip_invisible(F.col("text"))).filter("text <> ''")
-    first = F.row_number().over(Window.partitionBy("page_id", "text").orderBy("rank", "pos"))
-    return rows.withColumn("_n", first).filter("_n = 1").drop("_n")
-
-
-def _ranked(name: str, pattern: str, most: int | None) -> Column:
-    found = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-    found = F.slice(found, 1, most) if most else found
-    return F.transform(found, lambda t, i: F.struct(F.lit(RANK[name]).alias("rank"), i.alias("pos"), t.alias("text")))
-
-
-def container_lines(tree: DataFrame) -> DataFrame:
-    """page_id, rank, pos, text: of the first ten <p> and <div> of each body container, the short ones that speak of a chapter."""
-    most = SOURCES[RANK["container"]][2]
-    roots = trees.chosen(tree, CONTAINERS).select(F.col("page_id").alias("_p"), F.col("node_id").alias("root_id"), "end_id", F.col("rank").alias("_r"))
-    lines = tree.filter("tag in ('p', 'div')").select("page_id", "node_id", "text")
-    inside = lines.join(roots, (F.col("page_id") == F.col("_p")) & (F.col("node_id") > F.col("root_id")) & (F.col("node_id") <= F.col("end_id")))
-    nth = F.row_number().over(Window.partitionBy("page_id", "_r", "root_id").orderBy("node_id"))
-    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("_r", "root_id", "node_id")) - 1
-    rows = inside.withColumn("_n", nth).filter(F.col("_n") <= most).withColumn("pos", pos)
-    rows = rows.filter(F.contains(F.lower("text"), F.lit("chapter")) & (F.length("text") <= trees.SHORT))
-    return rows.select("page_id", F.lit(RANK["container"]).alias("rank"), "pos", "text")
-
-
-def best(found: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    """page_id, number, title: the first candidate with a number and a title, else the first with a number.
-
-    fallback: page_id, number; its pages are all in the result, with that number and an empty title if no candidate has a number.
-    """
-    c = found.withColumns({"number": heading_number(F.col("text")), "title": title_suffix_trim(heading_rest(F.col("text")))}).filter("number is not null")
-    order = F.struct((F.col("title") == "").alias("e"), "rank", "pos")
-    picked = c.groupBy("page_id").agg(F.min_by(F.struct("number", "title"), order).alias("b"))
-    if fallback is None:
-        return picked.select("page_id", "b.number", "b.title")
-    all_pages = fallback.select("page_id", F.col("number").alias("_f")).join(picked, "page_id", "left")
-    return all_pages.select("page_id", F.coalesce("b.number", "_f").alias("number"), F.coalesce("b.title", F.lit("")).alias("title"))
-
-
-def split_headings(tree: DataFrame) -> DataFrame:
-    """A label that ends in a bare "Chapter N", merged with what follows: page_id, node_id, heading.
-
-    What follows is the next element's text; if that is empty or missing, the text right behind the label, or what comes next that isn't
-    empty. It is left out if it is longer than 200 characters or a heading itself.
-    """
-    spoken = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
-    # A null text is too long to follow a label: it stands as one too long, not as an empty one.
-    t = strip_invisible(F.coalesce("text", F.repeat(F.lit("x"), LONGEST_FOLLOWER + 1)))
-    rows = tree.withColumns({"_t": F.nullif(t, F.lit("")), "_tail": F.nullif(strip_invisible(F.col("tail")), F.lit(""))})
-    rows = rows.withColumn("_any", F.coalesce("_t", "_tail"))
-    later = F.first("_any", ignorenulls=True).over(spoken.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("next", F.coalesce(F.lead("_t").over(spoken), "_tail", later))
-    label = rows.filter(F.col("tag").isin(*LABELS) & F.col("text").isNotNull()).withColumns({"_n": heading_number(F.col("_t")), "_rest": heading_rest(F.col("_t"))})
-    bare = label.filter(F.col("_n").isNotNull() & (F.col("_rest") == "") & (F.length("next") <= LONGEST_FOLLOWER) & ~F.col("next").rlike(HEADING))
-    return bare.select("page_id", "node_id", F.concat(F.lit("Chapter "), F.col("_n").cast("string"), F.lit(": "), "next").alias("heading"))
+def split_headings(pages: DataFrame) -> DataFrame:
+    """page_id, heading: the labels of the pages that are merged with what follows."""
+    return trees.parsed(pages.select("page_id", "html")).select("page_id", F.explode(merged_headings()).alias("heading"))

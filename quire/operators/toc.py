@@ -12,6 +12,7 @@ ANCHOR = r'<a\b[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>'
 MIN_CHAPTERS = 10
 #: Schemas of payloads, as DDL.
 CHAPTER_INFO = "chapterId string, chapterIndex bigint, chapterName string, contents array<struct<content:string>>"
+BOOK = "bookInfo struct<bookId:string,bookName:string,chapterCnt:bigint,chapterNum:bigint>, volumeItems array<struct<volumeName:string,chapterItems:array<struct<chapterIndex:string,chapterId:string,chapterName:string>>>>"
 NEXT_DATA = (
     "props struct<pageProps:struct<data:struct<bookInfo:struct<bookId:string,bookName:string,chapterCnt:bigint,chapterNum:bigint>,volumeItems:array<struct<volumeName:string,chapterItems:array<struct<chapterIndex:string,chapterId:string,chapterName:string>>>>,"
     "chapterInfo:struct<chapterId:string,chapterIndex:bigint,chapterName:string,contents:array<struct<content:string>>>>>>"
@@ -53,7 +54,11 @@ def chapter_url(url: Column, template: Column, n: Column) -> Column:
 
 def gapfree(toc: DataFrame) -> DataFrame:
     """One row for each chapter 1..n_chapters: no gap is possible."""
-    rows = resolved(toc).filter("status = 'ok' and n_chapters >= 1")
+    return gapfree_of(resolved(toc))
+
+
+def gapfree_of(counted: DataFrame) -> DataFrame:
+    rows = counted.filter("status = 'ok' and n_chapters >= 1")
     rows = rows.select("ord", "novel_slug", "url", "url_template", F.explode(F.sequence(F.lit(1).cast("long"), "n_chapters")).alias("idx"))
     return rows.withColumn("chapter_url", chapter_url(F.col("url"), F.col("url_template"), F.col("idx")))
 
@@ -78,6 +83,11 @@ def next_data(html: Column) -> Column:
     return F.from_json(F.nullif(raw, F.lit("")), NEXT_DATA)
 
 
+def valid_item(item: Column) -> Column:
+    """Whether an entry of a payload's volumes is a chapter: a whole number and an id that isn't empty."""
+    return F.coalesce(item["chapterIndex"].try_cast("bigint").isNotNull() & (F.coalesce(item["chapterId"], F.lit("")) != ""), F.lit(False))
+
+
 def flattened(books: DataFrame) -> DataFrame:
     """page, volume and chapter of every entry of a payload's volumes; a volume without entries is empty."""
     v = books.select("page_id", "book_id", "base_url", F.posexplode("volumes").alias("volume", "v"))

@@ -4,17 +4,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import urls
+from quire.functions.profiles import extract_by_profile
 from quire.functions.text import chapter_raw_text, strip_tags
 from quire.operators import body as ops
-from quire.operators import books, nodes
-from quire.operators.quality import AMBIENT, STRONG, has_any, has_populated_body, is_garbled
-from quire.operators.titles import CONTAINERS
+from quire.operators import books, quality, titles, trees
+from quire.operators.quality import AMBIENT, STRONG
 from quire.operators.toc import next_data
 
 from .page_queries import ANY, ASSIGNED, BODY_OK, GARBLED, JSON_OK, assigned, classified
 from .registry import query
-from .text_queries import CANDIDATES, CONTAINER, HEAD, best_title_pick, chapter_numbers, d_every_p, d_tags, d_ws
-from .views import CHAPTERS, HTML, chapters, html_pages, table, with_views
+from .text_queries import CANDIDATES, CONTAINER, HEAD, RICH_TITLES, d_decode, d_every_p, d_tags, d_ws, with_numbers
+from .views import CHAPTERS, HTML, chapters, html_pages, rich_pages, table, with_views
 
 
 def d_drop(x: str) -> str:
@@ -39,7 +39,8 @@ JUNKY = "(" + " OR ".join(f"contains(lower(text), '{s}')" for s in ops.JUNK) + "
 REASON = d_reason(d_ws("text"), "raw_heading")
 ARTICLE = r"regexp_extract(coalesce(html, ''), '<(?:article|main)\b[^>]*>([\s\S]*?)</(?:article|main)>', 1)"
 EXTRACTED = rf"""ex0 AS (SELECT page_id, url, html, coalesce(nullif({d_tags("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")}, ''), {d_tags("regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)")}) AS title, {d_paragraphs(ARTICLE)} AS a, {d_paragraphs("html")} AS w FROM pages_v),
-ex1 AS (SELECT *, list_filter(CASE WHEN len(a) > 0 THEN a ELSE w END, lambda t: ({d_reason('t', 'title')}) IS NULL) AS kept FROM ex0),
+ex01 AS (SELECT *, list_filter(a, lambda t: ({d_reason('t', 'title')}) IS NULL) AS ka, list_filter(w, lambda t: ({d_reason('t', 'title')}) IS NULL) AS kw FROM ex0),
+ex1 AS (SELECT *, CASE WHEN len(ka) > 0 THEN ka ELSE kw END AS kept FROM ex01),
 extracted AS (SELECT page_id, url, title, list_filter(kept, lambda t, i: i = 1 OR t <> kept[i-1]) AS paragraphs FROM ex1)"""
 PAGES = "pages_v AS (SELECT page_id, url, html FROM pages)"
 HTML_PAGES = "pages_v AS (SELECT page_id, url, html FROM html_v)"
@@ -62,24 +63,19 @@ contained AS (SELECT page_id, title, rank, list_filter(a, lambda t: ({d_reason('
 
 
 def contained(spark, sf_dir):
-    """Pages without markers, and the paragraphs that stay of each container."""
-    p = html_pages(spark, sf_dir)
-    headings = ops.headings_of(chapter_numbers(p).join(best_title_pick(spark, sf_dir).select("page_id", "title"), "page_id"))
-    tree = nodes.nodes(p.select("page_id", ops.drop_markers(F.col("html")).alias("html")))
-    return tree, headings, ops.without_noise(ops.container_paragraphs(tree, nodes.chosen(tree, CONTAINERS)), headings)
+    """Pages with the paragraphs that stay, and the best container of each."""
+    found = titles.with_title(titles.with_candidates(trees.parsed(with_numbers(html_pages(spark, sf_dir)))), F.col("number"))
+    return ops.with_container(ops.with_kept(found))
 
 
 @query(with_views(HTML, CANDIDATES, CONTAINED) + "SELECT page_id, rank, list_sum(list_transform(kept, lambda t: length(t))) AS score FROM contained WHERE len(kept) > 0")
 def best_container(spark, sf_dir):
-    return ops.best_container(contained(spark, sf_dir)[2]).select("page_id", "rank", "score")
+    return contained(spark, sf_dir).filter("container is not null").select("page_id", "container.rank", "container.score")
 
 
 @query(with_views(HTML, CANDIDATES, CONTAINED) + "SELECT page_id, generate_subscripts(page_kept, 1) - 1 AS pos, unnest(page_kept) AS text FROM contained WHERE len(kept) = 0")
 def whole_page_fallback(spark, sf_dir):
-    tree, headings, kept = contained(spark, sf_dir)
-    rest = tree.filter("tag = 'p' and text <> ''").select("page_id", "node_id", "text").join(kept.select("page_id").distinct(), "page_id", "left_anti")
-    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")) - 1
-    return ops.without_noise(rest, headings).select("page_id", pos.alias("pos"), "text")
+    return contained(spark, sf_dir).filter("container is null").select("page_id", F.posexplode(F.transform("kept", lambda x: x["text"])).alias("pos", "text"))
 
 
 @query(with_views(CHAPTERS, PARA) + f"SELECT novel_slug, idx, doc_id, rep, pos, {REASON} AS reason FROM para")
@@ -137,15 +133,17 @@ def assignment_contents_paragraphs(spark, sf_dir):
 
 @query(with_views(HTML, DOM) + f"SELECT page_id, title, list(text ORDER BY i) AS paragraphs FROM d WHERE NOT {JUNKY} GROUP BY 1, 2")
 def dom_fallback_paragraphs(spark, sf_dir):
-    return ops.dom_chapters(nodes.nodes(html_pages(spark, sf_dir).filter(F.contains("html", F.lit("cha-words")))))
+    return ops.dom_chapters(html_pages(spark, sf_dir).filter(F.contains("html", F.lit("cha-words"))))
 
 
+#: Pages whose first container is the article or the main element.
+PLAIN_DOM = f"pd AS (SELECT page_id, unnest({d_paragraphs(ARTICLE)}) AS text FROM html_v WHERE NOT contains(html, 'cha-words'))"
 SOME = lambda view: f"page_id IN (SELECT page_id FROM {view} WHERE text <> '' AND NOT {JUNKY})"
 
 
-@query(with_views(HTML, CONTENTS, PAYLOAD, ASSIGNED_CONTENTS, DOM) + f"SELECT page_id, CASE WHEN {SOME('ct')} THEN 'next_data' WHEN {SOME('asg')} THEN 'assignment' WHEN {SOME('d')} THEN 'dom' ELSE 'none' END AS source FROM html_v")
+@query(with_views(HTML, CONTENTS, PAYLOAD, ASSIGNED_CONTENTS, DOM, PLAIN_DOM) + f"SELECT page_id, CASE WHEN {SOME('ct')} THEN 'next_data' WHEN {SOME('asg')} THEN 'assignment' WHEN {SOME('d')} OR {SOME('pd')} THEN 'dom' ELSE 'none' END AS source FROM html_v")
 def extraction_source_precedence(spark, sf_dir):
-    return ops.by_precedence(html_pages(spark, sf_dir), assigned(spark, sf_dir)).select("page_id", "source")
+    return ops.by_precedence(html_pages(spark, sf_dir)).select("page_id", "source")
 
 
 @query(with_views(HTML, HTML_PAGES, EXTRACTED) + f"SELECT e.page_id FROM extracted e JOIN html_v h USING (page_id) WHERE len(paragraphs) = 0 AND NOT (NOT {BODY_OK} AND ({ANY(STRONG)} OR {ANY(AMBIENT)})) AND NOT {JSON_OK} AND NOT {ASSIGNED}")
@@ -163,8 +161,29 @@ def degraded_chapter_report(spark, sf_dir):
 
 @query(with_views(HTML, CANDIDATES, CONTAINED, "fin AS (SELECT page_id, title, CASE WHEN len(kept) > 0 THEN kept ELSE page_kept END AS k FROM contained)") + "SELECT page_id, title, list_filter(k, lambda t, i: i = 1 OR t <> k[i-1]) AS paragraphs FROM fin")
 def site_profile_extraction(spark, sf_dir):
-    p = html_pages(spark, sf_dir)
-    return ops.chapters_of(p, chapter_numbers(p)).select("page_id", "title", "paragraphs")
+    return ops.chapters_of(with_numbers(html_pages(spark, sf_dir))).select("page_id", "title", "paragraphs")
+
+
+#: What each profile takes from each shape of page. Shapes without a container of profile_b give it nothing.
+BODY = r"regexp_extract(html, '<article>([\s\S]*?)</article>', 1)"
+RICH_TEXTS = rf"""ri1 AS (SELECT *, CASE WHEN title = '' THEN 'Chapter ' || number || '.' ELSE 'Chapter ' || number || ': ' || title || '.' END AS heading,
+  CASE k WHEN 2 THEN [w || ' one — two and three', 'after the nested one, ' || w] WHEN 3 THEN [w || '’s first words', 'Inner words of ' || w, 'Last words, past the inner part'] WHEN 4 THEN []
+    WHEN 5 THEN ['Main words stay here, ' || w] WHEN 6 THEN ['Good text outside of it, ' || w] WHEN 7 THEN {d_paragraphs(BODY)} ELSE {d_paragraphs(BODY)} END AS first_texts,
+  CASE k WHEN 1 THEN {d_paragraphs(BODY)} WHEN 3 THEN [w || '’s first words', 'Inner words of ' || w, 'Last words, past the inner part'] WHEN 4 THEN ['It’s ' || w || ' <3'] WHEN 5 THEN ['Main words stay here, ' || w]
+    WHEN 6 THEN ['short'] WHEN 7 THEN {d_paragraphs(BODY)} ELSE [] END AS second_texts,
+  CASE WHEN k = 3 THEN w WHEN k = 4 THEN w || ' end' WHEN k IN (1, 7) THEN trim(rtrim({d_tags(f"regexp_extract(CASE k WHEN 1 THEN {BODY} ELSE html END, '<h1>([^<]*)</h1>', 1)")}, '.')) ELSE '' END AS second_title FROM rich_v),
+ri2 AS (SELECT *, list_filter(first_texts, lambda t: ({d_reason('t', 'heading')}) IS NULL) AS kept, list_filter(second_texts, lambda t: t <> '' AND NOT {JUNKY.replace('text', 't')}) AS clean FROM ri1),
+ri3 AS (SELECT page_id, CASE adapter_key WHEN 'profile_a' THEN title WHEN 'profile_b' THEN CASE WHEN len(clean) > 0 OR k IN (1, 3, 7) THEN second_title ELSE '' END ELSE '' END AS title,
+  CASE adapter_key WHEN 'profile_a' THEN list_filter(kept, lambda t, i: i = 1 OR t <> kept[i-1]) WHEN 'profile_b' THEN clean ELSE [] END AS paragraphs, adapter_key FROM ri2)"""
+
+
+@query(
+    with_views(RICH_TITLES, RICH_TEXTS)
+    + "SELECT page_id, title, paragraphs, CASE WHEN adapter_key = 'profile_z' THEN 'unknown profile' WHEN len(paragraphs) = 0 THEN 'empty' ELSE 'ok' END AS status FROM ri3"
+)
+def profile_extraction(spark, sf_dir):
+    """Pages of all shapes, each by the profile that its key names; one key in three names none."""
+    return extract_by_profile(rich_pages(spark, sf_dir)).select("page_id", "title", "paragraphs", "status")
 
 
 BOOKS = r"""pb0 AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]+)', 1)) AS work FROM extracted WHERE len(paragraphs) > 0),
@@ -173,12 +192,11 @@ pb2 AS (SELECT work, (idx-1)//10 AS part, idx, array_to_string(list_prepend(CASE
 
 
 @query(
-    with_views(f"pages_v AS (SELECT page_id, url, html FROM pages WHERE NOT {GARBLED} AND NOT (NOT {BODY_OK} AND ({ANY(STRONG)} OR {ANY(AMBIENT)})))", EXTRACTED, BOOKS)
+    with_views(f"pages_v AS (SELECT page_id, url, html FROM pages WHERE NOT {GARBLED} AND NOT (NOT {JSON_OK} AND NOT {ASSIGNED} AND NOT {BODY_OK} AND ({ANY(STRONG)} OR {ANY(AMBIENT)})))", EXTRACTED, BOOKS)
     + "SELECT work, work || '_Chapters_' || min(idx) || '-' || max(idx) || '.txt' AS book_file, count(*) AS n_chapters, sum(length(raw)) AS n_chars, string_agg(raw, chr(12) || chr(10) || chr(10) ORDER BY idx) AS text FROM pb2 GROUP BY work, part"
 )
 def pages_to_books(spark, sf_dir):
     """The flagship: stored pages to assembled books of ten chapters a host."""
-    h = F.col("html")
-    p = table(spark, sf_dir, "pages").filter(~is_garbled(h) & (has_populated_body(h) | ~(has_any(h, STRONG) | has_any(h, AMBIENT))))
+    p = quality.classified(table(spark, sf_dir, "pages").filter(~quality.is_garbled(F.col("html")))).filter("not blocked").select("page_id", "url", "html")
     c = ops.extract(p).filter("not failed").withColumn("novel_slug", urls.host_key(F.col("url")))
     return books.assemble(books.numbered(c, "page_id"), size=10).select(F.col("novel_slug").alias("work"), "book_file", "n_chapters", "n_chars", "text")

@@ -8,12 +8,12 @@ from quire.operators import catalog as ops
 from .registry import query
 from .views import CATALOG, catalog, table, with_views
 
-JOBS = """jobs AS (SELECT ord AS job_id, novel_slug, CASE WHEN ord % 7 = 0 THEN 'profile_q' ELSE adapter_key END AS adapter_key, CASE WHEN ord % 2 = 0 THEN true END AS use_browser FROM catalog_v WHERE ord < 100001 OR ord = 100002)"""
+JOBS = """jobs AS (SELECT ord AS job_id, novel_slug, CASE WHEN ord % 7 = 0 THEN 'profile_q' ELSE adapter_key END AS adapter_key, CASE WHEN ord % 2 = 0 THEN true END AS use_browser FROM catalog_v WHERE ord > 0 OR ord = -2)"""
 
 
 def jobs(spark, sf_dir):
     """One job for each catalog row, some with an unknown key and some with an override."""
-    c = catalog(spark, sf_dir).filter("ord < 100001 or ord = 100002")
+    c = catalog(spark, sf_dir).filter("ord > 0 or ord = -2")
     return c.select(F.col("ord").alias("job_id"), "novel_slug", F.when(F.col("ord") % 7 == 0, "profile_q").otherwise(F.col("adapter_key")).alias("adapter_key"), F.when(F.col("ord") % 2 == 0, True).alias("use_browser"))
 
 

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from quire.functions.scripts import repair_escapes
-from quire.operators import nodes as trees
+from quire.functions.scripts import assigned_object, repair_escapes
 from quire.operators import quality as ops
+from quire.operators.quality import ASSIGNED as ASSIGNED_TO
 from quire.operators.toc import CHAPTER_INFO
 
 from .registry import query
@@ -20,18 +20,13 @@ GARBLED = "(length(html) >= 200 AND length(html) - length(replace(html, chr(6553
 
 
 def assigned(spark, sf_dir):
-    """page_id, contents of the assigned chapter payload."""
-    p = trees.assignment(html_pages(spark, sf_dir).filter(F.contains("html", F.lit("g_data.chapInfo"))), "g_data.chapInfo")
-    return p.select("page_id", "payload", F.from_json(repair_escapes(F.col("payload")), CHAPTER_INFO).alias("info"))
+    """page_id, payload and contents of the assigned chapter payload."""
+    p = html_pages(spark, sf_dir).filter(F.contains("html", F.lit(ASSIGNED_TO))).select("page_id", assigned_object(F.col("html"), ASSIGNED_TO).alias("payload"))
+    return p.withColumn("info", F.from_json(repair_escapes(F.col("payload")), CHAPTER_INFO))
 
 
 def classified(spark, sf_dir):
-    p = html_pages(spark, sf_dir)
-    with_assignment = assigned(spark, sf_dir).filter(F.size("info.contents") > 0).select("page_id", F.lit(True).alias("has_assignment"))
-    p = p.join(with_assignment, "page_id", "left").withColumn("has_assignment", F.coalesce("has_assignment", F.lit(False)))
-    p = p.withColumns({"strong": ops.has_any(F.col("html"), ops.STRONG), "ambient": ops.has_any(F.col("html"), ops.AMBIENT), "has_json": ops.has_json_payload(F.col("html")), "has_body": ops.has_populated_body(F.col("html"))})
-    p = p.withColumn("real", F.col("has_json") | F.col("has_assignment") | F.col("has_body"))
-    return p.withColumn("blocked", ~F.col("real") & (F.col("strong") | F.col("ambient")))
+    return ops.classified(html_pages(spark, sf_dir))
 
 
 @query(with_views(HTML) + f"SELECT page_id, {ANY(ops.STRONG)} AS strong, {ANY(ops.AMBIENT)} AS ambient FROM html_v")

@@ -5,11 +5,10 @@ from pyspark.sql import functions as F
 from quire.functions import text as fn
 from quire.operators import titles
 from quire.operators.body import CLOSED_P, OPEN_P
-from quire.operators.nodes import nodes
 from quire.operators.toc import next_data
 
 from .registry import query
-from .views import CHAPTERS, HTML, chapters, html_pages, table, with_views
+from .views import CHAPTERS, HTML, PLAIN, chapters, html_pages, rich_pages, table, with_views
 
 WS = fn.WS
 
@@ -18,11 +17,15 @@ def d_ws(x: str) -> str:
     return f"trim(regexp_replace(coalesce({x}, ''), '{WS}+', ' ', 'g'))"
 
 
+#: The names of character references that the tables and the dressed pages hold; numbers are read as numbers.
+NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "©", "middot": "·", "hellip": "…", "mdash": "—", "rsquo": "’"}
+
+
 def d_decode(x: str) -> str:
-    for name, char in fn.ENTITIES:
-        quoted = char.replace("'", "''")
-        x = f"replace({x}, '{name}', '{quoted}')"
-    return x
+    named = " ".join(f"WHEN starts_with(p, '{name};') THEN '{char}' || substr(p, {len(name) + 2})" for name, char in NAMES.items())
+    number = lambda kind, digits: f"chr(CAST('{kind}' || regexp_extract(p, '^#x?({digits}+);', 1) AS INTEGER)) || substr(p, strpos(p, ';') + 1)"
+    one = f"CASE WHEN regexp_matches(p, '^#[0-9]+;') THEN {number('', '[0-9]')} WHEN regexp_matches(p, '^#x[0-9a-f]+;') THEN {number('0x', '[0-9a-f]')} {named} ELSE '&' || p END"
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {one} END), '')"
 
 
 def d_tags(x: str) -> str:
@@ -67,8 +70,18 @@ def markup_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fn.markup_to_text(F.col("html")).alias("text"), fn.markup_to_text(F.col("url")).alias("plain"))
 
 
+#: Where the dressed pages hold titles, and how many of each count.
+PATTERNS = {
+    "span": (r'(?i)<span[^>]*class="(?:[^"]* )?chapter(?: [^"]*)?"[^>]*>([\s\S]*?)</span>', None),
+    "meta_name": (r'(?i)<meta[^>]*property="og:novel:chapter_name"[^>]*content="([^"]*)"', 1),
+    "heading": (r"(?i)<h[1-6]\b[^>]*>([\s\S]*?)</h[1-6]>", 30),
+    "title": (r"(?i)<title\b[^>]*>([\s\S]*?)</title>", 1),
+    "og_title": (r'(?i)<meta[^>]*(?:property|name)="og:title"[^>]*content="([^"]*)"', 1),
+    "twitter_title": (r'(?i)<meta[^>]*(?:property|name)="twitter:title"[^>]*content="([^"]*)"', 1),
+}
 SQL_SOURCES = " UNION ALL ".join(
-    f"SELECT page_id, {rank} AS rank, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS raw FROM (SELECT page_id, regexp_extract_all(html, '{pattern}', 1){f'[1:{most}]' if most else ''} AS m FROM html_v)" for rank, (name, pattern, most) in enumerate(titles.SOURCES) if pattern
+    f"SELECT page_id, {titles.RANK[name]} AS rank, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS raw FROM (SELECT page_id, regexp_extract_all(html, '{pattern}', 1){f'[1:{most}]' if most else ''} AS m FROM html_v)"
+    for name, (pattern, most) in PATTERNS.items()
 )
 #: The dressed pages hold one flat container each, and one kind of bare label, which stands before another element.
 CONTAINER = r"""regexp_extract(html, '<(?:div id="article"|article|main class="x")>([\s\S]*?)</(?:div|article|main)>', 1)"""
@@ -82,21 +95,29 @@ tp AS (SELECT page_id, number, title FROM tb WHERE number IS NOT NULL QUALIFY ro
 titles_v AS (SELECT h.page_id, coalesce(number, h.page_id + 1) AS number, coalesce(title, '') AS title FROM html_v h LEFT JOIN tp USING (page_id))"""
 
 
-def chapter_numbers(pages):
+def with_numbers(pages):
     """The chapter that each page is, as an index would say."""
-    return pages.select("page_id", (F.col("page_id") + 1).alias("number"))
+    return pages.withColumn("number", F.col("page_id") + 1)
 
 
 @query(with_views(HTML, CANDIDATES) + "SELECT page_id, rank, pos, text FROM tc")
 def title_candidates(spark, sf_dir):
-    p = html_pages(spark, sf_dir)
-    return titles.candidates(p, nodes(p))
+    return titles.candidates(html_pages(spark, sf_dir))
 
 
 @query(with_views(HTML, CANDIDATES) + "SELECT page_id, number, title FROM titles_v")
 def best_title_pick(spark, sf_dir):
-    p = html_pages(spark, sf_dir)
-    return titles.best(titles.candidates(p, nodes(p)), chapter_numbers(p))
+    return titles.best(with_numbers(html_pages(spark, sf_dir)), fallback=True)
+
+
+#: What the best title of each shape of page is, by the rules.
+RICH_TITLES = f"""ri0 AS (SELECT page_id, url, html, page_id + 1 AS number, page_id % 8 AS k, {PLAIN} AS w, ['profile_a', 'profile_b', 'profile_z'][1 + page_id // 8 % 3] AS adapter_key FROM pages),
+rich_v AS (SELECT *, CASE k WHEN 0 THEN w || '’s …' WHEN 1 THEN w || ' tail words' WHEN 2 THEN w WHEN 5 THEN w ELSE '' END AS title FROM ri0)"""
+
+
+@query(with_views(RICH_TITLES) + "SELECT page_id, number, title FROM rich_v")
+def titles_from_tree(spark, sf_dir):
+    return titles.best(rich_pages(spark, sf_dir), fallback=True)
 
 
 @query(f"SELECT page_id, 'Chapter 7: ' || t AS heading FROM (SELECT page_id, {d_tags("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS t FROM pages) WHERE t <> '' AND length(t) <= 200")
@@ -104,7 +125,7 @@ def split_heading_merge(spark, sf_dir):
     # Stored pages with their heading split: a bare label, and the title in the element after it.
     p = table(spark, sf_dir, "pages")
     split = F.regexp_replace("html", r"<h1>([^<]*)</h1>", F.lit("<div><strong>Chapter 7</strong><em>$1</em></div>"))
-    return titles.split_headings(nodes(p.select("page_id", split.alias("html")))).select("page_id", "heading")
+    return titles.split_headings(p.select("page_id", split.alias("html")))
 
 
 @query(with_views(CHAPTERS) + f"SELECT novel_slug, idx, doc_id, rep, {NUMBER(d_ws('raw_heading'))} AS number, {REST(d_ws('raw_heading'))} AS rest FROM chapters_v")

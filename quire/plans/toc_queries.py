@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import urls
+from quire.functions.profiles import index_by_profile
 from quire.operators import toc as ops
 
 from .registry import query
@@ -37,7 +38,7 @@ def host_key(spark, sf_dir):
 
 @query(f"SELECT page_id, nullif({ORIGIN.format('url')}, '') AS origin, nullif({ORIGIN.format('substr(url, 3)')}, '') AS broken FROM pages")
 def url_origin(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.origin(F.col("url")).alias("origin"), urls.origin(F.substring("url", 3, 1000)).alias("broken"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.origin(F.col("url")).alias("origin"), urls.origin(F.expr("substring(url, 3)")).alias("broken"))
 
 
 @query(r"""SELECT page_id, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href, trim(regexp_replace(unnest(t), '\s+', ' ', 'g')) AS text FROM (SELECT page_id, regexp_extract_all(html, '<a\b[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>', 1) AS h,
@@ -199,3 +200,34 @@ def chapter_index_load(spark, sf_dir):
     from quire.sources.index_files import load_index
 
     return load_index(catalog(spark, sf_dir).select("ord", raw.alias("raw")), "ord").select("ord", "idx")
+
+
+DATA_OF = "substr(payload, 30, length(payload) - 32)"
+
+
+def index_pages(spark, sf_dir):
+    """An index page for each enabled catalog row: links, a JSON payload, or (every other of these) a book that a script assigns."""
+    c = catalog(spark, sf_dir).filter("enabled")
+    linked = toc(spark, sf_dir).filter("adapter_key = 'profile_a'")
+    listed = c.filter("ord > 0 and adapter_key = 'profile_b'").join(books(spark, sf_dir), "host")
+    book = F.concat(F.lit("<script>g_data.book = "), F.expr(DATA_OF), F.lit(";</script>"))
+    page = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), "payload", F.lit("</script>"))
+    listed = listed.withColumn("html", F.when(F.col("ord") % 4 == 1, book).otherwise(page)).drop("payload")
+    pages = linked.unionByName(listed.select(linked.columns)).unionByName(c.filter("ord < 0").withColumn("html", F.lit("")).select(linked.columns))
+    return pages.withColumns({"book_id": F.concat(F.lit("s"), F.length("host")), "base_url": F.lit("https://site.example.com/")})
+
+
+@query(
+    with_views(CATALOG, TOC, LINKS, BOOKS, ENTRIES)
+    + """SELECT g.ord, g.idx, coalesce(replace(g.url_template, '{n}', CAST(g.idx AS VARCHAR)), g.url || '/chapter-' || g.idx) AS url, NULL AS title, NULL AS source_id, NULL AS error FROM generated g JOIN resolved r USING (ord) WHERE r.adapter_key = 'profile_a'
+UNION ALL SELECT ord, NULL, NULL, NULL, NULL, 'no chapter count' FROM resolved WHERE adapter_key = 'profile_a' AND coalesce(n_chapters, 0) < 1
+UNION ALL SELECT c.ord, e.idx, 'https://site.example.com/story/' || e.book_id || '/' || e.id, coalesce(e.name, 'Chapter ' || e.idx), e.id, NULL FROM catalog_v c
+  JOIN (SELECT host, book_id, TRY_CAST(json_extract_string(cj, '$.chapterIndex') AS BIGINT) AS idx, json_extract_string(cj, '$.chapterId') AS id, json_extract_string(cj, '$.chapterName') AS name FROM entries) e USING (host)
+  WHERE c.enabled AND c.ord > 0 AND c.adapter_key = 'profile_b' AND e.idx IS NOT NULL AND e.id <> ''
+UNION ALL SELECT ord, NULL, NULL, NULL, NULL, 'empty chapter list' FROM catalog_v c WHERE enabled AND ord > 0 AND adapter_key = 'profile_b'
+  AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.host = c.host AND TRY_CAST(json_extract_string(cj, '$.chapterIndex') AS BIGINT) IS NOT NULL AND json_extract_string(cj, '$.chapterId') <> '')
+UNION ALL SELECT ord, NULL, NULL, NULL, NULL, 'unknown profile' FROM catalog_v WHERE enabled AND ord < 0"""
+)
+def chapter_index_by_profile(spark, sf_dir):
+    """The index of each enabled catalog row by its profile: links or payloads to rows, and what goes wrong as rows."""
+    return index_by_profile(index_pages(spark, sf_dir)).select("ord", "idx", "url", "title", "source_id", "error")

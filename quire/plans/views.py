@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +88,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://"), F.col("host"), F.lit("/novel/"), F.col("ord")).alias("url"), (~(F.col("host").startswith("spam") | F.contains("host", F.lit("pills")))).alias("enabled"),
         F.when(F.col("ord") % 4 == 0, F.concat(F.lit("https://"), F.col("host"), F.lit("/c/{n}"))).alias("url_template"), F.when(F.col("ord") % 5 == 0, 12).cast("long").alias("chapter_count"), (F.col("ord") % 3 == 0).alias("use_browser"),
     )
-    extra = spark.sql("""SELECT * FROM VALUES (100001L,'w1','profile_z','z.example.com','https://z.example.com/novel/1',true,CAST(NULL AS STRING),CAST(NULL AS BIGINT),false),
-      (100002L,'w2','profile_z','z.example.com','https://z.example.com/novel/2',false,NULL,NULL,true), (100003L,'w1','profile_z','z.example.com','https://z.example.com/novel/1b',true,NULL,7L,false)
+    # Rows that hold what the error reports are about have numbers below zero, which no host has.
+    extra = spark.sql("""SELECT * FROM VALUES (-1L,'w1','profile_z','z.example.com','https://z.example.com/novel/1',true,CAST(NULL AS STRING),CAST(NULL AS BIGINT),false),
+      (-2L,'w2','profile_z','z.example.com','https://z.example.com/novel/2',false,NULL,NULL,true), (-3L,'w1','profile_z','z.example.com','https://z.example.com/novel/1b',true,NULL,7L,false)
       AS t(ord,novel_slug,adapter_key,host,url,enabled,url_template,chapter_count,use_browser)""")
     return c.unionByName(extra)
 
@@ -97,13 +100,13 @@ ch0 AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]
 ch1 AS (SELECT host, row_number() OVER (ORDER BY p, host) AS ord FROM ch0),
 catalog_v AS (SELECT ord, 'w' || ord % 20 AS novel_slug, CASE WHEN ord % 2 = 0 THEN 'profile_a' ELSE 'profile_b' END AS adapter_key, host, 'https://' || host || '/novel/' || ord AS url,
   NOT (starts_with(host, 'spam') OR contains(host, 'pills')) AS enabled, CASE WHEN ord % 4 = 0 THEN 'https://' || host || '/c/{n}' END AS url_template, CASE WHEN ord % 5 = 0 THEN 12 END AS chapter_count, ord % 3 = 0 AS use_browser FROM ch1
-  UNION ALL VALUES (100001,'w1','profile_z','z.example.com','https://z.example.com/novel/1',true,NULL,NULL,false), (100002,'w2','profile_z','z.example.com','https://z.example.com/novel/2',false,NULL,NULL,true),
-  (100003,'w1','profile_z','z.example.com','https://z.example.com/novel/1b',true,NULL,7,false))"""
+  UNION ALL VALUES (-1,'w1','profile_z','z.example.com','https://z.example.com/novel/1',true,NULL,NULL,false), (-2,'w2','profile_z','z.example.com','https://z.example.com/novel/2',false,NULL,NULL,true),
+  (-3,'w1','profile_z','z.example.com','https://z.example.com/novel/1b',true,NULL,7,false))"""
 
 
 # ---- toc_v: an index page for each enabled catalog row -----------------------------------------------------------------
 def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = catalog(spark, sf_dir).filter(F.col("enabled") & (F.col("ord") < 100000))
+    c = catalog(spark, sf_dir).filter(F.col("enabled") & (F.col("ord") > 0))
     n = F.array(*(F.lit(i).cast("long") for i in (1, 2, 3)), *(F.col("ord") + i for i in (6, 7, 8)))
     href = F.when(F.col("ord") % 3 == 0, F.lit("/about")).otherwise(F.lit(None))
     link = lambda i: F.concat(F.lit('<li><a href="'), F.coalesce(href, F.concat(F.lit("/novel/"), F.col("ord"), F.lit("/chapter-"), i)), F.lit('">Chapter '), i, F.lit("</a></li>"))
@@ -114,7 +117,7 @@ def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOC = """
 toc_v AS (SELECT *, '<ul>' || CASE WHEN ord % 9 = 0 THEN '' ELSE array_to_string(list_transform([1,2,3,ord+6,ord+7,ord+8],
   lambda i: '<li><a href="' || CASE WHEN ord % 3 = 0 THEN '/about' ELSE '/novel/' || ord || '/chapter-' || i END || '">Chapter ' || i || '</a></li>'), '') END || '</ul>' AS html
-  FROM catalog_v WHERE enabled AND ord < 100000)"""
+  FROM catalog_v WHERE enabled AND ord > 0)"""
 
 
 # ---- html_v: stored pages turned into the page shapes that the extraction rules are about -------------------------------
@@ -157,5 +160,36 @@ html_v AS (SELECT page_id, url, CASE WHEN page_id % 16 = 9 THEN '<div id="articl
   ELSE html END END AS html FROM hp1)"""
 
 
+# ---- rich_v: stored pages as sites write them: comments, nesting, quotes, references, labels far from their titles -------------
+#: A plain word or more of a page's heading, for texts whose form the statement must know.
+PLAIN = "coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&[a-z]+;|[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g')), ''), 'Word')"
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages dressed by page_id % 8, with the chapter number that an index would give and an adapter key by page_id // 8 % 3."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    p = p.withColumns({"body": F.regexp_extract("html", r"<article>([\s\S]*?)</article>", 1), "number": F.col("page_id") + 1, "k": F.col("page_id") % 8})
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), "&[a-z]+;|[^A-Za-z ]", " "), " +", " ")
+    p = p.withColumn("w", F.coalesce(F.nullif(F.trim(plain), F.lit("")), F.lit("Word")))
+    shapes = (
+        "<!-- <h1>Chapter 99: Commented</h1> --><h1 class=x>Chapter <strong>{n}</strong>: {w}&#8217;s &hellip;</h1><div id='article'>{body}</div>",
+        "<span class='big chapter'>Chapter {n}: <span>{w}</span> tail words</span><article>{body}</article>",
+        '<meta content="Chapter {n}: {w}" property="og:novel:chapter_name"><div class="entry-content"><div><p>{w} one &mdash; two and three</p></div><p>after the nested one, {w}</p></div>',
+        '<div class="cha-words"><p>{w}&#x2019;s first words</p><div class="in"><p>Inner words of {w}</p></div><p>Last words, past the inner part</p></div><h1>{w}</h1>',
+        '<script>g_data.book = {{"a":"}}"}};g_data.chapInfo = {{"chapterName":"Chapter {n}: {w}\\ end.","contents":[{{"content":"<p>It&rsquo;s\\ {w} &lt;3</p>"}},{{"content":"Report it"}},null]}};</script><div class="cha-words"></div>',
+        "<div><b>{long}Chapter {n}</b><i>{w}</i></div><main><p>Main words stay here, {w}</p></main>",
+        "<article><p>short</p></article><p>Good text outside of it, {w}</p>",
+        "{html}",
+    )
+    fields = {"n": F.col("number").cast("string"), "w": F.col("w"), "body": F.col("body"), "html": F.col("html"), "long": F.repeat(F.lit("a long label "), 30)}
+    dressed = None
+    for k, shape in enumerate(shapes):
+        parts = re.split(r"\{(n|w|body|html|long)\}", shape.replace("{{", "\x01").replace("}}", "\x02"))
+        text = F.concat(*(fields[x] if i % 2 else F.lit(x.replace("\x01", "{").replace("\x02", "}")) for i, x in enumerate(parts)))
+        dressed = F.when(F.col("k") == k, text) if dressed is None else dressed.when(F.col("k") == k, text)
+    key = F.get(F.array(*map(F.lit, ("profile_a", "profile_b", "profile_z"))), (F.floor(F.col("page_id") / 8) % 3).cast("int"))
+    return p.select("page_id", "url", "number", key.alias("adapter_key"), dressed.alias("html"))
+
+
 def with_views(*views: str) -> str:
     return "WITH " + ",".join(views) + "\n"

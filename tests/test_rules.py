@@ -102,7 +102,7 @@ def test_nodes(spark):
 
 def test_split_headings(spark):
     p = spark.createDataFrame([(1, "<div><b>Chapter 4</b><i>The Fall</i></div><div><b>Chapter 5</b><i>Chapter 6</i></div>")], "page_id long, html string")
-    assert [r.heading for r in titles.split_headings(nodes.nodes(p)).collect()] == ["Chapter 4: The Fall"]
+    assert [r.heading for r in titles.split_headings(p).collect()] == ["Chapter 4: The Fall"]
 
 
 def test_sinks_read_back(spark, tmp_path):
@@ -136,9 +136,8 @@ def test_titles_with_invisible_characters_and_more_than_thirty_spans(spark):
 
     html = "".join(f'<span class="chapter">Part {i}</span>' for i in range(40)) + "<h1>Chapter‌ 12‍: The End</h1>"
     p = spark.createDataFrame([(1, html)], "page_id long, html string")
-    found = titles.candidates(p, nodes.nodes(p))
-    assert found.count() == 41
-    assert [tuple(r) for r in titles.best(found).collect()] == [(1, 12, "The End")]
+    assert titles.candidates(p).count() == 41
+    assert [tuple(r) for r in titles.best(p).collect()] == [(1, 12, "The End")]
 
 
 def test_names_in_any_case_and_paths_of_any_length(spark):
@@ -153,8 +152,8 @@ def test_names_in_any_case_and_paths_of_any_length(spark):
 
 def best_of(spark, html, number=None):
     p = spark.createDataFrame([(1, html)], "page_id long, html string")
-    fallback = p.select("page_id", F.lit(number).cast("long").alias("number")) if number else None
-    return [(r.number, r.title) for r in titles.best(titles.candidates(p, nodes.nodes(p)), fallback).collect()]
+    p = p.withColumn("number", F.lit(number).cast("long")) if number else p
+    return [(r.number, r.title) for r in titles.best(p, fallback=bool(number)).collect()]
 
 
 @pytest.mark.parametrize(
@@ -200,7 +199,7 @@ def test_chapters_of(spark):
 def test_payload_page_without_payload(spark):
     html = "<h1></h1><h3 class='cha-tit'>The <i>Name</i></h3><div class='cha-words'><p>Kept.</p><p>Login first</p></div><article><p>Later.</p></article>"
     p = spark.createDataFrame([(1, html)], "page_id long, html string")
-    assert [(r.title, r.paragraphs) for r in body.dom_chapters(nodes.nodes(p)).collect()] == [("The Name", ["Kept."])]
+    assert [(r.title, r.paragraphs) for r in body.dom_chapters(p).collect()] == [("The Name", ["Kept."])]
 
 
 @pytest.mark.parametrize(
