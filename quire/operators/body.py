@@ -99,13 +99,13 @@ def with_container(rows: DataFrame) -> DataFrame:
     equals; null if none has any."""
 
     def ranked(rank: int, selector: tuple[str, str]) -> Column:
-        return F.transform(trees.chosen(selector), lambda e: F.struct(F.lit(rank).alias("rank"), e["id"].alias("id"), e["last"].alias("last")))
+        return F.transform(trees.chosen(selector, "_boxes"), lambda e: F.struct(F.lit(rank).alias("rank"), e["id"].alias("id"), e["last"].alias("last")))
 
     each = [ranked(rank, s) for rank, s in enumerate(CONTAINERS)]
     size = lambda c: F.aggregate(trees.inside(F.col("kept"), c), F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
     scored = F.transform(F.concat(*each), lambda c: F.struct((-size(c)).alias("less"), c["rank"].alias("rank"), c["id"].alias("id"), c["last"].alias("last")))
     best = F.array_min(F.filter(scored, lambda c: c["less"] < 0))
-    p = rows.withColumn("_c", best)
+    p = rows.withColumn("_boxes", trees.boxes("article", "main")).withColumn("_c", best).drop("_boxes")
     return p.withColumn("container", F.when(F.col("_c").isNotNull(), F.struct((-F.col("_c.less")).alias("score"), "_c.rank", "_c.id", "_c.last"))).drop("_c")
 
 
@@ -133,13 +133,12 @@ def chapters_of(pages: DataFrame, index: DataFrame | None = None) -> DataFrame:
 def with_dom(rows: DataFrame) -> DataFrame:
     """Parsed pages and `dom`: title and paragraphs of a payload page without payload. Of each selector only the first element counts;
     the first container that a page has, the first title that isn't empty."""
-    first = lambda s: F.get(trees.chosen(s), F.lit(0))
-    root = F.coalesce(*map(first, FALLBACK))
-    p = rows.withColumn("_root", root)
+    first = lambda s: F.get(trees.chosen(s, "_boxes"), F.lit(0))
+    p = rows.withColumn("_boxes", trees.boxes("article", "main", "h1")).withColumn("_root", F.coalesce(*map(first, FALLBACK)))
     texts = F.transform(trees.inside(trees.tagged("p"), F.col("_root")), trees.text_of)
     title = F.coalesce(*(F.nullif(trees.text_of(first(s)), F.lit("")) for s in TITLES))
     kept = F.filter(texts, lambda t: (t != "") & ~is_junk(t))
-    return p.withColumn("dom", F.when(F.col("_root").isNotNull(), F.struct(title.alias("title"), kept.alias("paragraphs")))).drop("_root")
+    return p.withColumn("dom", F.when(F.col("_root").isNotNull(), F.struct(title.alias("title"), kept.alias("paragraphs")))).drop("_root", "_boxes")
 
 
 def dom_chapters(pages: DataFrame) -> DataFrame:

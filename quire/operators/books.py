@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import chapter_heading, chapter_raw_text, safe_filename, ws_collapse
+from quire.operators.ordering import placed
 
 #: Fixed values of the heading rules.
 MOST_HEADING = 500
@@ -17,7 +18,8 @@ PAGE_BREAK = "\f\n\n"
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    return rows.withColumn("idx", F.row_number().over(Window.partitionBy("novel_slug").orderBy(order)).cast("long"))
+    """idx: the place of each row in its work's order. A work may hold most of all rows."""
+    return placed(rows, ("novel_slug",), (order,), "idx")
 
 
 def clamped(jobs: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -34,8 +36,8 @@ def in_range(jobs: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def with_part(chapters: DataFrame, size: int, *keys: str) -> DataFrame:
     """part: the consecutive group by position, not by index."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("idx", *[c for c in ("doc_id", "rep") if c in chapters.columns]))
-    return chapters.withColumn("part", F.floor((place - 1) / max(1, size)).cast("long"))
+    found = placed(chapters, keys, ("idx", *[c for c in ("doc_id", "rep") if c in chapters.columns]), "_place")
+    return found.withColumn("part", F.floor((F.col("_place") - 1) / max(1, size)).cast("long")).drop("_place")
 
 
 def group_key(mode: Column, idx: Column, part: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ordering import SLICE, earlier, sliced, with_summary, within
+
 #: Fixed values of the fetch policy.
 HOST_FLOOR_S, COOLDOWN_S = 3.0, 60
 STREAK, ROLLING, ROLLING_TRIP = 5, 20, 9
@@ -29,33 +31,62 @@ def network(log: DataFrame) -> DataFrame:
     return log.filter(~F.col("classification").isin("cache", "rate_limited"))
 
 
-def too_close(log: DataFrame, floor: float = HOST_FLOOR_S) -> DataFrame:
+def too_close(log: DataFrame, floor: float = HOST_FLOOR_S, slices: int | None = None) -> DataFrame:
     """Navigations to a host within `floor` seconds of the one before; cache reads are none."""
-    w = Window.partitionBy("host").orderBy(*ORDER)
-    rows = log.filter("classification <> 'cache'").withColumn("gap_us", micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(w))
-    return rows.filter(F.col("gap_us") < floor * 1e6)
+    rows = sliced(log.filter("classification <> 'cache'"), "host", *ORDER, slices=slices)
+    last = rows.groupBy("host", SLICE).agg(F.max(micros(F.col("ts"))).alias("_last"))
+    carried = last.withColumn("_carried", F.max("_last").over(earlier(("host",)))).drop("_last")
+    before = F.coalesce(F.lag(micros(F.col("ts"))).over(within(("host",), ORDER)), F.col("_carried"))
+    found = with_summary(rows, carried, ("host",)).withColumn("gap_us", micros(F.col("ts")) - before)
+    return found.filter(F.col("gap_us") < floor * 1e6).drop("_carried", SLICE)
 
 
-def in_cooldown(log: DataFrame) -> DataFrame:
+def in_cooldown(log: DataFrame, slices: int | None = None) -> DataFrame:
     """Navigations before the latest end of the host's earlier cooldowns."""
-    w = Window.partitionBy("host").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     end = F.when(F.col("classification") == "rate_limited", micros(F.col("ts")) + F.coalesce("retry_after", F.lit(COOLDOWN_S)) * 1_000_000)
-    rows = log.filter("classification <> 'cache'").withColumn("end", end).withColumn("until", F.max("end").over(w))
-    return rows.filter(micros(F.col("ts")) < F.col("until"))
-
-
-def streaks(log: DataFrame) -> DataFrame:
-    """network() with streak (challenges in a row, this one included) and rolling (challenges in the last ROLLING)."""
-    w = Window.partitionBy("run_id").orderBy(*ORDER)
-    bad = (F.col("classification") == "challenge").cast("int")
-    rows = network(log).withColumn("bad", bad).withColumn("island", F.sum(1 - F.col("bad")).over(w))
-    rows = rows.withColumn("streak", F.sum("bad").over(Window.partitionBy("run_id", "island").orderBy(*ORDER)))
-    return rows.withColumn("rolling", F.sum("bad").over(w.rowsBetween(-(ROLLING - 1), 0)))
-
-
-def trips(log: DataFrame) -> DataFrame:
+    rows = sliced(log.filter("classification <> 'cache'").withColumn("end", end), "host", *ORDER, slices=slices)
+    latest = rows.groupBy("host", SLICE).agg(F.max("end").alias("_end"))
+    carried = latest.withColumn("_carried", F.max("_end").over(earlier(("host",)))).drop("_end")
+    own = F.max("end").over(within(("host",), ORDER).rowsBetween(Window.unboundedPreceding, -1))
+    found = with_summary(rows, carried, ("host",)).withColumn("until", F.greatest(own, "_carried"))
+    return found.filter(micros(F.col("ts")) < F.col("until")).drop("_carried", SLICE)
+
+
+def streaks(log: DataFrame, slices: int | None = None) -> DataFrame:
+    """network() with streak (challenges in a row, this one included) and rolling (challenges in the last ROLLING).
+
+    A slice's summary is its streak at the end, whether it is all one streak, and its last results; those of earlier slices give the streak
+    and the results that it begins with.
+    """
+    key = ("run_id",)
+    rows = sliced(network(log).withColumn("bad", (F.col("classification") == "challenge").cast("int")), *key, *ORDER, slices=slices)
+    order = within(key, ORDER)
+    rows = rows.withColumns({"_at": F.row_number().over(order), "island": F.sum(1 - F.col("bad")).over(order)})
+    rows = rows.withColumn("_own", F.sum("bad").over(Window.partitionBy(*key, SLICE, "island").orderBy(*ORDER)))
+    rows = rows.withColumn("_near", F.sum("bad").over(order.rowsBetween(-(ROLLING - 1), 0)))
+    left = F.count("*").over(Window.partitionBy(*key, SLICE)) - F.col("_at")  # rows behind this one in its slice
+    ends = rows.withColumn("_left", left).filter(F.col("_left") < ROLLING).groupBy(*key, SLICE).agg(
+        F.max_by("_own", "_at").alias("_streak"), (F.max("island") == 0).alias("_whole"), F.transform(F.array_sort(F.collect_list(F.struct("_at", "bad"))), lambda x: x["bad"]).alias("_bits")
+    )
+    # A streak begins anew in each slice that isn't all challenges; those that are add to it.
+    slices_of = Window.partitionBy(*key).orderBy(SLICE)
+    ends = ends.withColumn("_island", F.sum(F.when(F.col("_whole"), 0).otherwise(1)).over(slices_of))
+    ends = ends.withColumn("_sum", F.sum("_streak").over(Window.partitionBy(*key, "_island").orderBy(SLICE)))
+    ends = ends.withColumn("_streak_in", F.coalesce(F.lag("_sum").over(slices_of), F.lit(0)))
+    bits = F.flatten(F.collect_list("_bits").over(slices_of.rowsBetween(-ROLLING, -1)))
+    ends = ends.withColumn("_bits_in", F.coalesce(bits, F.expr("cast(array() as array<int>)"))).select(*key, SLICE, "_streak_in", "_bits_in")
+    found = with_summary(rows, ends, key)
+    streak = F.col("_own") + F.when((F.col("island") == 0) & (F.col("bad") == 1), F.col("_streak_in")).otherwise(0)
+    # The first rows of a slice also look back at the results before it.
+    back = F.least(F.size("_bits_in"), F.greatest(ROLLING - F.col("_at"), F.lit(0)))
+    older = F.aggregate(F.slice("_bits_in", F.size("_bits_in") - back + 1, back), F.lit(0), lambda a, x: a + x)
+    rolling = F.col("_near") + F.when(back > 0, older).otherwise(0)
+    return found.withColumns({"streak": streak, "rolling": rolling}).drop("_at", "_own", "_near", "_streak_in", "_bits_in", SLICE)
+
+
+def trips(log: DataFrame, slices: int | None = None) -> DataFrame:
     """The first row of each armed run at which its breaker trips."""
-    hit = streaks(log).filter(F.col("armed") & ((F.col("streak") >= STREAK) | (F.col("rolling") >= ROLLING_TRIP)))
+    hit = streaks(log, slices).filter(F.col("armed") & ((F.col("streak") >= STREAK) | (F.col("rolling") >= ROLLING_TRIP)))
     first = F.min_by(F.struct("event_id", "streak", "rolling"), F.struct(*ORDER))
     return hit.groupBy("run_id").agg(first.alias("f")).select("run_id", "f.event_id", "f.streak", "f.rolling")
 

@@ -35,16 +35,17 @@ def meta(*keys: str, name: str) -> Column:
 
 
 def container_lines() -> Column:
-    """Of the first <p> and <div> of each body container, the short ones that speak of a chapter."""
-    lines = F.transform(trees.tagged("p", "div"), lambda e: F.struct(e["id"].alias("id"), e["lo"].alias("lo"), e["hi"].alias("hi")))
-    each = [F.transform(trees.chosen(s), lambda c: F.transform(F.slice(trees.inside(lines, c), 1, MOST_LINES), trees.text_of)) for s in CONTAINERS]
+    """Of the first <p> and <div> (the column _lines) of each body container (of the column _boxes), the short ones that speak of a chapter."""
+    each = [F.transform(trees.chosen(s, "_boxes"), lambda c: F.transform(F.slice(trees.inside(F.col("_lines"), c), 1, MOST_LINES), trees.text_of)) for s in CONTAINERS]
     return F.filter(F.flatten(F.concat(*each)), lambda t: F.contains(F.lower(t), F.lit("chapter")) & (F.length(t) <= LONGEST_LINE))
 
 
 def merged_headings() -> Column:
     """Labels that end in a bare "Chapter N", merged with the text that follows them. It is left out if it is empty, too long or a heading itself."""
-    labels = F.transform(trees.tagged(*LABELS), lambda e: F.struct(e.alias("e"), strip_invisible(trees.text_of(e)).alias("text")))
-    bare = F.filter(labels, lambda x: heading_number(x["text"]).isNotNull() & (heading_rest(x["text"]) == ""))
+    labels = F.transform(trees.tagged(*LABELS), lambda e: F.struct(e.alias("e"), trees.text_of(e).alias("raw")))
+    # Most labels don't even hold the word; only those that do are read further.
+    spoken = F.transform(F.filter(labels, lambda x: F.contains(F.lower(x["raw"]), F.lit("chapter"))), lambda x: F.struct(x["e"].alias("e"), strip_invisible(x["raw"]).alias("text")))
+    bare = F.filter(spoken, lambda x: heading_number(x["text"]).isNotNull() & (heading_rest(x["text"]) == ""))
     both = F.transform(bare, lambda x: F.struct(heading_number(x["text"]).alias("n"), strip_invisible(trees.follower(x["e"])).alias("next")))
     fits = F.filter(both, lambda x: (x["next"] != "") & (F.length(x["next"]) <= LONGEST_FOLLOWER) & ~x["next"].rlike(HEADING))
     return F.transform(fits, lambda x: F.concat(F.lit("Chapter "), x["n"].cast("string"), F.lit(": "), x["next"]))
@@ -52,7 +53,9 @@ def merged_headings() -> Column:
 
 def with_candidates(parsed: DataFrame) -> DataFrame:
     """Parsed pages with `candidates`: array of (rank, pos, text), the first of equal texts, without empty ones."""
-    spans = F.filter("elements", lambda e: (e["tag"] == "span") & trees.has_class(e, "chapter"))
+    lines = F.transform(trees.tagged("p", "div"), lambda e: F.struct(e["id"].alias("id"), e["lo"].alias("lo"), e["hi"].alias("hi")))
+    parsed = parsed.withColumns({"_lines": lines, "_boxes": trees.boxes("article", "main")})
+    spans = F.filter("_boxes", lambda e: (e["tag"] == "span") & trees.has_class(e, "chapter"))
     sources = {
         "span": F.transform(spans, trees.text_of),
         "meta_name": meta("property", name="og:novel:chapter_name"),
@@ -70,7 +73,7 @@ def with_candidates(parsed: DataFrame) -> DataFrame:
     found = F.concat(*(ranked(name, texts) for name, texts in sources.items()))
     p = parsed.withColumn("_all", F.filter(found, lambda c: c["text"] != "")).withColumn("_texts", F.transform("_all", lambda c: c["text"]))
     first = F.filter("_all", lambda c, i: F.array_position("_texts", c["text"]) == i + 1)
-    return p.withColumn("candidates", first).drop("_all", "_texts")
+    return p.withColumn("candidates", first).drop("_all", "_texts", "_lines", "_boxes")
 
 
 def with_title(rows: DataFrame, fallback: Column | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 HIDDEN = frozenset(("subtxt", "script", "style", "nav"))
 SCHEMA = (
     "pieces array<struct<text:string,owner:int,shown:boolean>>, "
-    "elements array<struct<id:int,parent:int,last:int,tag:string,attrs:map<string,string>,lo:int,hi:int,shown:boolean>>"
+    "elements array<struct<id:int,parent:int,last:int,tag:string,attrs:map<string,string>,classes:array<string>,lo:int,hi:int,shown:boolean>>"
 )
 #: Pages parsed before their rows are handed on.
 AT_ONCE = 100
@@ -45,7 +45,7 @@ class Tree(HTMLParser):
             self.handle_endtag("p")
         me, at = len(self.elements), len(self.pieces)
         own = {k: v or "" for k, v in reversed(attrs)}  # the first of equal names counts
-        self.elements.append({"id": me, "parent": self.open[-1] if self.open else -1, "last": me, "tag": tag, "attrs": list(own.items()), "lo": at, "hi": at, "shown": self.shown() and tag not in HIDDEN})
+        self.elements.append({"id": me, "parent": self.open[-1] if self.open else -1, "last": me, "tag": tag, "attrs": list(own.items()), "classes": own.get("class", "").split(), "lo": at, "hi": at, "shown": self.shown() and tag not in HIDDEN})
         if tag not in VOID:
             self.open.append(me)
 
@@ -112,7 +112,7 @@ def attribute(element: Column, name: str) -> Column:
 
 
 def has_class(element: Column, name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(attribute(element, "class"), F.lit("")), r"[ \t\r\n\f]+"), name)
+    return F.array_contains(element["classes"], name)
 
 
 #: How a (kind, name) selector tells an element: by id, tag, class, a class of a div, or a part of the class attribute.
@@ -125,10 +125,16 @@ KINDS: dict[str, Callable[[Column, str], Column]] = {
 }
 
 
-def chosen(selector: tuple[str, str]) -> Column:
-    """The elements that a selector matches, in order."""
+def boxes(*tags: str) -> Column:
+    """The elements that selectors can match: those with an id or a class, and those of the tags. A page has few, so a query that asks
+    several selectors makes them a column first."""
+    return F.filter("elements", lambda e: e["tag"].isin(*tags) | (F.size(e["classes"]) > 0) | F.map_contains_key(e["attrs"], "id"))
+
+
+def chosen(selector: tuple[str, str], among: str = "elements") -> Column:
+    """The elements of the column `among` that a selector matches, in order."""
     kind, name = selector
-    return F.filter("elements", lambda e: KINDS[kind](e, name))
+    return F.filter(among, lambda e: KINDS[kind](e, name))
 
 
 def tagged(*tags: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import urls
+from quire.operators.ordering import placed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +82,7 @@ fetch_log_v AS (SELECT event_id, ts, 'r' || user_id % 5 AS run_id, 'h' || user_i
 # ---- catalog_v: hosts of pages as a catalog, and three rows for the error reports --------------------------------------
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = table(spark, sf_dir, "pages").select("page_id", urls.host_key(F.col("url")).alias("host")).groupBy("host").agg(F.min("page_id").alias("p"))
-    # One row for each host: few beside the pages, so the order over all of them is cheap.
-    c = hosts.withColumn("ord", F.row_number().over(Window.orderBy("p", "host")).cast("long"))
+    c = placed(hosts, (), ("p", "host"), "ord")
     c = c.select(
         "ord", F.concat(F.lit("w"), F.col("ord") % 20).alias("novel_slug"), F.when(F.col("ord") % 2 == 0, "profile_a").otherwise("profile_b").alias("adapter_key"), "host",
         F.concat(F.lit("https://"), F.col("host"), F.lit("/novel/"), F.col("ord")).alias("url"), (~(F.col("host").startswith("spam") | F.contains("host", F.lit("pills")))).alias("enabled"),
