@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.staging import staged
+
 #: Fixed value: the name of a separate file, in any case.
 NAME = r"(?i)^Chapter\s+([0-9]+)(?:[^0-9].*)?\.pdf$"
 
@@ -38,6 +40,34 @@ def first_submissions(rows: DataFrame, by: str, *others: str) -> DataFrame:
     return rows
 
 
+def accepted_submissions(rows: DataFrame, *keys: str) -> DataFrame:
+    """What a sequential rule accepts per work: in order of event_id, each row whose `keys` (index, URL) no accepted row has had before.
+
+    In rounds: a row that is the first of those left in each of its keys is accepted, and rows that share a key with an accepted one
+    go. A round takes minima and joins, never a work or a chain of collisions in one task; each settles at least the first row of every
+    chain, and a chain of n rows takes n / 2 rounds at most. Null is a key value like others.
+    """
+    every = [c for c in rows.columns if c not in ("work", *keys, "event_id")]
+    # Of rows alike in all keys only the first can be accepted.
+    first = rows.groupBy("work", *keys).agg(F.min_by(F.struct("event_id", *every), "event_id").alias("_f")).select("work", *keys, "_f.*")
+    left, out = staged(first), None
+    while True:
+        best = left
+        for k in keys:
+            low = left.groupBy(F.col("work").alias("_w"), F.col(k).alias("_k")).agg(F.min("event_id").alias(f"_{k}"))
+            best = best.join(low, F.col("work").eqNullSafe(F.col("_w")) & F.col(k).eqNullSafe(F.col("_k"))).drop("_w", "_k")
+        for k in keys:
+            best = best.filter(F.col("event_id") == F.col(f"_{k}"))
+        best = staged(best.select(left.columns))
+        out = best if out is None else out.unionByName(best)
+        for k in keys:
+            gone = best.select(F.col("work").alias("_w"), F.col(k).alias("_k"))
+            left = left.join(gone, F.col("work").eqNullSafe(F.col("_w")) & F.col(k).eqNullSafe(F.col("_k")), "left_anti")
+        left = staged(left)
+        if left.isEmpty():
+            return out.select(rows.columns)
+
+
 def second_pass(attempts: DataFrame) -> DataFrame:
     """One row a chapter: a later success replaces a failure and counts as rescued."""
     ok = F.col("classification").isin("success", "cache")

@@ -57,6 +57,21 @@ def submission_dedup(spark, sf_dir):
     return ops.first_submissions(fetch_log(spark, sf_dir).withColumn("url", F.col("event_id") % 37), "idx", "url").select("work", "idx", "event_id")
 
 
+#: The rule row by row: what each work has seen so far, and whether its next row is new in both.
+SEQUENTIAL = with_views(FETCH_LOG).replace("WITH", "WITH RECURSIVE", 1).rstrip() + """,
+q0 AS (SELECT work, idx, event_id % 37 AS url, event_id, row_number() OVER (PARTITION BY work ORDER BY event_id) AS i FROM fetch_log_v),
+walk AS (SELECT DISTINCT work, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS indexes, CAST([] AS BIGINT[]) AS urls, false AS accepted, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS event_id FROM q0
+  UNION ALL SELECT w.work, q.i, CASE WHEN a THEN list_append(w.indexes, q.idx) ELSE w.indexes END, CASE WHEN a THEN list_append(w.urls, q.url) ELSE w.urls END, a, q.idx, q.event_id
+  FROM walk w JOIN q0 q ON q.work = w.work AND q.i = w.i + 1, LATERAL (SELECT NOT list_contains(w.indexes, q.idx) AND NOT list_contains(w.urls, q.url) AS a))
+SELECT work, idx, event_id FROM walk WHERE accepted"""
+
+
+@query(SEQUENTIAL)
+def submission_acceptance(spark, sf_dir):
+    """Submissions accepted one after the other, by index and URL at once."""
+    return ops.accepted_submissions(fetch_log(spark, sf_dir).select("work", "idx", (F.col("event_id") % 37).alias("url"), "event_id"), "idx", "url").select("work", "idx", "event_id")
+
+
 PASSES = """g AS (SELECT run_id, work, idx, count(*) AS attempts, arg_min(classification, event_id) AS first, bool_or(classification IN ('success','cache')) AS ok, arg_min(classification, event_id) FILTER (classification IN ('success','cache')) AS good, arg_max(classification, event_id) AS last FROM fetch_log_v GROUP BY 1, 2, 3)"""
 
 

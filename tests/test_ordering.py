@@ -73,3 +73,26 @@ def test_many_hosts_are_numbered(spark):
     out = ordering.placed(hosts, (), ("p", "host"), "ord")
     assert out.filter(F.col("ord") != F.col("p") / 3 + 1).count() == 0 and out.count() == 100_010
     assert "100000" not in views.TOC + views.CATALOG
+
+
+def sequential(rows):
+    seen, out = set(), set()
+    for work, idx, url, event in sorted(rows, key=lambda r: r[3]):
+        if (work, "i", idx) not in seen and (work, "u", url) not in seen:
+            seen |= {(work, "i", idx), (work, "u", url)}
+            out.add(event)
+    return out
+
+
+def test_chained_collisions_are_accepted_as_a_loop_would(spark):
+    import random
+
+    from quire.operators import resume
+
+    rng = random.Random(5)
+    chain = [("w", i // 2, (i + 1) // 2, i) for i in range(30)]  # each row shares its index with the next, its URL with the one before
+    mixed = [(rng.choice(["a", "b", None]), rng.choice([None, *range(12)]), rng.choice([None, *range(9)]), 100 + i) for i in range(300)]
+    rows = chain + mixed
+    df = spark.createDataFrame(rows, "work string, idx long, url long, event_id long")
+    assert {r.event_id for r in resume.accepted_submissions(df, "idx", "url").collect()} == sequential(rows)
+    assert resume.accepted_submissions(df.filter("event_id < 0"), "idx", "url").collect() == []
