@@ -109,8 +109,8 @@ def bitmap_of(phrases: DataFrame, n: int, map_bits: int) -> np.ndarray:
     place = F.call_function("shiftrightunsigned", F.col("id"), F.lit(64 - bits))
     cell, one = F.shiftrightunsigned(place, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
     out = np.zeros(1 << (bits - 6), U)
-    for r in phrases.groupBy(cell.alias("cell")).agg(F.bit_or(one).alias("mask")).toLocalIterator():
-        out[r.cell] = r.mask & (2**64 - 1)
+    found = phrases.groupBy(cell.alias("cell")).agg(F.bit_or(one).alias("mask")).toPandas()
+    out[found["cell"].to_numpy()] = found["mask"].to_numpy(np.int64).view(U)
     return out
 
 
