@@ -40,6 +40,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 1 << 20) -> None:
+    """Has Spark hand rows to Python in batches of about `size` bytes, unless the session says otherwise. Larger ones are cut into chunks
+    there anyway, and the JVM's buffers for them, which it keeps, would take hundreds of MB an executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, str(size))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

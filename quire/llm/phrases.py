@@ -255,6 +255,7 @@ def best(found: DataFrame, top: int, parts: int = 64) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, map_bits: int = 27) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of 2 to `longest` words of each lang that occur `least` times."""
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
