@@ -8,6 +8,7 @@ run of letters as well, the longest first. What is no reference stays, ampersand
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import cache
 from html.entities import html5
 
@@ -53,6 +54,11 @@ def table(names: tuple[str, ...], characters: tuple[str, ...]) -> Column:
     return F.from_json(F.lit(json.dumps(first)), "map<string,map<string,string>>")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times, and computes it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def looked_up(known: Column, name: Column) -> Column:
     return F.try_element_at(F.try_element_at(known, F.substring(name, 1, 1)), name)
 
@@ -92,6 +98,6 @@ def reference(piece: Column) -> Column:
 
 def decode(text: Column) -> Column:
     """The text with all its character references decoded once; null stays null."""
-    pieces = F.split(text, "&", -1)
-    later = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), reference)
-    return F.when(~F.contains(text, F.lit("&")), text).otherwise(F.concat(pieces[0], F.array_join(later, "")))
+    later = lambda pieces: F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), reference)
+    decoded = lambda t: let(F.split(t, "&", -1), lambda pieces: F.concat(pieces[0], F.array_join(later(pieces), "")))
+    return let(text, lambda t: F.when(~F.contains(t, F.lit("&")), t).otherwise(decoded(t)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions import entities
+from quire.functions.entities import let
 
 #: Unicode white space, spelt out because regex dialects differ in what \s holds.
 WS = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -42,8 +43,8 @@ def strip_tags(html: Column) -> Column:
 
 def markup_to_text(raw: Column) -> Column:
     """Tags go only if both angle brackets occur."""
-    raw = F.coalesce(raw, F.lit(""))
-    return F.when(F.contains(raw, F.lit("<")) & F.contains(raw, F.lit(">")), strip_tags(raw)).otherwise(ws_collapse(raw))
+    both = lambda t: F.contains(t, F.lit("<")) & F.contains(t, F.lit(">"))
+    return let(F.coalesce(raw, F.lit("")), lambda t: F.when(both(t), strip_tags(t)).otherwise(ws_collapse(t)))
 
 
 def heading_number(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scripts import assigned_object, repair_escapes
-from quire.functions.text import HEADING, is_degraded, markup_to_text, strip_tags, ws_collapse
+from quire.functions.text import HEADING, is_degraded, let, markup_to_text, strip_tags, ws_collapse
 from quire.operators import trees
 from quire.operators.quality import ASSIGNED
 from quire.operators.titles import CONTAINERS, NO_TEXTS, with_candidates, with_title
@@ -41,22 +41,34 @@ def paragraphs(html: Column) -> Column:
 
 def noise_reason(text: Column, heading: Column, collapsed: bool = False) -> Column:
     """The first rule that drops a paragraph; null if it stays. collapsed: its white space is collapsed already."""
-    t = text if collapsed else ws_collapse(text)
-    low = F.lower(t)
-    snippet = F.lit(False)
-    for s in NOISE:
-        snippet = snippet | F.contains(low, F.lit(s))
-    return (
-        F.when(t == "", "empty").when(low == F.trim(F.lower(heading)), "heading").when(t.rlike("^" + HEADING.replace(r"(?i)\b", "(?i)")), "chapter label").when(t.rlike(CREDIT), "credit")
-        .when(t.rlike(r"^[^\p{L}\p{N}]+$"), "no letters").when(F.length(t) < 4, "very short").when((F.length(t) < 12) & ~t.rlike("^[\"']"), "short").when(snippet, "chrome")
-    )
+
+    def of(t: Column, low: Column) -> Column:
+        snippet = F.lit(False)
+        for s in NOISE:
+            snippet = snippet | F.contains(low, F.lit(s))
+        return (
+            F.when(t == "", "empty").when(low == F.trim(F.lower(heading)), "heading").when(t.rlike("^" + HEADING.replace(r"(?i)\b", "(?i)")), "chapter label").when(t.rlike(CREDIT), "credit")
+            .when(t.rlike(r"^[^\p{L}\p{N}]+$"), "no letters").when(F.length(t) < 4, "very short").when((F.length(t) < 12) & ~t.rlike("^[\"']"), "short").when(snippet, "chrome")
+        )
+
+    return let(text if collapsed else ws_collapse(text), lambda t: let(F.lower(t), lambda low: of(t, low)))
 
 
 def is_junk(text: Column) -> Column:
-    low, out = F.lower(text), F.lit(False)
-    for s in JUNK:
-        out = out | F.contains(low, F.lit(s))
-    return out
+    def of(low: Column) -> Column:
+        out = F.lit(False)
+        for s in JUNK:
+            out = out | F.contains(low, F.lit(s))
+        return out
+
+    return let(F.lower(text), of)
+
+
+def noise_counts(chapters: DataFrame, heading: Column) -> DataFrame:
+    """novel_slug, reason, n: how many paragraphs each rule drops, of each work, and in all (null). Only counts leave a chapter."""
+    reasons = F.filter(F.transform("paragraphs", lambda t: noise_reason(t, heading)), lambda r: r.isNotNull())
+    each = chapters.select("novel_slug", F.explode(reasons).alias("reason")).groupBy("novel_slug", "reason").agg(F.count("*").alias("n"))
+    return each.cube("novel_slug", "reason").agg(F.sum("n").alias("n"))
 
 
 def each_paragraph(chapters: DataFrame, *more: str) -> DataFrame:
@@ -115,6 +127,13 @@ def with_paragraphs(rows: DataFrame) -> DataFrame:
     return rows.withColumn("paragraphs", without_repeats(F.transform(own, lambda x: x["text"])))
 
 
+def told(rows: DataFrame, *others: str) -> DataFrame:
+    """The others, title, paragraphs, degraded, failed. As rows of a generator: a filter on them isn't pushed down into the extraction, which
+    would then run once for the filter and once for the rows that pass it."""
+    found = F.struct("title", "paragraphs", is_degraded(F.col("title")).alias("degraded"), (F.size("paragraphs") == 0).alias("failed"))
+    return rows.select(*others, F.inline(F.array(found)))
+
+
 def chapters_of(pages: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Pages of any nesting (page_id, html, others) to their other columns, title, paragraphs, degraded, failed.
 
@@ -127,7 +146,7 @@ def chapters_of(pages: DataFrame, index: DataFrame | None = None) -> DataFrame:
     found = with_title(with_candidates(trees.parsed(pages)), F.col("number"))
     out = with_paragraphs(with_container(with_kept(found)))
     others = [c for c in pages.columns if c not in ("html", "number", "title", "paragraphs", "degraded", "failed")]
-    return out.select(*others, "title", "paragraphs", is_degraded(F.col("title")).alias("degraded"), (F.size("paragraphs") == 0).alias("failed"))
+    return told(out, *others)
 
 
 def with_dom(rows: DataFrame) -> DataFrame:
@@ -164,7 +183,7 @@ def extract(pages: DataFrame) -> DataFrame:
     p = article_paragraphs(p, F.col("title"))
     out = p.withColumn("paragraphs", F.when(F.size("_payload.paragraphs") > 0, F.col("_payload.paragraphs")).otherwise(without_repeats(F.col("kept"))))
     out = out.withColumn("title", F.when(F.size("_payload.paragraphs") > 0, F.coalesce("_payload.title", F.lit(""))).otherwise(F.col("title")))
-    return out.select("page_id", "url", "title", "paragraphs", is_degraded(F.col("title")).alias("degraded"), (F.size("paragraphs") == 0).alias("failed"))
+    return told(out, "page_id", "url")
 
 
 def json_paragraphs(info: Column) -> Column:

@@ -34,10 +34,12 @@ def in_range(jobs: DataFrame, chapters: DataFrame) -> DataFrame:
     return jobs.join(chapters, "novel_slug").filter(F.col("idx").between(F.col("first"), F.col("last")))
 
 
-def with_part(chapters: DataFrame, size: int, *keys: str) -> DataFrame:
-    """part: the consecutive group by position, not by index."""
-    found = placed(chapters, keys, ("idx", *[c for c in ("doc_id", "rep") if c in chapters.columns]), "_place")
-    return found.withColumn("part", F.floor((F.col("_place") - 1) / max(1, size)).cast("long")).drop("_place")
+def with_part(chapters: DataFrame, size: int, *keys: str, place: str | None = None) -> DataFrame:
+    """part: the consecutive group by position, not by index. place: a column that holds the position already (as numbered() gives it)."""
+    if place is None:
+        found = placed(chapters, keys, ("idx", *[c for c in ("doc_id", "rep") if c in chapters.columns]), "_place")
+        return found.withColumn("part", F.floor((F.col("_place") - 1) / max(1, size)).cast("long")).drop("_place")
+    return chapters.withColumn("part", F.floor((F.col(place) - 1) / max(1, size)).cast("long"))
 
 
 def group_key(mode: Column, idx: Column, part: Column) -> Column:
@@ -52,9 +54,9 @@ def file_name(mode: Column, slug: Column, heading: Column, first: Column, last:
     )
 
 
-def assemble(chapters: DataFrame, size: int) -> DataFrame:
+def assemble(chapters: DataFrame, size: int, place: str | None = None) -> DataFrame:
     """novel_slug, part, book_file, n_chapters, n_chars, text. A book is one value: bounded by its `size` chapters."""
-    raw = with_part(chapters, size, "novel_slug").select("novel_slug", "part", "idx", chapter_raw_text(F.col("idx"), F.col("title"), F.col("paragraphs")).alias("raw"))
+    raw = with_part(chapters, size, "novel_slug", place=place).select("novel_slug", "part", "idx", chapter_raw_text(F.col("idx"), F.col("title"), F.col("paragraphs")).alias("raw"))
     books = raw.groupBy("novel_slug", "part").agg(
         F.count("*").alias("n_chapters"), F.sum(F.length("raw")).alias("n_chars"), F.min("idx").alias("a"), F.max("idx").alias("b"), F.array_sort(F.collect_list(F.struct("idx", "raw"))).alias("c")
     )

@@ -10,6 +10,7 @@ from quire.operators import body as ops
 from quire.operators import books, quality, titles, trees
 from quire.operators.quality import AMBIENT, STRONG
 from quire.operators.toc import next_data
+from quire.sources.staging import staged
 
 from .page_queries import ANY, ASSIGNED, BODY_OK, GARBLED, JSON_OK, assigned, classified
 from .registry import query
@@ -91,8 +92,7 @@ def junk_keyword_filter(spark, sf_dir):
 
 @query(with_views(CHAPTERS, PARA, f"r AS (SELECT novel_slug, {REASON} AS reason FROM para)") + "SELECT novel_slug, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY CUBE (novel_slug, reason)")
 def noise_rule_report(spark, sf_dir):
-    p = ops.each_paragraph(chapters(spark, sf_dir), "raw_heading").withColumn("reason", ops.noise_reason(F.col("text"), F.col("raw_heading")))
-    return p.filter("reason is not null").cube("novel_slug", "reason").agg(F.count("*").alias("n"))
+    return ops.noise_counts(chapters(spark, sf_dir), F.col("raw_heading"))
 
 
 @query("SELECT doc_id, list_filter(a, lambda x, i: i = 1 OR x <> a[i-1]) AS paragraphs FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)")
@@ -199,4 +199,5 @@ def pages_to_books(spark, sf_dir):
     """The flagship: stored pages to assembled books of ten chapters a host."""
     p = quality.classified(table(spark, sf_dir, "pages").filter(~quality.is_garbled(F.col("html")))).filter("not blocked").select("page_id", "url", "html")
     c = ops.extract(p).filter("not failed").withColumn("novel_slug", urls.host_key(F.col("url")))
-    return books.assemble(books.numbered(c, "page_id"), size=10).select(F.col("novel_slug").alias("work"), "book_file", "n_chapters", "n_chars", "text")
+    # Written once: numbering draws a sample of the rows before it deals them out.
+    return books.assemble(books.numbered(staged(c), "page_id"), size=10, place="idx").select(F.col("novel_slug").alias("work"), "book_file", "n_chapters", "n_chars", "text")
