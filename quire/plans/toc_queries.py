@@ -1,5 +1,7 @@
 """URL functions and tables of contents."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -231,3 +233,21 @@ UNION ALL SELECT ord, NULL, NULL, NULL, NULL, 'unknown profile' FROM catalog_v W
 def chapter_index_by_profile(spark, sf_dir):
     """The index of each enabled catalog row by its profile: links or payloads to rows, and what goes wrong as rows."""
     return index_by_profile(index_pages(spark, sf_dir)).select("ord", "idx", "url", "title", "source_id", "error")
+
+
+@query(TOCS + """SELECT ord, idx, version FROM (SELECT g.ord, g.idx, r.n_chapters AS n, CASE WHEN g.ord % 2 = 0 AND g.ord % 3 <> 0 AND r.n_chapters > 1 THEN 2 WHEN g.ord % 5 <> 0 THEN 1 ELSE 0 END AS version FROM generated g JOIN resolved r USING (ord))
+WHERE version <> 2 OR idx < n""")
+def index_store_last_valid(spark, sf_dir):
+    """Two versions of every index are stored, some are then damaged; each work is read from its last valid one, or built anew."""
+    from quire.sources import index_files as store
+    from quire.sources.staging import shared_folder
+
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    none = F.lit(None).cast("string")
+    built = ops.gapfree(toc(spark, sf_dir)).select("ord", "idx", F.col("chapter_url").alias("url"), none.alias("title"), none.alias("source_id"))
+    store.save_version(built, path, 1, "ord")
+    last = built.groupBy("ord").agg(F.max("idx").alias("n"))
+    store.save_version(built.filter("ord % 2 = 0").join(last, "ord").filter("idx < n").drop("n"), path, 2, "ord")
+    hurt = ((F.col("version") == 1) & (F.col("ord") % 5 == 0)) | ((F.col("version") == 2) & (F.col("ord") % 3 == 0))
+    stored = spark.read.parquet(path).withColumn("raw", F.when(hurt, F.expr("substring(raw, 1, length(raw) - 3)")).otherwise(F.col("raw")))
+    return store.completed(store.last_valid(stored, "ord"), built, "ord").select("ord", "idx", "version")

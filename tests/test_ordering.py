@@ -96,3 +96,20 @@ def test_chained_collisions_are_accepted_as_a_loop_would(spark):
     df = spark.createDataFrame(rows, "work string, idx long, url long, event_id long")
     assert {r.event_id for r in resume.accepted_submissions(df, "idx", "url").collect()} == sequential(rows)
     assert resume.accepted_submissions(df.filter("event_id < 0"), "idx", "url").collect() == []
+
+
+def test_the_last_whole_version_of_an_index_is_read(spark, tmp_path):
+    from quire.sources import index_files as store
+
+    index = lambda works, n: spark.createDataFrame([(w, i, f"u{w}{i}", None if i % 2 else "t", None) for w in works for i in range(1, n + 1)], "work string, idx long, url string, title string, source_id string")
+    path = f"{tmp_path}/store"
+    store.save_version(index("abc", 3), path, 1, "work")
+    store.save_version(index("ab", 4), path, 2, "work")
+    found = store.read_store(spark, path, "work string", "work")
+    assert sorted((r.work, r.version, r.idx) for r in found.collect()) == [("a", 2, i) for i in range(1, 5)] + [("b", 2, i) for i in range(1, 5)] + [("c", 1, i) for i in range(1, 4)]
+    rows = spark.read.parquet(path)
+    damaged = rows.withColumn("raw", F.when((F.col("work") == "a") & (F.col("version") == 2), F.expr("substring(raw, 1, 20)")).when(F.col("work") == "c", "[]").otherwise(F.col("raw")))
+    left = store.last_valid(damaged, "work")
+    assert {(r.work, r.version) for r in left.collect()} == {("a", 1), ("b", 2)}
+    whole = store.completed(left, index("abc", 2), "work")
+    assert {(r.work, r.version) for r in whole.collect()} == {("a", 1), ("b", 2), ("c", 0)} and whole.count() == 3 + 4 + 2
