@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from quire.functions.text import chapter_heading, chapter_raw_text
 from quire.operators import books as ops
 
+from quire.sources.staging import staged
+
 from .registry import query
 from .text_queries import HEADING_OF, SAFE, d_ws
 from .views import CHAPTERS, chapters, with_views
@@ -54,7 +56,7 @@ def range_clamp(spark, sf_dir):
 
 @query(ALL + "SELECT novel_slug, job_id, idx, doc_id, rep FROM selected UNION ALL SELECT novel_slug, job_id, -1, NULL, NULL FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM selected s WHERE s.novel_slug = j.novel_slug AND s.job_id = j.job_id)")
 def range_filter(spark, sf_dir):
-    s = selected(spark, sf_dir).select("novel_slug", "job_id", "idx", "doc_id", "rep")
+    s = staged(selected(spark, sf_dir).select("novel_slug", "job_id", "idx", "doc_id", "rep"))  # asked twice
     outside = jobs(spark, sf_dir).join(s, ["novel_slug", "job_id"], "left_anti").select("novel_slug", "job_id", F.lit(-1).cast("long").alias("idx"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("rep"))
     return s.unionByName(outside)
 

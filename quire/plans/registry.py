@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("catalog_queries", "toc_queries", "page_queries", "text_queries", "body_queries", "book_queries", "resume_queries", "fetch_queries", "stream_queries")
+MODULES = ("catalog_queries", "toc_queries", "page_queries", "text_queries", "body_queries", "book_queries", "resume_queries", "fetch_queries", "stream_queries", "sink_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

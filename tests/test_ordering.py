@@ -113,3 +113,32 @@ def test_the_last_whole_version_of_an_index_is_read(spark, tmp_path):
     assert {(r.work, r.version) for r in left.collect()} == {("a", 1), ("b", 2)}
     whole = store.completed(left, index("abc", 2), "work")
     assert {(r.work, r.version) for r in whole.collect()} == {("a", 1), ("b", 2), ("c", 0)} and whole.count() == 3 + 4 + 2
+
+
+def test_books_are_packed_and_read_back_by_pruned_scans(spark, tmp_path):
+    from quire.sources import outputs
+
+    path = f"{tmp_path}/books"
+    books = spark.range(400).select(F.format_string("w%02d", F.col("id") % 20).alias("novel_slug"), F.format_string("f%03d", "id").alias("book_file"), F.concat(F.lit("text "), "id").alias("text"))
+    outputs.write_books(books, path, version=1, files=4)
+    outputs.write_books(books.filter("id < 5").withColumn("text", F.lit("new")), path, version=2, files=1)
+    assert len(list((tmp_path / "books").glob("*.parquet"))) <= 5
+    assert [r.text for r in outputs.read_books(spark, path, "w07", "f027").collect()] == ["text 27"]
+    assert [r.text for r in outputs.read_books(spark, path, "w03", "f003").collect()] == ["new"]
+    assert outputs.read_books(spark, path).count() == 400 and outputs.read_books(spark, path, "w03").count() == 20
+    plan = outputs.read_books(spark, path, "w07", "f027")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(novel_slug,w07)" in plan and "EqualTo(book_file,f027)" in plan
+
+
+def test_a_point_read_of_the_archive_touches_one_folder(spark, tmp_path):
+    from quire.sources import outputs
+
+    path = f"{tmp_path}/archive"
+    pages = spark.range(500).select(F.concat(F.lit("https://h.org/"), "id").alias("url"), F.concat(F.lit("<p>"), "id").alias("html"))
+    outputs.write_archive(pages, path)
+    found = outputs.archived(spark, path, "https://h.org/321")
+    assert [r.html for r in found.collect()] == ["<p>321"] and outputs.archived(spark, path, "https://h.org/none").collect() == []
+    assert len(found.select(F.input_file_name().alias("f")).distinct().collect()) == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(cache_key," in plan
+    assert spark.read.parquet(path).count() == 500
