@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import chapter_heading, chapter_raw_text
 from quire.operators import books as ops
-
 from quire.sources.staging import staged
 
 from .registry import query
