@@ -30,6 +30,10 @@ from . import common
 from .hashing import U, group_starts, inside, mix, pack, unpack, windows, word_hashes, words_of
 
 ANCHOR, WINDOW, LETTER = 6, 20, 4
+#: Suffixes that a task must hold of a range to pack them by themselves.
+PACKED = 512
+#: Suffixes in one Arrow batch of rows that aren't packed.
+BATCH = 1 << 15
 _POSITION = (1 << 26) - 1  # low bits of a sort key that hold a word's position in its chunk
 
 
@@ -149,6 +153,10 @@ def letters(h: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     return np.stack([(a << U(32)) | b for a, b in zip(out[::2], out[1::2], strict=True)])
 
 
+def letter_columns(size: int) -> int:
+    return -(-(-(-size // LETTER)) // 2)
+
+
 def by_letters(columns: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.lexsort((place, *columns[::-1]))
 
@@ -247,15 +255,7 @@ def suffixes(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits:
             # Repeats known here go by document, so that their starts stay together.
             b = (d % (1 << bits)).astype(np.int32) if known else b
             order = np.lexsort((p, d, b))
-            b, d, p, c = (a[..., order] for a in (b, d, p, c))
-            cut = np.append(group_starts(b), len(b))
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                local, number = np.unique(d[lo:hi], return_inverse=True)
-                blobs = (pack(all_ids[local]), pack(all_keys[local]), pack(number.astype(np.int32), True), pack(p[lo:hi].astype(np.int32)), b"" if known else pack(c[:, lo:hi].reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(b[lo])], pa.int32()), pa.array([known]), pa.array([hi - lo], pa.int32()), pa.array([len(local)], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)],
-                    ["bucket", "known", "n", "docs", "ids", "keys", "doc", "pos", "letters"],
-                )
+            yield from range_rows(known, *(a[..., order] for a in (b, d, p, c)), all_ids, all_keys)
 
     docs = 0
     for chunk, w, h, start in live_suffixes(batches, size, map_bits, bitmap):
@@ -272,7 +272,91 @@ def suffixes(batches: Iterator[pa.RecordBatch], size: int, bits: int, map_bits:
         yield from emit()
 
 
-SUFFIXES = "bucket int, known boolean, n int, docs int, ids binary, keys binary, doc binary, pos binary, letters binary"
+def range_rows(known: bool, bucket: np.ndarray, doc: np.ndarray, pos: np.ndarray, columns: np.ndarray, all_ids: np.ndarray, all_keys: np.ndarray, least: int = PACKED) -> Iterator[pa.RecordBatch]:
+    """One row for each range of suffixes sorted by range, document and position. Ranges of `least` suffixes or more are packed one by one; all
+    smaller ones are laid out at once, so the work is that of the suffixes however many ranges there are."""
+    cut = np.append(group_starts(bucket), len(bucket))
+    sizes = np.diff(cut)
+    head = group_starts(bucket, doc)
+    number = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(doc))))
+    first = np.searchsorted(head, cut)  # the first document of each range
+    number -= np.repeat(first[:-1], sizes)
+    ids, keys, docs = all_ids[doc[head]], all_keys[doc[head]], np.diff(first)
+    number, pos = number.astype(np.int32), pos.astype(np.int32)
+    large = np.flatnonzero(sizes >= least)
+    for at in range(0, len(large), 256):
+        some = large[at : at + 256]
+        spans = [(slice(cut[i], cut[i + 1]), slice(first[i], first[i + 1])) for i in some.tolist()]
+        blobs = (
+            [pack(ids[d]) for _, d in spans], [pack(keys[d]) for _, d in spans], [pack(number[r], True) for r, _ in spans],
+            [pack(pos[r]) for r, _ in spans], [b"" if known else pack(columns[:, r].reshape(-1)) for r, _ in spans],
+        )
+        yield row_batch(bucket[cut[some]], True, known, sizes[some], docs[some], [pa.array(x, pa.binary()) for x in blobs])
+    small = sizes < least
+    if small.any():
+        at, who, n, d = np.repeat(small, sizes), np.repeat(small, docs), sizes[small], docs[small]
+        letter = np.zeros((0, len(columns)), U) if known else np.ascontiguousarray(columns[:, at].T)
+        data = [(ids[who], d), (keys[who], d), (number[at], n), (pos[at], n), (letter, 0 * n if known else n)]
+        rows = row_batch(bucket[cut[:-1][small]], False, known, n, d, [laid_out(x, of) for x, of in data])
+        step = np.append(group_starts(np.cumsum(n) // BATCH), len(n)).tolist()
+        for lo, hi in zip(step[:-1], step[1:], strict=True):
+            yield rows.slice(lo, hi - lo)
+
+
+def laid_out(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Values as one array of bytes for each run of the given sizes."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes * values[:1].nbytes, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def row_batch(bucket: np.ndarray, packed: bool, known: bool, n: np.ndarray, docs: np.ndarray, blobs: list[pa.Array]) -> pa.RecordBatch:
+    flags = [pa.array(np.full(len(bucket), x)) for x in (packed, known)]
+    names = ["bucket", "packed", "known", "n", "docs", "ids", "keys", "doc", "pos", "letters"]
+    return pa.RecordBatch.from_arrays([pa.array(bucket), *flags, pa.array(n.astype(np.int32)), pa.array(docs.astype(np.int32)), *blobs], names)
+
+
+def solid(col: pa.Array, kind: type) -> np.ndarray:
+    """The bytes of all rows of a column of binaries as one array."""
+    if not len(col):
+        return np.zeros(0, kind)
+    col = col.cast(pa.binary())
+    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    data = col.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy().view(kind) if data is not None else np.zeros(0, kind)
+
+
+Part = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def range_parts(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, Part]]:
+    """The rows of range_rows, sorted by range: bucket, and ids, keys, documents (places in ids), positions, known and letters. Rows that aren't
+    packed are read a run at a time."""
+    wide = letter_columns(size)
+    bucket, packed, known, n, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+    if not len(bucket):
+        return
+    cut = group_starts(bucket, packed.astype(np.int8), known.astype(np.int8))
+    cut = np.append(cut, len(bucket)).tolist()
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        if not packed[lo]:
+            ids, keys, doc, pos, letter = (solid(batch.column(i).slice(lo, hi - lo), k) for i, k in zip(range(5, 10), (np.int64, np.int64, np.int32, np.int32, U), strict=True))
+            before = np.cumsum(docs[lo:hi], dtype=np.int64) - docs[lo:hi]
+            yield int(bucket[lo]), (ids, keys, doc + np.repeat(before, n[lo:hi]), pos.astype(np.int64), np.full(len(pos), known[lo]), letter.reshape(-1, wide).T)
+            continue
+        for r in range(lo, hi):
+            ids, keys, doc, pos, letter = (batch.column(i)[r].as_py() for i in range(5, 10))
+            m, d = int(n[r]), int(docs[r])
+            yield (
+                int(bucket[r]),
+                (
+                    unpack(ids, d, np.int64), unpack(keys, d, np.int64), unpack(doc, m, np.int32, True).astype(np.int64), unpack(pos, m, np.int32).astype(np.int64),
+                    np.full(m, known[r]), np.zeros((wide, 0), U) if known[r] else unpack(letter, m * wide, U).reshape(wide, m),
+                ),
+            )
+
+
+SUFFIXES = "bucket int, packed boolean, known boolean, n int, docs int, ids binary, keys binary, doc binary, pos binary, letters binary"
 
 
 def trees(batches: Iterator[pa.RecordBatch], size: int, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -291,35 +375,26 @@ def trees(batches: Iterator[pa.RecordBatch], size: int, flush: int = 2_000_000)
             yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(keys[who]), pa.array([starts[a:b].tobytes() for a, b in spans], pa.binary())], ["_id", "_key", "starts"])
 
     for whole in batches:
-        for at in range(0, whole.num_rows, 64):
-            for bucket, *part in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True):
-                if bucket != last and parts:
-                    held.append(tree(parts, size))
-                    parts = []
-                    if sum(len(x[2]) for x in held) >= flush:
-                        yield from emit()
-                last = bucket
-                parts.append(part)
+        for bucket, part in range_parts(whole, size):
+            if bucket != last and parts:
+                held.append(tree(parts, size))
+                parts = []
+                if sum(len(x[2]) for x in held) >= flush:
+                    yield from emit()
+            last = bucket
+            parts.append(part)
     if parts:
         held.append(tree(parts, size))
     if held:
         yield from emit()
 
 
-def tree(parts: list[list], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tree(parts: list[Part], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one range: doc_id, key and start of every repeat."""
-    wide = -(-(-(-size // LETTER)) // 2)
-    ids, keys, docs, poss, certain, columns, total = [], [], [], [], [], [np.zeros((wide, 0), U)], 0
-    for known, n, d, i, k, doc, pos, blob in parts:
-        ids.append(unpack(i, d, np.int64))
-        keys.append(unpack(k, d, np.int64))
-        docs.append(unpack(doc, n, np.int32, True).astype(np.int64) + total)
-        poss.append(unpack(pos, n, np.int32).astype(np.int64))
-        certain.append(np.full(n, known))
-        if not known:
-            columns.append(unpack(blob, n * wide, U).reshape(wide, n))
-        total += d
-    all_ids, all_keys, doc, pos, sure = (np.concatenate(x) for x in (ids, keys, docs, poss, certain))
+    ids, keys, docs, poss, certain, columns = zip(*parts, strict=True)
+    before = np.cumsum([0, *map(len, ids[:-1])])
+    all_ids, all_keys, pos, sure = (np.concatenate(x) for x in (ids, keys, poss, certain))
+    doc = np.concatenate([d + b for d, b in zip(docs, before.tolist(), strict=True)])
     order = np.lexsort((all_keys, all_ids))
     fresh = np.zeros(len(order), bool)
     fresh[group_starts(all_ids[order], all_keys[order])] = True
@@ -369,12 +444,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, map_bits: int = 27, gr
         long.append(over)
     known = spark.sparkContext.broadcast(long)
     tasks = max(1, -(-total // task_rows))
-    range_bits = max(6, min(30, (8 * total // group_rows).bit_length()))
+    range_bits = max(6, min(30, (total // (2 * group_rows)).bit_length()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return common.tidy(suffixes(batches, window, range_bits, map_bits, sent.value, known.value))
 
-    dealt_out = rows.mapInArrow(spread, SUFFIXES).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    dealt_out = rows.mapInArrow(spread, SUFFIXES).repartition(tasks, "bucket").sortWithinPartitions("bucket", "packed", "known")
     starts = dealt_out.mapInArrow(lambda batches: common.tidy(trees(batches, window)), "_id bigint, _key bigint, starts binary")
     marked = starts.groupBy("_id", "_key").agg(F.collect_list("starts").alias("_starts"))
     joined = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), text.alias("text"), F.xxhash64(text).alias("_key")).join(marked, ["_id", "_key"], "left")

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.llm import substring
@@ -83,3 +84,41 @@ def test_rows_alike_in_one_task(spark):
 
 def test_cover():
     assert substring.covered(6, np.array([1, 2]), 3).tolist() == [False, True, True, True, True, False]
+
+
+def suffix_batches(texts, bits):
+    batch = pa.RecordBatch.from_pydict({"_id": np.arange(len(texts)), "text": texts, "_key": np.arange(len(texts)) * 7})
+    every = np.full(1 << 15, 255, np.uint8)  # a bitmap that lets all suffixes through
+    return list(substring.suffixes(iter([batch]), 20, bits, 18, every, []))
+
+
+def test_work_of_a_flush_does_not_grow_with_the_ranges():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(40)]
+    texts += [texts[0], texts[1] + " and more", "short"]
+    found = set()
+    for bits in (6, 12, 20, 30):
+        batches = suffix_batches(texts, bits)
+        total = sum(int(np.sum(b.column("n").to_numpy())) for b in batches)
+        assert len(batches) < 10 and total == (400 - 19) * 42 + 2
+        rows = pa.Table.from_batches(batches).sort_by([("bucket", "ascending"), ("packed", "ascending"), ("known", "ascending")]).to_batches(max_chunksize=1000)
+        got = [r for b in substring.trees(iter(rows), 20) for r in b.to_pylist()]
+        found.add(tuple(sorted((r["_id"], r["_key"], int(s)) for r in got for s in np.frombuffer(r["starts"], np.int32))))
+    assert found == {tuple((i, i * 7, s) for i in (40, 41) for s in range(381))}
+
+
+def test_rows_of_ranges_are_read_back_whole():
+    rng = np.random.default_rng(4)
+    bucket = np.sort(rng.integers(0, 9, 3000) ** 3).astype(np.int32)
+    doc, pos, columns = rng.integers(0, 50, 3000), rng.integers(0, 1000, 3000), rng.integers(0, 2**63, (3, 3000)).astype(np.uint64)
+    order = np.lexsort((pos, doc, bucket))
+    doc, pos, columns = doc[order], pos[order], columns[:, order]
+    ids, keys = np.arange(50) * 3, np.arange(50) * -5
+    for least in (1, 300, 10**6):
+        out = []
+        for b in substring.range_rows(False, bucket, doc, pos, columns, ids, keys, least):
+            for at, (i, k, d, p, known, c) in substring.range_parts(b, 20):
+                assert not known.any()
+                out += zip([at] * len(d), i[d].tolist(), k[d].tolist(), p.tolist(), *c.tolist(), strict=True)
+        want = sorted(zip(bucket.tolist(), ids[doc].tolist(), keys[doc].tolist(), pos.tolist(), *columns.tolist(), strict=True))
+        assert sorted(out) == want
