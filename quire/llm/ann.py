@@ -4,11 +4,13 @@ Trees are grown on a bounded sample; each inner node splits the sample's vectors
 are sent to one leaf of every tree. A query walks down all trees at once: a single priority queue holds the branches not
 taken, nearest splitting plane first, and gives the next leaf until `visits` leaves are found. Rows and queries meet by leaf, where
 distances are exact on the original vectors in double precision; the best of each leaf are merged.
-Leaves larger than a block are cut into blocks by a hash, so that no leaf (copies of one vector) meets in one task.
+Rows and queries of each leaf are counted. The rows of a leaf are cut into blocks of about `block_rows` by a hash and its queries into parts of
+about `query_rows`; every part meets every block in a group of its own, so neither a leaf of copies nor one that all queries visit fills
+a task. Leaves that no query visits are not sent.
 
 Unstructured vectors (independent normal components) have no near clusters: `visits` is set for a recall of 0.9 on such.
 
-Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose
+Edge cases: rows whose vec_id is null are neither queries nor candidates; vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose
 length differs from the commonest; of rows with the same vec_id the nearest counts; ties go to the smaller vec_id;
 with fewer candidates than k all found are returned; empty tables give no rows; other columns are ignored.
 """
@@ -96,6 +98,7 @@ def vectors(batch: pa.RecordBatch) -> np.ndarray:
 def nearest(
     rows: DataFrame, is_query: Column, id_column: str = "vec_id", vector: str = "embedding", k: int = 10, trees: int = 24,
     most_leaves: int = 32, visits: int = 44, sample_rows: int = 10_000, block_rows: int = 4096,
+    query_rows: int = 16384,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds.
 
@@ -112,7 +115,14 @@ def nearest(
         leaves *= 2
     x = np.array(sample, dtype=float).reshape(-1, dim)
     sent = spark.sparkContext.broadcast(grow(x, trees, leaves))
-    blocks = max(1, -(-total // (leaves * block_rows)))
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(trees * leaves, np.int64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                at = leaves_of(vectors(whole.slice(lo, 2000)), sent.value) + leaves * np.arange(trees)
+                n += np.bincount(at.reshape(-1), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n).astype(np.int32)), pa.array(n[n > 0])], ["cell", "n"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,10 +140,8 @@ def nearest(
                 b = whole.slice(lo, 500)
                 v = vectors(b)
                 hits = [search(q, sent.value, visits) for q in v]
-                at = np.repeat(np.arange(len(v)), [len(h) for h in hits])
-                cells = np.array([t * leaves + leaf for h in hits for t, leaf in h], np.int32)
-                blobs = pa.array([v[i].tobytes() for i in at], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cells), b.column(0).take(pa.array(at)), blobs], ["cell", "id", "blob"])
+                cells = pa.array([[t * leaves + leaf for t, leaf in h] for h in hits], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([q.tobytes() for q in v], pa.binary()), cells], ["id", "blob", "cells"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -155,10 +163,16 @@ def nearest(
         return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2]})
 
     kind = "cell int, id bigint, blob binary"
-    placed = base.mapInArrow(place, kind).withColumn("block", F.pmod(F.xxhash64("id", "blob"), F.lit(blocks)).cast("int"))
     queries = base.join(queries_of(rows, is_query, id_column), "id", "left_semi").select("id", "v")
-    visited = queries.mapInArrow(visit, kind).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = visited.groupBy("cell", "block").cogroup(placed.groupBy("cell", "block")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+    hits = common.stage(queries.mapInArrow(visit, "id bigint, blob binary, cells array<int>"), "hits")
+    visits_of = hits.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    blocks, parts = (cuts_of(n, trees * leaves, size) for n, size in ((base.mapInArrow(load, "cell int, n bigint"), block_rows), (visits_of, query_rows)))
+    each_block, each_part = (F.explode(F.sequence(F.lit(0), n - 1)) for n in (blocks, parts))
+    placed = base.mapInArrow(place, kind).filter(parts > 0).withColumn("block", F.pmod(F.xxhash64("id", "blob"), blocks).cast("int")).withColumn("part", each_part)
+    visited = hits.select(F.explode("cells").alias("cell"), "id", "blob").filter(blocks > 0)
+    visited = visited.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id", "blob"), parts).cast("int")).withColumn("block", each_block)
+    keys = ["cell", "block", "part"]
+    found = visited.groupBy(keys).cogroup(placed.groupBy(keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -166,3 +180,12 @@ def nearest(
 
 def queries_of(rows: DataFrame, is_query: Column, id_column: str) -> DataFrame:
     return rows.filter(is_query).select(F.col(id_column).cast("long").alias("id")).distinct()
+
+
+def cuts_of(counts: DataFrame, cells: int, size: int) -> Column:
+    """Of column cell: into how many pieces of about `size` what `counts` (cell, n) tells of it is to be cut, 0 if it holds nothing.
+    One number for each leaf of the forest reaches the driver."""
+    n = [0] * cells
+    for r in counts.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        n[r.cell] = -(-r.n // size)
+    return F.element_at(F.array(*map(F.lit, n)), F.col("cell") + 1)

@@ -65,3 +65,14 @@ def test_recall_beyond_the_last_doubling_of_leaves(spark):
     hits = sum(len(got[q] & {i for i, _ in want[q]}) for q in want)
     print("recall", hits / (10 * len(want)))
     assert hits / (10 * len(want)) >= 0.9
+
+
+def test_parts_and_blocks_change_nothing(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(500, 6)), np.repeat(rng.normal(size=(1, 6)), 300, axis=0)])  # a leaf of copies
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = []
+    for more in ({}, {"block_rows": 40, "query_rows": 30}, {"query_rows": 7}):
+        out = ann.nearest(rows, F.col("vec_id") % 2 == 0, **more).collect()
+        found.append(sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4000
