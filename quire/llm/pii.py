@@ -6,10 +6,11 @@ PMI(c;t) = log2(N n(c,t) / (n(c) n(t))) and IC(c) = log2(N / n(c)). Their ratio
 occurs without c. A term with a ratio of `generalise_at` or more, seen with c in `min_support` documents, is replaced by its
 class wherever it stands in a document that holds c; with `remove_at` or more it is removed. Base spans are always replaced by their kind.
 
-Copied text tells nothing: all its rare words occur with the entity only because it was copied. So a document of which more than
-`most_share` of its distinct terms, and more than FEW, would go holds copied text, of a near copy or a passage, and keeps all its terms.
+Copied text tells nothing: all its rare words occur with the entity only because it was copied. So a text supports a pair only by a
+place of the term outside passages copied from another text with the entity: PASSAGE terms in a row, more than half of them
+different, that both hold. Of the texts that share a passage, one (of smallest hash) supports by it. No document is left out: each loses all its terms that are told, however many.
 
-Edge cases: a null text is empty and has no spans; documents without base spans have no added ones; identical rows count
+Edge cases: a null text is empty and has no spans; documents without base spans have no added ones; identical rows and texts count
 one by one in all counts, once for the support, and each keep their result; rows that share a doc_id but not the text are told
 apart; of overlapping spans, and of labels for one term, the first in order stands; a text of any length is one value, searched whole; other
 columns pass through unchanged, whatever their names, but one named like the column of spans is replaced; an empty table gives no rows.
@@ -29,8 +30,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: So many terms of a document may go whatever their share.
-FEW = 8
+#: So many terms in a row, more than half of them different, make a passage.
+PASSAGE = 20
 NO_SPANS = "cast(array() as array<struct<start:int,end:int,hit:string>>)"
 
 
@@ -101,10 +102,11 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def held_terms(hits: DataFrame) -> DataFrame:
-    """_key, copies, entities, terms: the distinct entities and terms of each document with base spans, over its whole text."""
-    terms = F.filter(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}\p{N}]+", -1)), lambda t: t != "")
+    """_key, _t (of the text), copies, entities, words: the distinct entities of each document with base spans, and all terms of its whole text in order."""
+    words = F.filter(F.split(F.lower("_text"), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
     one = hits.groupBy("_key").agg(F.count("*").alias("copies"), F.first(F.struct("_text", "_base")).alias("x")).select("_key", "copies", "x.*")
-    return one.select("_key", "copies", F.array_distinct(F.transform("_base", lambda b: entity(b["rank"], b["hit"]))).alias("entities"), terms.alias("terms"))
+    entities = F.array_distinct(F.transform("_base", lambda b: entity(b["rank"], b["hit"])))
+    return one.select("_key", F.xxhash64("_text").alias("_t"), "copies", entities.alias("entities"), words.alias("words"))
 
 
 def term_documents(docs: DataFrame) -> DataFrame:
@@ -114,7 +116,8 @@ def term_documents(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, held: DataFrame, generalise_at: float, remove_at: float, min_support: int) -> DataFrame:
-    """entity, term, removed: the pairs beyond the thresholds."""
+    """entity, term, removed: the pairs beyond the thresholds, copied or not."""
+    held = held.groupBy("_t").agg(F.sum("copies").alias("copies"), F.first("entities").alias("entities"), F.first(F.array_distinct("words")).alias("terms"))
     own = held.select("copies", F.explode("entities").alias("entity"))
     entities = own.groupBy("entity").agg(F.sum("copies").alias("n_c"), F.count("*").alias("support"))
     # Most entities occur in one document; its terms have no support, so they are never listed.
@@ -134,6 +137,38 @@ def disclosing(docs: DataFrame, held: DataFrame, generalise_at: float, remove_at
     return scored.filter(F.col("ratio") >= generalise_at).select("entity", "term", (F.col("ratio") >= remove_at).alias("removed"))
 
 
+def passages(hashes: Column) -> Column:
+    """Each passage of a stored array of hashed terms, as (at, h): its place, from 1, and its hash."""
+    part = lambda i: F.slice(hashes, i, F.lit(PASSAGE))
+    each = F.transform(F.sequence(F.lit(1), F.size(hashes) - PASSAGE + 1), lambda i: F.struct(i.alias("at"), F.when(2 * F.size(F.array_distinct(part(i))) > PASSAGE, F.xxhash64(part(i))).alias("h")))
+    return F.when(F.size(hashes) >= PASSAGE, F.filter(each, lambda p: p["h"].isNotNull()))
+
+
+def outside(words: Column, starts: Column) -> Column:
+    """The distinct terms that stand outside the passages at `starts` (sorted)."""
+    edges = F.concat(F.array(F.lit(1 - PASSAGE)), starts, F.array(F.size(words) + 1))
+    n = F.size(edges) - 1
+    gap = lambda a, b: F.slice(words, a + PASSAGE, F.greatest(b - a - PASSAGE, F.lit(0)))
+    return F.array_distinct(F.flatten(F.zip_with(F.slice(edges, F.lit(1), n), F.slice(edges, F.lit(2), n), gap)))
+
+
+def supported(told: DataFrame, held: DataFrame, min_support: int) -> DataFrame:
+    """Those of the told pairs that `min_support` texts hold at places which aren't copied from one another."""
+    texts = held.dropDuplicates(["_t"])
+    pairs = texts.select("_t", F.explode("entities").alias("entity")).join(told.select("entity", "term"), "entity")
+    pairs = stage(pairs.join(texts.select("_t", F.explode(F.array_distinct("words")).alias("term")), ["_t", "term"], "left_semi"), "pairs")
+    cases = pairs.select("_t", "entity").distinct()
+    # Only texts with a told term are cut into passages. Hashes are stored, as an expression would be computed anew at each place.
+    own = stage(texts.select("_t", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")).join(cases.select("_t").distinct(), "_t", "left_semi"), "own")
+    found = stage(own.select("_t", F.inline(passages(F.col("hashes")))).join(cases, "_t"), "passages")
+    shared = found.groupBy("entity", "h").agg(F.min("_t").alias("first"), F.max("_t").alias("last")).filter("first < last").select("entity", "h", "first")
+    copied = found.join(shared, ["entity", "h"]).filter(F.col("_t") != F.col("first")).groupBy("_t", "entity").agg(F.array_sort(F.collect_list("at")).alias("starts"))
+    starts = F.coalesce("starts", F.expr("cast(array() as array<int>)"))
+    free = cases.join(copied, ["_t", "entity"], "left").join(own.select("_t", "words"), "_t").select("_t", "entity", F.explode(outside(F.col("words"), starts)).alias("term"))
+    support = free.join(pairs, ["_t", "entity", "term"], "left_semi").groupBy("entity", "term").count().filter(F.col("count") >= min_support)
+    return told.join(support, ["entity", "term"], "left_semi")
+
+
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with each span (start, end, label) replaced; of overlapping spans the first one's label stands."""
     return F.aggregate(
@@ -147,7 +182,7 @@ def sanitised(text: Column, spans: Column) -> Column:
     )
 
 
-def sanitise(docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, min_support: int = 2, spans: str | None = "pii_spans", most_share: float = 0.05) -> DataFrame:
+def sanitise(docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, min_support: int = 2, spans: str | None = "pii_spans") -> DataFrame:
     """The documents with all their columns, text sanitised, and, if it is to have a name, a column of spans: array of (start, rank, end,
     kind, label), sorted. Kinds are those of KINDS, then "term" for what the method adds."""
     columns = [c for c in docs.columns if c != spans]
@@ -155,14 +190,13 @@ def sanitise(docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.9
     marked = found(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in columns if c != "text")).alias("_row")))
     hits = stage(marked.filter(F.size("_base") > 0), "hits")  # documents with personal data only
     held = stage(held_terms(hits), "held")
-    told = disclosing(docs, held, generalise_at, remove_at, min_support)
+    told = supported(stage(disclosing(docs, held, generalise_at, remove_at, min_support), "told"), held, min_support)
     # A term told by two entities is removed if either asks for it. Only a document's own terms are told: all pairs of others would
     # be more than it holds.
     mine = held.select("_key", F.explode("entities").alias("entity")).join(told, "entity")
     terms = mine.groupBy("_key", "term").agg(F.max("removed").alias("removed"))
-    terms = terms.join(held.select("_key", F.explode("terms").alias("term")), ["_key", "term"], "left_semi")
+    terms = terms.join(held.select("_key", F.explode(F.array_distinct("words")).alias("term")), ["_key", "term"], "left_semi")
     listed = terms.groupBy("_key").agg(F.collect_list("term").alias("_terms"), F.collect_list(F.when(F.col("removed"), F.col("term"))).alias("_removed"))
-    listed = listed.join(held.select("_key", F.size("terms").alias("_n")), "_key").filter(F.size("_terms") <= F.greatest(F.lit(FEW), most_share * F.col("_n"))).drop("_n")
     # Every place of these terms, as whole words, but not inside base spans.
     text, pattern = F.col("_text"), F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     clear = F.filter(spans_of(text, pattern), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))

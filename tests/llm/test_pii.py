@@ -92,3 +92,20 @@ def test_few_words_of_real_documents_go(spark):
     out = pii.sanitise(docs).join(docs.select("doc_id", F.col("text").alias("before")), "doc_id").filter(F.exists("pii_spans", lambda s: s["kind"] == "term"))
     lost = out.select(F.aggregate(F.filter("pii_spans", lambda s: s["kind"] == "term"), F.lit(0), lambda a, s: a + s["end"] - s["start"]).alias("gone"), F.length("before").alias("size")).collect()
     assert all(r.gone <= 0.25 * r.size for r in lost if r.size > 400)
+
+
+def test_a_document_loses_all_terms_that_are_told(spark):
+    names = [f"name{i}x" for i in range(40)]
+    mixed = [names[i * 7 % 40] for i in range(40)]  # the same names in another order: nothing is copied
+    texts = [f"write to zed@ex.com {' '.join(names)} now", f"ask zed@ex.com {' '.join(mixed)} then"] + ["write ask to now then"] * 9
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not any(n in out[i] for n in names for i in (0, 1)) and out[0].startswith("write to [EMAIL]")
+
+
+def test_a_quoted_passage_is_kept_but_not_what_stands_outside_it(spark):
+    passage = " ".join(f"rare{i}word" for i in range(60))
+    first, second = (" ".join(f"{k}{i}" for i in range(100)) for k in "ab")
+    texts = [f"{first} zorblax zed@ex.com {passage}", f"zed@ex.com {passage} {second} Zorblax", f"{passage} {passage} zed@ex.com some {first}"]
+    texts += [f"{first} {second}"] * 9
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(passage in out[i] for i in range(3)) and "orblax" not in out[0] + out[1]
