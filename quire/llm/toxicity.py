@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,8 +87,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     table = np.zeros((len(used) + 1, len(landmarks)))
     np.add.at(table, (pos, lr), lv)
     out = np.zeros((len(words), len(landmarks)))
-    for lo in range(0, len(words), 256):  # in blocks, as each triple spreads over all landmarks
-        row, col, val = features(words[lo : lo + 256])
+    for lo in range(0, len(words), 32):  # in blocks, as each triple spreads over all landmarks
+        row, col, val = features(words[lo : lo + 32])
         at = np.minimum(np.searchsorted(used, col), len(used) - 1) if len(used) else col
         hit = used[at] == col if len(used) else np.zeros(len(col), bool)
         np.add.at(out, lo + row[hit], val[hit, None] * table[at[hit]])
@@ -99,7 +98,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 def table_scores(words: list[str], table: np.ndarray) -> np.ndarray:
     """The machine's value for words of at most SPLIT letters."""
     out = np.zeros(len(words), np.float32)
-    for n, at, c in by_length(words):
+    # In blocks, as a word takes some hundred numbers meanwhile.
+    for n, at, c in ((n, lo + at, c) for lo in range(0, len(words), 8192) for n, at, c in by_length(words[lo : lo + 8192])):
         scale, total = norm(n), np.zeros(len(at), np.float32)
         pair = {(i, j): c[:, i] * (CODES * CODES) + c[:, j] * CODES for i in range(n) for j in range(i + 1, min(n, i + SPAN))}
         for i, j, k in triples(n):
@@ -153,15 +153,18 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 160, hard: int = 4
     """The table of triple weights, and slope and offset of the probability of a sentence's margin."""
     if not toxic.any() or toxic.all():
         return None
-    sets = [{p for w in words_of(t) for p in pieces(w)} for t in texts]
-    good, bad = Counter(), Counter()
-    for s, t in zip(sets, toxic, strict=True):
-        (bad if t else good).update(s)
-    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
-    vocabulary = sorted({*good, *bad})
+    # Each text as the places of its words in the vocabulary: sets of the words themselves would hold a word once a text.
+    place: dict[str, int] = {}
+    found = [np.array([place.setdefault(p, len(place)) for p in {p for w in words_of(t) for p in pieces(w)}], np.int32) for t in texts]
+    vocabulary = sorted(place)
+    moved = np.empty(len(place), np.int32)
+    moved[[place[w] for w in vocabulary]] = np.arange(len(place))
+    members = [np.sort(moved[f]) for f in found]
     number = {w: i for i, w in enumerate(vocabulary)}
-    a = np.array([bad[w] for w in vocabulary], float)
-    b = np.array([good[w] for w in vocabulary], float)
+    del place, found
+    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
+    counts = lambda kind: np.bincount(np.concatenate([m for m, t in zip(members, toxic, strict=True) if t == kind]), minlength=len(vocabulary)).astype(float)
+    a, b = counts(True), counts(False)
     stands_out = (a / n_bad - b / n_good) / np.sqrt((a + b + 1) / (n_bad + n_good))
     ranked = np.argsort(-stands_out, kind="stable")
     rng = np.random.default_rng(11)
@@ -173,8 +176,7 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 160, hard: int = 4
     kept = values > 1e-6 * values[-1]
     white = vectors[:, kept] / np.sqrt(values[kept])
 
-    members = [np.fromiter((number[w] for w in s), np.int64, len(s)) for s in sets]
-    strong = np.array([number[w] for w in explaining([s for s, t in zip(sets, toxic, strict=True) if t], [vocabulary[i] for i in ranked.tolist() if a[i] >= 3 and a[i] / n_bad > 20 * b[i] / n_good])], np.int64)
+    strong = np.array([number[w] for w in explaining([{vocabulary[i] for i in m.tolist()} for m, t in zip(members, toxic, strict=True) if t], [vocabulary[i] for i in ranked.tolist() if a[i] >= 3 and a[i] / n_bad > 20 * b[i] / n_good])], np.int64)
     score = stands_out.copy()
     chosen_good = rng.choice(clean_words, min(hard, len(clean_words)), replace=False)
     table = None

@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -63,3 +64,13 @@ def test_no_labels_nulls_and_rows_alike(spark):
     out = t.score(docs, labels).collect()
     assert len(out) == 4 and all(r.score == 0 and r.predicted == 0 for r in out)
     assert t.score(docs.filter(F.lit(False)), labels).collect() == []
+
+
+def test_kernel_values_are_made_in_small_blocks():
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, 20))) for _ in range(600)]
+    tracemalloc.start()
+    t.kernel(words, words[:160])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # 1 MB of results, 30 MB of the landmarks' triples, and a block's
