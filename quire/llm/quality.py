@@ -1,7 +1,7 @@
 """Quality rules with an isolation forest on rule statistics.
 
 Every document gets statistics of its whole text in one pass. Documents that fail a base rule go. An isolation forest,
-grown on a bounded sample of the rest without their labels, isolates documents by random splits: anomalous ones are isolated after few.
+grown on the rest without their labels (each tree on its own draw from all of it, as the method has it), isolates documents by random splits: anomalous ones are isolated after few.
 A document is dropped if its anomaly score exceeds a threshold calibrated on labelled rows so that at most `max_good_loss` of those
 labelled good go. Half of the labelled rows (calibrating()) set the threshold, so the others can measure it.
 
@@ -16,13 +16,13 @@ whatever their names, are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .hashing import SPACE, U, inside, join, mix, windows, word_hashes, words_of
@@ -119,9 +119,14 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def grow(x: np.ndarray, trees: int, sample: int, seed: int) -> tuple[np.ndarray, ...]:
-    """An isolation forest as flat arrays: feature (-1: leaf), cut, left child (right is the next), path length at leaves."""
+    """An isolation forest on draws of `sample` rows of x."""
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
+    return grown((x[rng.choice(len(x), sample, replace=False)] for _ in range(trees)), sample, rng)
+
+
+def grown(draws: Iterable[np.ndarray], sample: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """A tree on each draw of `sample` rows, as flat arrays: feature (-1: leaf), cut, left child (right is the next), path length at leaves."""
     limit = int(np.ceil(np.log2(max(sample, 2)))) + 2
     feature, cut, left, length, roots = [], [], [], [], []
 
@@ -130,10 +135,10 @@ def grow(x: np.ndarray, trees: int, sample: int, seed: int) -> tuple[np.ndarray,
             a.append(v)
         return len(feature) - 1
 
-    for _ in range(trees):
+    for draw in draws:
         root = add()
         roots.append(root)
-        todo = [(root, x[rng.choice(len(x), sample, replace=False)], 0)]
+        todo = [(root, draw, 0)]
         while todo:
             node, own, depth = todo.pop()
             low, high = own.min(0), own.max(0)
@@ -186,22 +191,40 @@ def calibrating() -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(2)) == 0
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, trees: int = 200, tree_rows: int = 256, max_good_loss: float = 0.01) -> DataFrame:
-    """statistics() with anomaly (double) and kept. The forest is grown on at most `sample_rows` documents of lowest hash that pass
-    the base rules, and the threshold comes from as many labelled ones, which bounds what reaches the driver; everything is scored."""
+def draws(passing: DataFrame, trees: int, rows: int) -> list[np.ndarray]:
+    """For each tree, features of `rows` rows drawn from all that pass (all, if fewer): those of its lowest hashes. What reaches the driver doesn't
+    grow with the table."""
+    n = passing.count()
+    if not n:
+        return []
+    # Twice what is wanted lies below this bound, so few rows are sorted.
+    bound = F.lit(-(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * rows // n))
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("doc_id", t, F.lit(17)).alias("h")))
+    drawn = passing.select("doc_id", "features", F.inline(F.filter(hashes, lambda x: x["h"] <= bound)))
+    first = drawn.withColumn("n", F.row_number().over(Window.partitionBy("tree").orderBy("h", "doc_id", "features"))).filter(F.col("n") <= rows)
+    found = first.select("tree", "n", "features").toPandas().sort_values(["tree", "n"])
+    return [np.array(own["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))[:, ISOLATED] for _, own in found.groupby("tree")]
+
+
+def calibrated(scored: DataFrame, max_good_loss: float) -> float:
+    """calibrate() over all rows (score, good) of a table."""
+    rows = common.by_score(scored)
+    n = rows.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    if not n.good or not n.bad:
+        return 1.0
+    lost, caught = 1 - F.col("good_to") / F.lit(n.good), 1 - F.col("bad_to") / F.lit(n.bad)
+    gain = F.when(lost <= max_good_loss, caught - lost).otherwise(-1.0)
+    return float(-rows.select(F.max(F.struct(gain.alias("gain"), (-F.col("score")).alias("least"))).alias("best")).first().best.least)
+
+
+def judge(docs: DataFrame, labels: DataFrame, trees: int = 200, tree_rows: int = 256, max_good_loss: float = 0.01) -> DataFrame:
+    """statistics() with anomaly (double) and kept. Each of the forest's trees is grown on `tree_rows` rows drawn from all documents that pass
+    the base rules, which bounds what reaches the driver; all calibrating rows set the threshold, and everything is scored."""
     spark = docs.sparkSession
     rows = common.stage(statistics(docs), "statistics")
     passing = rows.filter(~F.col("base_failed")).select("doc_id", "features")
-    marks = labels.select("doc_id", F.col("quality").alias("_q")).filter("_q is not null").groupBy("doc_id").agg(F.max("_q").alias("_q"))
-    labelled = passing.filter(calibrating()).join(marks, "doc_id")
-
-    def matrix(found: pd.DataFrame) -> np.ndarray:
-        return np.array(found.sort_values("doc_id")["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))[:, ISOLATED]
-
-    fit = common.lowest(labelled, F.col("doc_id"), sample_rows).toPandas().sort_values("doc_id")
-    grown_on = matrix(common.lowest(passing, F.col("doc_id"), sample_rows).toPandas())
-    forest = grow(grown_on, trees, tree_rows, 7) if len(grown_on) else None
-    cut = calibrate(anomaly(forest, matrix(fit)), np.asarray(fit["_q"] == 1, dtype=bool), max_good_loss) if forest else 1.0
+    found = draws(passing, trees, tree_rows)
+    forest = grown(found, len(found[0]), np.random.default_rng(7)) if found else None
     sent = spark.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +237,10 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, trees: in
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "anomaly"])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    scored = rows.mapInArrow(run, f"{kind}, anomaly double")
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= cut))
+    scored = common.stage(rows.mapInArrow(run, f"{kind}, anomaly double"), "scored")
+    marks = labels.select("doc_id", F.col("quality").alias("_q")).filter("_q is not null").groupBy("doc_id").agg(F.max("_q").alias("_q"))
+    known = scored.filter(~F.col("base_failed")).filter(calibrating()).join(marks, "doc_id").select(F.col("anomaly").alias("score"), (F.col("_q") == 1).alias("good"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= calibrated(known, max_good_loss)))
 
 
 def digest(judged: DataFrame) -> DataFrame:

@@ -57,3 +57,17 @@ def test_outliers_are_isolated_sooner():
     x = rng.normal(size=(500, 3))
     forest = quality.grow(x, 50, 128, 1)
     assert quality.anomaly(forest, np.array([[9.0, 9, 9]]))[0] > quality.anomaly(forest, x).mean() + 0.1
+
+
+def test_threshold_and_draws_come_from_all_rows(spark):
+    rng = np.random.default_rng(2)
+    score, good = np.round(rng.random(30_000), 4), rng.random(30_000) < 0.5
+    score[good] /= 2
+    rows = spark.createDataFrame(list(zip(score.tolist(), good.tolist(), strict=True)), "score double, good boolean")
+    assert quality.calibrated(rows, 0.3) == quality.calibrate(score, good, 0.3)
+    assert quality.calibrated(rows.filter("good"), 0.3) == quality.calibrated(rows.limit(0), 0.3) == 1.0
+    wide = spark.range(30_000).select(F.col("id").alias("doc_id"), F.array_repeat(F.col("id").cast("double"), len(quality.FEATURES)).alias("features"))
+    found = quality.draws(wide, 200, 256)
+    assert [x.shape for x in found] == [(256, len(quality.ISOLATED))] * 200
+    assert len(np.unique(np.concatenate(found)[:, 0])) > 20_000  # of 30,000; at most 8,192 before
+    assert [len(x) for x in quality.draws(wide.limit(5), 3, 256)] == [5] * 3
