@@ -1,8 +1,9 @@
 """Quality scores by Bradley-Terry ranking of documents in preference pairs.
 
-Every document gets the statistics of its whole text that `quality` measures. Of labelled rows, each good one is preferred to some bad
-ones and each bad one is beaten by some good ones. A document's score is linear in hinges of its statistics (each cut into steps at
-quantiles), and the weights minimise the logistic loss of the pairs' score differences: P(a beats b) = 1 / (1 + exp(s(b) - s(a))).
+Every document gets the statistics of its whole text that `quality` measures. Of labelled rows, all of them outside the held-out fold, each
+good one is preferred to some bad ones and each bad one is beaten by some good ones. A document's score is linear in hinges of its statistics (each cut into steps at
+quantiles, exact over all rows that form pairs), and the weights minimise the logistic loss of the pairs' score differences: P(a beats b) = 1 / (1 + exp(s(b) - s(a))).
+Each Newton step sums slope and curvature over all pairs in Spark tasks; weights are rounded, as the order of such sums varies.
 
 The threshold is a quantile of the scores of labelled rows that formed no pair: the one that tells most bad ones from good ones, midway
 to the next score. The score returned is the probability of a score difference to the threshold, shifted so that the threshold
@@ -16,13 +17,14 @@ columns, whatever their names, are ignored, and so are labels, lang, source and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common, quality
 
@@ -58,23 +60,34 @@ def pairs(good: int, bad: int, each: int, seed: int) -> tuple[np.ndarray, np.nda
     return win, lose
 
 
-def learn(good: np.ndarray, bad: np.ndarray, win: np.ndarray, lose: np.ndarray, ridge: float = 1e-4, rounds: int = 30) -> np.ndarray:
-    """Weights of least logistic loss on the pairs' differences, by Newton steps over blocks of pairs."""
-    w = np.zeros(good.shape[1])
+def slopes(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the pairs' likelihood, summed over their differences d."""
+    miss = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
+    return d.T @ miss, (d * (miss * (1 - miss))[:, None]).T @ d
+
+
+def newton(total: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, n: int, ridge: float, rounds: int) -> np.ndarray:
+    """Weights of least logistic loss, where total(w) has the sums of slopes() over all n pairs."""
+    w = np.zeros(width)
     for _ in range(rounds):
-        slope, curve = -ridge * w, ridge * np.eye(len(w))
-        for lo in range(0, len(win), BLOCK):
-            d = good[win[lo : lo + BLOCK]] - bad[lose[lo : lo + BLOCK]]
-            miss = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
-            slope += d.T @ miss / len(win)
-            curve += (d * (miss * (1 - miss))[:, None]).T @ d / len(win)
-        step = np.linalg.solve(curve, slope)
+        slope, curve = total(w)
+        step = np.linalg.solve(curve / n + ridge * np.eye(width), slope / n - ridge * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def learn(good: np.ndarray, bad: np.ndarray, win: np.ndarray, lose: np.ndarray, ridge: float = 1e-4, rounds: int = 30) -> np.ndarray:
+    """The weights from pairs of rows in memory, in blocks."""
+
+    def total(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [slopes(good[win[lo : lo + BLOCK]] - bad[lose[lo : lo + BLOCK]], w) for lo in range(0, len(win), BLOCK)]
+        return sum(a for a, _ in parts), sum(b for _, b in parts)
+
+    return newton(total, good.shape[1], len(win), ridge, rounds)
+
+
 def threshold(score: np.ndarray, good: np.ndarray) -> float:
     """The quantile of the scores that best tells both kinds, midway to the score below it; of equals, the middle one."""
     cuts = np.unique(score)
@@ -85,18 +98,102 @@ def threshold(score: np.ndarray, good: np.ndarray) -> float:
     return float(cuts[at] if not at else (cuts[at] + cuts[at - 1]) / 2)
 
 
-def fit(x: np.ndarray, good: np.ndarray, calibrates: np.ndarray, steps: int, each: int) -> Model | None:
-    """The model of rows with statistics x; those marked in `calibrates` set the threshold, the others form the pairs."""
-    learns = ~calibrates
-    if not (good & learns).any() or not (~good & learns).any():
+def best_threshold(rows: DataFrame) -> float:
+    """threshold() over all rows (score, good) of a table."""
+    cuts = common.by_score(rows)
+    n = cuts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    gain = (F.col("bad_to") - F.col("bad")) / F.lit(n.bad) - (F.col("good_to") - F.col("good")) / F.lit(n.good)
+    cuts = common.stage(cuts.select("score", "part", gain.alias("gain")), "gains")
+    best = cuts.filter(F.col("gain") >= cuts.agg(F.max("gain")).first()[0] - 1e-12)
+    parts = sorted(best.groupBy("part").agg(F.count("*").alias("held")).collect())  # one row a range
+    left = sum(r.held for r in parts) // 2
+    for part, held in parts:
+        if left < held:
+            break
+        left -= held
+    place = F.row_number().over(Window.partitionBy("part").orderBy("score"))
+    at = best.filter(F.col("part") == part).withColumn("n", place).filter(F.col("n") == left + 1).first().score
+    below = cuts.filter(F.col("score") < at).agg(F.max("score")).first()[0]
+    return float(at if below is None else (at + below) / 2)
+
+
+def exact_knots(rows: DataFrame, steps: int) -> list[np.ndarray]:
+    """knots_of() over all rows (features) of a table: values are counted and the wanted ranks read off the running counts."""
+    n, width = rows.count(), len(quality.FEATURES)
+    at = np.linspace(0, 1, steps + 1) * (n - 1)
+    ranks = sorted({int(r) for r in (*np.floor(at), *np.ceil(at))})
+    values = rows.select(F.posexplode("features").alias("f", "v")).groupBy("f", "v").agg(F.count("*").alias("held"))
+    up_to = F.col("held_to") - F.col("f").cast("long") * n  # every statistic has n values
+    own = F.filter(F.array(*map(F.lit, ranks)), lambda r: (r < up_to) & (r >= up_to - F.col("held")))
+    found = common.running(values, ["f", "v"], ["held"]).select("f", "v", F.explode(own).alias("r")).collect()
+    value = {(x.f, x.r): x.v for x in found}
+    low, high = np.floor(at).astype(int).tolist(), np.ceil(at).astype(int).tolist()
+    return [np.unique([value[f, a] + (value[f, b] - value[f, a]) * (x - a) for a, b, x in zip(low, high, at.tolist(), strict=True)]) for f in range(width)]
+
+
+def preferences(rows: DataFrame, each: int) -> DataFrame:
+    """win, lose: the features of the pairs that all rows (doc_id, features, good) form, `each` a row, with opponents of any number."""
+    keyed = rows.select("good", "features", F.xxhash64("doc_id", "features", F.lit(5)).alias("h"), F.lit(1).alias("one"))
+    placed = common.running(keyed, ["good", "h", "features"], ["one"])
+    bad = rows.filter(~F.col("good")).count()
+    good = rows.count() - bad
+    # Bad rows come first in the order.
+    placed = common.stage(placed.select("good", "features", "h", (F.col("one_to") - 1 - F.when(F.col("good"), bad).otherwise(0)).alias("i")), "placed")
+    count = F.when(F.col("good"), bad).otherwise(good).cast("long")
+    asked = placed.select("good", "features", F.explode(F.transform(F.sequence(F.lit(1), F.lit(each)), lambda k: F.pmod(F.xxhash64("h", "i", k), count))).alias("j"))
+    other = placed.select((~F.col("good")).alias("good"), F.col("features").alias("other"), F.col("i").alias("j"))
+    win, lose = F.when(F.col("good"), F.col("features")), F.when(F.col("good"), F.col("other"))
+    return asked.join(other, ["good", "j"]).select(win.otherwise(F.col("other")).alias("win"), lose.otherwise(F.col("features")).alias("lose"))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=float).reshape(-1, len(quality.FEATURES))
+
+
+def learned(pairs_: DataFrame, knots: list[np.ndarray], ridge: float = 1e-4, rounds: int = 30) -> np.ndarray:
+    """The weights from all pairs (win, lose) of a stored table: a Newton step is a job, whose sums alone reach the driver."""
+    width = sum(len(k) - 1 for k in knots)
+
+    def total(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slope, curve = np.zeros(width), np.zeros((width, width))
+            for b in batches:
+                for lo in range(0, b.num_rows, BLOCK):
+                    part = b.slice(lo, BLOCK)
+                    a, c = slopes(hinges(matrix(part.column(0)), knots) - hinges(matrix(part.column(1)), knots), w)
+                    slope += a
+                    curve += c
+            yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()], pa.binary()), pa.array([curve.tobytes()], pa.binary())], ["slope", "curve"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slope, curve = np.zeros(width), np.zeros(width * width)
+            for b in batches:
+                for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    slope += np.frombuffer(x)
+                    curve += np.frombuffer(y)
+            yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()], pa.binary()), pa.array([curve.tobytes()], pa.binary())], ["slope", "curve"])
+
+        found = pairs_.mapInArrow(work, "slope binary, curve binary").repartition(8).mapInArrow(add, "slope binary, curve binary").collect()
+        return sum(np.frombuffer(r.slope) for r in found), sum(np.frombuffer(r.curve).reshape(width, width) for r in found)
+
+    return newton(total, width, pairs_.count(), ridge, rounds)
+
+
+def fit(known: DataFrame, steps: int, each: int) -> Model | None:
+    """The model of all rows (doc_id, features, good, calibrates); those marked in `calibrates` set the threshold, the others form the pairs."""
+    held = {(r.good, r.calibrates) for r in known.select("good", "calibrates").distinct().collect()}
+    if not {(True, False), (False, False)} <= held:
         return None
-    knots = knots_of(x[learns], steps)
-    h = hinges(x, knots)
-    top, low = h[learns & good], h[learns & ~good]
-    w = learn(top, low, *pairs(len(top), len(low), each, 5))
-    s = h @ w
-    own = calibrates if (good & calibrates).any() and (~good & calibrates).any() else learns
-    return Model(knots, w, threshold(s[own], good[own]))
+    learns = known.filter(~F.col("calibrates"))
+    knots = exact_knots(learns, steps)
+    w = np.round(learned(common.stage(preferences(learns, each), "pairs"), knots), 6)
+
+    def with_score(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hinges(matrix(b.column(0)), knots) @ w), b.column(1)], ["score", "good"])
+
+    own = known.filter("calibrates") if {(True, True), (False, True)} <= held else learns
+    scored = own.select("features", "good").mapInArrow(lambda batches: common.tidy(map(with_score, batches)), "score double, good boolean")
+    return Model(knots, w, best_threshold(scored))
 
 
 def probability(model: Model | None, x: np.ndarray, cut: float) -> np.ndarray:
@@ -106,26 +203,21 @@ def probability(model: Model | None, x: np.ndarray, cut: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(difference + np.log(cut / (1 - cut)), -40, 40)))
 
 
-def training_rows(rows: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """features, good, calibrates: labelled rows outside the held-out fold, at most `most` of each kind, of lowest hash."""
+def training_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, features, good, calibrates: all labelled rows outside the held-out fold."""
     marks = labels.select("doc_id", F.col("quality").alias("_q")).filter("_q is not null").groupBy("doc_id").agg((F.max("_q") > 0).alias("good"))
-    known = rows.filter(~held_out()).select("doc_id", "features").join(marks, "doc_id")
-    found = [common.lowest(known.filter(kind), F.col("doc_id"), most) for kind in (F.col("good"), ~F.col("good"))]
-    return found[0].unionByName(found[1]).withColumn("calibrates", quality.calibrating())
+    return rows.filter(~held_out()).select("doc_id", "features").join(marks, "doc_id").withColumn("calibrates", quality.calibrating())
 
 
-def score(docs: DataFrame, labels: DataFrame, sample_rows: int = 4096, steps: int = 8, each: int = 4, cut: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= cut) of every whole text. At most `sample_rows` labelled rows of each
-    kind, as twelve numbers each, reach the driver; half of them form pairs, `each` a row."""
+def score(docs: DataFrame, labels: DataFrame, steps: int = 8, each: int = 4, cut: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted (score >= cut) of every whole text. All labelled rows outside the held-out fold are learned
+    from; half of them form pairs, `each` a row. Only sums, knots and the model reach the driver."""
     rows = common.stage(quality.statistics(docs).select("doc_id", "features"), "statistics")
-    fitted = training_rows(rows, labels, sample_rows).toPandas().sort_values("doc_id")
-    x = np.array(fitted["features"].tolist(), dtype=float).reshape(-1, len(quality.FEATURES))
-    model = fit(x, fitted["good"].to_numpy(bool), fitted["calibrates"].to_numpy(bool), steps, each)
+    model = fit(common.stage(training_rows(rows, labels), "known"), steps, each)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def with_score(b: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.asarray(b.column(1).flatten(), dtype=float).reshape(-1, len(quality.FEATURES))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(probability(sent.value, x, cut))], ["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(probability(sent.value, matrix(b.column(1)), cut))], ["doc_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return common.tidy(map(with_score, batches))

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm import ranking
+from quire.llm import quality, ranking
 
 SF = "/root/testdata/sf0.1"
 
@@ -51,3 +51,19 @@ def test_edge_cases(spark):
     assert {(r.score, r.predicted) for r in ranking.score(docs, labels.filter("quality = 1")).collect()} == {(0.5, 1)}
     assert ranking.score(docs.filter("doc_id < 0"), labels).collect() == []
     assert len(ranking.score(docs, labels.filter("doc_id < 0")).collect()) == len(out)
+
+
+def test_the_model_comes_from_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x, good = np.round(rng.normal(size=(12_000, len(quality.FEATURES))), 2), rng.random(12_000) < 0.5
+    x[good] += 0.5
+    rows = spark.createDataFrame([(i, f, g) for i, (f, g) in enumerate(zip(x.tolist(), good.tolist(), strict=True))], "doc_id long, features array<double>, good boolean")
+    assert all(np.allclose(a, b) for a, b in zip(ranking.exact_knots(rows, 8), ranking.knots_of(x, 8), strict=True))
+    scored = spark.createDataFrame(list(zip(x[:, 0].tolist(), good.tolist(), strict=True)), "score double, good boolean")
+    assert ranking.best_threshold(scored) == ranking.threshold(x[:, 0], good)
+    pairs = ranking.preferences(rows, 4).toPandas()
+    win, lose = (np.array(pairs[k].tolist()) for k in ("win", "lose"))
+    assert len(pairs) == 48_000 and {tuple(f) for f in win} == {tuple(f) for f in x[good]} and {tuple(f) for f in lose} == {tuple(f) for f in x[~good]}  # 4,096 of each kind before
+    knots, n = ranking.knots_of(x, 3), np.arange(len(win))
+    stored = spark.createDataFrame(pairs)
+    assert np.allclose(ranking.learned(stored, knots), ranking.learn(ranking.hinges(win, knots), ranking.hinges(lose, knots), n, n), atol=1e-6)
