@@ -407,17 +407,18 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, map_bits: int =
     counts = rows.mapInArrow(lambda batches: common.tidy(counted(batches, words, bits)), DEALT)
     often = spark.sparkContext.broadcast(count_bitmap(counts, bits, map_bits, COMMON, 1 << 62)[0])
     common.give_back()
-    found = common.stage(rows.mapInArrow(lambda batches: common.tidy(index(batches, words, percent, bits, often.value, map_bits)), INDEX.format(kind=kind)), "index")
-    one = found.filter(F.col("n").isNotNull()).select("cid", "doc_id", "key", "n", "c1", "c2", "local")
-    # Documents with equal sets are one class, which its first document stands for.
-    sets = one.filter("n > 0").groupBy("c1", "c2").agg(F.min("cid").alias("rep"), F.min("doc_id").alias("least_id"), F.min_by("key", "cid").alias("key"))
-    known = common.stage(one.filter("n > 0").join(sets.select("c1", "c2", "rep"), ["c1", "c2"]).select("cid", "rep"), "classes")
-    # Linked documents share many blocks and are found once in each task: so a quarter of the tasks, which take one hash range at a time.
-    sent_on = found.filter(F.col("sigs").isNotNull()).select("cid", "bucket", "size", "rows", "sigs").repartition(max(1, parts // 4), "bucket").sortWithinPartitions("bucket")
-    raw = sent_on.mapInArrow(lambda batches: common.tidy(chained(batches)), "a bigint, b bigint").unionByName(one.filter("cid <> local").select(F.col("local").alias("a"), F.col("cid").alias("b")))
-    side = lambda c: known.select(F.col("cid").alias(c), F.col("rep").alias(f"rep_{c}"))
-    chains = raw.join(side("a"), "a").join(side("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    members = common.stage(components(chains).select(F.col("node").alias("rep"), F.col("root").alias("cell")), "members")
+    indexed = rows.mapInArrow(lambda batches: common.tidy(index(batches, words, percent, bits, often.value, map_bits)), INDEX.format(kind=kind))
+    with common.held(indexed, "index") as found:  # the signatures are as large as the texts, and done with once they are chained
+        one = common.stage(found.filter(F.col("n").isNotNull()).select("cid", "doc_id", "key", "n", "c1", "c2", "local"), "rows")
+        # Documents with equal sets are one class, which its first document stands for.
+        sets = one.filter("n > 0").groupBy("c1", "c2").agg(F.min("cid").alias("rep"), F.min("doc_id").alias("least_id"), F.min_by("key", "cid").alias("key"))
+        known = common.stage(one.filter("n > 0").join(sets.select("c1", "c2", "rep"), ["c1", "c2"]).select("cid", "rep"), "classes")
+        # Linked documents share many blocks and are found once in each task: so a quarter of the tasks, which take one hash range at a time.
+        sent_on = found.filter(F.col("sigs").isNotNull()).select("cid", "bucket", "size", "rows", "sigs").repartition(max(1, parts // 4), "bucket").sortWithinPartitions("bucket")
+        raw = sent_on.mapInArrow(lambda batches: common.tidy(chained(batches)), "a bigint, b bigint").unionByName(one.filter("cid <> local").select(F.col("local").alias("a"), F.col("cid").alias("b")))
+        side = lambda c: known.select(F.col("cid").alias(c), F.col("rep").alias(f"rep_{c}"))
+        chains = raw.join(side("a"), "a").join(side("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        members = common.stage(components(chains).select(F.col("node").alias("rep"), F.col("root").alias("cell")), "members")
     parts_of = members.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     wanted = members.join(parts_of, "cell").join(sets.select("rep", "key"), "rep")
 
@@ -435,8 +436,8 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, map_bits: int =
 
     # Only sets of documents in cells move (and a few that the bitmap takes for such); texts stay where they are.
     points = rows.mapInArrow(lambda batches: common.chunk_rows(batches, hashed), "key bigint, shingles binary, counts array<int>, n bigint").join(wanted.withColumnRenamed("rep", "cid"), "key")
-    points = common.stage(points.select("cell", "parts", "cid", "shingles", "counts", "n"), "points")
-    roots = true_roots(points, percent)
+    with common.held(points.select("cell", "parts", "cid", "shingles", "counts", "n"), "points") as points:
+        roots = true_roots(points, percent)
     labelled = known.join(roots, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("root", "rep").alias("root"))
     least = labelled.select("cid", "root").join(one.select("cid", "doc_id"), "cid").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     answer = labelled.join(least, "root")

@@ -131,7 +131,8 @@ def count_bitmap(dealt_rows: DataFrame, bits: int, map_bits: int, more_than: int
             packed = pa.Codec("zstd").compress(pa.py_buffer(np.packbits(bitmap)), asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([packed], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["part", "bitmap", "heavy"])
 
-    parts = dealt_rows.repartition(common.shuffle_partitions(spark), "bucket").mapInArrow(reduce, "part int, bitmap binary, heavy binary")
+    # Staged, so that the counts, which are large, leave the disk at once.
+    parts = common.stage(dealt_rows.repartition(common.shuffle_partitions(spark), "bucket").mapInArrow(reduce, "part int, bitmap binary, heavy binary"), "bitmap")
     whole, heavy, step = np.zeros(1 << (map_bits - 3), np.uint8), [], 1 << (map_bits - bits - 3)
     for r in parts.toLocalIterator():
         whole[r.part * step : (r.part + 1) * step] = np.frombuffer(pa.Codec("zstd").decompress(bytes(r.bitmap), decompressed_size=step, asbytes=True), np.uint8)

@@ -1,10 +1,11 @@
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm import graph, jaccard
+from quire.llm import common, graph, jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,3 +104,20 @@ def test_components(spark):
     want = sorted((x, root(x)) for p in [set(p) for p in pairs if p[0] != p[1]] for x in p)
     got = graph.components(spark.createDataFrame(pairs, "a long, b long"))
     assert sorted(map(tuple, got.collect())) == sorted(set(want))
+
+
+def test_disk_is_given_back(spark, tmp_path, monkeypatch):
+    """Staged writes leave no shuffle files, and the signatures and sets, which are as large as the texts, are gone at the end."""
+    files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} {i}" if i % 2 else f"{i} other {i} words {i} here {i}") for i in range(40)], "doc_id long, text string")
+    out = common.stage(jaccard.deduplicate(docs), "out")
+    left = {p.name for p in tmp_path.glob("*/*")}
+    assert out.count() == 21 and not left & {"index", "points"} and {"rows", "members", "out"} <= left
+    before = files()
+    common.stage(docs.repartition(3), "dealt")
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # Spark deletes them in the background
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(common.FREES, None) in (None, "false")
