@@ -9,6 +9,7 @@ from .test_queries import plain
 
 QUERIES = [
     "entity_decode",
+    "markup_to_text",
 ]
 
 
