@@ -10,6 +10,7 @@ from .test_queries import plain
 QUERIES = [
     "entity_decode",
     "markup_to_text",
+    "json_contents_paragraphs",
 ]
 
 
