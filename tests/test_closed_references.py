@@ -11,6 +11,7 @@ QUERIES = [
     "entity_decode",
     "markup_to_text",
     "json_contents_paragraphs",
+    "assignment_contents_paragraphs",
 ]
 
 
