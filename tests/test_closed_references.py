@@ -12,6 +12,7 @@ QUERIES = [
     "markup_to_text",
     "json_contents_paragraphs",
     "assignment_contents_paragraphs",
+    "pages_to_books",
 ]
 
 
