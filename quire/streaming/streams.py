@@ -42,9 +42,9 @@ def settle(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def ingest_pages(pages: DataFrame, at: str) -> DataFrame:
+def ingest_pages(pages: DataFrame, at: str, closed: bool = False) -> DataFrame:
     """New pages to chapters; a rerun on the same folder takes only new files."""
-    return settle(body.extract(pages), at)
+    return settle(body.extract(pages, closed), at)
 
 
 def submissions(log: DataFrame, at: str) -> DataFrame:

@@ -13,6 +13,7 @@ QUERIES = [
     "json_contents_paragraphs",
     "assignment_contents_paragraphs",
     "pages_to_books",
+    "stream_page_ingest",
 ]
 
 
