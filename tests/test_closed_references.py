@@ -14,6 +14,7 @@ QUERIES = [
     "assignment_contents_paragraphs",
     "pages_to_books",
     "stream_page_ingest",
+    "title_candidates",
 ]
 
 
