@@ -15,6 +15,7 @@ QUERIES = [
     "pages_to_books",
     "stream_page_ingest",
     "title_candidates",
+    "best_title_pick",
 ]
 
 
