@@ -16,6 +16,7 @@ QUERIES = [
     "stream_page_ingest",
     "title_candidates",
     "best_title_pick",
+    "split_heading_merge",
 ]
 
 
