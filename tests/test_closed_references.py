@@ -17,6 +17,7 @@ QUERIES = [
     "title_candidates",
     "best_title_pick",
     "split_heading_merge",
+    "best_container",
 ]
 
 
