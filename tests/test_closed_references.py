@@ -18,6 +18,7 @@ QUERIES = [
     "best_title_pick",
     "split_heading_merge",
     "best_container",
+    "whole_page_fallback",
 ]
 
 
