@@ -19,6 +19,7 @@ QUERIES = [
     "split_heading_merge",
     "best_container",
     "whole_page_fallback",
+    "dom_fallback_paragraphs",
 ]
 
 
