@@ -20,6 +20,7 @@ QUERIES = [
     "best_container",
     "whole_page_fallback",
     "dom_fallback_paragraphs",
+    "site_profile_extraction",
 ]
 
 
