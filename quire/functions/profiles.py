@@ -2,7 +2,7 @@
 
 An index function takes index pages with their catalog row (ord, novel_slug, url, html, chapter_count, url_template, book_id, base_url) and
 gives ord, idx, url, title, source_id, error: the chapters of each, or one row with an error. An extract function takes pages
-(page_id, url, html, maybe number) and gives page_id, url, title, paragraphs, degraded, failed.
+(page_id, url, html, maybe number), and whether only closed character references count, and gives page_id, url, title, paragraphs, degraded, failed.
 """
 
 from __future__ import annotations
@@ -18,19 +18,20 @@ from quire.functions.text import title_only
 from quire.operators import body, toc
 
 Step = Callable[[DataFrame], DataFrame]
+Extract = Callable[[DataFrame, bool], DataFrame]
 INDEX = ["ord", "idx", "url", "title", "source_id", "error"]
 
 
 class Profile(NamedTuple):
-    extract: Step
+    extract: Extract
     index: Step | None = None
 
 
 PROFILES: dict[str, Profile] = {}
 
 
-def register(key: str, index: Step | None = None) -> Callable[[Step], Step]:
-    def add(f: Step) -> Step:
+def register(key: str, index: Step | None = None) -> Callable[[Extract], Extract]:
+    def add(f: Extract) -> Extract:
         if key in PROFILES:
             raise ValueError(f"profile {key} is registered twice")
         PROFILES[key] = Profile(f, index)
@@ -68,27 +69,27 @@ def payload_index(pages: DataFrame) -> DataFrame:
 
 
 @register("profile_a", index=link_index)
-def articles(pages: DataFrame) -> DataFrame:
+def articles(pages: DataFrame, closed: bool = False) -> DataFrame:
     """Pages whose text lies in the page itself; a column `number`, if there is one, says which chapter a page is."""
     number = F.col("number") if "number" in pages.columns else F.lit(None).cast("long")
-    return body.chapters_of(pages.select("page_id", "url", "html", number.alias("number")))
+    return body.chapters_of(pages.select("page_id", "url", "html", number.alias("number")), closed=closed)
 
 
 @register("profile_b", index=payload_index)
-def payloads(pages: DataFrame) -> DataFrame:
+def payloads(pages: DataFrame, closed: bool = False) -> DataFrame:
     """Pages whose text lies in a JSON payload, else in an assigned one, else in the page itself."""
-    p = body.by_precedence(pages.select("page_id", "url", "html"))
+    p = body.by_precedence(pages.select("page_id", "url", "html"), closed)
     p = p.withColumn("title", title_only(F.coalesce("title", F.lit(""))))
     return p.select("page_id", "url", "title", "paragraphs", body.is_degraded(F.col("title")).alias("degraded"), (F.size("paragraphs") == 0).alias("failed"))
 
 
-def extract_by_profile(pages: DataFrame, key_column: str = "adapter_key") -> DataFrame:
+def extract_by_profile(pages: DataFrame, key_column: str = "adapter_key", closed: bool = False) -> DataFrame:
     """Each page by the profile that its key names, and `status`: ok, empty, or unknown profile (with no title and no paragraphs)."""
     unknown = pages.filter(F.col(key_column).isNull() | ~F.col(key_column).isin(*PROFILES))
     none = F.expr("cast(array() as array<string>)")
     out = unknown.select("page_id", "url", F.lit("").alias("title"), none.alias("paragraphs"), F.lit(True).alias("degraded"), F.lit(True).alias("failed"), F.lit("unknown profile").alias("status"))
     for key, own in sorted(PROFILES.items()):
-        rows = own.extract(pages.filter(F.col(key_column) == key))
+        rows = own.extract(pages.filter(F.col(key_column) == key), closed)
         out = out.unionByName(rows.withColumn("status", F.when(F.col("failed"), "empty").otherwise("ok")))
     return out
 

@@ -21,6 +21,7 @@ QUERIES = [
     "whole_page_fallback",
     "dom_fallback_paragraphs",
     "site_profile_extraction",
+    "profile_extraction",
 ]
 
 
